@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +26,28 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "passes")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fold
+    from .toxicity import fit, score
+
+    docs = _table(spark, sf_dir, "documents")
+    held = fold(F.col("doc_id"), 4) == 2
+    scored = score(docs, fit(docs, _table(spark, sf_dir, "labels"), ~held))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit, fold, score
+
+    docs = _table(spark, sf_dir, "documents")
+    held = fold(F.col("doc_id"), 3) == 1
+    scored = score(docs, fit(docs, _table(spark, sf_dir, "labels"), ~held))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
+    "op4_quality": op4_quality,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op8_source_mixing": op8_source_mixing,
 }
