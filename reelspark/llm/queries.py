@@ -20,6 +20,12 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import near_classes
+
+    return near_classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -71,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_personal_data": op3_personal_data,
     "op4_quality": op4_quality,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op8_source_mixing": op8_source_mixing,
     "op9_fingerprints": op9_fingerprints,
 }
