@@ -26,6 +26,12 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .passages import repeated_passages
+
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -84,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op7_repeated_passages": op7_repeated_passages,
     "op8_source_mixing": op8_source_mixing,
     "op9_fingerprints": op9_fingerprints,
     "op10_nearest_neighbours": op10_nearest_neighbours,
