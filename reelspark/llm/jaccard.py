@@ -212,3 +212,33 @@ def _sets(source: DataFrame, wanted: DataFrame, bits) -> DataFrame:
     made = map_texts(source, work, "doc_id long, node long, shingles binary")
     w = wanted.select(F.col("node").alias("w_node"), "first_id", "times", "clump", "size")
     return made.join(w, (F.col("node") == F.col("w_node")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).dropDuplicates(["node"]).select("clump", "size", "node", "times", "shingles")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with one row of each class of near_classes, the one of the smallest id; all columns stay.
+
+    Texts without words are classes of their own and stay, repeated or not. Of rows that agree in id and shingles one
+    stays. Other columns are carried whatever their names.
+    """
+    names = docs.columns
+    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])  # names may clash
+    by_id, by_text = f"c{names.index(doc_id)}", f"c{names.index(text)}"
+    classes = near_classes(rows, by_id, by_text, threshold)
+    kept = cut(classes.where(F.col("node") == F.col("keeper")).groupBy(F.col("node").alias("keep_node")).agg(F.min("class_id").alias("keep_id")))
+    bits = docs.sparkSession.sparkContext.broadcast(word_filter(kept.select(F.col("keep_node").bitwiseXOR(F.coalesce("keep_id", F.lit(0))).alias("term"))))
+    at_id = names.index(doc_id)
+
+    def work(part: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
+        words = Words(texts)
+        own = [words.of(i) for i in range(len(texts))]
+        nodes = [node_of(shingles(w)) if len(w) else None for w in own]
+        ids = part.column(at_id).to_pylist()
+        may = [n is None or bool(_passes(np.array([n ^ int(i or 0)]).view(np.uint64), bits.value)[0]) for n, i in zip(nodes, ids, strict=True)]
+        whole = pa.RecordBatch.from_arrays([*part.columns, pa.array(nodes, pa.int64())], names=[*part.schema.names, "node"])
+        return whole.filter(pa.array(may))
+
+    schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", node long"
+    found = map_texts(rows, work, schema, by_text)
+    empty = found.where(F.col("node").isNull())
+    found = found.where(F.col("node").isNotNull()).join(kept, (F.col("node") == F.col("keep_node")) & F.col(by_id).eqNullSafe(F.col("keep_id"))).dropDuplicates(["node"])
+    return empty.select(*rows.columns).unionByName(found.select(*rows.columns)).toDF(*names)

@@ -8,6 +8,9 @@ DataFrame operations only.
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -99,3 +102,49 @@ def _cells(sized: DataFrame, targets: DataFrame) -> DataFrame:
     t = targets.select(F.col("_source").alias("_t_source"), "_source_size", "_target")
     joined = cells.join(t, F.col("_source").eqNullSafe(F.col("_t_source"))).drop("_t_source")
     return joined.withColumn("_claim", F.when(F.col("_source_size") > 0, F.col("_target") * F.col("_cell_size") / F.col("_source_size")).otherwise(0.0))
+
+
+def apply_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", length: str | None = "n_chars", **options) -> DataFrame:
+    """``docs`` as the mix takes them: each row as often as it has whole passes, and once more cut to the words of a last part.
+
+    All columns stay; ``length`` follows a cut text. Rows that agree in id, source and size share what they take evenly.
+    Texts without words aren't taken.
+    """
+    names = docs.columns
+    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])  # names may clash
+    by_id, by_text, by_source = (f"c{names.index(c)}" for c in (doc_id, text, source))
+    taken = mix(rows, by_id, by_text, by_source, **options).groupBy("doc_id", F.col("source").alias("mix_source"), "size").agg(F.floor(F.sum("taken") / F.count("*")).cast("long").alias("taken")).where(F.col("taken") > 0)
+    sized = rows.withColumn("mix_size", word_count(F.col(by_text)))
+    same = F.col(by_id).eqNullSafe(F.col("doc_id")) & F.col(by_source).eqNullSafe(F.col("mix_source")) & (F.col("mix_size") == F.col("size"))
+    joined = sized.join(taken, same)
+    whole = F.floor(F.col("taken") / F.col("size")).cast("int")
+    part = (F.col("taken") % F.col("size")).cast("int")
+    copies = F.concat(F.array_repeat(F.lit(0), whole), F.filter(F.array(part), lambda x: x > 0))
+    spread = joined.withColumn("cut", F.explode(copies))
+    # the first words of a text with what lies between them; few rows are cut, so the pattern is applied to these alone
+    cut_text = F.when(F.col("cut") > 0, _first_words(F.when(F.col("cut") > 0, F.col(by_text)), F.col("cut"))).otherwise(F.col(by_text))
+    out = spread.withColumn(by_text, cut_text)
+    if length in names:
+        n = f"c{names.index(length)}"
+        out = out.withColumn(n, F.when(F.col("cut") > 0, F.length(by_text)).otherwise(F.col(n)).cast(rows.schema[n].dataType))
+    return out.select(*rows.columns).toDF(*names)
+
+
+def _first_words(text: Column, n: Column) -> Column:
+    @F.pandas_udf("string")
+    def first(texts: pd.Series, counts: pd.Series) -> pd.Series:
+        word = re.compile(r"[^\x20\x09-\x0D]+")
+
+        def one(t: str | None, k: int) -> str | None:
+            if t is None:
+                return None
+            end = 0
+            for i, m in enumerate(word.finditer(t)):
+                if i == k:
+                    break
+                end = m.end()
+            return t[:end]
+
+        return pd.Series([one(t, k) for t, k in zip(texts, counts, strict=True)])
+
+    return first(text, n)
