@@ -24,8 +24,8 @@ from .quality import labelled_sample
 
 ORDER, SPAN, GAP, WINDOW = 4, 6, 0.6, 8
 #: At most so many labelled texts are fitted on, half of each label, none longer than TRAIN_CHARS.
-SAMPLE_ROWS, TRAIN_CHARS = 6_000, 50_000
-LANDMARKS, ROUNDS, COST, SEED = 400, 4, 1000.0, 7
+SAMPLE_ROWS, TRAIN_CHARS = 5_000, 30_000
+LANDMARKS, ROUNDS, COST, SEED = 320, 4, 1000.0, 7
 
 _BITS = 5
 _SYMBOLS = np.zeros(256, np.uint8)
@@ -102,7 +102,7 @@ def features(symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def snippets(symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The symbols that windows beginning at ``starts`` can see, one row each."""
-    return symbols[np.minimum(starts[:, None] + np.arange(WINDOW + SPAN)[None, :], len(symbols) - 1)]
+    return symbols[np.minimum(starts[:, None] + np.arange(WINDOW + SPAN)[None, :], len(symbols) - 1)].astype(np.int32)
 
 
 def with_insertion(rows: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -136,11 +136,11 @@ def _kernel(x: tuple[np.ndarray, ...], n: int, landmarks: tuple[np.ndarray, ...]
     order = np.argsort(landmarks[1], kind="stable")
     lw, lu, lv = (a[order] for a in landmarks)
     lo, hi = np.searchsorted(lu, x[1], "left"), np.searchsorted(lu, x[1], "right")
-    out = np.zeros(n * m)
-    for a in range(0, len(lo), 200_000):
-        times = (hi - lo)[a : a + 200_000]
+    out = np.zeros(n * m, np.float64)
+    for a in range(0, len(lo), 20_000):
+        times = (hi - lo)[a : a + 20_000]
         mine = np.repeat(np.arange(a, a + len(times)), times)
-        other = np.arange(len(mine)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(lo[a : a + 200_000], times)
+        other = np.arange(len(mine)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(lo[a : a + 20_000], times)
         out += np.bincount(x[0][mine] * m + lw[other], weights=x[2][mine] * lv[other], minlength=n * m)
     return out.reshape(n, m)
 
@@ -175,29 +175,26 @@ def train(texts: list[bytes], toxic: np.ndarray, landmarks: int = LANDMARKS, rou
     calibrate = ([t for t, a in zip(texts, aside, strict=True) if a], toxic[aside]) if aside.any() else (texts, toxic)
     texts, toxic = [t for t, a in zip(texts, aside, strict=True) if not a], toxic[~aside]
     symbols, starts = letters(texts)
-    owner = np.repeat(np.arange(len(texts)), np.diff(starts))
+    symbols = symbols.astype(np.uint8)
     # the first table: how much more often texts with the plain subsequence are toxic
-    seen = [np.zeros(size), np.zeros(size)]
-    n = len(symbols) - 3
-    plain = (symbols[:n] << 15) | (symbols[1 : n + 1] << 10) | (symbols[2 : n + 2] << 5) | symbols[3:]
-    solid = (symbols[1 : n + 1] > 0) & (symbols[2 : n + 2] > 0) & ((symbols[:n] > 0) | (symbols[3:] > 0))
+    seen = [np.zeros(size, np.float32), np.zeros(size, np.float32)]
     for i in range(len(texts)):
-        a, b = starts[i], min(starts[i + 1], n)
-        seen[int(toxic[i])][np.unique(plain[a:b][solid[a:b]])] += 1
+        own = symbols[starts[i] : starts[i + 1]].astype(np.int32)
+        plain = (own[:-3] << 15) | (own[1:-2] << 10) | (own[2:-1] << 5) | own[3:]
+        seen[int(toxic[i])][np.unique(plain[(own[1:-2] > 0) & (own[2:-1] > 0) & ((own[:-3] > 0) | (own[3:] > 0))])] += 1
     odds = np.log((seen[1] + 0.5) / (toxic.sum() + 1)) - np.log((seen[0] + 0.5) / ((1 - toxic).sum() + 1))
     table = np.where(seen[1] >= max(5, 0.002 * toxic.sum()), np.maximum(odds - 1.5, 0), 0).astype(np.float32)
     hard: list[np.ndarray] = []
     for _ in range(rounds):
-        values = window_scores(symbols, starts, table)
-        top = np.array([starts[i] + int(values[starts[i] : starts[i + 1]].argmax()) for i in range(len(texts))])
-        best = values[top]
+        top, best = best_windows(symbols, starts, table)
         # a toxic text's highest window is its example, unless it is no higher than what half of the clean texts have
         positive = top[(toxic == 1) & (best > np.median(best[toxic == 0]))]
         if len(positive) < 10:
             positive = top[toxic == 1]
         hard.append(top[toxic == 0])
-        clean = np.flatnonzero((toxic[owner] == 0) & (symbols > 0))
-        negative = np.unique(np.concatenate([*hard, rng.choice(clean, min(len(clean), 3 * len(positive) + 1000), replace=False)]))
+        anywhere = rng.integers(0, len(symbols), 2 * len(positive) + 1000)
+        anywhere = anywhere[(toxic[np.searchsorted(starts, anywhere, side="right") - 1] == 0) & (symbols[anywhere] > 0)]
+        negative = np.unique(np.concatenate([*hard, anywhere]))
         toxic_ones = snippets(symbols, positive)
         examples = np.concatenate([toxic_ones, with_insertion(toxic_ones, rng), snippets(symbols, negative)])
         y = np.where(np.arange(len(examples)) < 2 * len(positive), 1.0, -1.0)
@@ -212,12 +209,24 @@ def train(texts: list[bytes], toxic: np.ndarray, landmarks: int = LANDMARKS, rou
         w, _ = _svm(_kernel(x, len(examples), marks, m) @ root, y, COST / len(examples))
         beta = root @ w
         table = np.bincount(marks[1], weights=beta[marks[0]] * marks[2], minlength=size).astype(np.float32)
-    symbols, starts = letters(calibrate[0])
-    best = np.maximum.reduceat(window_scores(symbols, starts, table), starts[:-1])
+    _, best = best_windows(*letters(calibrate[0]), table)
     a, b = _logistic(best, calibrate[1].astype(float))
     return Model(table, a, b)
 
 
+def best_windows(symbols: np.ndarray, starts: np.ndarray, table: np.ndarray, texts: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """Where each text's highest window begins, and its score; some texts at a time."""
+    places, scores = [], []
+    for a in range(0, len(starts) - 1, texts):
+        part = starts[a : a + texts + 1]
+        values = window_scores(symbols[part[0] : part[-1]].astype(np.int32), part - part[0], table)
+        for s, e in zip(part[:-1], part[1:], strict=True):
+            k = int(values[s - part[0] : e - part[0]].argmax())
+            places.append(int(s) + k)
+            scores.append(values[s - part[0] + k])
+    return np.array(places, np.int64), np.array(scores)
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
     """Platt scaling with smoothed labels."""
     hi, lo = (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2)
