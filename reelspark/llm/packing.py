@@ -27,7 +27,7 @@ from .common import cut, map_texts
 CAPACITY = 2048
 SHARD_PIECES = 4096
 #: Nodes of one shard's search; the incumbent is kept when they are used up.
-SEARCH_NODES = 20_000
+SEARCH_NODES = 3_000
 #: Fillings tried at one node.
 FILLINGS = 12
 #: Words whose ids a worker remembers.
