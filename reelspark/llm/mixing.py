@@ -2,7 +2,7 @@
 
 Per shard of the corpus each source's seeded stream of words is cut into blocks of equal size. The shard's seats
 (blocks) go to its sources by highest quotients target / (2k + 1), which gives integer quotas; a source with more
-seats than blocks takes whole passes first. The seeded order then decides which blocks get the last pass.
+seats than blocks takes whole passes first. The seeded order then decides which blocks are taken once more.
 DataFrame operations only.
 """
 
@@ -19,7 +19,7 @@ from .common import cut
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
-BLOCK = 64
+BLOCK = 8
 SHARD_WORDS = 1_000_000
 SEED = "mix-1"
 
@@ -47,7 +47,8 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     levelled = ranked.withColumn("_level", (total - F.coalesce(F.sum("_full").over(before), F.lit(0.0))) / F.sum("_weight").over(after))
     # the first source whose own cap isn't reached at its level sets the level of all; none does if nothing has words
     ratio = F.col("_full") / F.col("_weight")
-    fits = levelled.withColumn("_cut", F.min(F.when(F.col("_level") <= ratio, F.struct(ratio.alias("ratio"), F.col("_level").alias("level")))).over(every)["level"])
+    levelled = levelled.withColumn("_place", F.row_number().over(by_ratio))
+    fits = levelled.withColumn("_cut", F.min(F.when(F.col("_level") <= ratio, F.struct("_place", F.col("_level").alias("level")))).over(every)["level"])
     return fits.select("_source", "_source_size", "_weight", F.least(F.col("_full"), F.coalesce(F.col("_cut"), F.lit(0.0)) * F.col("_weight")).alias("_target"))
 
 
@@ -70,19 +71,21 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     cells = _cells(sized, targets)
     in_shard = W.partitionBy("_shard")
     cells = cells.withColumn("_seats", F.round(F.sum("_claim").over(in_shard) / block).cast("bigint"))
-    # Seats every quotient above the divisor is sure to win, less two; the rest is ranked, a few quotients per cell.
-    divisor = F.sum("_claim").over(in_shard) / F.greatest(F.col("_seats"), F.lit(1))
-    cells = cells.withColumn("_sure", F.greatest(F.lit(0), F.floor(F.col("_claim") / F.when(divisor > 0, divisor).otherwise(1.0) - 0.5) - 1).cast("bigint"))
-    cells = cells.withColumn("_sources", F.count("*").over(in_shard))
-    open_seats = cells.withColumn("_seat", F.explode(F.sequence(F.col("_sure"), F.col("_sure") + 3 + F.col("_sources"))))
+    # A cell's seats are claim / d rounded, for one divisor d of the shard that differs from its mean by less than half a
+    # seat per source. So all but a few of a cell's seats are sure, and only those few have their quotients ranked.
+    claims = F.sum("_claim").over(in_shard)
+    mean = claims / F.greatest(F.col("_seats"), F.lit(1))
+    cells = cells.withColumn("_doubt", F.ceil(F.count("*").over(in_shard) / 2 * F.when(claims > 0, F.col("_claim") / claims).otherwise(0.0)) + 1)
+    cells = cells.withColumn("_sure", F.greatest(F.lit(0), F.floor(F.col("_claim") / F.when(mean > 0, mean).otherwise(1.0) - 0.5) - F.col("_doubt")).cast("bigint"))
+    open_seats = cells.withColumn("_seat", F.explode(F.sequence(F.col("_sure"), F.col("_sure") + 2 * F.col("_doubt") + 2)))
     by_quotient = in_shard.orderBy(F.desc(F.col("_claim") / (2 * F.col("_seat") + 1)), F.col("_source").isNull(), F.col("_source"))
     sure_in_shard = F.sum(F.when(F.col("_seat") == F.col("_sure"), F.col("_sure")).otherwise(0)).over(in_shard)
     won = open_seats.withColumn("_rank", F.row_number().over(by_quotient)).withColumn("_free", F.col("_seats") - sure_in_shard)
     quotas = won.groupBy("_shard", "_source", "_cell_size", "_source_size", "_target").agg((F.max("_sure") + F.count_if((F.col("_rank") <= F.col("_free")) & (F.col("_claim") > 0))).alias("_quota"))
 
-    blocks = F.ceil(F.col("_cell_size") / block)
-    passes = F.least(F.lit(cap), F.floor(F.col("_quota") / F.greatest(blocks, F.lit(1))))
-    quotas = quotas.withColumn("_passes", passes.cast("bigint")).withColumn("_extra", F.when(F.col("_passes") >= cap, 0).otherwise((F.col("_quota") - F.col("_passes") * blocks) * block).cast("bigint"))
+    # the quota in words: whole passes over the cell's stream, then the blocks at its beginning
+    words = F.least(F.col("_quota") * block, cap * F.col("_cell_size"))
+    quotas = quotas.withColumn("_passes", F.floor(words / F.greatest(F.col("_cell_size"), F.lit(1))).cast("bigint")).withColumn("_extra", (words - F.col("_passes") * F.col("_cell_size")).cast("bigint"))
 
     stream = W.partitionBy("_shard", "_source").orderBy("_key", "_id").rowsBetween(W.unboundedPreceding, -1)
     placed = sized.withColumn("_from", F.coalesce(F.sum("_size").over(stream), F.lit(0)))
