@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 from ..config import BASE_WEIGHTS, FACTORS
 from ..functions import scalars as S
 from ..functions import vectors as V
-from .timeline import VIDEO
-
-CLUSTER = W.partitionBy("video_id", "cluster_id")
+from .timeline import in_video
 
 
 def centroids(df: DataFrame, features: str = "features") -> DataFrame:
@@ -27,13 +25,13 @@ def with_distance(df: DataFrame, centres: DataFrame, features: str = "features")
 
 
 def representativeness(distance: Column) -> Column:
-    low, high = F.min(distance).over(CLUSTER), F.max(distance).over(CLUSTER)
+    low, high = F.min(distance).over(W.partitionBy("video_id", "cluster_id")), F.max(distance).over(W.partitionBy("video_id", "cluster_id"))
     return F.when(high - low > 1e-6, V.clamp01(1 - (distance - low) / (high - low))).otherwise(F.lit(1.0))
 
 
 def dominance() -> Column:
     """The cluster's share of the video over the largest share, at most 0.8."""
-    return F.least(F.lit(0.8), F.col("cluster_size") / F.max("cluster_size").over(VIDEO))
+    return F.least(F.lit(0.8), F.col("cluster_size") / F.max("cluster_size").over(in_video()))
 
 
 def visual_richness(edges: Column, laplacian: Column, entropy: Column, low_entropy: Column) -> Column:
@@ -77,7 +75,7 @@ def rejection(richness: Column, brightness: Column, motion: Column, dominant: Co
 
 def prefilter(df: DataFrame, least: Column) -> DataFrame:
     """Frames without a rejection_reason; all frames of a video of which fewer than ``least`` would pass."""
-    passed = F.count_if(F.col("rejection_reason").isNull()).over(VIDEO)
+    passed = F.count_if(F.col("rejection_reason").isNull()).over(in_video())
     return df.withColumn("passed", passed).where(F.col("rejection_reason").isNull() | (F.col("passed") < least)).drop("passed")
 
 
@@ -120,7 +118,7 @@ def stability(df: DataFrame, score: str, top: int, by: dict[str, float] = BASE_W
     rank = lambda c: F.row_number().over(W.partitionBy("video_id").orderBy(F.desc(c), "frame_index"))
     found = df.withColumn("first", rank(F.col(score)) <= top)
     ratio = F.lit(0.0)
-    n = F.least(F.lit(top), F.count("*").over(VIDEO))
+    n = F.least(F.lit(top), F.count("*").over(in_video()))
     for i, shift in enumerate(SHIFTS):
         w = {f: max(0.01, by[f] + d) for f, d in zip(FACTORS, shift, strict=True)}
         total = sum(w.values())

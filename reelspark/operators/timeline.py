@@ -9,19 +9,26 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions import scalars as S
 from ..functions import vectors as V
 
-ORDER = W.partitionBy("video_id").orderBy("ts", "frame_index")
-VIDEO = W.partitionBy("video_id")
+
+def in_order() -> WindowSpec:
+    """A video's frames in time."""
+    return W.partitionBy("video_id").orderBy("ts", "frame_index")
+
+
+def in_video() -> WindowSpec:
+    return W.partitionBy("video_id")
 
 
 def with_position(df: DataFrame) -> DataFrame:
     """``pos``: the frame's place in its video, from 0."""
-    return df.withColumn("pos", F.row_number().over(ORDER).cast("bigint") - 1)
+    return df.withColumn("pos", F.row_number().over(in_order()).cast("bigint") - 1)
 
 
 def stride(df: DataFrame, every: int) -> DataFrame:
@@ -133,22 +140,22 @@ def spaced_cuts(df: DataFrame, is_cut: str, gap: float) -> DataFrame:
 
 def steps(df: DataFrame, features: str = "features") -> DataFrame:
     """``pos`` and ``distance``: cosine distance to the previous frame, null for the first."""
-    previous = F.lag(features).over(ORDER)
+    previous = F.lag(features).over(in_order())
     return with_position(df).withColumn("distance", F.when(previous.isNotNull(), V.cosine_distance(F.col(features), previous)))
 
 
 def scene_cuts(df: DataFrame, features: str = "features", floor: float = DEFAULT.scene_floor) -> DataFrame:
     """``is_cut``: the step is larger than mean + 2 deviations of its video's steps (if more than five) and than ``floor``."""
     found = steps(df, features)
-    spread = F.when(F.count("distance").over(VIDEO) > 5, F.avg("distance").over(VIDEO) + 2 * F.stddev_pop("distance").over(VIDEO))
+    spread = F.when(F.count("distance").over(in_video()) > 5, F.avg("distance").over(in_video()) + 2 * F.stddev_pop("distance").over(in_video()))
     found = found.withColumn("threshold", F.greatest(F.lit(floor), spread))
     return found.withColumn("is_cut", F.coalesce(F.col("distance") > F.col("threshold"), F.lit(False)))
 
 
 def scenes(df: DataFrame, features: str = "features") -> DataFrame:
     """(video_id, scene_id, start_frame, end_frame, start_time, end_time, duration); a scene ends where the next begins."""
-    cut = scene_cuts(df, features).withColumn("scene_id", F.sum(F.col("is_cut").cast("bigint")).over(ORDER.rowsBetween(W.unboundedPreceding, 0)))
-    last = cut.withColumns({"last_pos": F.max("pos").over(VIDEO), "last_ts": F.max("ts").over(VIDEO)})
+    cut = scene_cuts(df, features).withColumn("scene_id", F.sum(F.col("is_cut").cast("bigint")).over(in_order().rowsBetween(W.unboundedPreceding, 0)))
+    last = cut.withColumns({"last_pos": F.max("pos").over(in_video()), "last_ts": F.max("ts").over(in_video())})
     first = last.groupBy("video_id", "scene_id").agg(F.min("pos").alias("start_frame"), F.min("ts").alias("start_time"), F.first("last_pos").alias("last_pos"), F.first("last_ts").alias("last_ts"))
     by_scene = W.partitionBy("video_id").orderBy("scene_id")
     return first.select(
@@ -173,20 +180,20 @@ def temporal_novelty(df: DataFrame, within: float = 1.0, full: int = 10) -> Data
 
 def segment_coverage(df: DataFrame, duration: Column | None = None) -> DataFrame:
     """``segment`` (thirds of the video) and ``temporal_coverage``, higher where a third holds fewer frames than its share."""
-    length = F.max("ts").over(VIDEO) if duration is None else duration
-    found = df.withColumn("segment", S.segment_index(F.col("ts"), length)).withColumn("share", F.count("*").over(W.partitionBy("video_id", "segment")) / (F.count("*").over(VIDEO) / 3.0))
+    length = F.max("ts").over(in_video()) if duration is None else duration
+    found = df.withColumn("segment", S.segment_index(F.col("ts"), length)).withColumn("share", F.count("*").over(W.partitionBy("video_id", "segment")) / (F.count("*").over(in_video()) / 3.0))
     value = F.when(F.col("share") < 1, 1 + (1 - F.col("share")) * 0.5).otherwise(1 / F.col("share"))
     return found.withColumn("temporal_coverage", F.least(F.lit(1.0), 0.6 * value)).drop("share")
 
 
 def motion(df: DataFrame, value: str) -> DataFrame:
     """``motion``: the mean change to the neighbours that exist."""
-    before, after = F.abs(F.col(value) - F.lag(value).over(ORDER)), F.abs(F.lead(value).over(ORDER) - F.col(value))
+    before, after = F.abs(F.col(value) - F.lag(value).over(in_order())), F.abs(F.lead(value).over(in_order()) - F.col(value))
     total = F.coalesce(before, F.lit(0.0)) + F.coalesce(after, F.lit(0.0))
     return df.withColumn("motion", F.when(before.isNotNull() & after.isNotNull(), total / 2).otherwise(total))
 
 
 def minmax(value: Column) -> Column:
     """Min-max scaled within the video; 0.5 where all are the same."""
-    low, high = F.min(value).over(VIDEO), F.max(value).over(VIDEO)
+    low, high = F.min(value).over(in_video()), F.max(value).over(in_video())
     return F.when(high - low > 1e-6, (value - low) / (high - low)).otherwise(F.lit(0.5))

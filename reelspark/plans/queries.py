@@ -326,7 +326,7 @@ HIST_SQL = "hists AS (SELECT *, list_transform(features, lambda x: abs(x)) AS h,
 
 def _hists(spark, sf_dir) -> DataFrame:
     h = T.features(spark, sf_dir).withColumn("h", F.transform("features", F.abs))
-    return h.withColumn("g", F.lag("h").over(timeline.ORDER)).where(F.col("g").isNotNull())
+    return h.withColumn("g", F.lag("h").over(timeline.in_order())).where(F.col("g").isNotNull())
 
 
 @query(with_sql(T.FEATURES_SQL, HIST_SQL, select="SELECT frame_index, round(greatest(0, least(1, 1 - sqrt(greatest(0, 1 - list_sum(list_transform(list_zip(h, g), lambda p: sqrt(p[1] * p[2]))) / sqrt(list_sum(h) * list_sum(g)))))), 5) AS similarity FROM hists WHERE g IS NOT NULL"))

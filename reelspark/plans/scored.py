@@ -87,7 +87,7 @@ def adaptive_weights(spark, sf_dir):
 
 @query(with_sql(T.FRAMES_SQL, select="SELECT video_id, frame_index, round(100 * ts / CASE WHEN max(ts) OVER w > 0 THEN max(ts) OVER w END, 6) AS percent FROM frames WINDOW w AS (PARTITION BY video_id)"))
 def timeline_position(spark, sf_dir):
-    return T.frames(spark, sf_dir).select("video_id", "frame_index", F.round(F.try_divide(100 * F.col("ts"), F.max("ts").over(timeline.VIDEO)), 6).alias("percent"))
+    return T.frames(spark, sf_dir).select("video_id", "frame_index", F.round(F.try_divide(100 * F.col("ts"), F.max("ts").over(timeline.in_video())), 6).alias("percent"))
 
 
 # --- factors and scores ---------------------------------------------------------------------------------------------
@@ -113,7 +113,7 @@ def factors(spark, sf_dir) -> DataFrame:
     f = T.features(spark, sf_dir)
     c = scoring.centroids(f)
     d = f.join(c, ["video_id", "cluster_id"]).withColumn("distance", V.euclidean(F.col("features"), F.col("centroid"))).withColumnRenamed("size", "cluster_size").drop("centroid")
-    before, after = V.euclidean(F.col("features"), F.lag("features").over(timeline.ORDER)), V.euclidean(F.col("features"), F.lead("features").over(timeline.ORDER))
+    before, after = V.euclidean(F.col("features"), F.lag("features").over(timeline.in_order())), V.euclidean(F.col("features"), F.lead("features").over(timeline.in_order()))
     d = d.withColumns({"before": before, "after": after})
     total = F.coalesce("before", F.lit(0.0)) + F.coalesce("after", F.lit(0.0))
     d = d.withColumn("motion", F.when(F.col("before").isNotNull() & F.col("after").isNotNull(), total / 2).otherwise(total))
