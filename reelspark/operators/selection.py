@@ -53,7 +53,7 @@ def select(df: DataFrame, settings: Settings = DEFAULT, target: int | None = Non
         slots = (target if target is not None else settings.max_per_cluster * len(best)) - len(taken)
         used = {i for i, _ in taken}
         pool = pdf[(pdf["score"] >= settings.low_score) & ~pdf.index.isin(used)]
-        pool = pool[[per.get(c, 0) < settings.max_per_cluster for c in pool["cluster_id"]]]
+        pool = pool[pool["cluster_id"].map(lambda c: per.get(c, 0) < settings.max_per_cluster).astype(bool)]
         for row in pool.sort_values("score", ascending=False, kind="stable").itertuples():
             if slots <= 0:
                 break
