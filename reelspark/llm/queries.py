@@ -96,4 +96,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: Where SQL can say a query's whole result. The others have brute-force versions in tests/llm.
+ORACLE_SQL: dict[str, str] = {
+    "op6_ngram_jaccard": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS sh FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE m >= 0.8 * (x.n + y.n - m) - 1e-9),
+r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.c = l.a),
+k AS (SELECT doc_id, min(c) AS class_id FROM r GROUP BY 1), o AS (SELECT a AS doc_id, count(*) AS n FROM l GROUP BY 1)
+SELECT d.doc_id, class_id, coalesce(n, 0) AS n_links FROM documents d JOIN k USING (doc_id) LEFT JOIN o USING (doc_id)""",
+    "op8_source_mixing": r"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+e AS (SELECT *, md5(concat_ws('|', 'mix-1', CAST(doc_id AS VARCHAR), coalesce(source, '-'), CAST(size AS VARCHAR))) AS k FROM d),
+n AS (SELECT greatest(1, CAST(round(sum(size) / 1000000) AS BIGINT)) AS n FROM d),
+z AS (SELECT e.*, CAST(CAST('0x' || substr(k, 1, 8) AS UINTEGER) AS BIGINT) % n.n AS shard FROM e, n),
+p AS (SELECT source, CAST(sum(size) AS DOUBLE) AS t FROM z GROUP BY 1),
+w AS (SELECT *, 3.0 * t AS cap, CAST([5, 2, 1][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS DOUBLE) AS w FROM p),
+v AS (SELECT *, row_number() OVER o AS i, (sum(t) OVER () - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w WINDOW o AS (ORDER BY cap / w, source IS NULL, source)),
+g AS (SELECT arg_min(level, i) AS level FROM v WHERE level <= cap / w),
+t AS (SELECT source, t, least(cap, coalesce((SELECT level FROM g), 0.0) * w) AS target FROM v),
+c AS (SELECT shard, z.source, sum(size) AS cell, any_value(t.t) AS t, any_value(target) AS target FROM z JOIN t ON z.source IS NOT DISTINCT FROM t.source GROUP BY 1, 2),
+q AS (SELECT *, CASE WHEN t > 0 THEN target * cell / t ELSE 0.0 END AS claim FROM c),
+s AS (SELECT *, CAST(round(sum(claim) OVER (PARTITION BY shard) / 8) AS BIGINT) AS seats, sum(claim) OVER (PARTITION BY shard) AS claims, count(*) OVER (PARTITION BY shard) AS m FROM q),
+u AS (SELECT *, CAST(greatest(0, floor(claim / (CASE WHEN claims > 0 THEN claims ELSE 1 END / greatest(seats, 1)) - m - 2)) AS BIGINT) AS sure FROM s),
+x AS (SELECT *, unnest(range(sure, sure + 2 * m + 8)) AS seat FROM u),
+y AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY claim / (2 * seat + 1) DESC, source IS NULL, source) AS r, sum(CASE WHEN seat = sure THEN sure ELSE 0 END) OVER (PARTITION BY shard) AS given FROM x),
+b AS (SELECT shard, source, any_value(cell) AS cell, any_value(t) AS t, any_value(target) AS target, least((max(sure) + count(*) FILTER (WHERE r <= seats - given AND claim > 0)) * 8, 3 * any_value(cell)) AS words FROM y GROUP BY 1, 2),
+a AS (SELECT z.*, b.t, b.target, words // greatest(cell, 1) AS passes, words - (words // greatest(cell, 1)) * cell AS extra, coalesce(sum(size) OVER (PARTITION BY z.shard, z.source ORDER BY k, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM z JOIN b ON z.shard = b.shard AND z.source IS NOT DISTINCT FROM b.source),
+f AS (SELECT *, CAST(passes * size + least(size, greatest(0, extra - start)) AS BIGINT) AS taken FROM a)
+SELECT doc_id, size, CAST(t AS BIGINT) AS source_size, target, taken, source, CASE WHEN size > 0 THEN taken / size ELSE 0.0 END AS passes FROM f""",
+}
