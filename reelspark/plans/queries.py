@@ -57,7 +57,7 @@ def frames_by_index(spark, sf_dir):
 @query(
     with_sql(
         T.FRAMES_SQL, POSITION_SQL, "asked AS (SELECT o_orderkey AS request, o_custkey AS video_id, (o_orderkey % 1000) * 7.5 AS asked_ts FROM orders)",
-        select="SELECT request, video_id, asked_ts AS ts, frame_index FROM asked JOIN numbered USING (video_id) WHERE pos = CAST(floor(asked_ts * 0.01) AS BIGINT)",
+        select="SELECT request, video_id, CAST(asked_ts AS DOUBLE) AS ts, frame_index FROM asked JOIN numbered USING (video_id) WHERE pos = CAST(floor(asked_ts * 0.01) AS BIGINT)",
     )
 )
 def frame_at_ts(spark, sf_dir):
@@ -121,7 +121,7 @@ def grid_geometry(spark, sf_dir):
     return T.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", x.alias("x"), y.alias("y"))
 
 
-@query("SELECT event_id, CASE event_type " + " ".join(f"WHEN '{k}' THEN {v}.0" for k, v in (("view", 5), ("click", 15), ("purchase", 100))) + " ELSE 0.0 END AS progress FROM events")
+@query("SELECT event_id, CAST(CASE event_type " + " ".join(f"WHEN '{k}' THEN {v}.0" for k, v in (("view", 5), ("click", 15), ("purchase", 100))) + " ELSE 0.0 END AS DOUBLE) AS progress FROM events")
 def progress_map(spark, sf_dir):
     state = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for x in ("view", "uploaded", "click", "extracting_frames", "purchase", "completed")]), F.col("event_type")), F.lit("pending"))
     return T.table(spark, sf_dir, "events").select("event_id", S.progress(state).alias("progress"))
@@ -184,7 +184,7 @@ _PROGRESS_SQL = "CASE status " + " ".join(f"WHEN '{k}' THEN {v}.0" for k, v in P
 LATEST_SQL = with_sql(
     f"t AS (SELECT user_id AS job_id, ts AS \"at\", event_id AS seq, {_STATE_SQL} AS status, props AS message FROM events)",
     "r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY \"at\" DESC, seq DESC) AS r, row_number() OVER (PARTITION BY job_id, status = 'failed' ORDER BY \"at\" DESC, seq DESC) AS o FROM t)",
-    select=f"SELECT job_id, max(CASE WHEN r = 1 THEN status END) AS status, coalesce(max(CASE WHEN o = 1 AND status <> 'failed' THEN {_PROGRESS_SQL} END), 0.0) AS progress, count(*) AS steps, max(CASE WHEN o = 1 AND status = 'failed' THEN message END) AS error, min(CASE WHEN status = 'extracting_frames' THEN \"at\" END) AS started_at, max(CASE WHEN status = 'completed' THEN \"at\" END) AS completed_at FROM r GROUP BY 1",
+    select=f"SELECT job_id, max(CASE WHEN r = 1 THEN status END) AS status, CAST(coalesce(max(CASE WHEN o = 1 AND status <> 'failed' THEN {_PROGRESS_SQL} END), 0.0) AS DOUBLE) AS progress, count(*) AS steps, max(CASE WHEN o = 1 AND status = 'failed' THEN message END) AS error, min(CASE WHEN status = 'extracting_frames' THEN \"at\" END) AS started_at, max(CASE WHEN status = 'completed' THEN \"at\" END) AS completed_at FROM r GROUP BY 1",
 )
 
 
