@@ -70,11 +70,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .common import cut
-    from .simhash import fingerprint, near_counts
+    from .simhash import fingerprint, near_counts, own_prints
 
-    rows = cut(fingerprint(_table(spark, sf_dir, "documents")))
-    return rows.join(near_counts(rows), "fingerprint").select(*rows.columns, "n_near")
+    docs = _table(spark, sf_dir, "documents")
+    rows = fingerprint(docs)
+    return rows.join(near_counts(own_prints(docs)), "fingerprint").select(*rows.columns, "n_near")
 
 
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

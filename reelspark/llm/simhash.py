@@ -142,6 +142,15 @@ def fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", buc
     return rows.select("bucket", "copy", "id", "text").mapInArrow(work, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
+def own_prints(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Rows (fingerprint), one per row of ``docs``, where the texts are read: nothing but fingerprints moves from here."""
+
+    def work(part: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(hex_of(fingerprints(texts)))], names=["fingerprint"])
+
+    return map_texts(docs.select(F.col(text).alias("text")), work, "fingerprint string")
+
+
 def near_counts(prints: DataFrame, column: str = "fingerprint", radius: int = 3) -> DataFrame:
     """Rows (fingerprint, n_near): for each distinct hex fingerprint, how many other rows lie within ``radius`` bits.
 
