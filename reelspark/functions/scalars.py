@@ -105,6 +105,11 @@ def context_phrase(factor: Column, value: Column) -> Column:
     return F.coalesce(F.when(value > 0.7, F.try_element_at(phrases, factor)), F.lit("Significant highlight."))
 
 
+def status_label(status: Column) -> Column:
+    """What a list of jobs shows for a state."""
+    return F.when(status == "completed", "Completed").when(status == "failed", "Failed").when(status.isin("pending", "uploaded"), "Queued").otherwise("Processing")
+
+
 def caption_tags(caption: Column) -> Column:
     """The first four words of more than three characters, capitalised."""
     words = F.filter(F.split(F.lower(F.trim(caption)), r"[ \t\n\r]+"), lambda w: F.length(w) > 3)

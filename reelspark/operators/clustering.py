@@ -28,7 +28,7 @@ def elbow(curve: DataFrame) -> DataFrame:
     found = curve.withColumns({"x": x, "y": y}).withColumn("i", F.row_number().over(by_k) - 1)
     whole = by_k.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     dx, dy = F.last("x").over(whole) - F.first("x").over(whole), F.last("y").over(whole) - F.first("y").over(whole)
-    away = F.abs(dx * (F.col("y") - F.first("y").over(whole)) - dy * (F.col("x") - F.first("x").over(whole))) / F.sqrt(dx * dx + dy * dy)
+    away = F.coalesce(F.try_divide(F.abs(dx * (F.col("y") - F.first("y").over(whole)) - dy * (F.col("x") - F.first("x").over(whole))), F.sqrt(dx * dx + dy * dy)), F.lit(0.0))
     found = found.withColumn("away", F.round(away, 9))
     best = found.groupBy("video_id").agg(F.max(F.struct("away", (-F.col("i")).alias("i"))).alias("m"), F.count("*").alias("n"))
     return best.select("video_id", F.when(F.col("n") < 3, 0).otherwise(-F.col("m.i")).cast("bigint").alias("elbow"))
@@ -87,8 +87,25 @@ def lloyd(x: np.ndarray, k: int, inits: int, steps: int, seed: int) -> tuple[np.
     return best
 
 
+def mean_silhouette(x: np.ndarray, labels: np.ndarray) -> float:
+    """Exact Euclidean silhouette of one video's frames; 0 unless there are between 2 and n - 1 clusters."""
+    names = np.unique(labels)
+    if not 2 <= len(names) < len(x):
+        return 0.0
+    d = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(axis=2), 0))
+    sums = np.stack([d[:, labels == c].sum(axis=1) for c in names], axis=1)
+    sizes = np.array([(labels == c).sum() for c in names])
+    own = np.searchsorted(names, labels)
+    rows = np.arange(len(x))
+    a = sums[rows, own] / np.maximum(sizes[own] - 1, 1)
+    means = sums / sizes
+    means[rows, own] = np.inf
+    b = means.min(axis=1)
+    return float(np.where(sizes[own] == 1, 0.0, (b - a) / np.maximum(np.maximum(a, b), 1e-12)).mean())
+
+
 def sweep(df: DataFrame, settings: Settings = DEFAULT, inits: int | None = None) -> DataFrame:
-    """(video_id, k, wcss, frames): k-means of each video for each k of its range, one task per (video, k).
+    """(video_id, k, wcss, silhouette, frames): k-means of each video for each k of its range, one task per (video, k).
 
     Videos of fewer than three frames have one row, k = n and wcss 0.
     """
@@ -101,10 +118,32 @@ def sweep(df: DataFrame, settings: Settings = DEFAULT, inits: int | None = None)
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         k, n = int(pdf["k"].iloc[0]), len(pdf)
         pdf = pdf.sort_values("frame_index")
-        inertia = 0.0 if n < 3 else lloyd(np.stack(pdf["features"]), min(k, n), starts, settings.kmeans_steps, settings.seed)[2]
-        return pd.DataFrame({"video_id": [pdf["video_id"].iloc[0]], "k": [k], "wcss": [inertia], "frames": [n]})
+        inertia, shape = 0.0, 0.0
+        if n >= 3:
+            x = np.stack(pdf["features"])
+            labels, _, inertia = lloyd(x, min(k, n), starts, settings.kmeans_steps, settings.seed)
+            shape = mean_silhouette(x, labels)
+        return pd.DataFrame({"video_id": [pdf["video_id"].iloc[0]], "k": [k], "wcss": [inertia], "silhouette": [shape], "frames": [n]})
+
+    return rows.groupBy("video_id", "k").applyInPandas(one, "video_id long, k int, wcss double, silhouette double, frames long")
+
+
+def cluster_frames(df: DataFrame, settings: Settings = DEFAULT, inits: int | None = None) -> DataFrame:
+    """``df`` with cluster_id and k: the sweep's choice for each video, made again from the same seed.
+
+    Each frame of a video of fewer than three is a cluster of its own.
+    """
+    ks = choose_k(sweep(df, settings, inits), F.col("frames"))
+    starts = settings.kmeans_inits if inits is None else inits
+
+    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("frame_index")
+        n, k = len(pdf), int(pdf["k"].iloc[0])
+        labels = np.arange(n) if n < 3 else lloyd(np.stack(pdf["features"]), min(k, n), starts, settings.kmeans_steps, settings.seed)[0]
+        return pd.DataFrame({"video_id": pdf["video_id"].to_numpy(), "frame_index": pdf["frame_index"].to_numpy(), "cluster_id": labels.astype("int32"), "k": k})
 
-    return rows.groupBy("video_id", "k").applyInPandas(one, "video_id long, k int, wcss double, frames long")
+    labelled = df.select("video_id", "frame_index", "features").join(ks, "video_id").groupBy("video_id").applyInPandas(assign, "video_id long, frame_index long, cluster_id int, k int")
+    return (df.drop("cluster_id") if "cluster_id" in df.columns else df).join(labelled, ["video_id", "frame_index"])
 
 
 def corpus_kmeans(df: DataFrame, k: int, settings: Settings = DEFAULT) -> DataFrame:

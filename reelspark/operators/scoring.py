@@ -111,23 +111,27 @@ SHIFTS = ((0.05, -0.03, 0.02, -0.05, 0.01, 0.04), (-0.04, 0.05, -0.01, 0.03, -0.
 
 
 def stability(df: DataFrame, score: str, top: int, by: dict[str, float] = BASE_WEIGHTS) -> DataFrame:
-    """(video_id, stability_ratio, stable): how much of the ``top`` frames by score stays on top under perturbed weights.
+    """stability_of for a fixed number of frames at the top."""
+    return stability_of(df.withColumn("n", F.lit(top)), score, by)
+
+
+def stability_of(df: DataFrame, score: str, by: dict[str, float] = BASE_WEIGHTS) -> DataFrame:
+    """(video_id, stability_ratio, stable): how much of the ``n`` (a column) frames at the top by score stays there under perturbed weights.
 
     Weights are shifted by the fixed table, at least 0.01, and scaled to 1. Videos without frames aren't in the result.
     """
     rank = lambda c: F.row_number().over(W.partitionBy("video_id").orderBy(F.desc(c), "frame_index"))
-    found = df.withColumn("first", rank(F.col(score)) <= top)
+    found = df.withColumn("n", F.least("n", F.count("*").over(in_video()))).withColumn("first", rank(F.col(score)) <= F.col("n"))
     ratio = F.lit(0.0)
-    n = F.least(F.lit(top), F.count("*").over(in_video()))
     for i, shift in enumerate(SHIFTS):
         w = {f: max(0.01, by[f] + d) for f, d in zip(FACTORS, shift, strict=True)}
         total = sum(w.values())
         value = F.lit(0.0)
         for f in FACTORS:
             value = value + F.col(f) * (w[f] / total)
-        found = found.withColumn(f"s{i}", F.round(value, 9)).withColumn(f"t{i}", rank(F.col(f"s{i}")) <= top)
-        ratio = ratio + F.count_if(F.col("first") & F.col(f"t{i}")) / F.first("n")
-    out = found.withColumn("n", n).groupBy("video_id").agg((ratio / len(SHIFTS)).alias("stability_ratio"))
+        found = found.withColumn(f"s{i}", F.round(value, 9)).withColumn(f"t{i}", rank(F.col(f"s{i}")) <= F.col("n"))
+        ratio = ratio + F.count_if(F.col("first") & F.col(f"t{i}")) / F.max("n")
+    out = found.groupBy("video_id").agg((ratio / len(SHIFTS)).alias("stability_ratio"))
     return out.withColumn("stable", F.col("stability_ratio") >= 0.8)
 
 

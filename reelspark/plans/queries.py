@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..config import BASE_WEIGHTS, DEFAULT, FACTORS, PROGRESS
+from ..config import DEFAULT, PROGRESS
 from ..functions import scalars as S
 from ..functions import vectors as V
-from ..operators import clustering, jobs, scoring, selection, timeline
+from ..operators import clustering, jobs, scoring, timeline
 from ..sources import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -401,6 +401,11 @@ def elbow_from_curve(spark, sf_dir):
     return clustering.elbow(curve(spark, sf_dir))
 
 
+@query(with_sql(T.JOBS_SQL, select="SELECT id, CASE status WHEN 'completed' THEN 'Completed' WHEN 'failed' THEN 'Failed' WHEN 'pending' THEN 'Queued' ELSE 'Processing' END AS label FROM jobs"))
+def status_labels(spark, sf_dir):
+    return T.jobs(spark, sf_dir).select("id", S.status_label(F.col("status")).alias("label"))
+
+
 @query()
 def choose_k(spark, sf_dir):
     f = T.features(spark, sf_dir)
@@ -410,4 +415,4 @@ def choose_k(spark, sf_dir):
 
 @query()
 def kmeans_sweep(spark, sf_dir):
-    return clustering.sweep(T.features(spark, sf_dir).withColumn("ts", F.col("ts") / 4), inits=2).select("video_id", "k", F.round("wcss", 6).alias("wcss"), "frames")
+    return clustering.sweep(T.features(spark, sf_dir).withColumn("ts", F.col("ts") / 4), inits=2).select("video_id", "k", F.round("wcss", 6).alias("wcss"), F.round("silhouette", 6).alias("silhouette"), "frames")

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import BASE_WEIGHTS, FACTORS
@@ -11,6 +10,7 @@ from ..functions import scalars as S
 from ..functions import vectors as V
 from ..operators import scoring, selection, timeline
 from ..sources import tables as T
+from . import summary
 from .queries import CENTROID_SQL, CUT_SQL, DISTANCE_SQL, ENTROPY_SQL, HIST_SQL, POSITION_SQL, STEP_SQL, color_entropy_of, query, with_sql
 
 HOURS = 10.0
@@ -110,20 +110,14 @@ FACTOR_SQL = (
 
 def factors(spark, sf_dir) -> DataFrame:
     """All factors of the frames of T.features; what needs pixels is read from single dimensions."""
-    f = T.features(spark, sf_dir)
-    c = scoring.centroids(f)
-    d = f.join(c, ["video_id", "cluster_id"]).withColumn("distance", V.euclidean(F.col("features"), F.col("centroid"))).withColumnRenamed("size", "cluster_size").drop("centroid")
-    before, after = V.euclidean(F.col("features"), F.lag("features").over(timeline.in_order())), V.euclidean(F.col("features"), F.lead("features").over(timeline.in_order()))
-    d = d.withColumns({"before": before, "after": after})
-    total = F.coalesce("before", F.lit(0.0)) + F.coalesce("after", F.lit(0.0))
-    d = d.withColumn("motion", F.when(F.col("before").isNotNull() & F.col("after").isNotNull(), total / 2).otherwise(total))
-    d = d.withColumns({"entropy": color_entropy_of(F.transform("features", F.abs)), "edges": F.abs(F.element_at("features", 2)), "brightness": 128 + 800 * F.element_at("features", 1), "laplacian": 1000 * F.abs(F.element_at("features", 3))}).withColumn("low_entropy", F.col("entropy") < 3.95)
-    d = timeline.segment_coverage(timeline.temporal_novelty(d, 1.0))
-    made = {
-        "representativeness": scoring.representativeness(F.col("distance")), "dominance": scoring.dominance(), "visual_richness": scoring.visual_richness(F.col("edges"), F.col("laplacian"), F.col("entropy"), F.col("low_entropy")),
-        "temporal_coverage": F.col("temporal_coverage"), "visual_novelty": F.col("visual_novelty"), "motion_context": timeline.minmax(F.col("motion")),
-    }
-    return d.select("video_id", "frame_index", "ts", "cluster_id", "entropy", "low_entropy", "edges", "brightness", *[F.round(made[f], 9).alias(f) for f in FACTORS])
+    return summary.factors(described(T.features(spark, sf_dir)))
+
+
+def described(f: DataFrame) -> DataFrame:
+    """Features with what a pixel pass would give: brightness, edges, laplacian, entropy, low_entropy."""
+    return f.withColumns({
+        "entropy": color_entropy_of(F.transform("features", F.abs)), "edges": F.abs(F.element_at("features", 2)), "brightness": 128 + 800 * F.element_at("features", 1), "laplacian": 1000 * F.abs(F.element_at("features", 3)),
+    }).withColumn("low_entropy", F.col("entropy") < 3.95)
 
 
 @query(with_sql(FACTOR_SQL, select="SELECT frame_index, " + ", ".join(f"round({f}, 5) AS {f}" for f in FACTORS) + " FROM factors"))
@@ -138,9 +132,7 @@ REJECT_SQL = (
 
 
 def rejected(spark, sf_dir) -> DataFrame:
-    f = factors(spark, sf_dir)
-    reason, tag = scoring.rejection(*(F.col(c) for c in ("visual_richness", "brightness", "motion_context", "dominance", "edges", "entropy", "low_entropy")))
-    return f.withColumns({"rejection_reason": reason, "reason_tag": tag})
+    return summary.rejected(factors(spark, sf_dir))
 
 
 @query(with_sql(FACTOR_SQL, REJECT_SQL, select="SELECT frame_index, rejection_reason FROM ladder"))
@@ -157,9 +149,7 @@ SCORE_SQL = "scores AS (SELECT *, round(motion_context * 0.001 + " + " + ".join(
 
 
 def scores(spark, sf_dir) -> DataFrame:
-    f = rejected(spark, sf_dir).withColumn("raw", F.round(scoring.combined({k: F.lit(v) for k, v in BASE_WEIGHTS.items()}), 8))
-    score, tag = scoring.capped(F.col("raw"), F.col("entropy"), F.col("edges"), F.col("low_entropy"))
-    return f.withColumns({"score": score, "cap_tag": tag})
+    return summary.scored(rejected(spark, sf_dir))
 
 
 @query(with_sql(FACTOR_SQL, REJECT_SQL, SCORE_SQL, select="SELECT frame_index, round(raw, 6) AS score FROM capped"))
@@ -312,6 +302,12 @@ def select_full(spark, sf_dir):
     return selection.select(candidates(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
+@query()
+def video_summary(spark, sf_dir):
+    found = summary.summarize(described(T.features(spark, sf_dir)))
+    return found.select("video_id", "num_keyframes", "scene_count", "video_pacing", "summary_confidence", F.round("stability_ratio", 6).alias("stability_ratio"), F.round("compression_ratio", 6).alias("compression_ratio"), F.round("redundancy_removed", 6).alias("redundancy_removed"), F.round("temporal_coverage_score", 6).alias("temporal_coverage_score"), "summary_reason")
+
+
 @query(with_sql(FACTOR_SQL, REJECT_SQL, SCORE_SQL, _BEST_SQL, "chosen AS (SELECT b.video_id, b.frame_index, f.features FROM best b JOIN features f ON b.frame_index = f.frame_index WHERE r = 1)", select="SELECT f.video_id, f.frame_index, round(min(list_distance(f.features, c.features)), 5) AS novelty FROM features f JOIN chosen c ON f.video_id = c.video_id GROUP BY 1, 2"))
 def novelty_to_selected(spark, sf_dir):
     f = T.features(spark, sf_dir)

@@ -224,3 +224,28 @@ def test_job_store(spark):
     t = spark.createDataFrame([(1, 1, 1, "clustering", None), (1, 2, 2, "failed", "broke")], "job_id long, at long, seq long, status string, message string")
     (state,) = jobs.latest_state(t).collect()
     assert (state.status, state.progress, state.error) == ("failed", 75.0, "broke")
+
+
+def test_cluster_frames_and_summary(spark):
+    from reelspark.plans import summary
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(5, 8)) * 3
+    rows = [(1, i, i * 0.5, [float(a) for a in centres[i // 8] + rng.normal(size=8) * 0.05], 128.0, 0.1, 200.0, 4.0, False) for i in range(40)]
+    rows += [(2, 100 + i, i * 1.0, [1.0, float(i)] + [0.0] * 6, 10.0, 0.0, 1.0, 1.0, True) for i in range(2)]
+    df = spark.createDataFrame(rows, "video_id long, frame_index long, ts double, features array<double>, brightness double, edges double, laplacian double, entropy double, low_entropy boolean")
+    got = clustering.cluster_frames(df, inits=4)
+    labels = {r.frame_index: r.cluster_id for r in got.collect()}
+    assert len(labels) == 42 and all(len({labels[8 * c + i] for i in range(8)}) == 1 for c in range(5)) and labels[100] != labels[101]
+    found = {r.video_id: r for r in summary.summarize(got).collect()}
+    one, two = found[1], found[2]
+    assert one.num_keyframes == len(one.keyframes) > 0 and one.scene_count >= 4 and [k.ts for k in one.keyframes] == sorted(k.ts for k in one.keyframes)
+    assert all(sum(k.cluster_id == c for k in one.keyframes) <= DEFAULT.max_per_cluster for c in range(40))
+    assert two.num_keyframes == 0 and two.keyframes is None and two.compression_ratio == 1.0 and two.stability_ratio == 1.0
+
+
+def test_silhouette_agrees_with_the_grouped_one(spark):
+    rng = np.random.default_rng(1)
+    x, c = rng.normal(size=(30, 4)), rng.integers(0, 3, 30)
+    df = spark.createDataFrame([(1, i, int(c[i]), [float(a) for a in v]) for i, v in enumerate(x)], "video_id long, frame_index long, cluster_id int, features array<double>")
+    assert abs(clustering.silhouette(df).first().silhouette - clustering.mean_silhouette(x, c)) < 1e-9
