@@ -99,8 +99,13 @@ def in_chunks(lengths: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[i
         yield start, len(lengths)
 
 
-def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch, list[bytes]], pa.RecordBatch | None], schema: str, text: str = "text") -> DataFrame:
-    """Applies ``work`` to bounded groups of rows; it gets the rows and their texts as UTF-8."""
+#: Bytes of an Arrow batch between Spark and a Python worker; Spark's default is many times that.
+BATCH_BYTES = 8 << 20
+
+
+def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch, list[bytes]], pa.RecordBatch | None], schema: str, text: str = "text", end: Callable[[], None] | None = None) -> DataFrame:
+    """Applies ``work`` to bounded groups of rows; it gets the rows and their texts as UTF-8. ``end`` is called after a task's last."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,6 +116,8 @@ def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch, list[bytes]], pa.Re
                 done = work(part, utf8(part.column(batch.schema.get_field_index(text))))
                 if done is not None and done.num_rows:
                     yield done
+        if end:
+            end()
 
     return df.mapInArrow(run, schema)
 
@@ -140,3 +147,27 @@ def signed(x: np.ndarray) -> np.ndarray:
 def row_hash(*columns: Column | str, seed: int = 0) -> Column:
     """A hash of the given columns that differs by seed."""
     return F.xxhash64(F.lit(seed), *columns)
+
+
+#: Bits of a hash that a filter tells apart: 2 MB, whatever it is filled with.
+FILTER_BITS = 24
+
+
+def bit_filter(values: DataFrame, column: str = "term") -> np.ndarray:
+    """One bit for each value that the hashes of ``values`` have in their low FILTER_BITS; the same size for any number of values."""
+    at = F.col(column).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    found = values.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    bits = np.zeros(((1 << FILTER_BITS) // 32768 + 2, 4096), np.uint8)
+    for bucket, b in found:
+        bits[bucket] = np.frombuffer(bytes(b), np.uint8)
+    # bucket numbers begin at 1 and a bucket's positions follow those of the bucket before; value v is position v - 1
+    return bits.reshape(-1)
+
+
+def passes(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether each hash may be one of the filter's values."""
+    v = (hashes & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+    bucket = np.where(v > 0, 1 + (v - 1) // 32768, -v // 32768)
+    place = np.where(v > 0, (v - 1) % 32768, -v % 32768)
+    at = bucket * 32768 + place
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)

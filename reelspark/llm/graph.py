@@ -13,21 +13,26 @@ def _down(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+#: A round's edges are read by a task for each so many of them.
+TASK_EDGES = 200_000
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Rows (node, root) for every node of ``edges`` (u, v): root is the smallest node that it is connected with.
 
-    Self edges give no rows unless the node has others. Every round's edges are kept in the checkpoint folder.
+    Self edges give no rows unless the node has others. Every round's edges are kept in the checkpoint folder; the last
+    ones are stars: each node has one edge, to a root that has none of its own.
     """
     now = cut(_down(edges))
-    last = None
     for _ in range(rounds):
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
-        if mark == last or mark[0] == 0:
+        count = now.count()
+        now = now.coalesce(max(1, -(-count // TASK_EDGES)))
+        roots_above = now.join(now.select(F.col("u").alias("v")), "v", "left_semi")
+        if now.groupBy("u").count().where("count > 1").isEmpty() and roots_above.isEmpty():
             break
-        last = mark
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = _down(both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        large = both.where(F.col("v") > F.col("u")).join(least, "u").where(F.col("m") != F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = cut(large)
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))

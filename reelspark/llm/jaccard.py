@@ -16,9 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, cut, map_texts, mix64, signed
+from .common import Words, bit_filter, cut, map_texts, mix64, passes, signed
 from .graph import components
-from .pii import _passes, word_filter
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Chance to miss a pair at the threshold: (1 - 0.8^8)^40 = 0.06 %.
@@ -152,7 +151,7 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
 
     # the sets of one text of each node; a filter of fixed size leaves out almost all other texts
     name = F.col("node").bitwiseXOR(F.coalesce("first_id", F.lit(0)))
-    bits = docs.sparkSession.sparkContext.broadcast(word_filter(wanted.select(name.alias("term"))))
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted.select(name.alias("term"))))
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sets = _sets(source, wanted, bits)
 
@@ -203,15 +202,15 @@ def _sets(source: DataFrame, wanted: DataFrame, bits) -> DataFrame:
         words, rows = Words(texts), []
         for i, id_ in enumerate(part.column(0).to_pylist()):
             own = shingles(words.of(i))
-            if len(own) and _passes(np.array([(node := node_of(own)) ^ (id_ or 0)]).view(np.uint64), bits.value)[0]:
+            if len(own) and passes(np.array([(node := node_of(own)) ^ (id_ or 0)]).view(np.uint64), bits.value)[0]:
                 rows.append((id_, node, own.tobytes()))
         if not rows:
             return None
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "node", "shingles"])
 
     made = map_texts(source, work, "doc_id long, node long, shingles binary")
-    w = wanted.select(F.col("node").alias("w_node"), "first_id", "times", "clump", "size")
-    return made.join(w, (F.col("node") == F.col("w_node")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).dropDuplicates(["node"]).select("clump", "size", "node", "times", "shingles")
+    met = made.join(wanted.select("node", "first_id", "times", "clump", "size"), "node").where(F.col("doc_id").eqNullSafe(F.col("first_id")))
+    return met.dropDuplicates(["node"]).select("clump", "size", "node", "times", "shingles")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -225,7 +224,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresh
     by_id, by_text = f"c{names.index(doc_id)}", f"c{names.index(text)}"
     classes = near_classes(rows, by_id, by_text, threshold)
     kept = cut(classes.where(F.col("node") == F.col("keeper")).groupBy(F.col("node").alias("keep_node")).agg(F.min("class_id").alias("keep_id")))
-    bits = docs.sparkSession.sparkContext.broadcast(word_filter(kept.select(F.col("keep_node").bitwiseXOR(F.coalesce("keep_id", F.lit(0))).alias("term"))))
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(kept.select(F.col("keep_node").bitwiseXOR(F.coalesce("keep_id", F.lit(0))).alias("term"))))
     at_id = names.index(doc_id)
 
     def work(part: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
@@ -233,12 +232,13 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresh
         own = [words.of(i) for i in range(len(texts))]
         nodes = [node_of(shingles(w)) if len(w) else None for w in own]
         ids = part.column(at_id).to_pylist()
-        may = [n is None or bool(_passes(np.array([n ^ int(i or 0)]).view(np.uint64), bits.value)[0]) for n, i in zip(nodes, ids, strict=True)]
+        may = [n is None or bool(passes(np.array([n ^ int(i or 0)]).view(np.uint64), bits.value)[0]) for n, i in zip(nodes, ids, strict=True)]
         whole = pa.RecordBatch.from_arrays([*part.columns, pa.array(nodes, pa.int64())], names=[*part.schema.names, "node"])
         return whole.filter(pa.array(may))
 
     schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", node long"
     found = map_texts(rows, work, schema, by_text)
     empty = found.where(F.col("node").isNull())
-    found = found.where(F.col("node").isNotNull()).join(kept, (F.col("node") == F.col("keep_node")) & F.col(by_id).eqNullSafe(F.col("keep_id"))).dropDuplicates(["node"])
+    # joined by the node alone, so that the texts, which then lie by node, move once
+    found = found.where(F.col("node").isNotNull()).join(kept.withColumnRenamed("keep_node", "node"), "node").where(F.col(by_id).eqNullSafe(F.col("keep_id"))).dropDuplicates(["node"])
     return empty.select(*rows.columns).unionByName(found.select(*rows.columns)).toDF(*names)

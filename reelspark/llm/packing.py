@@ -13,7 +13,7 @@ import re
 import struct
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,7 +31,7 @@ SEARCH_NODES = 3_000
 #: Fillings tried at one node.
 FILLINGS = 12
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 _tokenizers: dict[str, "WordTokenizer"] = {}
 
@@ -54,30 +54,28 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class _Known(dict):
-    """Ids of white-space-separated parts of texts; a missing one is made up from its words."""
+class _Remembered(dict):
+    """A dictionary that makes what it lacks, and forgets all when it is full; long keys aren't kept."""
 
-    def __init__(self, model):
+    def __init__(self, make: Callable[[str], bytes]):
         super().__init__()
-        self.model, self.letters = model, _byte_letters()
-
-    def __missing__(self, part: str) -> bytes:
-        letters, tokenize, ids = self.letters, self.model.tokenize, []
-        for word in _WORD.findall(part.lower()):
-            ids += [t.id for t in tokenize("".join([letters[b] for b in word.encode()]))]
-        packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(part) < 64:
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        made = self.make(key)
+        if len(key) < 64:
             if len(self) >= CACHE_WORDS:
                 self.clear()
-            self[part] = packed
-        return packed
+            self[key] = made
+        return made
 
 
 class WordTokenizer:
     """Token ids of whole texts, as packed little-endian 32-bit integers.
 
-    The vocabulary drops white space, so the ids of a text are those of its parts one after another, and a worker
-    remembers parts. Texts with unusual characters or a special token's string are encoded whole.
+    The vocabulary drops white space, so the ids of a text are those of its white-space-separated parts, and theirs those
+    of their words, one after another. A worker remembers both. Texts with unusual characters or a special token's string
+    are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -85,7 +83,19 @@ class WordTokenizer:
 
         self.whole = Tokenizer.from_file(path)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.known = _Known(self.whole.model)
+        letters, tokenize = _byte_letters(), self.whole.model.tokenize
+
+        def of_word(word: str) -> bytes:
+            ids = [t.id for t in tokenize("".join([letters[b] for b in word.encode()]))]
+            return struct.pack(f"<{len(ids)}I", *ids)
+
+        self.words = words = _Remembered(of_word)
+        self.known = _Remembered(lambda part: b"".join(map(words.__getitem__, _WORD.findall(part.lower()))))
+
+    def forget(self) -> None:
+        """A worker outlives its tasks, and other stages need the memory."""
+        self.words.clear()
+        self.known.clear()
 
     def encode(self, text: str) -> bytes:
         if _UNUSUAL.search(text) or any(s in text for s in self.special):
@@ -124,7 +134,7 @@ def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["uid", "doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return map_texts(source, work, "uid long, doc_id long, piece int, start long, length long, ids_crc32 long")
+    return map_texts(source, work, "uid long, doc_id long, piece int, start long, length long, ids_crc32 long", end=lambda: tokenizer(path).forget())
 
 
 # --- bin completion of one shard ------------------------------------------------------------------------------------

@@ -18,15 +18,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, cut, map_texts, signed
+from .common import Words, bit_filter, cut, map_texts, passes, signed
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 CONTEXT_WORDS, LEAST_TEXTS, GENERALISE, REMOVE = 8, 3, 0.9, 0.98
-#: Bits of the filter that tells most other words from candidate terms; 2 MB at any size of the corpus.
-FILTER_BITS = 24
 
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _LOCAL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # after a digit nothing new could begin
@@ -119,25 +116,6 @@ def contexts(docs: DataFrame, text: str = "text") -> DataFrame:
     return map_texts(source, work, "term long, entity long, content long")
 
 
-def word_filter(terms: DataFrame, column: str = "term") -> np.ndarray:
-    """One bit for each value that the hashes of ``terms`` have in their low FILTER_BITS; the same size for any number of terms."""
-    at = F.col(column).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    found = terms.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
-    bits = np.zeros(((1 << FILTER_BITS) // 32768 + 2, 4096), np.uint8)
-    for bucket, b in found:
-        bits[bucket] = np.frombuffer(bytes(b), np.uint8)
-    # bucket numbers begin at 1 and a bucket's positions follow those of the bucket before; value v is position v - 1
-    return np.unpackbits(bits.reshape(-1), bitorder="little").view(bool)
-
-
-def _passes(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Whether each hash may be one of the filter's terms."""
-    v = (hashes & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
-    bucket = np.where(v > 0, 1 + (v - 1) // 32768, -v // 32768)
-    place = np.where(v > 0, (v - 1) % 32768, -v % 32768)
-    return bits[bucket * 32768 + place]
-
-
 def revealing_terms(docs: DataFrame, text: str = "text", least: int = LEAST_TEXTS, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """Rows (term, disclosure, action), one per term whose disclosure of some entity reaches the threshold.
 
@@ -147,12 +125,12 @@ def revealing_terms(docs: DataFrame, text: str = "text", least: int = LEAST_TEXT
     together = cut(contexts(docs, text).groupBy("term", "entity").agg(F.countDistinct("content").alias("both")).where(F.col("both") >= least))
     pairs = together.where(F.col("term") != 0)
     entities = together.where(F.col("term") == 0).select("entity", F.col("both").alias("of_entity"))
-    bits = spark.sparkContext.broadcast(word_filter(pairs))
+    bits = spark.sparkContext.broadcast(bit_filter(pairs))
     source = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text"))
 
     def count(part: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch | None:
         words = Words(texts)
-        keep = np.flatnonzero(_passes(words.hash, bits.value))
+        keep = np.flatnonzero(passes(words.hash, bits.value))
         if not len(keep):
             return None
         owner = np.searchsorted(words.first, keep, side="right") - 1
@@ -176,12 +154,12 @@ def revealing_terms(docs: DataFrame, text: str = "text", least: int = LEAST_TEXT
 
 def term_spans(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
     """Rows (content, terms): for each text with revealing terms the md5 of the text and its array of (start, end, action)."""
-    bits = docs.sparkSession.sparkContext.broadcast(word_filter(terms))
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(terms))
     source = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text"))
 
     def work(part: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch | None:
         words, rows = Words(texts), []
-        may = _passes(words.hash, bits.value)
+        may = passes(words.hash, bits.value)
         for i in np.flatnonzero(np.add.reduceat(np.r_[may, False].astype(np.int64), np.minimum(words.first[:-1], len(may))) * (words.counts > 0)):
             start, end = _word_places(words, i, texts[i])
             content = hashlib.md5(texts[i]).hexdigest()
