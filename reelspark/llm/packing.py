@@ -30,8 +30,8 @@ SHARD_PIECES = 4096
 SEARCH_NODES = 3_000
 #: Fillings tried at one node.
 FILLINGS = 12
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 150_000
+#: Words and parts whose ids a worker remembers while a task runs; some 80 MB.
+CACHE_WORDS = 400_000
 
 _tokenizers: dict[str, "WordTokenizer"] = {}
 
@@ -74,8 +74,8 @@ class WordTokenizer:
     """Token ids of whole texts, as packed little-endian 32-bit integers.
 
     The vocabulary drops white space, so the ids of a text are those of its white-space-separated parts, and theirs those
-    of their words, one after another. A worker remembers both. Texts with unusual characters or a special token's string
-    are encoded whole.
+    of their words, one after another. A worker remembers both, within a bound. Texts with unusual characters or a special
+    token's string are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -83,18 +83,19 @@ class WordTokenizer:
 
         self.whole = Tokenizer.from_file(path)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        letters, tokenize = _byte_letters(), self.whole.model.tokenize
+        letters, tokenize = str.maketrans({chr(b): c for b, c in _byte_letters().items()}), self.whole.model.tokenize
 
-        def of_word(word: str) -> bytes:
-            ids = [t.id for t in tokenize("".join([letters[b] for b in word.encode()]))]
+        def ids_of(part: str) -> bytes:
+            words = _WORD.findall(part.lower())
+            if words != [part]:  # a word of lower case is a part of one word
+                return b"".join(map(known.__getitem__, words))
+            ids = [t.id for t in tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(letters))]
             return struct.pack(f"<{len(ids)}I", *ids)
 
-        self.words = words = _Remembered(of_word)
-        self.known = _Remembered(lambda part: b"".join(map(words.__getitem__, _WORD.findall(part.lower()))))
+        self.known = known = _Remembered(ids_of)
 
     def forget(self) -> None:
         """A worker outlives its tasks, and other stages need the memory."""
-        self.words.clear()
         self.known.clear()
 
     def encode(self, text: str) -> bytes:
