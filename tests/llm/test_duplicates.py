@@ -132,6 +132,23 @@ def test_fenwick_is_a_prefix_maximum():
         assert tree.get(n)[0] == max(plain[:n], default=-1e18)
 
 
+def test_chains_of_many_passages_are_whole():
+    segs, at, rat = [], 0, 0
+    for _ in range(14):
+        for _ in range(3):
+            segs.append((at, at + 20, rat))
+            at, rat = at + 21, rat + 22
+        at, rat = at + 300, rat + 200
+    got = passages.chains(sorted(segs))
+    assert sorted(len(c) for c in got) == [3] * 14 and sorted(s for c in got for s in c) == sorted(segs)
+
+
+def test_a_far_chain_hides_no_near_one():
+    far = [(0, 400, 0)]
+    near = [(500, 520, 1000), (521, 541, 1022), (542, 562, 1044)]
+    assert sorted(passages.chains(sorted(far + near))) == [far, near]
+
+
 def test_passages_odd_cases(spark):
     got = passages.repeated_passages(corpus.clashing(spark)).collect()
     pairs = {(r.doc_id, r.ref_doc_id) for r in got}
