@@ -6,6 +6,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from reelspark.llm import ann, graph, jaccard, passages, simhash
@@ -132,6 +133,46 @@ def test_fenwick_is_a_prefix_maximum():
         assert tree.get(n)[0] == max(plain[:n], default=-1e18)
 
 
+def _exact_pairs(got, w):
+    return {frozenset((r.doc_id, r.ref_doc_id)) for r in got if w[r.doc_id][r.start_word : r.end_word] == w[r.ref_doc_id][r.ref_start_word : r.ref_end_word]}
+
+
+def test_passages_whose_parts_other_texts_hold(spark):
+    # the halves of each shared passage also stand alone, in texts that sort first or last as their hashes fall
+    rows, w = [], {}
+    for k in range(12):
+        p = [f"p{k}x{j}" for j in range(60)]
+        for j, part in enumerate((p, p, p[:30], p[30:], p[:30], p[30:])):
+            i = 10 * k + j
+            w[i] = [f"a{i}x{x}" for x in range(40)] + part + [f"b{i}x{x}" for x in range(40)]
+            rows.append((i, " ".join(w[i])))
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert _exact_pairs(got, w) == {frozenset((10 * k, 10 * k + 1)) for k in range(12)} and len(got) == 12
+    assert all(r.n_equal == 60 for r in got)
+
+
+def test_seeds_are_kept_at_all_places():
+    p = np.random.default_rng(5).integers(0, 2**63, 30).astype(np.uint64)
+    h, at = passages.seeds(np.concatenate([p, p]))
+    assert any((h == x).sum() == 2 for x in h) and {a + 30 for a in at if 0 < a < 18} <= set(at.tolist())
+
+
+def test_match_is_the_same_in_any_batches():
+    rng = np.random.default_rng(7)
+    rows = sorted(zip(rng.integers(0, 12, 300).tolist(), rng.integers(0, 9, 300).tolist(), rng.integers(0, 50, 300).tolist(), strict=True))
+    expected = []
+    for key in sorted({k for k, _, _ in rows}):
+        own = [(n, p) for k, n, p in rows if k == key]
+        nodes = sorted({n for n, _ in own})
+        at = {n: min(p for m, p in own if m == n) for n in nodes}
+        for n, p in own:
+            refs = {nodes[0], nodes[max(0, nodes.index(n) - 1)]} - {n}
+            expected += [(n, r, p + d, at[r] + d) for r in refs for d in (passages.RUN_PLACES if key % 2 else (0,))]
+    for size in (1, 2, 7, 300):
+        parts = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + size], strict=True)], names=["seed", "node", "pos"]) for i in range(0, len(rows), size)]
+        assert sorted(r for b in passages._match(iter(parts)) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)) == sorted(expected)
+
+
 def test_chains_of_many_passages_are_whole():
     segs, at, rat = [], 0, 0
     for _ in range(14):
