@@ -2,7 +2,7 @@
 
 Terms are words and runs of three words; a term votes +weight or -weight on each of BITS bits by its hash. Long words
 weigh more than short ones, which are common, runs more than words, and a term that occurs t times 1 + ln t. Near fingerprints within a Hamming radius r
-are found exactly: of r + 1 or more blocks of bits at least one is equal, so one table per choice of blocks that
+are found exactly: of r + 2 or more blocks of bits at least two are equal, so one table per choice of blocks that
 must be equal (the permuted table's leading bits) brings every such pair into one bucket.
 """
 
@@ -17,10 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, map_texts, mix64
+from .common import Words, cut, map_texts, mix64
 
 BITS = 128
 BUCKET_ROWS = 4096
+#: Prints of one part of a bucket of near fingerprints; a task holds two parts at once.
+CELL_ROWS = 32_768
+#: Bits within which the query counts fingerprints as near.
+NEAR_BITS = 14
 _SEEDS = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344))
 
 
@@ -150,57 +154,83 @@ def own_prints(docs: DataFrame, text: str = "text") -> DataFrame:
     return map_texts(docs.select(F.col(text).alias("text")), work, "fingerprint string")
 
 
-def near_counts(prints: DataFrame, column: str = "fingerprint", radius: int = 3) -> DataFrame:
-    """Rows (fingerprint, n_near): for each distinct hex fingerprint, how many other rows lie within ``radius`` bits.
+def _near_in_cell(prints: np.ndarray, times: np.ndarray, side: np.ndarray, block: int, radius: int, crossed: bool) -> np.ndarray:
+    """For each print of a cell the rows near it whose first equal byte is ``block``; only pairs of two sides if ``crossed``.
 
-    Equal fingerprints count, each row once. One permuted table per block of bits; a pair is counted in the first
-    table in which its blocks agree, so nothing is counted twice and no pair is written out. Null fingerprints are left
-    out. Fingerprints of texts without words are all zeros and so equal.
+    Pairs that agree in a second byte are met by sorting on it, or all pairs are, whichever are fewer. Memory grows as
+    the cell does, never as its pairs.
     """
-    blocks = radius + 1
-    width = BITS // 4 // blocks  # hex digits
-    distinct = prints.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("fp")).agg(F.count("*").alias("n"))
-    keys = F.array(*[F.concat(F.lit(f"{k}:"), F.substring("fp", 1 + k * width, width if k < blocks - 1 else BITS)) for k in range(blocks)])
-    tables = distinct.select("fp", "n", F.posexplode(keys).alias("block", "key"))
-
-    def count(a: np.ndarray, rows: np.ndarray, times: np.ndarray, block: int) -> np.ndarray:
-        """How many rows of the bucket are near each print of ``a`` and agree in no block before ``block``."""
-        bytes_wide = width // 2
-        out = np.zeros(len(a), np.int64)
-        for at in range(len(a)):
-            diff = rows ^ a[at]
-            near = _ONES[diff].sum(axis=1, dtype=np.int64) <= radius
-            for k in range(block):
-                near &= diff[:, k * bytes_wide : (k + 1) * bytes_wide].any(axis=1)
-            out[at] = times[near].sum()
-        return out
+    n, out = len(prints), np.zeros(len(prints), np.int64)
+    seconds = list(range(block + 1, radius + 2))
+    met = sum(int((c * (c - 1) // 2).sum()) for c in (np.bincount(prints[:, j], minlength=256) for j in seconds))
+    for j in seconds if met < n * (n - 1) // 2 else [-1]:
+        order = np.argsort(prints[:, j], kind="stable") if j >= 0 else np.arange(n)
+        p, t, s = prints[order], times[order], side[order]
+        halves, byte, mine = p.view(np.uint64), p[:, j] if j >= 0 else np.zeros(n, np.uint8), np.zeros(n, np.int64)
+        for lag in range(1, int(np.bincount(byte).max())):
+            near = (np.bitwise_count(halves[lag:] ^ halves[:-lag]).sum(axis=1, dtype=np.int16) <= radius) & (byte[lag:] == byte[:-lag])
+            u = np.flatnonzero(near)
+            if not len(u):
+                continue
+            equal = p[u] == p[u + lag]
+            ok = equal.argmax(axis=1) == block
+            if j >= 0:
+                ok &= ~equal[:, block + 1 : j].any(axis=1)
+            if crossed:
+                ok &= s[u] != s[u + lag]
+            u = u[ok]
+            mine[u] += t[u + lag]
+            mine[u + lag] += t[u]
+        out[order] += mine
+    return out
+
+
+def near_counts(prints: DataFrame, column: str = "fingerprint", radius: int = 3, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Rows (fingerprint, n_near): for each distinct hex fingerprint, how many other rows lie within ``radius`` bits, 14 at most.
+
+    Equal fingerprints count, each row once. Prints within the radius agree in two of the 16 bytes or more, the first
+    of them among the first radius + 1: one permuted table for each of these, and inside a bucket one for each second
+    byte. A pair is counted where its first two equal bytes lead, so once, and no pair is written out. Large buckets
+    are dealt into parts of about ``cell_rows`` prints, of which each two meet in a task's cell. Null fingerprints are
+    left out. Fingerprints of texts without words are all zeros and so equal.
+    """
+    if not 0 <= radius <= BITS // 8 - 2:
+        raise ValueError("radius must be from 0 to 14")
+    distinct = cut(prints.where(F.col(column).isNotNull()).groupBy(F.unhex(F.col(column)).alias("fp")).agg(F.count("*").alias("n")))
+    keys = F.array(*[F.conv(F.substring(F.hex("fp"), 1 + 2 * k, 2), 16, 10).cast("int") + 256 * k for k in range(radius + 1)])
+    tables = distinct.select("fp", "n", F.explode(keys).alias("key"))
+    sizes = tables.groupBy("key").agg(F.ceil(F.count("*") / F.lit(cell_rows)).cast("int").alias("parts"))  # at most 256 a table
+    placed = tables.join(F.broadcast(sizes), "key").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    dealt = placed.select("fp", "n", "key", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    cells = dealt.select("key", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "fp", "n")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fps, times, block = None, [], [], 0
+        held: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> pa.RecordBatch | None:
-            if len(fps) < 2:
+            key, a, b, part, times, p = (np.concatenate(x) for x in zip(*held, strict=True))
+            if len(p) < 2:
                 return None
-            rows = np.frombuffer(bytes.fromhex("".join(fps)), np.uint8).reshape(len(fps), BITS // 8)
-            t = np.asarray(times)
-            found = count(rows, rows, t, block) - (t if block == 0 else 0)
-            if block:  # a print agrees with itself in block 0
-                found = np.maximum(found, 0)
+            found = _near_in_cell(p, times, part, int(key[0]) >> 8, radius, bool(a[0] != b[0]))
             some = np.flatnonzero(found)
-            return pa.RecordBatch.from_arrays([pa.array([fps[i] for i in some], pa.string()), pa.array(found[some], pa.int64())], names=["fp", "n_near"])
+            return pa.RecordBatch.from_arrays([pa.array([p[i].tobytes() for i in some], pa.binary()), pa.array(found[some], pa.int64())], names=["fp", "n_near"])
 
         for batch in batches:
-            for fp, n, b, k in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if k != key:
+            if not batch.num_rows:
+                continue
+            key, a, b, part, n = (np.asarray(batch.column(i)) for i in (0, 1, 2, 3, 5))
+            p = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, BITS // 8)
+            edges = np.flatnonzero((np.diff(key) != 0) | (np.diff(a) != 0) | (np.diff(b) != 0)) + 1
+            for x, y in zip(np.r_[0, edges], np.r_[edges, len(key)], strict=True):
+                if held and (held[0][0][0], held[0][1][0], held[0][2][0]) != (key[x], a[x], b[x]):
                     if (done := flush()) is not None:
                         yield done
-                    key, fps, times, block = k, [], [], b
-                fps.append(fp)
-                times.append(n)
-        if (done := flush()) is not None:
+                    held = []
+                held.append(tuple(c[x:y] for c in (key, a, b, part, n, p)))
+        if held and (done := flush()) is not None:
             yield done
 
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = tables.repartition(n, "key").sortWithinPartitions("key", "fp").select("fp", "n", "block", "key").mapInArrow(work, "fp string, n_near long")
+    found = cells.repartition(n, "key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(work, "fp binary, n_near long")
     near = found.groupBy("fp").agg(F.sum("n_near").alias("n_near"))
-    return distinct.join(near, "fp", "left").select(F.col("fp").alias("fingerprint"), (F.col("n") - 1 + F.coalesce("n_near", F.lit(0))).alias("n_near"))
+    return distinct.join(near, "fp", "left").select(F.lower(F.hex("fp")).alias("fingerprint"), (F.col("n") - 1 + F.coalesce("n_near", F.lit(0))).alias("n_near"))

@@ -240,6 +240,31 @@ def test_near_counts_match_brute_force(spark):
         assert got[p.tobytes().hex()] == ((bits ^ b).sum(axis=1) <= 3).sum() - 1
 
 
+def test_near_counts_at_any_radius_and_cell_size(spark):
+    rng = np.random.default_rng(16)
+    prints = []
+    for b in rng.integers(0, 256, (12, 16), dtype=np.uint8):
+        for _ in range(8):
+            x = np.unpackbits(b)
+            x[rng.choice(128, rng.integers(0, 12), replace=False)] ^= 1
+            prints.append(np.packbits(x))
+    df = spark.createDataFrame([(p.tobytes().hex(),) for p in [*prints, prints[0]]], "fingerprint string")
+    bits = np.unpackbits(np.array([*prints, prints[0]]), axis=1)
+    for radius, rows in ((14, 32_768), (14, 3), (8, 5), (0, 4)):
+        got = {r.fingerprint: r.n_near for r in simhash.near_counts(df, radius=radius, cell_rows=rows).collect()}
+        assert got == {p.tobytes().hex(): ((bits ^ b).sum(axis=1) <= radius).sum() - 1 for p, b in zip([*prints, prints[0]], bits, strict=True)}
+
+
+def test_near_counts_find_edited_texts(spark):
+    rows = []
+    for i in range(30):
+        w = corpus.words(300, 4000 + i)
+        w[150] = f"edit{i}"
+        rows += [" ".join(corpus.words(300, 4000 + i)), " ".join(w)]
+    got = simhash.near_counts(simhash.own_prints(spark.createDataFrame([(t,) for t in rows], "text string")), radius=simhash.NEAR_BITS)
+    assert got.where("n_near > 0").count() >= 0.9 * got.count()
+
+
 # --- neighbours
 
 
