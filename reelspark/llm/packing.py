@@ -26,8 +26,9 @@ from .common import cut, map_texts
 
 CAPACITY = 2048
 SHARD_PIECES = 4096
-#: Nodes of one shard's search; the incumbent is kept when they are used up.
-SEARCH_NODES = 3_000
+#: Nodes of one shard's search, or NODES_A_BIN for each sequence of its first incumbent if that is more; a packing takes a
+#: node a sequence. The incumbent is kept when they are used up.
+SEARCH_NODES, NODES_A_BIN = 20_000, 4
 #: Fillings tried at one node.
 FILLINGS = 12
 #: Words and parts whose ids a worker remembers while a task runs; some 80 MB.
@@ -167,7 +168,8 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 def fillings(counts: np.ndarray, sizes: list[int], room: int, most: int) -> list[tuple[int, ...]]:
     """Undominated fillings of ``room`` by remaining pieces, fullest first.
 
-    Up to three pieces are enumerated; the rest of a filling is completed by the largest that fit. A filling is
+    At most 48 first pieces and 12 x 12 first pairs, evenly spread over the sizes, are tried, each completed by the
+    largest that fit: not every filling, so an exhausted search doesn't prove that a packing is best. A filling is
     dominated if another one puts a single larger piece, still fitting, in the place of one of its pieces: so the last
     piece is always the largest that fits, and fillings that leave room for a remaining piece aren't kept.
     """
@@ -229,7 +231,7 @@ def complete_bins(lengths: list[int], capacity: int = CAPACITY, nodes: int = SEA
         return incumbent
     counts = np.bincount(lengths, minlength=capacity + 1)
     sizes = [int(s) for s in np.flatnonzero(counts)[::-1]]
-    budget = nodes
+    budget = max(nodes, NODES_A_BIN * len(incumbent))
 
     def next_size() -> int:
         return next((s for s in sizes if counts[s]), 0)

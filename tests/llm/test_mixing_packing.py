@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import zlib
 
 import numpy as np
@@ -146,6 +147,12 @@ def test_search_finds_the_fewest_bins():
     assert packing.complete_bins([], 10) == []
 
 
+def test_search_reaches_the_end_of_a_shard_of_many_sequences():
+    rng = random.Random(0)
+    lengths = [198, 2] * 3200 + [rng.randint(30, 110) for _ in range(30)]
+    assert len(packing.complete_bins(lengths, 200)) < len(packing.best_fit(lengths, 200))
+
+
 def _check_pieces(rows, docs, capacity):
     t = packing.tokenizer(PATH)
     by_seq, by_doc = {}, {}
