@@ -268,42 +268,106 @@ def test_near_counts_find_edited_texts(spark):
 # --- neighbours
 
 
+def _recall(got, ids, x, k):
+    """Share of the k nearest that were found; checks ranks, scores and order on the way."""
+    by, hits, all_ = {}, 0, 0
+    for r in got:
+        by.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for q, found in by.items():
+        own = int(np.flatnonzero(ids == q)[0])
+        s = x @ x[own]
+        order = [i for i in np.lexsort((ids, -s)) if i != own][:k]
+        found.sort()
+        assert [r for r, _, _ in found] == list(range(1, len(order) + 1))
+        assert all(abs(score - s[np.flatnonzero(ids == v)[0]]) < 1e-12 for _, v, score in found)
+        assert all(a[2] > b[2] or (a[2] == b[2] and a[1] <= b[1]) for a, b in zip(found, found[1:], strict=False))
+        hits, all_ = hits + len({v for _, v, _ in found} & {int(ids[i]) for i in order}), all_ + len(order)
+    return hits / all_, set(by)
+
+
 def test_neighbours_recall_and_odd_cases(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(600, 16))
-    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[::3] /= np.linalg.norm(x[::3], axis=1)[:, None]  # lengths differ
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
-    odd = [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16), (1003, [None] * 16), (1020, [1.0] * 3), (1004, [float("inf")] + [0.0] * 15), (1005, []), (5, rows[5][1])]
+    odd = [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16), (1003, [None] * 16), (1020, [1.0] * 3), (1004, [float("inf")] + [0.0] * 15), (1005, [])]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>")
-    got = {}
-    for r in ann.search(df, F.col("vec_id") % 20 == 0, k=10, shard_rows=200, block_queries=16, least=150).collect():
-        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    assert set(got) == set(range(0, 600, 20))
-    all_ids = np.array([*range(600), 5])
-    everything = np.vstack([x, x[5]])
-    hits = 0
-    for q, found in got.items():
-        s = everything @ x[q]
-        own = np.flatnonzero(all_ids == q)[0]
-        order = [i for i in np.lexsort((all_ids, -s)) if i != own][:10]
-        found.sort()
-        assert [r for r, _, _ in found] == list(range(1, 11)) and all(abs(sc - x[v] @ x[q]) < 1e-12 for _, v, sc in found)
-        assert all(a[2] > b[2] or (a[2] == b[2] and a[1] <= b[1]) for a, b in zip(found, found[1:], strict=False))
-        hits += len({v for _, v, _ in found} & {int(all_ids[i]) for i in order})
-    assert hits / (10 * len(got)) >= 0.9
+    recall, asked = _recall(ann.search(df, F.col("vec_id") % 20 == 0, k=10).collect(), np.arange(600), x, 10)
+    assert asked == set(range(0, 600, 20)) and recall >= 0.9
     assert ann.search(df.where("false"), F.lit(True)).count() == 0
     assert ann.search(df.where("vec_id = 1"), F.lit(True)).count() == 0
+    # at most k others: all of them
+    assert ann.search(df.where("vec_id < 15"), F.col("vec_id") < 2).count() == 28
+
+
+def test_neighbours_with_grown_and_parted_prefixes(spark):
+    """Most rows lie close together, and some prefixes hold more than a cell even in full length."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(700, 12))
+    x[:500] = x[0] + 0.02 * rng.normal(size=(500, 12))
+    x[500:560] = x[1] + 1e-9 * rng.normal(size=(60, 12))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    recall, asked = _recall(ann.search(df, F.col("vec_id") % 20 == 0, k=10, cell_rows=40).collect(), np.arange(700), x, 10)
+    assert asked == set(range(0, 700, 20)) and recall >= 0.9
+
 
+def test_neighbours_of_equal_vectors_null_ids_and_clashing_columns(spark):
+    one, other = [1.0, 0.0, 0.5], [0.0, 1.0, 0.0]
+    rows = [(i, one) for i in range(60)] + [(None, one), (None, other), (100, other), (100, other)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(f"own {c}") for c in ("v", "q", "uid", "node", "h1", "r", "key", "tree", "score", "rank", "id")})
+    got = {}
+    for r in ann.search(df, (F.col("vec_id") % 20 == 0) | F.col("vec_id").isNull(), k=5).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert sorted(got[0]) == [(i, i, 1.25) for i in range(1, 6)]
+    assert sorted(got[20]) == [(i, i - 1, 1.25) for i in range(1, 6)]
+    assert [v for _, v, _ in sorted(got[100], key=lambda t: t[:2])] == [100, 100, None, None, 0, 0, 1, 1, 2, 2]
+    assert sorted(v for _, v, _ in got[None]) == [0, 0, 1, 1, 2, 2, 3, 4, 100, 100]
 
-def test_forest_ranges_hold_equal_prefixes():
+
+def test_forest_scores_a_small_share_of_many_rows():
+    """The ascent by itself on 50,000 random directions: fewer than a tenth of the rows, nine of ten neighbours."""
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(300, 8))
-    f = ann.Forest(x, trees=4, letters=3)
-    low, high = f.ranges(x[:20])
-    for i in range(20):
-        for t in range(4):
-            own = f._strings(x[i : i + 1], t)[0]
-            for n in range(4):
-                unit = f.radix ** (3 - n)
-                inside = f.strings[t][low[i, t, n] : high[i, t, n]]
-                assert (inside // unit == own // unit).all() and (f.strings[t] // unit == own // unit).sum() == len(inside)
+    n = 50_000
+    x = rng.normal(size=(n, 65)).astype(np.float32)
+    x[:, 64] = 0
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    h, wanted = ann.hashes(65), ann.candidates_wanted(n)
+    probes = int(np.ceil(ann.PROBED * wanted * h.radix / (ann.TREES * n)))
+    strings, asked = h.strings(x), rng.choice(n, 40, replace=False)
+    share = hits = 0.0
+    for a in asked:
+        best, held = np.full(n, 999, np.int16), np.zeros(ann.LETTERS + ann.STEPS, np.int64)
+        for tree in range(ann.TREES):
+            own = strings[:, tree * ann.LETTERS : (tree + 1) * ann.LETTERS]
+            for k, prefix in enumerate(ann.best_prefixes(h.costs(x[a : a + 1], tree, slice(0, 1))[0], probes)[0]):
+                rows = np.flatnonzero(own[:, 0] == prefix[0])
+                rows = rows[np.argsort(ann.packed(own[rows]))]
+                at = ann.steps(h, tree, own[rows], x[a : a + 1], np.array([k == 0]).astype(int))[0]
+                best[rows] = np.minimum(best[rows], at)
+                best[rows[ann.cheapest(at[None])[0]]] = -1
+                held += np.bincount(at, minlength=len(held))
+        stop = int(np.argmax(held.cumsum() >= wanted))
+        s = x @ x[a]
+        s[a] = -9
+        share += (best <= stop).mean()
+        hits += (best[np.argsort(-s)[:20]] <= stop).mean()
+    assert share / len(asked) < 0.1 and hits / len(asked) >= 0.9
+
+
+def test_sorted_strings_give_ranges_of_equal_prefixes():
+    h = ann.Hashes(8, trees=2, letters=4)
+    x = np.random.default_rng(3).normal(size=(300, 8)).astype(np.float32)
+    s = h.strings(x)[:, :4]
+    s = s[np.argsort(ann.packed(s))]
+    order = ann.packed(s)
+    for i in range(0, 300, 17):
+        for n in range(1, 5):
+            low, high = ann.common_prefix(order, int(order[i]), n)
+            assert [bool(b) for b in (s[:, :n] == s[i, :n]).all(axis=1)] == [low <= j < high for j in range(300)]
+
+
+def test_best_prefixes_are_the_cheapest():
+    costs = np.random.default_rng(5).random((3, 6)).astype(np.float32)
+    all_ = sorted((float(costs[0, a] + costs[1, b] + costs[2, c]), (a, b, c)) for a in range(6) for b in range(6) for c in range(6))
+    got = ann.best_prefixes(costs, 20)
+    assert [tuple(p) for p in got[0].tolist()] == [p for _, p in all_[:20]] and np.allclose(got[1], [c for c, _ in all_[:20]])
