@@ -53,6 +53,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def run_hashes(buffer: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the runs of bytes from ``start`` to ``end``, none of them 0."""
+    up, down = _power_tables(len(buffer))
+    sums = np.zeros(len(buffer) + 1, np.uint64)
+    np.cumsum(buffer.astype(np.uint64) * up, out=sums[1:])
+    return mix64((sums[end] - sums[start]) * down[start])
+
+
 class Words:
     """The words of several texts: 64-bit hashes, byte offsets into ``buffer``, and where each text's words begin."""
 
@@ -63,10 +71,7 @@ class Words:
         folded = WORD_BYTES[self.buffer]
         edges = np.flatnonzero(np.diff((folded > 0).view(np.int8), prepend=np.int8(0)))
         self.start, self.end = edges[0::2], edges[1::2]
-        up, down = _power_tables(len(folded))
-        sums = np.zeros(len(folded) + 1, np.uint64)
-        np.cumsum(folded.astype(np.uint64) * up, out=sums[1:])
-        self.hash = mix64((sums[self.end] - sums[self.start]) * down[self.start])
+        self.hash = run_hashes(folded, self.start, self.end)
         self.first = np.searchsorted(self.start, self.text_start)
 
     def of(self, i: int) -> np.ndarray:

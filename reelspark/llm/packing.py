@@ -2,18 +2,18 @@
 
 Documents become token ids with an end id; longer ones are cut at the sequence length. Full pieces are sequences of
 their own. The others are dealt into shards of a bounded number of pieces, and each shard is packed by bin
-completion: depth-first, the largest remaining piece is placed together with one of the undominated fillings of what
-is left of its sequence, fullest first; branches whose waste exceeds what the incumbent allows are pruned; the first
+completion: depth-first, the largest remaining piece is placed together with each of the undominated fillings of what
+is left of its sequence in turn, fullest first; branches whose waste exceeds what the incumbent allows are pruned; the first
 incumbent is best-fit decreasing. Sequences that a shard leaves poorly filled are packed again in a second round.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-import struct
 import unicodedata
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,30 +22,52 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts
+from .common import cut, map_texts, run_hashes
 
 CAPACITY = 2048
 SHARD_PIECES = 4096
 #: Nodes of one shard's search, or NODES_A_BIN for each sequence of its first incumbent if that is more; a packing takes a
-#: node a sequence. The incumbent is kept when they are used up.
-SEARCH_NODES, NODES_A_BIN = 20_000, 4
-#: Fillings tried at one node.
-FILLINGS = 12
-#: Words and parts whose ids a worker remembers while a task runs; some 80 MB.
-CACHE_WORDS = 400_000
+#: node a sequence. The incumbent is kept when they are used up, or when NODE_STEPS times as many partial fillings were
+#: looked at: near a search's end most fillings are dominated ones.
+SEARCH_NODES, NODES_A_BIN, NODE_STEPS = 20_000, 4, 100
+#: Words whose ids a worker remembers, and ids in all; some 40 MB.
+CACHE_WORDS, CACHE_IDS = 1 << 20, 1 << 22
+
+#: Bytes of a text that are encoded at once, up to the next white space.
+PART_BYTES = 1 << 20
+_WHITE = re.compile(rb"[ \t\n\r]")
 
 _tokenizers: dict[str, "WordTokenizer"] = {}
 
+_SPACE, _LETTER, _NUMBER, _SYMBOL, _OTHER, _TAIL = range(6)
+
+
+def _byte_kinds() -> np.ndarray:
+    """What a byte of lower-case UTF-8 begins: the kinds of what the pre-tokeniser tells apart, for characters below U+0250."""
+    kinds = np.full(256, _OTHER, np.uint8)
+    kinds[0x80:0xC0] = _TAIL
+    kinds[[0x09, 0x0A, 0x0D, 0x20]] = _SPACE
+    kinds[0x21:0x7F] = _SYMBOL
+    kinds[ord("0") : ord("9") + 1] = _NUMBER
+    kinds[ord("a") : ord("z") + 1] = kinds[ord("A") : ord("Z") + 1] = _LETTER
+    kinds[0xC3:0xCA] = _LETTER  # but for those of _two_byte_kinds
+    return kinds
+
 
-def _latin(kind: str) -> str:
-    """The characters below U+0250 of a general category, as the inside of a character class."""
-    return "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c)).startswith(kind))
+def _two_byte_kinds() -> dict[int, np.ndarray]:
+    """The kind by second byte of the characters that begin with C2, C3 or C9, among which are others than letters."""
+    names = {"L": _LETTER, "N": _NUMBER, "Z": _OTHER, "C": _OTHER}
+    out = {}
+    for lead in (0xC2, 0xC3, 0xC9):
+        chars = [chr((lead & 0x1F) << 6 | low) for low in range(64)]
+        kinds = [_OTHER if ord(c) >= 0x250 else names.get(unicodedata.category(c)[0], _SYMBOL) for c in chars]
+        out[lead] = np.array([_OTHER] * 128 + kinds + [_OTHER] * 64, np.uint8)
+    return out
 
 
-#: What the vocabulary's pre-tokeniser takes as one word, for text without characters from U+0250 on.
-_WORD = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_latin('L')}]+|[{_latin('N')}]|[^\s{_latin('L')}{_latin('N')}]+")
-#: Text that isn't taken apart here: other scripts, control characters, and a letter whose lower case is two characters.
-_UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u024f]")
+_KINDS, _SECOND = _byte_kinds(), _two_byte_kinds()
+#: What follows an apostrophe in a contraction, which is a word of its own.
+_CONTRACTED = (b"s", b"t", b"m", b"d", b"re", b"ve", b"ll")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -55,54 +77,156 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class _Remembered(dict):
-    """A dictionary that makes what it lacks, and forgets all when it is full; long keys aren't kept."""
+def word_bounds(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of lower-case UTF-8, and where bytes are that no word of this kind can have.
 
-    def __init__(self, make: Callable[[str], bytes]):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key: str) -> bytes:
-        made = self.make(key)
-        if len(key) < 64:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[key] = made
-        return made
+    A word is a run of letters or of symbols, one number, or a contraction that no symbol stands before.
+    """
+    kind = _KINDS[buffer]
+    leads = np.flatnonzero(buffer >= 0xC2)
+    if len(leads):
+        after = np.minimum(leads + 1, len(buffer) - 1)
+        for lead, kinds in _SECOND.items():
+            own = buffer[leads] == lead
+            kind[leads[own]] = kinds[buffer[after[own]]]
+        tails = np.flatnonzero(kind == _TAIL)
+        kind[tails] = kind[tails - 1]  # characters have two bytes; texts with longer ones aren't looked at
+    first = np.ones(len(buffer), bool)
+    first[1:] = (kind[1:] != kind[:-1]) | ((kind[1:] == _NUMBER) & ((buffer[1:] & 0xC0) != 0x80))
+    first &= kind != _SPACE
+    marks = np.flatnonzero((buffer == ord("'")) & first)
+    marks = marks[marks + 2 < len(buffer)]
+    if len(marks):
+        for tail in _CONTRACTED:
+            at = marks[buffer[marks + 1] == tail[0]]
+            if len(tail) == 2:
+                at = at[buffer[at + 2] == tail[1]]
+            first[at + 1] = False
+            if len(tail) == 2:
+                first[at + 2] = False
+            end = at + 1 + len(tail)
+            end = end[end < len(buffer)]
+            first[end] |= kind[end] == _LETTER
+    edges = np.flatnonzero(first | (kind == _SPACE))
+    begins = first[edges]
+    ends = np.r_[edges[1:], len(buffer)]
+    return edges[begins], ends[begins], np.flatnonzero(kind == _OTHER)
+
+
+def _parts(text: bytes) -> Iterator[bytes]:
+    """A text in parts of at least PART_BYTES that end before white space."""
+    at = 0
+    while at < len(text):
+        found = _WHITE.search(text, at + PART_BYTES)
+        end = found.start() if found else len(text)
+        yield text[at:end]
+        at = end
 
 
 class WordTokenizer:
-    """Token ids of whole texts, as packed little-endian 32-bit integers.
+    """Token ids of whole texts.
 
-    The vocabulary drops white space, so the ids of a text are those of its white-space-separated parts, and theirs those
-    of their words, one after another. A worker remembers both, within a bound. Texts with unusual characters or a special
-    token's string are encoded whole.
+    The vocabulary drops white space, so the ids of a text are those of its words one after another. The words of many
+    texts are found at once and looked up by 64-bit hashes; only words that a worker doesn't remember go to the model.
+    Texts with characters from U+0250 on, control characters or a special token's string are encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        letters, tokenize = str.maketrans({chr(b): c for b, c in _byte_letters().items()}), self.whole.model.tokenize
-
-        def ids_of(part: str) -> bytes:
-            words = _WORD.findall(part.lower())
-            if words != [part]:  # a word of lower case is a part of one word
-                return b"".join(map(known.__getitem__, words))
-            ids = [t.id for t in tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(letters))]
-            return struct.pack(f"<{len(ids)}I", *ids)
-
-        self.known = known = _Remembered(ids_of)
+        self.special = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
+        self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
+        self.forget()
 
     def forget(self) -> None:
-        """A worker outlives its tasks, and other stages need the memory."""
-        self.known.clear()
-
-    def encode(self, text: str) -> bytes:
-        if _UNUSUAL.search(text) or any(s in text for s in self.special):
-            return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, text.split()))
+        """An empty memory: hashes and their numbers by slot, and the ids of the numbered words one after another."""
+        self.slots, self.numbers = np.zeros(4 * CACHE_WORDS, np.uint64), np.zeros(4 * CACHE_WORDS, np.int32)
+        self.starts, self.n, self.ids = np.zeros(CACHE_WORDS + 2, np.int64), 0, np.zeros(1 << 16, np.uint32)
+
+    def _model(self, word: bytes) -> list[int]:
+        return [t.id for t in self.whole.model.tokenize(word.decode("latin-1").translate(self.letters))]
+
+    def _look_up(self, hashes: np.ndarray) -> np.ndarray:
+        """The numbers of remembered words, -1 of others."""
+        out, todo = np.full(len(hashes), -1, np.int32), np.arange(len(hashes))
+        slot = (hashes >> np.uint64(40)).astype(np.int64) % len(self.slots)
+        while len(todo):
+            held = self.slots[slot]
+            same = held == hashes[todo]
+            out[todo[same]] = self.numbers[slot[same]]
+            on = ~same & (held != 0)
+            todo, slot = todo[on], (slot[on] + 1) % len(self.slots)
+        return out
+
+    def _remember(self, hashes: np.ndarray, ids: list[list[int]]) -> None:
+        """New words, each once."""
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        first = int(self.starts[self.n])
+        need = first + int(lengths.sum())
+        if need > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(need - len(self.ids), len(self.ids)), np.uint32)])
+        self.ids[first:need] = np.fromiter((i for w in ids for i in w), np.uint32, need - first)
+        number = np.arange(self.n, self.n + len(ids), dtype=np.int32)
+        if len(self.starts) < self.n + len(ids) + 1:
+            self.starts = np.concatenate([self.starts, np.zeros(len(ids) + len(self.starts), np.int64)])
+        self.starts[self.n + 1 : self.n + 1 + len(ids)] = first + np.cumsum(lengths)
+        self.n += len(ids)
+        if 2 * self.n > len(self.slots):  # one text of very many words
+            some = self.slots != 0
+            old, numbers = self.slots[some], self.numbers[some]
+            self.slots, self.numbers = np.zeros(4 * self.n, np.uint64), np.zeros(4 * self.n, np.int32)
+            self._put(old, numbers)
+        self._put(hashes, number)
+
+    def _put(self, hashes: np.ndarray, number: np.ndarray) -> None:
+        todo, slot = np.arange(len(hashes)), (hashes >> np.uint64(40)).astype(np.int64) % len(self.slots)
+        while len(todo):
+            free = self.slots[slot] == 0
+            self.slots[slot[free]] = hashes[todo[free]]
+            mine = self.slots[slot] == hashes[todo]
+            self.numbers[slot[mine]] = number[todo[mine]]
+            todo, slot = todo[~mine], (slot[~mine] + 1) % len(self.slots)
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text, without an end id. A long text is encoded in parts, cut at white space."""
+        out, some = [], []
+        for t in texts:
+            if len(t) <= PART_BYTES:
+                some.append(t)
+                continue
+            out += self._encode(some) if some else []
+            some = []
+            out.append(np.concatenate([self._encode([p])[0] for p in _parts(t)]))
+        return out + (self._encode(some) if some else [])
+
+    def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        if self.n > CACHE_WORDS or len(self.ids) > CACHE_IDS:
+            self.forget()
+        lower = [t.lower() if t.isascii() else t.decode("utf-8").lower().encode("utf-8") for t in texts]
+        buffer = np.frombuffer(b" ".join(lower) + b" ", np.uint8)
+        text_end = np.cumsum(np.fromiter((len(t) + 1 for t in lower), np.int64, len(lower)))
+        start, end, other = word_bounds(buffer)
+        by_model = {int(i) for i in np.unique(np.searchsorted(text_end, other, side="right"))}
+        by_model |= {i for i, t in enumerate(texts) if b"<|" in t and any(s in t for s in self.special)}
+        if by_model:
+            mine = ~np.isin(np.searchsorted(text_end, start, side="right"), sorted(by_model))
+            start, end = start[mine], end[mine]
+        hashes = np.maximum(run_hashes(buffer, start, end), np.uint64(1))
+        raw = buffer.tobytes()
+        for k in np.flatnonzero(end - start > 64):  # a hash of another kind, which no text can be made to repeat
+            hashes[k] = int.from_bytes(hashlib.blake2b(raw[start[k] : end[k]], digest_size=8).digest(), "little") or 1
+        number = self._look_up(hashes)
+        new, at = np.unique(hashes[number < 0], return_index=True)
+        if len(new):
+            at = np.flatnonzero(number < 0)[at]
+            self._remember(new, [self._model(raw[a:b]) for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
+            number[number < 0] = self._look_up(hashes[number < 0])
+        lengths = (self.starts[1:] - self.starts[:-1])[number]
+        ends = np.cumsum(lengths)
+        ids = self.ids[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[number] - ends + lengths, lengths)]
+        first = np.r_[0, ends][np.searchsorted(start, np.r_[0, text_end])]
+        return [np.asarray(self.whole.encode(t.decode("utf-8"), add_special_tokens=False).ids, np.uint32) if i in by_model else ids[first[i] : first[i + 1]] for i, t in enumerate(texts)]
 
 
 def tokenizer(path: str) -> WordTokenizer:
@@ -122,13 +246,12 @@ def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     state = {"task": None, "n": 0}
 
     def work(part: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
-        encode = tokenizer(path).encode
         task = TaskContext.get()
         if state["task"] != task.taskAttemptId():
             state.update(task=task.taskAttemptId(), n=0)
         rows: list[tuple] = []
-        for id_, raw in zip(part.column(0).to_pylist(), texts, strict=True):
-            ids = encode(raw.decode("utf-8", "replace")) + end
+        for id_, found in zip(part.column(0).to_pylist(), tokenizer(path).encode(texts), strict=True):
+            ids = found.astype("<u4").tobytes() + end
             for k, at in enumerate(range(0, len(ids), width)):
                 some = ids[at : at + width]
                 rows.append(((task.partitionId() << 36) + state["n"], id_, k, at // 4, len(some) // 4, zlib.crc32(some)))
@@ -136,7 +259,7 @@ def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["uid", "doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return map_texts(source, work, "uid long, doc_id long, piece int, start long, length long, ids_crc32 long", end=lambda: tokenizer(path).forget())
+    return map_texts(source, work, "uid long, doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 # --- bin completion of one shard ------------------------------------------------------------------------------------
@@ -165,64 +288,80 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def fillings(counts: np.ndarray, sizes: list[int], room: int, most: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room`` by remaining pieces, fullest first.
+def _sums(counts: np.ndarray, sizes: list[int], room: int) -> list[int]:
+    """For each place of ``sizes``: a bit for each sum, up to ``room``, that the pieces of the sizes from there on can have."""
+    out, bits, mask = [1], 1, (1 << (room + 1)) - 1
+    for s in reversed(sizes):
+        left, step = min(int(counts[s]), room // s), 1
+        while left:  # any number up to the count, by doubling
+            n = min(step, left)
+            bits |= (bits << (n * s)) & mask
+            left, step = left - n, 2 * step
+        out.append(bits)
+    return out[::-1]
+
+
+class _Effort:
+    """What a search may still do."""
+
+    def __init__(self, nodes: int):
+        self.nodes, self.steps = nodes, nodes * NODE_STEPS
+
+    @property
+    def left(self) -> bool:
+        return self.nodes > 0 and self.steps > 0
+
 
-    At most 48 first pieces and 12 x 12 first pairs, evenly spread over the sizes, are tried, each completed by the
-    largest that fit: not every filling, so an exhausted search doesn't prove that a packing is best. A filling is
-    dominated if another one puts a single larger piece, still fitting, in the place of one of its pieces: so the last
-    piece is always the largest that fits, and fillings that leave room for a remaining piece aren't kept.
+def fillings(counts: np.ndarray, sizes: list[int], room: int, effort: _Effort | None = None) -> Iterator[tuple[int, ...]]:
+    """All undominated fillings of ``room`` by remaining pieces, one after another, fullest first, larger pieces first.
+
+    A filling is dominated if one of its pieces, or two together, could give way to a single remaining piece that is
+    larger, or as large as the two, and fits: whatever packing has it, one as good has the other. Dominance of more
+    pieces isn't tested, which costs nodes, not packings. It ends early when ``effort`` is used up.
     """
+    effort = effort or _Effort(1 << 60)
     usable = [s for s in sizes if s <= room and counts[s] > 0]
-    if not usable:
-        return [()]
-    found: dict[tuple[int, ...], int] = {}
-
-    def largest(limit: int, used: tuple[int, ...]) -> int:
-        lo, hi = 0, len(usable)
-        while lo < hi:  # usable is descending
-            mid = (lo + hi) // 2
-            if usable[mid] > limit:
-                lo = mid + 1
-            else:
-                hi = mid
-        while lo < len(usable) and counts[usable[lo]] <= used.count(usable[lo]):
-            lo += 1
-        return usable[lo] if lo < len(usable) else 0
-
-    def complete(start: tuple[int, ...]) -> None:
-        fill, left = start, room - sum(start)
-        while left and (s := largest(left, fill)):
-            fill, left = (*fill, s), left - s
-        found.setdefault(tuple(sorted(fill, reverse=True)), left)
-
-    complete(())
-    step = max(1, len(usable) // 48)
-    for s in usable[::step]:
-        if len(found) >= 4 * most or any(left == 0 for left in found.values()) and len(found) >= most:
-            break
-        complete((s,))
-    for s in usable[:: max(1, len(usable) // 12)]:
-        for t in usable[:: max(1, len(usable) // 12)]:
-            if s + t <= room and t <= s and (s != t or counts[s] > 1) and min(found.values()) > 0:
-                complete((s, t))
-    kept = sorted(found.items(), key=lambda x: (x[1], len(x[0])))
-    best: list[tuple[tuple[int, ...], int]] = []
-    for fill, left in kept:
-        if not any(_dominates(f, fill) for f, _ in best):
-            best.append((fill, left))
-        if len(best) == most:
-            break
-    return [f for f, _ in best]
-
-
-def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
-    """Whether the pieces of b fit, one each, beneath those of a."""
-    return len(a) >= len(b) and all(x >= y for x, y in zip(a, b, strict=False)) and a != b
+    reach = _sums(counts, usable, room)
+    available = sum(1 << s for s in usable)
+
+    def dominated(fill: tuple[int, ...], left: int) -> bool:
+        rest = available
+        for s in set(fill):
+            if counts[s] <= fill.count(s):
+                rest &= ~(1 << s)
+        span = (1 << (left + 1)) - 1
+        if rest & ((span >> 1) << 1):  # a piece fits beside it
+            return True
+        if left and any((rest >> (s + 1)) & (span >> 1) for s in set(fill)):
+            return True
+        return any((rest >> (a + b)) & span for i, a in enumerate(fill) for b in fill[i + 1 :])
+
+    for total in range(room, -1, -1):
+        if not reach[0] >> total & 1:
+            continue
+        # depth first: (place in sizes, sum to go, pieces so far)
+        stack: list[tuple[int, int, tuple[int, ...]]] = [(0, total, ())]
+        while stack:
+            k, togo, fill = stack.pop()
+            effort.steps -= 1
+            if effort.steps <= 0:
+                return
+            if not togo:
+                if not dominated(fill, room - total):
+                    yield fill
+                continue
+            s = usable[k]
+            most = min(int(counts[s]), togo // s)
+            for n in range(0, most + 1):  # the largest number is popped first
+                if reach[k + 1] >> (togo - n * s) & 1:
+                    stack.append((k + 1, togo - n * s, fill + (s,) * n))
 
 
 def complete_bins(lengths: list[int], capacity: int = CAPACITY, nodes: int = SEARCH_NODES) -> list[list[int]]:
-    """Packs lengths (1 to capacity) into few bins; best-fit decreasing unless the search finds fewer."""
+    """Packs lengths (1 to capacity) into few bins; best-fit decreasing unless the search finds fewer.
+
+    The search is complete: if it ends before its effort is used up, no packing has fewer bins.
+    """
     incumbent = best_fit(lengths, capacity)
     total = sum(lengths)
     least = -(-total // capacity)
@@ -231,52 +370,46 @@ def complete_bins(lengths: list[int], capacity: int = CAPACITY, nodes: int = SEA
         return incumbent
     counts = np.bincount(lengths, minlength=capacity + 1)
     sizes = [int(s) for s in np.flatnonzero(counts)[::-1]]
-    budget = max(nodes, NODES_A_BIN * len(incumbent))
-
-    def next_size() -> int:
-        return next((s for s in sizes if counts[s]), 0)
-
-    # depth-first without recursion: each level holds the fillings still to try
+    effort = _Effort(max(nodes, NODES_A_BIN * len(incumbent)))
     allowed = (len(incumbent) - 1) * capacity - total
+    # depth-first without recursion: each level holds the fillings still to try
     path: list[tuple[tuple[int, ...], int]] = []
     stack: list[Iterator[tuple[int, ...]]] = []
+    waste = 0
 
     def options() -> Iterator[tuple[int, ...]]:
-        head = next_size()
-        counts[head] -= 1
-        fills = fillings(counts, sizes, capacity - head, FILLINGS)
-        counts[head] += 1
-        return iter([(head, *f) for f in fills])
+        head = next(s for s in sizes if counts[s])
+        own = counts.copy()  # what remains here, whatever is tried below
+        own[head] -= 1
+        return ((head, *f) for f in fillings(own, sizes, capacity - head, effort))
+
+    def undo() -> None:
+        nonlocal waste
+        fill, lost = path.pop()
+        waste -= lost
+        for s in fill:
+            counts[s] += 1
 
     stack.append(options())
-    waste = 0
-    while stack and budget > 0 and len(incumbent) > least:
+    while stack and effort.left and len(incumbent) > least:
         fill = next(stack[-1], None)
-        if fill is None:
+        lost = 0 if fill is None else capacity - sum(fill)
+        if fill is None or waste + lost > allowed:  # fillings come fullest first: the others waste as much or more
             stack.pop()
             if path:
-                undone, lost = path.pop()
-                waste -= lost
-                for s in undone:
-                    counts[s] += 1
-            continue
-        budget -= 1
-        lost = capacity - sum(fill)
-        if waste + lost > allowed:
+                undo()
             continue
+        effort.nodes -= 1
         for s in fill:
             counts[s] -= 1
         path.append((fill, lost))
         waste += lost
-        if not counts.any():
-            incumbent = [list(f) for f, _ in path]
-            allowed = (len(incumbent) - 1) * capacity - total
-            undone, lost = path.pop()
-            waste -= lost
-            for s in undone:
-                counts[s] += 1
-        else:
+        if counts.any():
             stack.append(options())
+            continue
+        incumbent = [list(f) for f, _ in path]
+        allowed = (len(incumbent) - 1) * capacity - total
+        undo()
     return incumbent
 
 
