@@ -11,6 +11,7 @@ Conventions of all operators in this package:
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -128,9 +129,11 @@ def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch, list[bytes]], pa.Re
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it names none (tests, local mode)."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only in local mode, where all share it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="reelspark-")
         spark.sparkContext.setCheckpointDir(named)
     elif not spark.sparkContext.getCheckpointDir():
@@ -139,11 +142,22 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and kept in the shared checkpoint folder, where a lost executor can't take them away."""
+    """The same rows, computed once and kept in the shared checkpoint folder, where a lost executor can't take them away.
+
+    Spark removes them with the DataFrame if spark.cleaner.referenceTracking.cleanCheckpoints is set; else they stay
+    until the folder is cleared.
+    """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows, written once as a compressed table to the shared checkpoint folder; for wide rows instead of cut."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     """64-bit hashes as Spark's long."""
     return np.ascontiguousarray(x, np.uint64).view(np.int64)

@@ -70,11 +70,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .simhash import NEAR_BITS, fingerprint, near_counts, own_prints
+    from .common import stored
+    from .simhash import NEAR_BITS, fingerprint, near_counts
 
-    docs = _table(spark, sf_dir, "documents")
-    rows = fingerprint(docs)
-    return rows.join(near_counts(own_prints(docs), radius=NEAR_BITS), "fingerprint").select(*rows.columns, "n_near")
+    rows = stored(fingerprint(_table(spark, sf_dir, "documents")))
+    return rows.join(near_counts(rows, radius=NEAR_BITS), "fingerprint").select(*rows.columns, "n_near")
 
 
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from .common import Words, cut, map_texts, mix64
 
 BITS = 128
-BUCKET_ROWS = 4096
 #: Prints of one part of a bucket of near fingerprints; a task holds two parts at once.
 CELL_ROWS = 32_768
 #: Bits within which the query counts fingerprints as near.
@@ -70,20 +69,18 @@ def hex_of(prints: np.ndarray) -> list[str]:
     return [p.tobytes().hex() for p in prints]
 
 
-def successors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def successors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
     """Rows (bucket, copy, id, text), partitioned by ranges of ids and sorted, each bucket closed by a copy of its successor.
 
-    The order is by id, null last, then by a hash of the text. A bucket holds about ``bucket_rows`` ids; its bounds
-    are ids of the table, so the first row of the next bucket is known by its id alone. The texts move once.
+    The order is by id, null last, then by a hash of the text. There are ``parts`` buckets at most, as many as shuffle
+    partitions if None, whatever the number of rows: their bounds are all that the driver holds, as range partitioning
+    does. Bounds are ids of the table, so the first row of the next bucket is known by its id alone. The texts move once.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    n, low = rows.agg(F.count("*"), F.min("id")).first()
-    parts = -(-n // bucket_rows)
-    bounds = np.zeros(0, np.int64)
-    if parts > 1 and low is not None:
-        shares = [k / parts for k in range(1, parts)]
-        found = rows.agg(F.percentile_approx("id", shares, 20 * parts)).first()[0]
-        bounds = np.unique(np.asarray(found or [], np.int64))
+    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = [k / parts for k in range(1, parts)]
+    low, found = rows.agg(F.min("id"), F.percentile_approx("id", shares, 20 * parts) if shares else F.lit(None)).first()
+    bounds = np.unique(np.asarray([b for b in found or [] if b > low], np.int64))
     last = len(bounds)
 
     @F.pandas_udf("own int, also int")
@@ -102,7 +99,7 @@ def successors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", buck
     return dealt.sortWithinPartitions("bucket", "copy", F.col("id").isNull(), "id", F.xxhash64("text"))
 
 
-def fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
     """Rows (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
 
     One row per row of ``docs``. A null text is empty; an empty text's edit is empty; the one row of a table is its
@@ -141,7 +138,7 @@ def fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", buc
                     yield done(waiting)
                     waiting, chars = waiting[-1:], len(t)
 
-    rows = successors(docs, doc_id, text, bucket_rows)
+    rows = successors(docs, doc_id, text, parts)
     return rows.select("bucket", "copy", "id", "text").mapInArrow(work, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
