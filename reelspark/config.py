@@ -14,13 +14,14 @@ PROGRESS = {"pending": 0, "uploaded": 5, "extracting_frames": 15, "filtering_red
 
 @dataclass(frozen=True)
 class Settings:
-    """Thresholds in the units of the timeline (seconds, grey levels)."""
+    """Thresholds in the units of the timeline (seconds, grey levels). The defaults are fixed values."""
 
     skip_intro: float = 3.0
     dark: float = 25.0
     blur: float = 30.0
     similarity: float = 0.75
     scene_floor: float = 0.3
+    low_entropy: float = 2.5
     low_score: float = 0.40
     max_per_cluster: int = 2
     first_gap: float = 0.5

@@ -36,17 +36,23 @@ def stem(path: Column) -> Column:
 
 
 def keyframe_name(index: Column, extension: str = "jpg") -> Column:
-    return F.concat(F.lit("keyframe_"), F.lpad(index.cast("string"), 3, "0"), F.lit(f".{extension}"))
+    """At least three digits; an index from 1000 on has as many as it needs."""
+    return F.format_string(f"keyframe_%03d.{extension}", index.cast("bigint"))
 
 
 def safe_int(value: Column, default: int = 0) -> Column:
     return F.coalesce(value.try_cast("bigint"), F.lit(default).cast("bigint"))
 
 
-def safe_int_bytes(value: Column, default: int = 0) -> Column:
-    """Bytes as a little-endian unsigned integer of at most eight bytes."""
-    backwards = F.array_join(F.reverse(F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.hex(F.substring(value, i, F.lit(1))))), "")
-    return F.when(value.isNull() | (F.length(value) == 0), F.lit(default).cast("bigint")).otherwise(F.conv(backwards, 16, 10).cast("bigint"))
+def safe_int_bytes(value: Column, default: int = 0, most: int | None = None) -> Column:
+    """Bytes as a little-endian unsigned integer, of the first ``most`` if given; the default below four bytes.
+
+    What a long can't hold, more than eight bytes or 2^63 and above, is the default too.
+    """
+    used = value if most is None else F.substring(value, 1, most)
+    backwards = F.reverse(F.transform(F.sequence(F.lit(1), F.length(used)), lambda i: F.hex(F.substring(used, i, F.lit(1)))))
+    number = F.conv(F.array_join(backwards, ""), 16, 10).try_cast("bigint")
+    return F.coalesce(F.when((F.length(value) >= 4) & (F.length(used) <= 8), number), F.lit(default).cast("bigint"))
 
 
 def fourcc(code: Column) -> Column:
@@ -110,6 +116,31 @@ def status_label(status: Column) -> Column:
     return F.when(status == "completed", "Completed").when(status == "failed", "Failed").when(status.isin("pending", "uploaded"), "Queued").otherwise("Processing")
 
 
+# The colours of a confidence in a gallery.
+CONFIDENCE_COLOURS = {"HIGH": "#22c55e", "MEDIUM": "#eab308", "LOW": "#ef4444"}
+
+
+def confidence_colour(confidence: Column) -> Column:
+    found = F.try_element_at(F.create_map(*[F.lit(x) for kv in CONFIDENCE_COLOURS.items() for x in kv]), confidence)
+    return F.coalesce(found, F.lit("#6366f1"))
+
+
+# The record that stands for a missing analysis of a frame, and the label for a missing classification.
+NO_ANALYSIS = {"caption": "Visual observation of the scene.", "objects": "Visual object", "actions": "Activity", "environment": "Scene", "attributes": "Standard"}
+NO_LABEL = ("Visual Scene", 0.5)
+
+
+def deep_analysis(caption: Column) -> Column:
+    """The record of a caption: tags of its words and constants; the fallback record where there is no caption."""
+    entry = lambda label, score: F.struct(label.alias("label"), F.lit(score).alias("score"))
+    sure = F.struct(
+        capitalize(caption).alias("caption"), F.transform(caption_tags(caption), lambda w: entry(w, 0.9)).alias("objects"), F.array(entry(capitalize(caption), 1.0)).alias("actions"),
+        F.array(entry(F.lit("Captured Reality"), 1.0)).alias("environment"), F.array(entry(F.lit("Generative Precision"), 1.0)).alias("attributes"),
+    )
+    none = F.struct(F.lit(NO_ANALYSIS["caption"]).alias("caption"), *[F.array(entry(F.lit(v), 0.8)).alias(k) for k, v in NO_ANALYSIS.items() if k != "caption"])
+    return F.when(caption.isNull(), none).otherwise(sure)
+
+
 def caption_tags(caption: Column) -> Column:
     """The first four words of more than three characters, capitalised."""
     words = F.filter(F.split(F.lower(F.trim(caption)), r"[ \t\n\r]+"), lambda w: F.length(w) > 3)
@@ -128,6 +159,12 @@ def grid(index: Column, columns: int, thumb_width: Column, thumb_height: Column,
     return x.cast("bigint"), y.cast("bigint")
 
 
+def timeline_segments(duration: Column, parts: int = 3) -> Column:
+    """The equal parts of a duration as structs (start, end), each without its end."""
+    length = duration / parts
+    return F.array(*[F.struct((i * length).alias("start"), ((i + 1) * length).alias("end")) for i in range(parts)])
+
+
 def segment_index(ts: Column, duration: Column, parts: int = 3) -> Column:
     """Which of equal parts of the duration; the last is closed above, a zero duration has one."""
     return F.coalesce(F.least(F.lit(parts - 1), F.floor(F.try_divide(ts, duration / parts)).cast("int")), F.lit(0))

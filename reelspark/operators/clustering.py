@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions import vectors as V
+from . import scoring, timeline
 
 
 def k_range(n: Column, duration: Column, settings: Settings = DEFAULT) -> tuple[Column, Column]:
@@ -44,88 +47,136 @@ def choose_k(curve: DataFrame, frames: Column) -> DataFrame:
     return met.select("video_id", F.least(F.col("low") + place, F.col("high")).cast("bigint").alias("k"))
 
 
-def wcss(df: DataFrame, group: str) -> DataFrame:
-    """(video_id, wcss): squared distances to the group means, from sums by dimension."""
-    by_dim = df.select("video_id", group, F.posexplode("features").alias("d", "x")).groupBy("video_id", group, "d").agg(F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum("x").alias("x"), F.count("*").alias("n"))
-    return by_dim.groupBy("video_id").agg(F.sum(F.col("xx") - F.col("x") * F.col("x") / F.col("n")).alias("wcss"))
+def wcss(df: DataFrame, group: str, by: tuple[str, ...] = ("video_id",)) -> DataFrame:
+    """(by, wcss): squared distances to the means of each group, from its mean vector and its sum of squares."""
+    squares = df.withColumn("square", V.dot(F.col("features"), F.col("features")))
+    mean = vector_to_array(Summarizer.mean(array_to_vector("features")))
+    parts = squares.groupBy(*by, group).agg(F.sum("square").alias("square"), mean.alias("mean"), F.count("*").alias("n"))
+    return parts.groupBy(*by).agg(F.sum(F.col("square") - F.col("n") * V.dot(F.col("mean"), F.col("mean"))).alias("wcss"))
 
 
-def silhouette(df: DataFrame) -> DataFrame:
-    """(video_id, silhouette): the exact Euclidean mean over frames of given clusters; 0 for a video of one cluster.
+#: Frames of one side of a pair of blocks whose distances are one matrix.
+BLOCK = 512
 
-    Frames meet the other frames of their own video only, whose number a video's length bounds.
+
+def silhouette(df: DataFrame, by: tuple[str, ...] = ("video_id",), block: int = BLOCK) -> DataFrame:
+    """(by, silhouette): the exact Euclidean mean over frames of given clusters; 0 for a video of one cluster.
+
+    Frames meet the other frames of their own video only, in pairs of blocks: a task makes one matrix of distances, of
+    bounded size, and returns its sums by frame and cluster, never the pairs.
     """
-    a = df.select("video_id", "frame_index", F.col("cluster_id").alias("own"), F.col("features").alias("f"))
-    b = df.select("video_id", F.col("frame_index").alias("other"), F.col("cluster_id").alias("theirs"), F.col("features").alias("g"))
-    met = a.join(b, "video_id").where(F.col("frame_index") != F.col("other"))
-    mean = met.groupBy("video_id", "frame_index", "own", "theirs").agg(F.avg(V.euclidean(F.col("f"), F.col("g"))).alias("d"))
-    inner, outer = F.max(F.when(F.col("own") == F.col("theirs"), F.col("d"))), F.min(F.when(F.col("own") != F.col("theirs"), F.col("d")))
-    each = mean.groupBy("video_id", "frame_index").agg(inner.alias("a"), outer.alias("b"))
-    s = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
-    return each.groupBy("video_id").agg(F.avg(s).alias("silhouette"))
+    blocks = F.ceil(F.count("*").over(W.partitionBy(*by)) / block).cast("int")
+    dealt = df.select(*by, "frame_index", F.col("cluster_id").alias("own"), "features", blocks.alias("blocks")).withColumn("b", F.pmod(F.xxhash64("frame_index"), "blocks").cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.withColumns({"i": F.least("b", "other"), "j": F.greatest("b", "other")}).drop("blocks", "other")
+    kinds = dict(met.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*by, "frame_index", "own")) + f", theirs {kinds['own']}, total double, n long"
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        a, b = pdf[pdf["b"] == i], pdf[pdf["b"] == j]
+        return pd.concat([one_way(a, b), *([one_way(b, a)] if i != j else [])])
+
+    def one_way(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({c: a[c].iloc[:0] for c in (*by, "frame_index", "own")}).assign(theirs=a["own"].iloc[:0], total=0.0, n=0)
+        d = distances(np.stack(a["features"]), np.stack(b["features"]))
+        d[a["frame_index"].to_numpy()[:, None] == b["frame_index"].to_numpy()[None, :]] = 0
+        names, place = np.unique(b["own"].to_numpy(), return_inverse=True)
+        member = np.eye(len(names))[place]
+        out = a.loc[a.index.repeat(len(names)), [*by, "frame_index", "own"]].reset_index(drop=True)
+        return out.assign(theirs=np.tile(names, len(a)), total=(d @ member).ravel(), n=np.tile(member.sum(axis=0).astype(int), len(a)))
+
+    found = met.groupBy(*by, "i", "j").applyInPandas(sums, schema)
+    mean = found.groupBy(*by, "frame_index", "own", "theirs").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    others = F.when(F.col("own") == F.col("theirs"), F.col("n") - 1).otherwise(F.col("n"))  # a frame isn't its own neighbour
+    d = F.try_divide(F.col("total"), others)
+    inner, outer = F.max(F.when(F.col("own") == F.col("theirs"), d)), F.min(F.when(F.col("own") != F.col("theirs"), d))
+    each = mean.groupBy(*by, "frame_index").agg(inner.alias("a"), outer.alias("b"))
+    s = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
+    return each.groupBy(*by).agg(F.avg(s).alias("silhouette"))
+
+
+def squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distances between rows, by products."""
+    return np.maximum((x * x).sum(axis=1)[:, None] + (c * c).sum(axis=1)[None, :] - 2 * (x @ c.T), 0)
+
+
+def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Distances between rows; centred first, so that products lose little to large means."""
+    middle = x.mean(axis=0)
+    return np.sqrt(squared(x - middle, c - middle))
 
 
 def lloyd(x: np.ndarray, k: int, inits: int, steps: int, seed: int) -> tuple[np.ndarray, np.ndarray, float]:
     """k-means++ and Lloyd steps; labels, centres and inertia of the best of ``inits`` starts."""
     rng, best = np.random.default_rng(seed), None
     for _ in range(inits):
-        centres = [x[rng.integers(len(x))]]
-        for _ in range(k - 1):
-            d = np.min([((x - c) ** 2).sum(axis=1) for c in centres], axis=0)
-            centres.append(x[rng.choice(len(x), p=d / d.sum()) if d.sum() > 0 else rng.integers(len(x))])
-        c = np.array(centres)
+        c = np.empty((k, x.shape[1]))
+        c[0] = x[rng.integers(len(x))]
+        d = squared(x, c[:1])[:, 0]
+        for j in range(1, k):
+            c[j] = x[rng.choice(len(x), p=d / d.sum()) if d.sum() > 0 else rng.integers(len(x))]
+            d = np.minimum(d, squared(x, c[j : j + 1])[:, 0])
         for _ in range(steps):
-            labels = ((x[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
-            new = np.array([x[labels == j].mean(axis=0) if (labels == j).any() else c[j] for j in range(k)])
+            labels = squared(x, c).argmin(axis=1)
+            sizes = np.bincount(labels, minlength=k)
+            member = np.zeros((k, len(x)))
+            member[labels, np.arange(len(x))] = 1
+            new = np.where(sizes[:, None] > 0, member @ x / np.maximum(sizes, 1)[:, None], c)
             if np.allclose(new, c):
                 break
             c = new
-        labels = ((x[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+        labels = squared(x, c).argmin(axis=1)
         inertia = float(((x - c[labels]) ** 2).sum())
         if best is None or inertia < best[2]:
             best = labels, c, inertia
     return best
 
 
-def mean_silhouette(x: np.ndarray, labels: np.ndarray) -> float:
-    """Exact Euclidean silhouette of one video's frames; 0 unless there are between 2 and n - 1 clusters."""
-    names = np.unique(labels)
+def mean_silhouette(x: np.ndarray, labels: np.ndarray, block: int = BLOCK) -> float:
+    """Exact Euclidean silhouette of one video's frames, some at a time; 0 unless there are between 2 and n - 1 clusters."""
+    names, own = np.unique(labels, return_inverse=True)
     if not 2 <= len(names) < len(x):
         return 0.0
-    d = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(axis=2), 0))
-    sums = np.stack([d[:, labels == c].sum(axis=1) for c in names], axis=1)
-    sizes = np.array([(labels == c).sum() for c in names])
-    own = np.searchsorted(names, labels)
-    rows = np.arange(len(x))
-    a = sums[rows, own] / np.maximum(sizes[own] - 1, 1)
-    means = sums / sizes
-    means[rows, own] = np.inf
-    b = means.min(axis=1)
-    return float(np.where(sizes[own] == 1, 0.0, (b - a) / np.maximum(np.maximum(a, b), 1e-12)).mean())
+    member = np.eye(len(names))[own]
+    sizes, total = member.sum(axis=0), 0.0
+    for at in range(0, len(x), block):
+        rows = np.arange(at, min(at + block, len(x)))
+        d = np.sqrt(squared(x[rows], x))
+        d[rows - at, rows] = 0
+        sums, mine = d @ member, own[rows]
+        a = sums[rows - at, mine] / np.maximum(sizes[mine] - 1, 1)
+        means = sums / sizes
+        means[rows - at, mine] = np.inf
+        b = means.min(axis=1)
+        total += float(np.where(sizes[mine] == 1, 0.0, (b - a) / np.maximum(np.maximum(a, b), 1e-12)).sum())
+    return total / len(x)
 
 
 def sweep(df: DataFrame, settings: Settings = DEFAULT, inits: int | None = None) -> DataFrame:
-    """(video_id, k, wcss, silhouette, frames): k-means of each video for each k of its range, one task per (video, k).
+    """(video_id, k, wcss, silhouette, frames): k-means of each video for each k of its range; a video is sent once.
 
     Videos of fewer than three frames have one row, k = n and wcss 0.
     """
     stats = df.groupBy("video_id").agg(F.count("*").cast("int").alias("n"), F.max("ts").alias("duration"))
     low, high = k_range(F.col("n"), F.col("duration"), settings)
-    ks = stats.select("video_id", "n", F.explode(F.when(F.col("n") < 3, F.array("n")).otherwise(F.sequence(low, high))).alias("k"))
+    few = F.col("n") < 3
+    ks = stats.select("video_id", F.when(few, F.col("n")).otherwise(low).alias("low"), F.when(few, F.col("n")).otherwise(high).alias("high"))
     rows = df.select("video_id", "frame_index", "features").join(ks, "video_id")
     starts = settings.kmeans_inits if inits is None else inits
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        k, n = int(pdf["k"].iloc[0]), len(pdf)
-        pdf = pdf.sort_values("frame_index")
-        inertia, shape = 0.0, 0.0
-        if n >= 3:
-            x = np.stack(pdf["features"])
-            labels, _, inertia = lloyd(x, min(k, n), starts, settings.kmeans_steps, settings.seed)
-            shape = mean_silhouette(x, labels)
-        return pd.DataFrame({"video_id": [pdf["video_id"].iloc[0]], "k": [k], "wcss": [inertia], "silhouette": [shape], "frames": [n]})
+        n = len(pdf)
+        x = np.stack(pdf.sort_values("frame_index")["features"])
+        x = x - x.mean(axis=0)
+        found = []
+        for k in range(int(pdf["low"].iloc[0]), int(pdf["high"].iloc[0]) + 1):
+            labels, _, inertia = lloyd(x, min(k, n), starts, settings.kmeans_steps, settings.seed) if n >= 3 else (None, None, 0.0)
+            found.append((pdf["video_id"].iloc[0], k, inertia, mean_silhouette(x, labels) if n >= 3 else 0.0, n))
+        return pd.DataFrame(found, columns=["video_id", "k", "wcss", "silhouette", "frames"])
 
-    return rows.groupBy("video_id", "k").applyInPandas(one, "video_id long, k int, wcss double, silhouette double, frames long")
+    return rows.groupBy("video_id").applyInPandas(one, "video_id long, k int, wcss double, silhouette double, frames long")
 
 
 def cluster_frames(df: DataFrame, settings: Settings = DEFAULT, inits: int | None = None) -> DataFrame:
@@ -139,17 +190,30 @@ def cluster_frames(df: DataFrame, settings: Settings = DEFAULT, inits: int | Non
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame_index")
         n, k = len(pdf), int(pdf["k"].iloc[0])
-        labels = np.arange(n) if n < 3 else lloyd(np.stack(pdf["features"]), min(k, n), starts, settings.kmeans_steps, settings.seed)[0]
+        x = np.stack(pdf["features"])
+        labels = np.arange(n) if n < 3 else lloyd(x - x.mean(axis=0), min(k, n), starts, settings.kmeans_steps, settings.seed)[0]
         return pd.DataFrame({"video_id": pdf["video_id"].to_numpy(), "frame_index": pdf["frame_index"].to_numpy(), "cluster_id": labels.astype("int32"), "k": k})
 
     labelled = df.select("video_id", "frame_index", "features").join(ks, "video_id").groupBy("video_id").applyInPandas(assign, "video_id long, frame_index long, cluster_id int, k int")
     return (df.drop("cluster_id") if "cluster_id" in df.columns else df).join(labelled, ["video_id", "frame_index"])
 
 
+def representatives(df: DataFrame) -> DataFrame:
+    """(video_id, cluster_id, frame_index, ts, distance): each cluster's frame nearest to its centroid, of equals the first."""
+    near = scoring.with_distance(df, scoring.centroids(df))
+    best = near.groupBy("video_id", "cluster_id").agg(F.min(F.struct(F.round("distance", 9).alias("d"), "frame_index", "ts", "distance")).alias("m"))
+    return best.select("video_id", "cluster_id", "m.frame_index", "m.ts", "m.distance")
+
+
+def cluster_and_select(df: DataFrame, settings: Settings = DEFAULT, gap: float = 0.0, inits: int | None = None) -> DataFrame:
+    """(video_id, ts, frame_index, distance): clusters, their representatives, and of these the ones at least ``gap`` apart."""
+    found = representatives(cluster_frames(df, settings, inits))
+    return timeline.temporal_spacing(found, "distance", gap)
+
+
 def corpus_kmeans(df: DataFrame, k: int, settings: Settings = DEFAULT) -> DataFrame:
     """``cluster_id`` by k-means over all rows, for corpora rather than videos."""
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
 
     rows = df.withColumn("vector", array_to_vector("features"))
     model = KMeans(k=k, seed=settings.seed, maxIter=settings.kmeans_steps, featuresCol="vector", predictionCol="cluster_id").fit(rows)

@@ -48,10 +48,19 @@ def latest_state(transitions: DataFrame) -> DataFrame:
     )
 
 
-def attach_scores(keyframes: DataFrame, scores: DataFrame, on: list[str]) -> DataFrame:
-    """Keyframes with their score, null if there is none; the last score of a frame counts."""
-    last = scores.groupBy(*on).agg(F.max_by("score", "seq").alias("score"))
-    return keyframes.join(last, on, "left")
+def attach_scores(keyframes: DataFrame, scores: DataFrame, on: list[str], which: str = "last", how: str = "left") -> DataFrame:
+    """Keyframes with a score; of a frame's scores the ``which`` (first or last) by ``seq`` counts.
+
+    ``how``: left keeps keyframes without a score, inner drops them.
+    """
+    pick = {"first": F.min_by, "last": F.max_by}[which]
+    return keyframes.join(scores.groupBy(*on).agg(pick("score", "seq").alias("score")), on, how)
+
+
+def gate(asked: DataFrame, jobs: DataFrame) -> DataFrame:
+    """``asked`` (id) with the code of an answer that needs a completed job: 404 without the job, 400 before its end, else 200."""
+    status = jobs.select("id", "status")
+    return asked.join(status, "id", "left").withColumn("code", F.when(F.col("status").isNull(), 404).when(F.col("status") != "completed", 400).otherwise(200))
 
 
 def job_log(logs: DataFrame, jobs: DataFrame) -> DataFrame:

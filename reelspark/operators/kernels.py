@@ -11,8 +11,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .timeline import reachable, walk_thresholds
+
 
 def grey(bgr: np.ndarray) -> np.ndarray:
     """Luma in 14-bit fixed point, rounded, 0 to 255."""
@@ -174,8 +177,16 @@ def outer_contour(mask: np.ndarray, start: tuple[int, int]) -> list[tuple[int, i
     return out
 
 
+def corners(contour: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A closed contour without the points at which it goes straight on."""
+    p = np.array(contour)
+    came, goes = p - np.roll(p, 1, axis=0), np.roll(p, -1, axis=0) - p
+    turns = (came != goes).any(axis=1)
+    return [tuple(x) for x in p[turns].tolist()] or contour[:1]
+
+
 def shape_features(bgr: np.ndarray, terms: int = 32) -> np.ndarray:
-    """Fourier descriptors of the largest outer contour: real and imaginary parts over the first one's size; zeros without one."""
+    """Fourier descriptors of the corners of the largest outer contour: real and imaginary parts over the first one's size; zeros without one."""
     edges = canny(resize(grey(bgr), 128, 128))
     left, best, area = edges.copy(), [], -1.0
     for y, x in np.argwhere(edges):
@@ -191,6 +202,7 @@ def shape_features(bgr: np.ndarray, terms: int = 32) -> np.ndarray:
             size = 0.5 * abs((p[:, 0] * np.roll(p[:, 1], 1) - p[:, 1] * np.roll(p[:, 0], 1)).sum())
             if size > area:
                 best, area = c, size
+    best = corners(best) if len(best) else best
     if len(best) < 4:
         return np.zeros(2 * terms)
     p = np.array(best, float)
@@ -205,6 +217,14 @@ def combined_features(bgr: np.ndarray) -> np.ndarray:
     return np.concatenate([colour_features(bgr), texture_features(bgr), shape_features(bgr)])
 
 
+def fallback_features(bgr: np.ndarray) -> np.ndarray:
+    """256 numbers where no network is at hand: 64 bins each of hue, saturation, value and edges, each of unit length."""
+    x = hsv(bgr)
+    parts = [np.histogram(x[..., c], bins=64, range=(0, top))[0].astype(float) for c, top in ((0, 180), (1, 256), (2, 256))]
+    parts.append(np.histogram(canny(grey(bgr)) * 255.0, bins=64, range=(0, 256))[0].astype(float))
+    return np.concatenate([h / (np.sqrt((h * h).sum()) or 1.0) for h in parts])
+
+
 def _entropy(h: np.ndarray) -> float:
     p = h / (h.sum() + 1e-10)
     return float(-(p * np.log2(p + 1e-10)).sum())
@@ -229,19 +249,27 @@ def is_uniform(bgr: np.ndarray) -> bool:
     return bool((np.abs(x - gaussian(x)) < 10).mean() > 0.6)
 
 
+SMALL = (90, 160)
+
+
+def small_grey(bgr: np.ndarray) -> np.ndarray:
+    """90 x 160 grey bytes, from which motion is taken."""
+    return np.rint(resize(grey(bgr), *SMALL)).astype(np.uint8)
+
+
 def motion_between(a: np.ndarray, b: np.ndarray) -> float:
-    return float(np.abs(resize(grey(a), 90, 160) - resize(grey(b), 90, 160)).mean())
+    return float(np.abs(small_grey(a).astype(float) - small_grey(b)).mean())
 
 
 def to_array(image) -> np.ndarray:
     return np.frombuffer(image["data"], np.uint8).reshape(image["height"], image["width"], image["nChannels"])[..., :3]
 
 
-METRICS = "brightness double, sharpness double, edge_density double, entropy double, uniform boolean"
+METRICS = "brightness double, sharpness double, edge_density double, entropy double, uniform boolean, small binary"
 
 
 def frame_metrics(frames: DataFrame, image: str = "image") -> DataFrame:
-    """``frames`` without pixels, with METRICS; one pass over each frame."""
+    """``frames`` without pixels, with METRICS; one pass over each frame. ``small`` is small_grey's 14,400 bytes."""
     rest = [c for c in frames.columns if c != image]
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -249,13 +277,38 @@ def frame_metrics(frames: DataFrame, image: str = "image") -> DataFrame:
             found = []
             for i in pdf[image]:
                 x = to_array(i)
-                found.append((brightness(x), blur_score(x), edge_density(x), colour_entropy(x), is_uniform(x)))
-            yield pdf[rest].reset_index(drop=True).join(pd.DataFrame(found, columns=["brightness", "sharpness", "edge_density", "entropy", "uniform"]))
+                found.append((brightness(x), blur_score(x), edge_density(x), colour_entropy(x), is_uniform(x), small_grey(x).tobytes()))
+            yield pdf[rest].reset_index(drop=True).join(pd.DataFrame(found, columns=["brightness", "sharpness", "edge_density", "entropy", "uniform", "small"]))
 
     schema = ", ".join(f"`{c}` {t}" for c, t in frames.dtypes if c != image) + ", " + METRICS
     return frames.mapInPandas(work, schema)
 
 
+def described(frames: DataFrame, image: str = "image") -> DataFrame:
+    """``frames`` without pixels, with METRICS and the 182 combined features: all that a summary needs of a frame."""
+    return frame_metrics(frames.withColumn("features", features_of(F.col(image))), image)
+
+
+def grey_change(a: Column, b: Column) -> Column:
+    """Mean difference of two frames' small greys; null if either is missing."""
+
+    @F.pandas_udf("double")
+    def compute(a: pd.Series, b: pd.Series) -> pd.Series:
+        change = lambda x, y: None if x is None or y is None else float(np.abs(np.frombuffer(x, np.uint8).astype(float) - np.frombuffer(y, np.uint8)).mean())
+        return pd.Series([change(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return compute(a, b)
+
+
+def motion_context(metrics: DataFrame, small: str = "small") -> DataFrame:
+    """``motion``: the mean grey change to the frames before and after in the video, of those there are; ``small`` goes."""
+    order = W.partitionBy("video_id").orderBy("ts", "frame_index")
+    found = metrics.withColumn("_lag", F.lag(small).over(order)).withColumn("_before", grey_change(F.col("_lag"), F.col(small))).drop("_lag")
+    found = found.withColumn("_after", F.lead("_before").over(order)).drop(small)
+    total = F.coalesce("_before", F.lit(0.0)) + F.coalesce("_after", F.lit(0.0))
+    return found.withColumn("motion", F.when(F.col("_before").isNotNull() & F.col("_after").isNotNull(), total / 2).otherwise(total)).drop("_before", "_after")
+
+
 def features_of(image: Column) -> Column:
     """The 182 combined features of an image column."""
 
@@ -266,36 +319,112 @@ def features_of(image: Column) -> Column:
     return compute(image)
 
 
-def redundancy_filter(frames: DataFrame, threshold: float = 0.75, method: str = "histogram", image: str = "image") -> DataFrame:
-    """Frames less alike than ``threshold`` to the last kept frame of their video; ``diff_score`` is 1 less the likeness, 0 for the first.
+def fallback_features_of(image: Column) -> Column:
+    """The 256 numbers of fallback_features of an image column."""
 
-    A video's frames come in order, a batch at a time; only the last kept one is held. ``method``: histogram, pixel or combined.
-    """
+    @F.pandas_udf("array<double>")
+    def compute(images: pd.DataFrame) -> pd.Series:
+        return pd.Series([fallback_features(to_array(i)) for _, i in images.iterrows()])
+
+    return compute(image)
 
-    def likeness(a: np.ndarray, b: np.ndarray) -> float:
-        if method == "pixel":
-            return pixel_similarity(a, b)
-        x, y = bgr_histogram(a), bgr_histogram(b)
-        shared = np.sqrt(x * y).sum() / np.sqrt(x.sum() * y.sum())
+
+class Likeness:
+    """How alike two frames are, by histogram, pixel or combined; what is needed of a frame is made once."""
+
+    def __init__(self, method: str):
+        if method not in ("histogram", "pixel", "combined"):
+            raise ValueError(f"unknown method {method}")
+        self.method = method
+
+    def key(self, bgr: np.ndarray) -> tuple:
+        hist = bgr_histogram(bgr) if self.method != "pixel" else None
+        small = resize(bgr.astype(float), *SMALL) if self.method == "combined" else None
+        return hist, small, bgr
+
+    def __call__(self, a: tuple, b: tuple) -> float:
+        if self.method == "pixel":
+            return pixel_similarity(a[2], b[2])
+        shared = np.sqrt(a[0] * b[0]).sum() / np.sqrt(a[0].sum() * b[0].sum())
         hist = float(np.clip(1 - np.sqrt(max(0.0, 1 - shared)), 0, 1))
-        return hist if method == "histogram" else (hist + structural_similarity(a, b)) / 2
+        return hist if self.method == "histogram" else (hist + 1 - float(((a[1] - b[1]) ** 2).mean()) / 255**2) / 2
+
+
+def _in_order(frames: DataFrame) -> DataFrame:
+    return frames.repartition("video_id").sortWithinPartitions("video_id", "ts", "frame_index")
+
+
+def _seen(x: np.ndarray, ts: float, blur: float, dark: float, skip: float) -> bool:
+    """Whether a frame is looked at: after the intro, neither dark nor blurred."""
+    return ts >= skip and (dark <= 0 or brightness(x) >= dark) and (blur <= 0 or blur_score(x) >= blur)
+
+
+def redundancy_filter(frames: DataFrame, threshold: float = 0.75, method: str = "histogram", image: str = "image", blur: float = 0.0, dark: float = 0.0, skip: float = 0.0) -> DataFrame:
+    """Frames less alike than ``threshold`` to the last kept frame of their video; ``diff_score`` is 1 less the likeness, 0 for the first.
+
+    Frames before ``skip`` seconds, darker than ``dark`` or less sharp than ``blur`` aren't looked at. A video's frames
+    come in order, a batch at a time; only the last kept one is held. ``method``: histogram, pixel or combined.
+    """
+    like = Likeness(method)
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         video = last = None
         for pdf in parts:
             keep, diff = [], []
-            for v, i in zip(pdf["video_id"], pdf[image], strict=True):
+            for v, ts, i in zip(pdf["video_id"], pdf["ts"], pdf[image], strict=True):
                 x = to_array(i)
-                d = 0.0 if v != video else 1 - likeness(last, x)
-                if v != video or d > 1 - threshold:
-                    video, last = v, x
-                    keep.append(True)
-                    diff.append(d)
-                else:
-                    keep.append(False)
+                if v != video:
+                    video, last = v, None
+                kept = False
+                if _seen(x, ts, blur, dark, skip):
+                    now = like.key(x)
+                    d = 0.0 if last is None else 1 - like(last, now)
+                    if kept := last is None or d > 1 - threshold:
+                        last = now
+                        diff.append(d)
+                keep.append(kept)
             out = pdf[keep].copy()
             out["diff_score"] = diff
             yield out
 
-    ordered = frames.repartition("video_id").sortWithinPartitions("video_id", "ts", "frame_index")
-    return ordered.mapInPandas(work, ", ".join(f"`{c}` {frames.schema[c].dataType.simpleString()}" for c in frames.columns) + ", diff_score double")
+    return _in_order(frames).mapInPandas(work, ", ".join(f"`{c}` {frames.schema[c].dataType.simpleString()}" for c in frames.columns) + ", diff_score double")
+
+
+def adaptive_similarity(frames: DataFrame, least: int = 10, most: int = 100, start: float = 0.95, image: str = "image", blur: float = 50.0, dark: float = 25.0) -> DataFrame:
+    """(video_id, threshold, kept): per video a threshold of the combined likeness that keeps between ``least`` and ``most`` frames.
+
+    The walk goes in steps of 0.02 within 0.5 and 0.99, ten rounds at most. All thresholds that it may come to are
+    counted in one pass over the frames; thresholds with the same last kept frame share a comparison.
+    """
+    like = Likeness("combined")
+    # too few kept raises the likeness that is allowed: the walk runs on its complement
+    thresholds = [round(1 - t, 6) for t in reachable(1 - start, 0.02, 0.01, 0.5)]
+
+    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        video, last, n = None, [None] * len(thresholds), [0] * len(thresholds)
+
+        def done() -> pd.DataFrame:
+            by = dict(zip(thresholds, n, strict=True))
+            used, kept = walk_thresholds(lambda d: by[round(1 - d, 6)], 1 - start, 0.02, 0.01, 0.5, least, most)
+            return pd.DataFrame({"video_id": [video], "threshold": [round(1 - used, 6)], "kept": [kept]})
+
+        for pdf in parts:
+            for v, i in zip(pdf["video_id"], pdf[image], strict=True):
+                if v != video:
+                    if video is not None:
+                        yield done()
+                    video, last, n = v, [None] * len(thresholds), [0] * len(thresholds)
+                x = to_array(i)
+                if not _seen(x, 0.0, blur, dark, 0.0):
+                    continue
+                now, known = like.key(x), {}
+                for k, t in enumerate(thresholds):
+                    if last[k] is not None and id(last[k]) not in known:
+                        known[id(last[k])] = like(last[k], now)
+                    if last[k] is None or known[id(last[k])] < t:
+                        last[k] = now
+                        n[k] += 1
+        if video is not None:
+            yield done()
+
+    return _in_order(frames.select("video_id", "ts", "frame_index", image)).mapInPandas(work, "video_id long, threshold double, kept long")

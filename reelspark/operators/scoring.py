@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,11 +14,14 @@ from ..functions import vectors as V
 from .timeline import in_video
 
 
+def group_means(df: DataFrame, by: list[str], features: str = "features") -> DataFrame:
+    """(by, mean, size): mean vectors, summed up on the map side; a row stays one row whatever its length."""
+    return df.groupBy(*by).agg(vector_to_array(Summarizer.mean(array_to_vector(F.col(features)))).alias("mean"), F.count("*").alias("size"))
+
+
 def centroids(df: DataFrame, features: str = "features") -> DataFrame:
-    """(video_id, cluster_id, centroid, size): means by dimension; partial sums meet per cluster and dimension."""
-    by_dim = df.select("video_id", "cluster_id", F.posexplode(features).alias("dim", "x")).groupBy("video_id", "cluster_id", "dim").agg(F.avg("x").alias("mean"), F.count("*").alias("n"))
-    whole = by_dim.groupBy("video_id", "cluster_id").agg(F.array_sort(F.collect_list(F.struct("dim", "mean"))).alias("m"), F.max("n").alias("size"))
-    return whole.select("video_id", "cluster_id", F.transform("m", lambda x: x["mean"]).alias("centroid"), "size")
+    """(video_id, cluster_id, centroid, size)."""
+    return group_means(df, ["video_id", "cluster_id"], features).withColumnRenamed("mean", "centroid")
 
 
 def with_distance(df: DataFrame, centres: DataFrame, features: str = "features") -> DataFrame:
@@ -141,8 +146,14 @@ def ranked_factors(k: int = 3) -> Column:
     return F.transform(F.slice(F.array_sort(items), 1, k), lambda x: F.struct(x["name"].alias("name"), (-x["v"]).alias("value")))
 
 
+#: Labels that a frame is compared with at most.
+MOST_LABELS = 10_000
+
+
 def softmax_top(df: DataFrame, labels: DataFrame, features: str = "features", scale: float = 100.0) -> DataFrame:
-    """The best label of each frame: softmax of scaled cosine over the labels (label, vector) of a small fixed table."""
+    """The best label of each frame: softmax of scaled cosine over the labels (label, vector), at most MOST_LABELS."""
+    if labels.limit(MOST_LABELS + 1).count() > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
     scored = df.select("video_id", "frame_index", features).crossJoin(F.broadcast(labels)).withColumn("s", scale * V.cosine_similarity(F.col(features), F.col("vector")))
     best = scored.groupBy("video_id", "frame_index").agg(F.max(F.struct("s", (-F.col("label")).alias("l"))).alias("m"), F.collect_list("s").alias("all"))
     return best.select("video_id", "frame_index", (-F.col("m.l")).alias("label"), (1 / V.total(F.transform("all", lambda x: F.exp(x - F.col("m.s"))))).alias("score"))

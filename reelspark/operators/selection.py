@@ -6,12 +6,15 @@ frames taken so far, so they are a grouped function per video over narrow rows (
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
+from . import scoring
 
 COLUMNS = "video_id long, frame_index long, ts double, cluster_id int, score double, stage int"
 
@@ -68,6 +71,12 @@ def select(df: DataFrame, settings: Settings = DEFAULT, target: int | None = Non
     return narrow.groupBy("video_id").applyInPandas(one_video, COLUMNS)
 
 
+def select_up_to_three(scored: DataFrame, settings: Settings = DEFAULT, target: int | None = None) -> DataFrame:
+    """select with at most three frames a cluster, of the frames without a rejection_reason, or of all if a video has none."""
+    able = scoring.prefilter(scored, F.lit(1))
+    return select(able, replace(settings, max_per_cluster=3), target)
+
+
 def not_selected(df: DataFrame, selected: DataFrame) -> DataFrame:
     return df.join(selected.select("video_id", "frame_index"), ["video_id", "frame_index"], "left_anti")
 

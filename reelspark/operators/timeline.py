@@ -5,12 +5,15 @@ Inputs have video_id, frame_index and ts; a window never spans videos, so a corp
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..config import DEFAULT
 from ..functions import scalars as S
@@ -58,81 +61,167 @@ def quality_gate(df: DataFrame, brightness: str, sharpness: str, settings=DEFAUL
 
 
 # --- folds ----------------------------------------------------------------------------------------------------------
+#
+# A fold's state goes from frame to frame, so it is one pass over a video's frames in order. Spark sorts them; the pass
+# reads batches and holds its state only, however many frames a video has.
 
 
-def fold_kept(df: DataFrame, value: str, keep: Callable[[Column, Column], Column]) -> DataFrame:
-    """Keeps a video's first frame and then each one for which ``keep(last kept value, its value)`` holds.
+class Fold:
+    """What one video's pass keeps. ``step`` takes a frame and returns what is certain by now, ``end`` the rest."""
+
+    def step(self, frame: tuple) -> list[tuple]:
+        raise NotImplementedError
+
+    def end(self) -> list[tuple]:
+        return []
+
+
+def fold(df: DataFrame, columns: list[str], make: Callable[[], Fold], schema: str) -> DataFrame:
+    """One ``make()`` per video over (ts, frame_index, *columns) in order; rows of video_id and what the fold returns."""
+    names = schema_names(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        video, state = None, None
+        for batch in batches:
+            out: list[tuple] = []
+            for v, *frame in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if state is None or v != video:
+                    out += [(video, *r) for r in state.end()] if state else []
+                    video, state = v, make()
+                out += [(v, *r) for r in state.step(tuple(frame))]
+            if out:
+                yield rows(out)
+        if state is not None and (out := [(video, *r) for r in state.end()]):
+            yield rows(out)
+
+    kinds = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
+
+    def rows(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds.types, strict=True)], names=names)
+
+    dealt = df.select("video_id", "ts", "frame_index", *columns).repartition("video_id").sortWithinPartitions("video_id", "ts", "frame_index")
+    return dealt.mapInArrow(run, schema)
 
-    The last kept frame isn't the previous one, so this is a fold: one aggregate over the video's ordered frames, of
-    which only index, time and value are gathered.
-    """
-    item = F.struct("ts", "frame_index", F.col(value).alias("value"))
-    gathered = df.groupBy("video_id").agg(F.array_sort(F.collect_list(item)).alias("frames"))
-    kept_type = "array<struct<ts:double,frame_index:bigint,value:" + dict(df.dtypes)[value] + ">>"
-    start = F.array().cast(kept_type)
-    step = lambda acc, x: F.when((F.size(acc) == 0) | keep(F.try_element_at(acc, F.lit(-1))["value"], x["value"]), F.concat(acc, F.array(x.cast(kept_type[6:-1])))).otherwise(acc)
-    return gathered.select("video_id", F.inline(F.aggregate("frames", start, step)))
+
+def schema_names(schema: str) -> list[str]:
+    return [part.split()[0] for part in schema.split(",")]
+
+
+class _LastKept(Fold):
+    def __init__(self, keep: Callable[[float, float], bool]):
+        self.keep, self.last = keep, None
+
+    def step(self, frame: tuple) -> list[tuple]:
+        if self.last is not None and not self.keep(self.last, frame[2]):
+            return []
+        self.last = frame[2]
+        return [frame]
+
+
+def fold_kept(df: DataFrame, value: str, keep: Callable[[float, float], bool]) -> DataFrame:
+    """Keeps a video's first frame and then each one for which ``keep(last kept value, its value)`` holds; no null values."""
+    found = df.select("video_id", "ts", "frame_index", F.col(value).cast("double").alias("value"))
+    return fold(found, ["value"], lambda: _LastKept(keep), "video_id long, ts double, frame_index long, value double")
 
 
 def redundancy_keep(df: DataFrame, value: str, difference: float) -> DataFrame:
     """Frames whose value differs from the last kept one by at least ``difference``."""
-    return fold_kept(df, value, lambda last, now: F.abs(now - last) >= difference)
+    return fold_kept(df, value, lambda last, now: abs(now - last) >= difference)
 
 
-def adaptive_threshold(df: DataFrame, value: str, start: float, step: float, low: float, high: float, least: int, most: int, rounds: int = 10) -> DataFrame:
-    """Per video a difference for redundancy_keep that keeps between ``least`` and ``most`` frames, walked to in ``rounds`` steps.
+def walk_thresholds(count: Callable[[float], int], start: float, step: float, low: float, high: float, least: int, most: int, rounds: int = 10) -> tuple[float, int]:
+    """(threshold, count): too small a count moves the threshold by -step, too large a one by step, within [low, high].
 
-    Rows (video_id, difference, kept): too few kept lowers it by ``step``, too many raises it, within [low, high]; the
-    last round's result counts even if it is out of range.
+    The last round's result counts even if it is out of range.
     """
-    gathered = df.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("ts", "frame_index", F.col(value).alias("value")))).alias("frames"))
-    now = gathered.withColumns({"difference": F.lit(float(start)), "kept": F.lit(-1), "done": F.lit(False)})
+    now = start
     for _ in range(rounds):
-        # the state is (last kept value, count); a video that is done keeps its own
-        fold = F.aggregate(
-            "frames", F.struct(F.lit(None).cast("double").alias("last"), F.lit(0).alias("n")),
-            lambda acc, x: F.when(acc["last"].isNull() | (F.abs(x["value"] - acc["last"]) >= F.col("difference")), F.struct(x["value"].alias("last"), (acc["n"] + 1).alias("n"))).otherwise(acc),
-            lambda acc: acc["n"],
-        )
-        now = now.withColumn("count", F.when(F.col("done"), F.col("kept")).otherwise(fold))
-        inside = (F.col("count") >= least) & (F.col("count") <= most)
-        moved = F.greatest(F.lit(low), F.least(F.lit(high), F.col("difference") + F.when(F.col("count") < least, -step).otherwise(step)))
-        now = now.withColumns({"next": F.when(F.col("done") | inside, F.col("difference")).otherwise(moved), "used": F.col("difference")})
-        now = now.select("video_id", "frames", F.col("next").alias("difference"), F.col("count").alias("kept"), (F.col("done") | inside).alias("done"), "used")
-    return now.select("video_id", F.round(F.when(F.col("done"), F.col("difference")).otherwise(F.col("used")), 6).alias("difference"), F.col("kept").cast("bigint").alias("kept"))
+        used, n = now, count(now)
+        if least <= n <= most:
+            break
+        now = max(low, min(high, now + (-step if n < least else step)))
+    return used, n
+
+
+def reachable(start: float, step: float, low: float, high: float, rounds: int = 10) -> list[float]:
+    """Every threshold that the walk may come to."""
+    seen, edge = {start}, {start}
+    for _ in range(rounds - 1):
+        edge = {max(low, min(high, t + d)) for t in edge for d in (-step, step)} - seen
+        seen |= edge
+    return sorted(seen)
+
+
+class _Counts(Fold):
+    """The frames that each threshold keeps, all in one pass."""
+
+    def __init__(self, thresholds: list[float], walk: Callable[[Callable[[float], int]], tuple[float, int]]):
+        self.thresholds, self.walk = thresholds, walk
+        self.at = np.array(thresholds)
+        self.last, self.n = np.full(len(thresholds), np.nan), np.zeros(len(thresholds), np.int64)
+
+    def step(self, frame: tuple) -> list[tuple]:
+        kept = ~(np.abs(frame[2] - self.last) < self.at)
+        self.last[kept] = frame[2]
+        self.n += kept
+        return []
+
+    def end(self) -> list[tuple]:
+        by = dict(zip(self.thresholds, self.n.tolist(), strict=True))
+        difference, n = self.walk(by.__getitem__)
+        return [(round(difference, 6), n)]
+
+
+def adaptive_threshold(df: DataFrame, value: str, start: float, step: float, low: float, high: float, least: int, most: int, rounds: int = 10) -> DataFrame:
+    """(video_id, difference, kept): per video a difference for redundancy_keep that keeps between ``least`` and ``most`` frames."""
+    thresholds = reachable(start, step, low, high, rounds)
+    found = df.select("video_id", "ts", "frame_index", F.col(value).cast("double").alias("value"))
+    walk = lambda count: walk_thresholds(count, start, step, low, high, least, most, rounds)
+    return fold(found, ["value"], lambda: _Counts(thresholds, walk), "video_id long, difference double, kept long")
+
+
+class _Spaced(Fold):
+    """The last taken frame waits, as a closer one may replace it."""
+
+    def __init__(self, gap: float):
+        self.gap, self.last = gap, None
+
+    def step(self, frame: tuple) -> list[tuple]:
+        if self.last is None or frame[0] - self.last[0] >= self.gap:
+            done, self.last = self.last, frame
+            return [done] if done else []
+        if frame[2] < self.last[2]:
+            self.last = frame
+        return []
+
+    def end(self) -> list[tuple]:
+        return [self.last]
 
 
 def temporal_spacing(df: DataFrame, distance: str, gap: float) -> DataFrame:
     """Frames at least ``gap`` apart; a frame too close replaces the last one if its distance is strictly smaller."""
-    if gap <= 0:
-        return df.select("video_id", "ts", "frame_index", F.col(distance).alias("distance"))
-    item = F.struct("ts", "frame_index", F.col(distance).cast("double").alias("distance"))
-    gathered = df.groupBy("video_id").agg(F.array_sort(F.collect_list(item)).alias("frames"))
-    kind = "array<struct<ts:double,frame_index:bigint,distance:double>>"
+    found = df.select("video_id", "ts", "frame_index", F.col(distance).cast("double").alias("distance"))
+    return fold(found, ["distance"], lambda: _Spaced(gap), "video_id long, ts double, frame_index long, distance double") if gap > 0 else found
+
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        one = F.array(x.cast(kind[6:-1]))
-        return (
-            F.when((F.size(acc) == 0) | (x["ts"] - last["ts"] >= gap), F.concat(acc, one))
-            .when(x["distance"] < last["distance"], F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), one))
-            .otherwise(acc)
-        )
+class _SpacedCuts(Fold):
+    def __init__(self, gap: float):
+        self.gap, self.last = gap, None
 
-    return gathered.select("video_id", F.inline(F.aggregate("frames", F.array().cast(kind), step)))
+    def step(self, frame: tuple) -> list[tuple]:
+        ts, index, cut = frame
+        if self.last is None:
+            self.last = ts
+        if not cut or ts - self.last < self.gap:
+            return []
+        self.last = ts
+        return [(ts, index)]
 
 
 def spaced_cuts(df: DataFrame, is_cut: str, gap: float) -> DataFrame:
     """Cuts (rows where ``is_cut``) at least ``gap`` after the last taken one; the video's first frame counts as taken."""
-    gathered = df.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("ts", "frame_index", F.col(is_cut).alias("cut")))).alias("frames"))
-    start = F.struct(F.element_at("frames", 1)["ts"].alias("last"), F.array().cast("array<struct<ts:double,frame_index:bigint>>").alias("taken"))
-
-    def step(acc: Column, x: Column) -> Column:
-        take = F.coalesce(x["cut"], F.lit(False)) & (x["ts"] - acc["last"] >= gap)
-        one = F.array(F.struct(x["ts"].alias("ts"), x["frame_index"].alias("frame_index")))
-        return F.struct(F.when(take, x["ts"]).otherwise(acc["last"]).alias("last"), F.when(take, F.concat(acc["taken"], one)).otherwise(acc["taken"]).alias("taken"))
-
-    return gathered.select("video_id", F.inline(F.aggregate("frames", start, step, lambda acc: acc["taken"])))
+    found = df.select("video_id", "ts", "frame_index", F.coalesce(is_cut, F.lit(False)).alias("cut"))
+    return fold(found, ["cut"], lambda: _SpacedCuts(gap), "video_id long, ts double, frame_index long")
 
 
 # --- scenes ---------------------------------------------------------------------------------------------------------

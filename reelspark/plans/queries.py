@@ -92,11 +92,26 @@ def file_names(spark, sf_dir):
     return T.table(spark, sf_dir, "pages").select("page_id", S.suffix(path).alias("suffix"), S.stem(path).alias("stem"))
 
 
-@query("SELECT p_partkey AS id, 'keyframe_' || CASE WHEN p_partkey < 1000 THEN lpad(CAST(p_partkey AS VARCHAR), 3, '0') ELSE left(CAST(p_partkey AS VARCHAR), 3) END || '.jpg' AS name FROM part")
+@query("SELECT p_partkey AS id, printf('keyframe_%03d.jpg', p_partkey) AS name FROM part")
 def keyframe_names(spark, sf_dir):
     return T.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), S.keyframe_name(F.col("p_partkey")).alias("name"))
 
 
+def _bytes_sql(most: str) -> str:
+    return f"list_sum(list_transform(range(1, {most} + 1), lambda i: ascii(substr(raw, i, 1)) * CAST(power(256, i - 1) AS HUGEINT)))"
+
+
+@query(
+    with_sql(
+        "r AS (SELECT c_custkey AS id, substr(c_name, CAST(1 + c_custkey % 7 AS INT), CAST(c_custkey % 11 AS INT)) AS raw FROM customer)",
+        select=f"SELECT id, CAST(CASE WHEN length(raw) BETWEEN 4 AND 8 THEN {_bytes_sql('length(raw)')} ELSE -1 END AS BIGINT) AS stored, CAST(CASE WHEN length(raw) >= 4 THEN {_bytes_sql('4')} ELSE 0 END AS BIGINT) AS shown FROM r",
+    )
+)
+def safe_int_of_bytes(spark, sf_dir):
+    raw = F.substring("c_name", (1 + F.col("c_custkey") % 7).cast("int"), (F.col("c_custkey") % 11).cast("int")).cast("binary")
+    return T.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), S.safe_int_bytes(raw, -1).alias("stored"), S.safe_int_bytes(raw, most=4).alias("shown"))
+
+
 @query("SELECT event_id, coalesce(try_cast(regexp_extract(props, '([0-9]+)', 1) AS BIGINT), 0) AS k, coalesce(try_cast(event_type AS BIGINT), 0) AS none FROM events")
 def safe_int(spark, sf_dir):
     return T.table(spark, sf_dir, "events").select("event_id", S.safe_int(F.regexp_extract("props", "([0-9]+)", 1)).alias("k"), S.safe_int(F.col("event_type")).alias("none"))
@@ -121,10 +136,18 @@ def grid_geometry(spark, sf_dir):
     return T.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", x.alias("x"), y.alias("y"))
 
 
-@query("SELECT event_id, CAST(CASE event_type " + " ".join(f"WHEN '{k}' THEN {v}.0" for k, v in (("view", 5), ("click", 15), ("purchase", 100))) + " ELSE 0.0 END AS DOUBLE) AS progress FROM events")
+_NAMES = [*PROGRESS, "unknown"]
+_NAMED_SQL = "[" + ", ".join(f"'{n}'" for n in _NAMES) + f"][CAST(event_id % {len(_NAMES)} AS INT) + 1]"
+
+
+def named_state(number: Column) -> Column:
+    """One of all states and an unknown one."""
+    return F.element_at(F.array(*map(F.lit, _NAMES)), (number % len(_NAMES) + 1).cast("int"))
+
+
+@query(f"SELECT event_id, CAST(CASE {_NAMED_SQL} " + " ".join(f"WHEN '{k}' THEN {v}.0" for k, v in PROGRESS.items()) + " ELSE 0.0 END AS DOUBLE) AS progress FROM events")
 def progress_map(spark, sf_dir):
-    state = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for x in ("view", "uploaded", "click", "extracting_frames", "purchase", "completed")]), F.col("event_type")), F.lit("pending"))
-    return T.table(spark, sf_dir, "events").select("event_id", S.progress(state).alias("progress"))
+    return T.table(spark, sf_dir, "events").select("event_id", S.progress(named_state(F.col("event_id"))).alias("progress"))
 
 
 @query(
@@ -209,6 +232,49 @@ def left_score_attach(spark, sf_dir):
     return jobs.attach_scores(T.keyframes(spark, sf_dir), scores, ["frame_index"]).select("job_id", "frame_index", "cluster_id", "score")
 
 
+_LINES_SQL = "s AS (SELECT l_partkey AS frame_index, arg_{pick}(l_extendedprice, l_orderkey * 10 + l_linenumber) AS score FROM lineitem WHERE l_quantity > 45 GROUP BY 1)"
+
+
+def _lines(spark, sf_dir) -> DataFrame:
+    """Scores of which a frame has many."""
+    li = T.table(spark, sf_dir, "lineitem").where("l_quantity > 45")
+    return li.select(F.col("l_partkey").alias("frame_index"), F.col("l_extendedprice").alias("score"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+
+
+@query(with_sql(_LINES_SQL.format(pick="min"), select="SELECT p_partkey AS frame_index, score FROM part LEFT JOIN s ON p_partkey = frame_index"))
+def first_score_attach(spark, sf_dir):
+    parts = T.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("frame_index"))
+    return jobs.attach_scores(parts, _lines(spark, sf_dir), ["frame_index"], "first")
+
+
+@query(with_sql(_LINES_SQL.format(pick="max"), select="SELECT p_partkey AS frame_index, score FROM part JOIN s ON p_partkey = frame_index"))
+def inner_score_attach(spark, sf_dir):
+    parts = T.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("frame_index"))
+    return jobs.attach_scores(parts, _lines(spark, sf_dir), ["frame_index"], "last", "inner")
+
+
+@query(with_sql(T.JOBS_SQL, "a AS (SELECT DISTINCT event_id * 3 AS id FROM events)", select="SELECT a.id, CASE WHEN j.id IS NULL THEN 404 WHEN status <> 'completed' THEN 400 ELSE 200 END AS code FROM a LEFT JOIN jobs j ON a.id = j.id"))
+def job_gate(spark, sf_dir):
+    asked = T.table(spark, sf_dir, "events").select((F.col("event_id") * 3).alias("id")).distinct()
+    return jobs.gate(asked, T.jobs(spark, sf_dir)).select("id", "code")
+
+
+@query(with_sql(T.VIDEOS_SQL, "s AS (SELECT id, duration, unnest(range(0, 3)) AS part FROM videos)", select="SELECT id, part, round(part * duration / 3, 6) AS start, round((part + 1) * duration / 3, 6) AS stop FROM s"))
+def timeline_segments(spark, sf_dir):
+    v = T.videos(spark, sf_dir).select("id", F.posexplode(S.timeline_segments(F.col("duration"))).alias("part", "s"))
+    return v.select("id", F.col("part").cast("bigint").alias("part"), F.round("s.start", 6).alias("start"), F.round("s.end", 6).alias("stop"))
+
+
+@query(
+    r"""WITH w AS (SELECT doc_id, text, list_filter(string_split_regex(lower(trim(text)), '[ \t\n\r]+'), lambda x: length(x) > 3)[1:4] AS w FROM documents)
+    SELECT doc_id, CASE WHEN text IS NULL THEN 'Visual object:0.8' ELSE coalesce(array_to_string(list_transform(w, lambda x: replace(upper(left(x, 1)), 'ẞ', 'SS') || lower(substr(x, 2)) || ':0.9'), '|'), '') END AS objects, CASE WHEN text IS NULL THEN 'Scene' ELSE 'Captured Reality' END AS environment FROM w"""
+)
+def deep_analysis(spark, sf_dir):
+    found = S.deep_analysis(F.col("text"))
+    listed = F.array_join(F.transform(found["objects"], lambda x: F.concat(x["label"], F.lit(":"), x["score"].cast("string"))), "|")
+    return T.table(spark, sf_dir, "documents").select("doc_id", listed.alias("objects"), found["environment"][0]["label"].alias("environment"))
+
+
 @query(with_sql(T.JOBS_SQL, select="SELECT status, count(*) AS total FROM jobs GROUP BY 1"))
 def jobs_total(spark, sf_dir):
     return T.jobs(spark, sf_dir).groupBy("status").agg(F.count("*").alias("total"))
@@ -385,8 +451,7 @@ CURVE_SQL = (
 def curve(spark, sf_dir) -> DataFrame:
     """A curve (video_id, k, wcss) from the given clusters folded into k."""
     f = T.features(spark, sf_dir).withColumn("k", F.explode(F.sequence(F.lit(2), F.lit(10)))).withColumn("c", F.col("cluster_id") % F.col("k"))
-    by = f.select("video_id", "k", "c", F.posexplode("features").alias("d", "x")).groupBy("video_id", "k", "c", "d").agg((F.sum(F.col("x") * F.col("x")) - F.sum("x") * F.sum("x") / F.count("*")).alias("w"))
-    return by.groupBy("video_id", "k").agg(F.sum("w").alias("wcss"))
+    return clustering.wcss(f, "c", ("video_id", "k"))
 
 
 ELBOW_SQL = (
@@ -401,18 +466,49 @@ def elbow_from_curve(spark, sf_dir):
     return clustering.elbow(curve(spark, sf_dir))
 
 
-@query(with_sql(T.JOBS_SQL, select="SELECT id, CASE status WHEN 'completed' THEN 'Completed' WHEN 'failed' THEN 'Failed' WHEN 'pending' THEN 'Queued' ELSE 'Processing' END AS label FROM jobs"))
+@query(f"SELECT event_id, CASE WHEN s = 'completed' THEN 'Completed' WHEN s = 'failed' THEN 'Failed' WHEN s IN ('pending', 'uploaded') THEN 'Queued' ELSE 'Processing' END AS label FROM (SELECT event_id, {_NAMED_SQL} AS s FROM events)")
 def status_labels(spark, sf_dir):
-    return T.jobs(spark, sf_dir).select("id", S.status_label(F.col("status")).alias("label"))
+    return T.table(spark, sf_dir, "events").select("event_id", S.status_label(named_state(F.col("event_id"))).alias("label"))
 
 
-@query()
+@query("SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN '#22c55e' WHEN 1 THEN '#eab308' WHEN 2 THEN '#ef4444' ELSE '#6366f1' END AS colour FROM lineitem")
+def confidence_colours(spark, sf_dir):
+    level = F.element_at(F.array(F.lit("HIGH"), F.lit("MEDIUM"), F.lit("LOW"), F.lit(None)), (F.col("l_linenumber") % 4 + 1).cast("int"))
+    return T.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", S.confidence_colour(level).alias("colour"))
+
+
+CURVES_SQL = (
+    "ks AS (SELECT video_id, frame_index, features, k, cluster_id % k AS c FROM features, range(2, 11) t(k)), "
+    "sp AS (SELECT a.video_id, a.frame_index AS f, b.frame_index AS g, list_distance(a.features, b.features) AS d FROM features a JOIN features b ON a.video_id = b.video_id AND a.frame_index <> b.frame_index), "
+    "sm AS (SELECT p.video_id, x.k, p.f, x.c AS own, y.c AS theirs, avg(d) AS d FROM sp p JOIN ks x ON p.f = x.frame_index JOIN ks y ON p.g = y.frame_index AND y.k = x.k GROUP BY 1, 2, 3, 4, 5), "
+    "se AS (SELECT video_id, k, f, max(CASE WHEN own = theirs THEN d END) AS a, min(CASE WHEN own <> theirs THEN d END) AS b FROM sm GROUP BY 1, 2, 3), "
+    "sil AS (SELECT video_id, k, round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END), 9) AS silhouette FROM se GROUP BY 1, 2)"
+)
+
+
+@query(
+    with_sql(
+        T.FEATURES_SQL, CURVE_SQL.split(", kd AS")[0].replace("ks AS", "k0 AS") + ", kd AS" + CURVE_SQL.split(", kd AS")[1].replace("FROM ks", "FROM k0"), ELBOW_SQL, "er AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY a DESC, i) AS r FROM away)", CURVES_SQL,
+        "best AS (SELECT video_id, arg_max(k, (silhouette, -k)) AS k FROM sil GROUP BY 1)", "n AS (SELECT video_id, CAST(floor(sqrt(count(*))) AS BIGINT) AS root FROM features GROUP BY 1)",
+        "pl AS (SELECT video_id, root, greatest(CAST(i AS BIGINT), k - 2) AS place FROM best JOIN er USING (video_id) JOIN n USING (video_id) WHERE r = 1)",
+        select="SELECT video_id, CAST(least(2 + CASE WHEN root > 2 AND root <= 8 THEN greatest(place, root - 2) ELSE place END, 10) AS BIGINT) AS k FROM pl",
+    )
+)
 def choose_k(spark, sf_dir):
+    """Elbow and exact silhouettes of the given clusters folded into k."""
     f = T.features(spark, sf_dir)
-    c = curve(spark, sf_dir).withColumn("silhouette", -F.round("wcss", 6)).join(f.groupBy("video_id").agg(F.count("*").alias("frames")), "video_id")
-    return clustering.choose_k(c, F.col("frames"))
+    folded = f.withColumn("k", F.explode(F.sequence(F.lit(2), F.lit(10)))).withColumn("cluster_id", F.col("cluster_id") % F.col("k"))
+    shape = clustering.silhouette(folded, ("video_id", "k"))
+    both = curve(spark, sf_dir).join(shape, ["video_id", "k"]).join(f.groupBy("video_id").agg(F.count("*").alias("frames")), "video_id")
+    return clustering.choose_k(both, F.col("frames"))
 
 
 @query()
 def kmeans_sweep(spark, sf_dir):
-    return clustering.sweep(T.features(spark, sf_dir).withColumn("ts", F.col("ts") / 4), inits=2).select("video_id", "k", F.round("wcss", 6).alias("wcss"), F.round("silhouette", 6).alias("silhouette"), "frames")
+    return clustering.sweep(T.features(spark, sf_dir).withColumn("ts", F.col("ts") / 4)).select("video_id", "k", F.round("wcss", 6).alias("wcss"), F.round("silhouette", 6).alias("silhouette"), "frames")
+
+
+@query()
+def cluster_and_select(spark, sf_dir):
+    """The older way from features to keyframes: clusters, their representatives, two seconds apart."""
+    return clustering.cluster_and_select(T.features(spark, sf_dir), gap=2.0).select("video_id", "frame_index", F.round("distance", 6).alias("distance"))

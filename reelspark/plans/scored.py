@@ -94,9 +94,9 @@ def timeline_position(spark, sf_dir):
 
 FACTOR_SQL = (
     f"{T.FEATURES_SQL}, {CENTROID_SQL}, {DISTANCE_SQL}, {HIST_SQL}, {ENTROPY_SQL}, "
-    "met AS (SELECT d.video_id, d.frame_index, d.ts, d.cluster_id, d.features, distance, size, entropy FROM distances d JOIN entropies e ON d.frame_index = e.frame_index), "
+    "met AS (SELECT d.video_id, d.frame_index, d.ts, d.cluster_id, d.features, distance, size, entropy - 1.45 AS entropy FROM distances d JOIN entropies e ON d.frame_index = e.frame_index), "
     "around AS (SELECT *, list_distance(features, lag(features) OVER w) AS before, list_distance(features, lead(features) OVER w) AS after FROM met WINDOW w AS (PARTITION BY video_id ORDER BY ts, frame_index)), "
-    "moved AS (SELECT *, (coalesce(before, 0) + coalesce(after, 0)) / CASE WHEN before IS NOT NULL AND after IS NOT NULL THEN 2 ELSE 1 END AS motion, count(*) OVER (PARTITION BY video_id ORDER BY CAST(round(ts * 1e6) AS BIGINT) RANGE BETWEEN 999999 PRECEDING AND 999999 FOLLOWING) - 1 AS neighbours, abs(features[2]) AS edges, 128 + 800 * features[1] AS brightness, 1000 * abs(features[3]) AS laplacian, entropy < 3.95 AS low_entropy FROM around), "
+    "moved AS (SELECT *, (coalesce(before, 0) + coalesce(after, 0)) / CASE WHEN before IS NOT NULL AND after IS NOT NULL THEN 2 ELSE 1 END AS motion, count(*) OVER (PARTITION BY video_id ORDER BY CAST(round(ts * 1e6) AS BIGINT) RANGE BETWEEN 999999 PRECEDING AND 999999 FOLLOWING) - 1 AS neighbours, abs(features[2]) AS edges, 128 + 800 * features[1] AS brightness, 1000 * abs(features[3]) AS laplacian, (entropy < 2.5 OR features[4] > 0.25) AS low_entropy FROM around), "
     + coverage_sql("moved")
     + ", factors AS (SELECT video_id, frame_index, ts, cluster_id, entropy, low_entropy, edges, brightness, "
     "round(CASE WHEN max(distance) OVER c - min(distance) OVER c > 1e-6 THEN 1 - (distance - min(distance) OVER c) / (max(distance) OVER c - min(distance) OVER c) ELSE 1.0 END, 9) AS representativeness, "
@@ -114,10 +114,11 @@ def factors(spark, sf_dir) -> DataFrame:
 
 
 def described(f: DataFrame) -> DataFrame:
-    """Features with what a pixel pass would give: brightness, edges, laplacian, entropy, low_entropy."""
+    """Features with what a pixel pass would give, read from single dimensions; the entropy is shifted to where the thresholds are."""
     return f.withColumns({
-        "entropy": color_entropy_of(F.transform("features", F.abs)), "edges": F.abs(F.element_at("features", 2)), "brightness": 128 + 800 * F.element_at("features", 1), "laplacian": 1000 * F.abs(F.element_at("features", 3)),
-    }).withColumn("low_entropy", F.col("entropy") < 3.95)
+        "entropy": color_entropy_of(F.transform("features", F.abs)) - 1.45, "edge_density": F.abs(F.element_at("features", 2)), "brightness": 128 + 800 * F.element_at("features", 1),
+        "sharpness": 1000 * F.abs(F.element_at("features", 3)), "uniform": F.element_at("features", 4) > 0.25,
+    })
 
 
 @query(with_sql(FACTOR_SQL, select="SELECT frame_index, " + ", ".join(f"round({f}, 5) AS {f}" for f in FACTORS) + " FROM factors"))
@@ -157,12 +158,12 @@ def importance_score(spark, sf_dir):
     return scores(spark, sf_dir).select("frame_index", F.round("raw", 6).alias("score"))
 
 
-CAP_SQL = "shown AS (SELECT frame_index, raw, entropy - 1.7 AS entropy, edges, low_entropy FROM scores)"
+CAP_SQL = "shown AS (SELECT frame_index, raw, entropy - 0.25 AS entropy, edges, low_entropy FROM scores)"
 
 
 @query(with_sql(FACTOR_SQL, REJECT_SQL, SCORE_SQL, CAP_SQL, select="SELECT frame_index, round(CASE WHEN low_entropy AND entropy < 2.0 AND edges < 0.05 THEN least(raw, 0.25) WHEN low_entropy AND entropy < 2.5 THEN least(raw, 0.35) ELSE raw END, 6) AS score, CASE WHEN low_entropy AND entropy < 2.0 AND edges < 0.05 THEN CASE WHEN raw > 0.25 THEN 'hard_entropy_penalty_very_low' END WHEN low_entropy AND entropy < 2.5 THEN CASE WHEN raw > 0.35 THEN 'hard_entropy_penalty_low' END WHEN low_entropy THEN 'entropy_penalty_moderate_applied' END AS tag FROM shown"))
 def entropy_caps(spark, sf_dir):
-    score, tag = scoring.capped(F.col("raw"), F.col("entropy") - 1.7, F.col("edges"), F.col("low_entropy"))
+    score, tag = scoring.capped(F.col("raw"), F.col("entropy") - 0.25, F.col("edges"), F.col("low_entropy"))
     return scores(spark, sf_dir).select("frame_index", F.round(score, 6).alias("score"), tag.alias("tag"))
 
 
@@ -251,7 +252,14 @@ def redundancy_keep(spark, sf_dir):
     return timeline.redundancy_keep(T.frames(spark, sf_dir), "signal", 50.0).select("video_id", "frame_index", "value")
 
 
-@query()
+@query(
+    "WITH RECURSIVE " + ", ".join([
+        T.FRAMES_SQL, POSITION_SQL, "ds AS (SELECT CAST(5 * d AS DOUBLE) AS d FROM range(1, 31) t(d))",
+        "f AS (SELECT video_id, pos, d, signal AS last, 1 AS n FROM numbered, ds WHERE pos = 0 UNION ALL SELECT s.video_id, x.pos, s.d, CASE WHEN abs(x.signal - s.last) >= s.d THEN x.signal ELSE s.last END, s.n + CASE WHEN abs(x.signal - s.last) >= s.d THEN 1 ELSE 0 END FROM f s JOIN numbered x ON x.video_id = s.video_id AND x.pos = s.pos + 1)",
+        "c AS (SELECT video_id, d, max(n) AS n FROM f GROUP BY 1, 2)",
+        "r AS (SELECT c.video_id, 1 AS i, c.d, c.n FROM c WHERE d = 50 UNION ALL SELECT r.video_id, r.i + 1, c.d, c.n FROM r JOIN c ON c.video_id = r.video_id AND c.d = greatest(5.0, least(150.0, r.d + CASE WHEN r.n < 20 THEN -5.0 ELSE 5.0 END)) WHERE r.i < 10 AND NOT r.n BETWEEN 20 AND 30)",
+    ]) + " SELECT video_id, arg_max(d, i) AS difference, CAST(arg_max(n, i) AS BIGINT) AS kept FROM r GROUP BY 1"
+)
 def adaptive_threshold(spark, sf_dir):
     return timeline.adaptive_threshold(T.frames(spark, sf_dir), "signal", 50.0, 5.0, 5.0, 150.0, 20, 30)
 
@@ -297,11 +305,39 @@ def select_stage1(spark, sf_dir):
     return selection.first_stage_candidates(candidates(spark, sf_dir)).select("video_id", "cluster_id", "frame_index", F.round("score", 6).alias("score"))
 
 
-@query()
+def select_sql(source: str, most: int) -> str:
+    """Both stages of the selection over ``source``: folds over cluster bests, then over the rest by score."""
+    return (
+        f"able AS ({source}), bests AS (SELECT *, row_number() OVER (PARTITION BY video_id, cluster_id ORDER BY score DESC, frame_index) AS r FROM able), "
+        "q1 AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY cluster_id) AS i FROM bests WHERE r = 1 AND NOT (low_entropy AND entropy < 2.5) AND score >= 0.4), "
+        "vs AS (SELECT video_id, count(DISTINCT cluster_id) AS k FROM able GROUP BY 1), "
+        "s1 AS (SELECT video_id, CAST(0 AS BIGINT) AS i, CAST([] AS DOUBLE[]) AS times, CAST([] AS BIGINT[]) AS ids, CAST([] AS BIGINT[]) AS cs FROM vs UNION ALL SELECT s.video_id, q.i, "
+        "CASE WHEN len(list_filter(s.times, lambda t: abs(t - q.ts) < 0.5)) = 0 THEN list_append(s.times, q.ts) ELSE s.times END, CASE WHEN len(list_filter(s.times, lambda t: abs(t - q.ts) < 0.5)) = 0 THEN list_append(s.ids, q.frame_index) ELSE s.ids END, "
+        "CASE WHEN len(list_filter(s.times, lambda t: abs(t - q.ts) < 0.5)) = 0 THEN list_append(s.cs, CAST(q.cluster_id AS BIGINT)) ELSE s.cs END FROM s1 s JOIN q1 q ON q.video_id = s.video_id AND q.i = s.i + 1), "
+        "e1 AS (SELECT video_id, arg_max(times, i) AS times, arg_max(ids, i) AS ids, arg_max(cs, i) AS cs FROM s1 GROUP BY 1), "
+        f"q2 AS (SELECT a.*, row_number() OVER (PARTITION BY a.video_id ORDER BY score DESC, a.frame_index) AS i FROM able a JOIN e1 USING (video_id) WHERE score >= 0.4 AND NOT list_contains(ids, a.frame_index) AND len(list_filter(cs, lambda c: c = a.cluster_id)) < {most}), "
+        "s2 AS (SELECT video_id, CAST(0 AS BIGINT) AS i, times, ids, cs FROM e1 UNION ALL SELECT s.video_id, q.i, CASE WHEN ok THEN list_append(s.times, q.ts) ELSE s.times END, CASE WHEN ok THEN list_append(s.ids, q.frame_index) ELSE s.ids END, CASE WHEN ok THEN list_append(s.cs, CAST(q.cluster_id AS BIGINT)) ELSE s.cs END "
+        f"FROM s2 s JOIN vs v ON v.video_id = s.video_id JOIN q2 q ON q.video_id = s.video_id AND q.i = s.i + 1, LATERAL (SELECT len(s.ids) < {most} * v.k AND len(list_filter(s.cs, lambda c: c = q.cluster_id)) < {most} AND len(list_filter(s.times, lambda t: abs(t - q.ts) < 1.0)) = 0 AS ok) o), "
+        "e2 AS (SELECT video_id, arg_max(ids, i) AS ids FROM s2 GROUP BY 1), taken AS (SELECT video_id, unnest(ids) AS frame_index FROM e2)"
+    )
+
+
+def full_select_sql(source: str, most: int) -> str:
+    body = ", ".join([FACTOR_SQL, REJECT_SQL, SCORE_SQL, select_sql(source, most)])
+    return "WITH RECURSIVE " + body + " SELECT t.video_id, t.frame_index, a.ts, CAST(a.cluster_id AS INT) AS cluster_id, round(a.score, 6) AS score, CASE WHEN list_contains(e.ids, t.frame_index) THEN 1 ELSE 2 END AS stage FROM taken t JOIN able a ON a.frame_index = t.frame_index JOIN e1 e ON e.video_id = t.video_id"
+
+
+@query(full_select_sql("SELECT * FROM capped WHERE rejection_reason IS NULL", 2))
 def select_full(spark, sf_dir):
     return selection.select(candidates(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
+@query(full_select_sql("SELECT * FROM (SELECT *, count(*) FILTER (WHERE rejection_reason IS NULL) OVER (PARTITION BY video_id) AS passed FROM capped) WHERE rejection_reason IS NULL OR passed < 1", 3))
+def select_up_to_three(spark, sf_dir):
+    found = scores(spark, sf_dir).withColumn("is_low_entropy", F.col("low_entropy"))
+    return selection.select_up_to_three(found).withColumn("score", F.round("score", 6))
+
+
 @query()
 def video_summary(spark, sf_dir):
     found = summary.summarize(described(T.features(spark, sf_dir)))

@@ -1,6 +1,7 @@
-"""From described and clustered frames to a video's summary: factors, scores, selection, scenes and metrics in one plan.
+"""From frames to a video's summary: pixels, clusters, factors, scores, selection, scenes and metrics in one plan.
 
-Frames have video_id, frame_index, ts, cluster_id, features, brightness, edges, laplacian, entropy and low_entropy.
+Described frames have video_id, frame_index, ts, features, brightness, sharpness, edge_density, entropy and uniform, as
+kernels.described gives them, and may have motion; clustered ones have cluster_id too.
 """
 
 from __future__ import annotations
@@ -11,22 +12,31 @@ from pyspark.sql import functions as F
 from ..config import BASE_WEIGHTS, DEFAULT, FACTORS, Settings
 from ..functions import scalars as S
 from ..functions import vectors as V
-from ..operators import scoring, selection, timeline
+from ..operators import clustering, kernels, scoring, selection, timeline
 
 
-def factors(frames: DataFrame) -> DataFrame:
-    """The six factors of each frame, rounded so that ties are ties everywhere."""
+def low_entropy(settings: Settings = DEFAULT) -> Column:
+    return (F.col("entropy") < settings.low_entropy) | F.col("uniform")
+
+
+def factors(frames: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """The six factors of each frame, rounded so that ties are ties everywhere.
+
+    Without a column ``motion`` (kernels.motion_context), it is the distance of features to the frames before and after.
+    """
     d = frames.join(scoring.centroids(frames), ["video_id", "cluster_id"]).withColumn("distance", V.euclidean(F.col("features"), F.col("centroid"))).withColumnRenamed("size", "cluster_size").drop("centroid")
-    order = timeline.in_order()
-    d = d.withColumns({"before": V.euclidean(F.col("features"), F.lag("features").over(order)), "after": V.euclidean(F.col("features"), F.lead("features").over(order))})
-    total = F.coalesce("before", F.lit(0.0)) + F.coalesce("after", F.lit(0.0))
-    d = d.withColumn("motion", F.when(F.col("before").isNotNull() & F.col("after").isNotNull(), total / 2).otherwise(total))
+    d = d.withColumn("low_entropy", low_entropy(settings))
+    if "motion" not in frames.columns:
+        order = timeline.in_order()
+        d = d.withColumns({"before": V.euclidean(F.col("features"), F.lag("features").over(order)), "after": V.euclidean(F.col("features"), F.lead("features").over(order))})
+        total = F.coalesce("before", F.lit(0.0)) + F.coalesce("after", F.lit(0.0))
+        d = d.withColumn("motion", F.when(F.col("before").isNotNull() & F.col("after").isNotNull(), total / 2).otherwise(total))
     d = timeline.segment_coverage(timeline.temporal_novelty(d, 1.0))
     made = {
-        "representativeness": scoring.representativeness(F.col("distance")), "dominance": scoring.dominance(), "visual_richness": scoring.visual_richness(F.col("edges"), F.col("laplacian"), F.col("entropy"), F.col("low_entropy")),
+        "representativeness": scoring.representativeness(F.col("distance")), "dominance": scoring.dominance(), "visual_richness": scoring.visual_richness(F.col("edge_density"), F.col("sharpness"), F.col("entropy"), F.col("low_entropy")),
         "temporal_coverage": F.col("temporal_coverage"), "visual_novelty": F.col("visual_novelty"), "motion_context": timeline.minmax(F.col("motion")),
     }
-    return d.select("video_id", "frame_index", "ts", "cluster_id", "entropy", "low_entropy", "edges", "brightness", "motion", "distance", *[F.round(made[f], 9).alias(f) for f in FACTORS])
+    return d.select("video_id", "frame_index", "ts", "cluster_id", "entropy", "low_entropy", F.col("edge_density").alias("edges"), "brightness", "motion", "distance", *[F.round(made[f], 9).alias(f) for f in FACTORS])
 
 
 def rejected(found: DataFrame) -> DataFrame:
@@ -43,7 +53,7 @@ def scored(found: DataFrame, weights: dict[str, Column] | None = None) -> DataFr
 
 def keyframes(frames: DataFrame, settings: Settings = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """(scored frames that may be chosen, chosen keyframes with factors and confidence)."""
-    found = rejected(factors(frames))
+    found = rejected(factors(frames, settings))
     pace = found.groupBy("video_id").agg(F.avg("motion").alias("m"), F.stddev_pop("motion").alias("d")).select("video_id", scoring.pacing_by_motion(F.col("m"), F.col("d")).alias("pace"))
     found = scored(found.join(pace, "video_id"), scoring.weights(F.col("pace")))
     found = scoring.with_confidence(found, "score").withColumn("confidence", scoring.lowered(F.col("confidence"), F.col("entropy"), F.col("low_entropy")))
@@ -53,6 +63,22 @@ def keyframes(frames: DataFrame, settings: Settings = DEFAULT) -> tuple[DataFram
     return able, able.join(chosen, ["video_id", "frame_index"])
 
 
+def from_images(frames: DataFrame, settings: Settings = DEFAULT, method: str = "histogram", inits: int | None = None) -> DataFrame:
+    """Clustered frames (video_id, frame_index, ts, ...) from pixels (video_id, frame_index, ts, image), all but the clusters in one pass each.
+
+    Redundant, dark, blurred and intro frames go; the rest are described, their features scaled to length 1 and clustered
+    by video. Pixels end at the description; only 14,400 grey bytes a frame go on, to its neighbours.
+    """
+    kept = kernels.redundancy_filter(frames, settings.similarity, method, blur=settings.blur, dark=settings.dark, skip=settings.skip_intro)
+    found = kernels.motion_context(kernels.described(kept)).withColumn("features", V.l2_normalize(F.col("features")))
+    return clustering.cluster_frames(found, settings, inits)
+
+
+def summarize_images(frames: DataFrame, settings: Settings = DEFAULT, method: str = "histogram", inits: int | None = None) -> DataFrame:
+    """summarize of a table of images, such as files.image_frames gives."""
+    return summarize(from_images(frames, settings, method, inits), settings)
+
+
 def summarize(frames: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """One row per video with keyframes (array), counts, ratios, labels and scenes; videos without a keyframe have empty ones."""
     able, chosen = keyframes(frames, settings)

@@ -11,10 +11,12 @@ from collections.abc import Callable, Iterable
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions import scalars as S
+from ..operators.jobs import gate
 from ..schemas import SUMMARY, migrate
 
 
@@ -103,8 +105,6 @@ def png(bgr: np.ndarray) -> bytes:
 
 def encoded_keyframes(keyframes: DataFrame, image: str = "image") -> DataFrame:
     """(job_id, index, name, content): numbered PNG files in the order of time, as rows that any binary sink takes."""
-    from pyspark.sql import Window as W
-
     from ..operators.kernels import to_array
 
     @F.pandas_udf("binary")
@@ -115,25 +115,52 @@ def encoded_keyframes(keyframes: DataFrame, image: str = "image") -> DataFrame:
     return numbered.select("job_id", "index", S.keyframe_name(F.col("index"), "png").alias("name"), encode(image).alias("content"))
 
 
+# The rows of 3 x 5 glyphs, a bit a pixel.
+GLYPHS = {
+    "0": (7, 5, 5, 5, 7), "1": (2, 6, 2, 2, 7), "2": (7, 1, 7, 4, 7), "3": (7, 1, 7, 1, 7), "4": (5, 5, 7, 1, 1), "5": (7, 4, 7, 1, 7),
+    "6": (7, 4, 7, 5, 7), "7": (7, 1, 1, 2, 2), "8": (7, 5, 7, 5, 7), "9": (7, 5, 7, 1, 7), ":": (0, 2, 0, 2, 0), "#": (5, 7, 5, 7, 5),
+}
+
+
+def write_text(image: np.ndarray, text: str, x: int, y: int, scale: int) -> None:
+    """Draws digits, colons and # in white, their upper left corner at (x, y); what lies outside is cut off."""
+    for k, c in enumerate(text):
+        for row, bits in enumerate(GLYPHS[c]):
+            for column in range(3):
+                if bits >> (2 - column) & 1:
+                    top, left = y + row * scale, x + (4 * k + column) * scale
+                    image[top : top + scale, left : left + scale] = 255
+
+
+def board(images: list[np.ndarray], times: list[float], columns: int = 4, width: int = 400, padding: int = 10, background: int = 30, bar: int = 30) -> np.ndarray:
+    """Frames row by row in a grid of ``columns``, each with its number and, on a dark bar, its time."""
+    from ..operators.kernels import resize
+
+    h, w = images[0].shape[:2]
+    tw = min(w, width)
+    th = int(tw * h / w)
+    rows = -(-len(images) // columns)
+    out = np.full((padding + rows * (th + padding), padding + columns * (tw + padding), 3), background, np.uint8)
+    for k, (image, ts) in enumerate(zip(images, times, strict=True)):
+        y, x = padding + k // columns * (th + padding), padding + k % columns * (tw + padding)
+        thumb = np.round(resize(image.astype(float), th, tw)).astype(np.uint8)
+        thumb[max(0, th - bar) :] = 0
+        write_text(thumb, f"#{k + 1}", 5, 8, 3)
+        write_text(thumb, f"{int(ts // 60):02d}:{int(ts % 60):02d}", 5, max(0, th - 22), 3)
+        out[y : y + th, x : x + tw] = thumb
+    return out
+
+
 def storyboards(keyframes: DataFrame, columns: int = 4, width: int = 400, padding: int = 10, background: int = 30, image: str = "image") -> DataFrame:
-    """(job_id, content): one PNG per job with its keyframes in a grid, row by row."""
-    from ..operators.kernels import resize, to_array
+    """(job_id, content): one PNG per job with its keyframes in a grid, row by row, numbered and with their times."""
+    from ..operators.kernels import to_array
 
-    def board(pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ts", "frame_index"])
-        arrays = [to_array(i) for i in pdf[image]]
-        h, w = arrays[0].shape[:2]
-        tw = min(w, width)
-        th = int(tw * h / w)
-        n = min(columns, len(arrays))
-        rows = -(-len(arrays) // columns)
-        out = np.full((padding + rows * (th + padding), padding + n * (tw + padding), 3), background, np.uint8)
-        for k, a in enumerate(arrays):
-            y, x = padding + k // columns * (th + padding), padding + k % columns * (tw + padding)
-            out[y : y + th, x : x + tw] = np.round(resize(a.astype(float), th, tw)).astype(np.uint8)
-        return pd.DataFrame({"job_id": [pdf["job_id"].iloc[0]], "content": [png(out)]})
+        made = board([to_array(i) for i in pdf[image]], pdf["ts"].tolist(), columns, width, padding, background)
+        return pd.DataFrame({"job_id": [pdf["job_id"].iloc[0]], "content": [png(made)]})
 
-    return keyframes.select("job_id", "ts", "frame_index", image).groupBy("job_id").applyInPandas(board, "job_id long, content binary")
+    return keyframes.select("job_id", "ts", "frame_index", image).groupBy("job_id").applyInPandas(one, "job_id long, content binary")
 
 
 def export_zip(files: Iterable[tuple[str, bytes]]) -> bytes:
@@ -145,6 +172,32 @@ def export_zip(files: Iterable[tuple[str, bytes]]) -> bytes:
     return out.getvalue()
 
 
+def export_listing(files: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """Of files (job_id, name, ...) those that an archive has: all keyframes and a job's first storyboard by format."""
+    rank = F.array_position(F.array(*map(F.lit, settings.image_formats)), S.suffix(F.col("name")))
+    board_rank = F.when((S.stem(F.col("name")) == "storyboard") & (rank > 0), rank)
+    best = F.min(board_rank).over(W.partitionBy("job_id"))
+    return files.where(F.col("name").startswith("keyframe_") | (S.stem(F.col("name")) == "storyboard")).withColumns({"_rank": board_rank, "_best": best}).where(F.col("name").startswith("keyframe_") | (F.col("_rank") == F.col("_best"))).drop("_rank", "_best")
+
+
+def export_job(jobs: DataFrame, files: DataFrame, job_id: int, settings: Settings = DEFAULT) -> tuple[int, str | None, bytes | None]:
+    """(code, archive name, archive) of a job's summary files (job_id, name, content); 404 without the job, 400 before its end.
+
+    ``jobs`` has id, status and filename. One job's files come to the driver, which a summary's keyframes bound.
+    """
+    (answer,) = gate(jobs.sparkSession.createDataFrame([(job_id,)], "id long"), jobs).select("code").collect()
+    if answer.code != 200:
+        return answer.code, None, None
+    name = jobs.where(F.col("id") == job_id).select(F.concat(S.stem(F.col("filename")), F.lit("_keyframes.zip")).alias("n")).first().n
+    listed = export_listing(files.where(F.col("job_id") == job_id), settings).select("name", "content").collect()
+    return 200, name, export_zip((r.name, bytes(r.content)) for r in listed)
+
+
+def extractor_info(spark: SparkSession, features: str = "combined", size: int = 182, fallback: bool = True) -> DataFrame:
+    """One row: what features are made of here; networks aren't at hand, so their vectors are input columns."""
+    return spark.createDataFrame([(features, size, "cpu", fallback, False, False)], "model string, feature_dim int, device string, using_fallback boolean, torch_available boolean, clip_available boolean")
+
+
 def job_folder(root: str, job_id: Column, part: str) -> Column:
     """Where a job keeps frames, filtered_frames or its summary."""
     if part not in ("frames", "filtered_frames", "summary"):

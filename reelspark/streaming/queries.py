@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.queries import LATEST_SQL, QUERIES, query
 from ..plans.queries import SQL
-from .stateful import keep_changed, latest
+from .stateful import keep_changed, latest, spaced
 
 QUERY_OF_KEPT = SQL.get("redundancy_keep")
 
@@ -23,11 +25,21 @@ def _run(stream: DataFrame, folder: str, batch: Callable[[DataFrame, str], None]
         raise q.exception()
 
 
+def poll_jobs(spark: SparkSession, inbox: str, folder: str, schema: str, work: Callable[[DataFrame, int], None], interval: str = "1 second") -> StreamingQuery:
+    """A worker that looks for job files in ``inbox`` every ``interval`` and gives ``work`` one file at a time, oldest first.
+
+    Progress is kept in ``folder``: a job is taken once, and again only if the worker was lost before its end. The query
+    that is returned runs until it is stopped.
+    """
+    jobs = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(inbox)
+    return jobs.writeStream.option("checkpointLocation", f"{folder}/progress").trigger(processingTime=interval).foreachBatch(work).start()
+
+
 def _folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="reelspark-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base}/stream-{uuid.uuid4().hex}"
@@ -68,4 +80,13 @@ def stream_dedupe(spark, sf_dir):
     return spark.read.parquet(f"{folder}/out").select("video_id", "frame_index", "value")
 
 
+@query(SQL.get("temporal_spacing"))
+def stream_min_gap(spark, sf_dir):
+    folder = _folder(spark)
+    events = _events(spark, sf_dir).select(F.col("user_id").alias("video_id"), F.col("event_id").alias("frame_index"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("value").alias("distance"))
+    _run(spaced(events, 86400.0), folder, lambda df, path: df.write.mode("overwrite").parquet(path))
+    parts = spark.read.parquet(f"{folder}/out")
+    return parts.groupBy("video_id", "place").agg(F.max_by("frame_index", "version").alias("frame_index")).drop("place")
+
+
 __all__ = ["QUERIES"]

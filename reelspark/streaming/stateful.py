@@ -34,6 +34,33 @@ def keep_changed(frames: DataFrame, difference: float) -> DataFrame:
     return frames.groupBy("video_id").applyInPandasWithState(step, "video_id long, frame_index long, value double", "last double", "update", GroupStateTimeout.NoTimeout)
 
 
+def spaced(frames: DataFrame, gap: float) -> DataFrame:
+    """A stream of (video_id, frame_index, at in microseconds, distance) to frames at least ``gap`` seconds apart.
+
+    Rows (video_id, place, version, frame_index): a frame that comes too close replaces the last one if its distance is
+    smaller, and then takes its place with the next version; the highest version of a place counts.
+    """
+    us = int(round(gap * 1e6))
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        at, distance, place, version = state.get if state.exists else (None, None, -1, 0)
+        out = []
+        for row in pd.concat(list(parts)).sort_values(["at", "frame_index"]).itertuples():
+            if at is None or row.at - at >= us:
+                place, version = place + 1, 0
+            elif row.distance < distance:
+                version += 1
+            else:
+                continue
+            at, distance = int(row.at), float(row.distance)
+            out.append((key[0], place, version, row.frame_index))
+        if at is not None:
+            state.update((at, distance, place, version))
+        yield pd.DataFrame(out, columns=["video_id", "place", "version", "frame_index"])
+
+    return frames.groupBy("video_id").applyInPandasWithState(step, "video_id long, place long, version long, frame_index long", "at long, distance double, place long, version long", "update", GroupStateTimeout.NoTimeout)
+
+
 def latest(transitions: DataFrame) -> DataFrame:
     """One row per job of what its transitions in a batch add to its state; partial results merge by max, min and sum."""
     ok = F.col("status") != "failed"

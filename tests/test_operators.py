@@ -200,7 +200,7 @@ def test_scalars(spark):
     value = lambda c: one.select(c.alias("x")).first().x
     assert value(S.format_timestamp(F.lit(3600.9))) == "60:00" and value(S.format_duration(F.lit(65.2))) == "1:05"
     assert value(S.format_size(F.lit(2048))) == "2.0 KB" and value(S.format_size(F.lit(3 * 2**20))) == "3.0 MB"
-    assert value(S.safe_int(F.lit("12"))) == 12 and value(S.safe_int(F.lit("x"), 3)) == 3 and value(S.safe_int_bytes(F.lit(bytes([5, 1])))) == 261 and value(S.safe_int_bytes(F.lit(None).cast("binary"))) == 0
+    assert value(S.safe_int(F.lit("12"))) == 12 and value(S.safe_int(F.lit("x"), 3)) == 3 and value(S.safe_int_bytes(F.lit(bytes([5, 1, 0, 0])))) == 261 and value(S.safe_int_bytes(F.lit(bytes([5, 1])), 7)) == 7 and value(S.safe_int_bytes(F.lit(bytes(9)))) == 0 and value(S.safe_int_bytes(F.lit(bytes([255] * 8)), 3)) == 3 and value(S.safe_int_bytes(F.lit(bytes([1, 0, 0, 0, 9])), most=4)) == 1 and value(S.safe_int_bytes(F.lit(None).cast("binary"))) == 0
     assert value(S.compression_ratio(F.lit(10.0), F.lit(0))) == 1.0 and value(S.redundancy_removed(F.lit(3), F.lit(0))) == 0.0
     assert value(S.reason(F.lit(4), F.lit(10.0))) == "Balanced content summarized into 4 key moments (~0.4 keyframes/sec)."
     assert value(S.progress(F.lit("clustering"))) == 75.0 and value(S.summary_confidence(F.lit(True), F.lit(0.95))) == "HIGH"
@@ -233,7 +233,7 @@ def test_cluster_frames_and_summary(spark):
     centres = rng.normal(size=(5, 8)) * 3
     rows = [(1, i, i * 0.5, [float(a) for a in centres[i // 8] + rng.normal(size=8) * 0.05], 128.0, 0.1, 200.0, 4.0, False) for i in range(40)]
     rows += [(2, 100 + i, i * 1.0, [1.0, float(i)] + [0.0] * 6, 10.0, 0.0, 1.0, 1.0, True) for i in range(2)]
-    df = spark.createDataFrame(rows, "video_id long, frame_index long, ts double, features array<double>, brightness double, edges double, laplacian double, entropy double, low_entropy boolean")
+    df = spark.createDataFrame(rows, "video_id long, frame_index long, ts double, features array<double>, brightness double, edge_density double, sharpness double, entropy double, uniform boolean")
     got = clustering.cluster_frames(df, inits=4)
     labels = {r.frame_index: r.cluster_id for r in got.collect()}
     blobs = {(labels[i], i // 8) for i in range(40)}
