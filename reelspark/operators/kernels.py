@@ -68,8 +68,8 @@ def resize(x: np.ndarray, height: int, width: int) -> np.ndarray:
 
 
 def structural_similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """1 less the mean squared error of small grey versions over 255 squared."""
-    x, y = resize(grey(a), 90, 160), resize(grey(b), 90, 160)
+    """1 less the mean squared error of small versions over 255 squared."""
+    x, y = resize(a.astype(float), 90, 160), resize(b.astype(float), 90, 160)
     return 1 - float(((x - y) ** 2).mean()) / 255**2
 
 
@@ -253,8 +253,8 @@ SMALL = (90, 160)
 
 
 def small_grey(bgr: np.ndarray) -> np.ndarray:
-    """90 x 160 grey bytes, from which motion is taken."""
-    return np.rint(resize(grey(bgr), *SMALL)).astype(np.uint8)
+    """The grey bytes of a 90 x 160 version, from which motion is taken."""
+    return grey(np.rint(resize(bgr.astype(float), *SMALL)).astype(np.uint8)).astype(np.uint8)
 
 
 def motion_between(a: np.ndarray, b: np.ndarray) -> float:

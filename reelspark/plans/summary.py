@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import BASE_WEIGHTS, DEFAULT, FACTORS, Settings
+from ..durable import stored
 from ..functions import scalars as S
 from ..functions import vectors as V
 from ..operators import clustering, kernels, scoring, selection, timeline
@@ -67,10 +68,10 @@ def from_images(frames: DataFrame, settings: Settings = DEFAULT, method: str = "
     """Clustered frames (video_id, frame_index, ts, ...) from pixels (video_id, frame_index, ts, image), all but the clusters in one pass each.
 
     Redundant, dark, blurred and intro frames go; the rest are described, their features scaled to length 1 and clustered
-    by video. Pixels end at the description; only 14,400 grey bytes a frame go on, to its neighbours.
+    by video. Pixels end at the description, which is written once; only 14,400 grey bytes a frame go on, to its neighbours.
     """
     kept = kernels.redundancy_filter(frames, settings.similarity, method, blur=settings.blur, dark=settings.dark, skip=settings.skip_intro)
-    found = kernels.motion_context(kernels.described(kept)).withColumn("features", V.l2_normalize(F.col("features")))
+    found = stored(kernels.motion_context(kernels.described(kept))).withColumn("features", V.l2_normalize(F.col("features")))
     return clustering.cluster_frames(found, settings, inits)
 
 

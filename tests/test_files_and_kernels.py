@@ -112,11 +112,122 @@ def test_keyframes_storyboard_and_zip(spark):
     got = files.encoded_keyframes(f).orderBy("index").collect()
     assert [r["name"] for r in got] == ["keyframe_001.png", "keyframe_002.png"]
     (board,) = files.storyboards(f).collect()
-    assert struct.unpack(">II", bytes(board.content)[16:24]) == (10 + 2 * 70, 10 + 50)
+    assert struct.unpack(">II", bytes(board.content)[16:24]) == (10 + 4 * 70, 10 + 50)  # four columns, however few frames
     z = zipfile.ZipFile(BytesIO(files.export_zip([(r["name"], bytes(r.content)) for r in got])))
     assert z.namelist() == ["keyframe_001.png", "keyframe_002.png"]
 
 
+def test_storyboard_has_numbers_bars_and_times():
+    b = files.board([np.full((90, 160, 3), 200, np.uint8)] * 5, [0.0, 61.0, 2.0, 3.0, 3600.0])
+    assert b.shape == (10 + 2 * 100, 10 + 4 * 170, 3) and (b[:10] == 30).all() and (b[110:, 180:] == 30).all()
+    thumb = b[10:100, 10:170]
+    assert (thumb[60:68] == 0).all() and (thumb[40:60] == 200).all()
+    five, three = (np.zeros((20, 20, 3), np.uint8) for _ in range(2))
+    files.write_text(five, "5", 0, 0, 1)
+    assert (five[:5, :3, 0] // 255).tolist() == [[1, 1, 1], [1, 0, 0], [1, 1, 1], [0, 0, 1], [1, 1, 1]]
+    files.write_text(three, "61:00", 0, 0, 1)  # goes on beyond the edge
+    assert three.any()
+
+
+def test_export_needs_a_completed_job(spark):
+    jobs = spark.createDataFrame([(1, "completed", "a/b/clip.mp4"), (2, "clustering", "x.mp4")], "id long, status string, filename string")
+    names = ["keyframe_1000.png", "keyframe_001.png", "storyboard.png", "storyboard.jpg", "notes.txt"]
+    listed = spark.createDataFrame([(1, n, bytearray(n.encode())) for n in names], "job_id long, name string, content binary")
+    code, name, content = files.export_job(jobs, listed, 1)
+    assert (code, name) == (200, "clip_keyframes.zip")
+    assert zipfile.ZipFile(BytesIO(content)).namelist() == ["keyframe_001.png", "keyframe_1000.png", "storyboard.jpg"]
+    assert files.export_job(jobs, listed, 2) == (400, None, None) and files.export_job(jobs, listed, 3) == (404, None, None)
+    assert files.extractor_info(spark).first().feature_dim == 182
+
+
+def test_contour_keeps_corners_only():
+    assert sorted(K.corners([(0, 0), (0, 1), (0, 2), (1, 2), (2, 2), (2, 1), (2, 0), (1, 0)])) == [(0, 0), (0, 2), (2, 0), (2, 2)]
+    assert K.corners([(3, 3)]) == [(3, 3)]
+
+
+def test_fallback_features(spark):
+    x = K.fallback_features(square())
+    assert len(x) == 256 and np.allclose([np.linalg.norm(x[i : i + 64]) for i in range(0, 256, 64)], 1)
+    assert x[192] > 0.9 and x[255] > 0 and not x[193:255].any()  # edges are there or not
+    got = _frames(spark, [flat(10), square()]).orderBy("frame_index").select(K.fallback_features_of(F.col("image")).alias("f")).collect()
+    assert np.allclose(got[1].f, x) and got[0].f[192] == 1
+
+
+def test_motion_context_takes_the_neighbours_there_are(spark):
+    values = [10, 30, 30, 90]
+    rows = K.motion_context(K.frame_metrics(_frames(spark, [flat(v) for v in values]))).orderBy("frame_index").collect()
+    assert [r.motion for r in rows] == [20.0, 10.0, 30.0, 60.0] and "small" not in rows[0].asDict()
+
+
+def _noisy(v, seed):
+    """A sharp picture around a grey level."""
+    return np.clip(np.random.default_rng(seed).normal(v, 40, (60, 80, 3)), 0, 255).astype(np.uint8)
+
+
+def test_filter_skips_intro_dark_and_blurred_frames(spark):
+    f = _frames(spark, [_noisy(120, 0), flat(120), _noisy(5, 1) // 8, _noisy(120, 2), _noisy(60, 3)])
+    got = K.redundancy_filter(f, 0.99, "histogram", blur=30.0, dark=25.0, skip=1.0).orderBy("frame_index").collect()
+    assert [r.frame_index for r in got] == [3, 4] and got[0].diff_score == 0.0
+
+
+def test_adaptive_similarity_matches_rounds_of_the_filter(spark):
+    f = _frames(spark, [_noisy(40 + 11 * (i % 13), i) for i in range(30)])
+    for least, most in ((3, 5), (1, 40), (25, 29)):
+        threshold, n = 0.95, None
+        for _ in range(10):
+            used, n = threshold, K.redundancy_filter(f, threshold, "combined", blur=50.0, dark=25.0).count()
+            if least <= n <= most:
+                break
+            threshold = round(max(0.5, min(0.99, threshold + (0.02 if n < least else -0.02))), 6)
+        (got,) = K.adaptive_similarity(f, least, most).collect()
+        assert (got.threshold, got.kept) == (used, n)
+
+
+def test_images_to_summary(spark, tmp_path):
+    """PNG files to a summary: three shots of twelve frames each, and an intro."""
+    from reelspark.config import Settings
+    from reelspark.plans import summary
+
+    folder = tmp_path / "video_id=3"
+    folder.mkdir()
+    for i in range(36):
+        a = _noisy(60 + 60 * (i // 12), i)
+        a[:, : 20 + 2 * (i % 12), i // 12] = 255
+        (folder / f"frame_{i}.png").write_bytes(files.png(a))
+    frames = files.image_frames(spark, str(tmp_path / "*"), 2.0)
+    settings = Settings(similarity=0.999, skip_intro=1.0)
+    found = summary.from_images(frames, settings, inits=2).cache()
+    rows = found.collect()
+    assert sorted(r.frame_index for r in rows) == list(range(2, 36)) and all(abs(np.linalg.norm(r.features) - 1) < 1e-9 for r in rows)
+    by = {}
+    for r in rows:
+        by.setdefault(r.cluster_id, []).append(r.frame_index // 12)
+    assert sum(max(map(shots.count, shots)) for shots in by.values()) >= 0.7 * len(rows)  # clusters follow the shots
+    cut = max((r for r in rows if r.frame_index in (12, 24)), key=lambda r: r.motion)
+    assert cut.motion > np.median([r.motion for r in rows])
+    (s,) = summary.summarize(found, settings).collect()
+    assert s.num_keyframes == len(s.keyframes) > 0 and {k.frame_index // 12 for k in s.keyframes} == {0, 1, 2}
+
+
+def test_worker_takes_one_job_file_at_a_time(spark, tmp_path):
+    import time
+
+    from reelspark.streaming.queries import poll_jobs
+
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    for i in range(3):
+        (inbox / f"{i}.json").write_text(json.dumps({"id": i}))
+    taken = []
+    worker = poll_jobs(spark, f"file://{inbox}", f"file://{tmp_path}/work", "id long", lambda df, n: taken.append([r.id for r in df.collect()]), "200 milliseconds")
+    for _ in range(150):
+        if len(taken) >= 3:
+            break
+        time.sleep(0.2)
+    worker.stop()
+    assert sorted(map(tuple, taken)) == [(0,), (1,), (2,)]
+
+
 def test_summaries_of_all_generations(spark, tmp_path):
     (tmp_path / "1.json").write_text(json.dumps({"job_id": 1, "num_clusters": 2, "keyframes": [{"index": 1, "timestamp": 3.5}]}, indent=2))
     (tmp_path / "2.json").write_text(json.dumps({"job_id": 2, "num_clusters": 1, "grid_path": "g.png", "importance_weights": {"dominance": 0.15}, "keyframes": [], "unknown": {"x": 1}}))
