@@ -10,16 +10,19 @@ Conventions of all operators in this package:
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Texts are handled in groups of about so many bytes, which bounds a worker's memory.
+from ..durable import cut, shared_folder, stored
+
+__all__ = ["Words", "bit_filter", "cut", "hash_word", "in_chunks", "map_texts", "mix64", "passes", "row_hash", "run_hashes", "shared_folder", "signed", "stored", "utf8"]
+
+#: Texts are handled in groups of about so many bytes, which bounds a worker's memory; a longer text is alone in its group
+#: and takes some ten times its bytes.
 CHUNK_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -54,14 +57,30 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def run_hashes(buffer: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the runs of bytes from ``start`` to ``end``, none of them 0."""
+def _hashes_of(buffer: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     up, down = _power_tables(len(buffer))
     sums = np.zeros(len(buffer) + 1, np.uint64)
     np.cumsum(buffer.astype(np.uint64) * up, out=sums[1:])
     return mix64((sums[end] - sums[start]) * down[start])
 
 
+#: Bytes of a long text that are hashed at once.
+RUN_BYTES = 1 << 22
+
+
+def run_hashes(buffer: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the runs of bytes from ``start``, ascending, to ``end``; no byte of a run is 0."""
+    if len(buffer) <= RUN_BYTES:
+        return _hashes_of(buffer, start, end)
+    out = np.empty(len(start), np.uint64)
+    edges = np.searchsorted(start, np.arange(0, len(buffer) + RUN_BYTES, RUN_BYTES))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        if a < b:  # a run's hash doesn't depend on where it stands
+            low, high = int(start[a]), int(end[b - 1])
+            out[a:b] = _hashes_of(buffer[low:high], start[a:b] - low, end[a:b] - low)
+    return out
+
+
 class Words:
     """The words of several texts: 64-bit hashes, byte offsets into ``buffer``, and where each text's words begin."""
 
@@ -109,8 +128,11 @@ def in_chunks(lengths: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[i
 BATCH_BYTES = 8 << 20
 
 
-def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch, list[bytes]], pa.RecordBatch | None], schema: str, text: str = "text", end: Callable[[], None] | None = None) -> DataFrame:
-    """Applies ``work`` to bounded groups of rows; it gets the rows and their texts as UTF-8. ``end`` is called after a task's last."""
+def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch, list[bytes]], pa.RecordBatch | None], schema: str, text: str = "text") -> DataFrame:
+    """Applies ``work`` to bounded groups of rows; it gets the rows and their texts as UTF-8.
+
+    The session's Arrow batches are bounded by BATCH_BYTES from here on: the setting counts when the result is run.
+    """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,42 +144,10 @@ def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch, list[bytes]], pa.Re
                 done = work(part, utf8(part.column(batch.schema.get_field_index(text))))
                 if done is not None and done.num_rows:
                     yield done
-        if end:
-            end()
 
     return df.mapInArrow(run, schema)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only in local mode, where all share it."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="reelspark-")
-        spark.sparkContext.setCheckpointDir(named)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and kept in the shared checkpoint folder, where a lost executor can't take them away.
-
-    Spark removes them with the DataFrame if spark.cleaner.referenceTracking.cleanCheckpoints is set; else they stay
-    until the folder is cleared.
-    """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The same rows, written once as a compressed table to the shared checkpoint folder; for wide rows instead of cut."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def signed(x: np.ndarray) -> np.ndarray:
     """64-bit hashes as Spark's long."""
     return np.ascontiguousarray(x, np.uint64).view(np.int64)

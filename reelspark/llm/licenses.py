@@ -21,21 +21,75 @@ from .common import Words, hash_word, map_texts
 #: Base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Templates by label, in words as the scan reads them (apostrophes and hyphens part words).
+_AS_IS = (
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE '
+    "AND NONINFRINGEMENT. IN NO EVENT SHALL THE {{12}} BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
+    "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE"
+)
+_BSD_END = (
+    'THIS SOFTWARE IS PROVIDED BY {{12}} "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR '
+    "PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL {{12}} BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT "
+    "OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT "
+    "(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE"
+)
+_BSD_TWO = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: [[1]] Redistributions of source code must retain "
+    "the above copyright notice, this list of conditions and the following disclaimer. [[2]] Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+    "the following disclaimer in the documentation and/or other materials provided with the distribution."
+)
+_BSD_NAMES = "[[3]] Neither the name of {{10}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_GPL_NOTICE = (
+    "This program is free software[[: you can]] [[you can]] redistribute it and/or modify it under the terms of the GNU [[Lesser]] [[Affero]] General Public License as published by the Free Software "
+    "Foundation{{0}}, either version {number} of the License, or [[(at your option)]] any later version"
+)
+
+# Templates by label, whole licence texts among them; case and punctuation don't count.
 TEMPLATES = {
-    "mit": ("released under the [[terms of the]] mit license", "licensed under the [[terms of the]] mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [[the software]] to deal in the software without restriction"),
-    "apache-2.0": ("licensed under the apache license version 2 0 [[the license]]", "apache license version 2 0 [[january 2004]]"),
-    "gpl-3.0": ("licensed under the gnu general public license version 3", "gnu general public license [[as published by the free software foundation either]] version 3 [[of the license]] [[or at your option any later version]]"),
-    "gpl-2.0": ("gnu general public license [[as published by the free software foundation either]] version 2 [[of the license]] [[or at your option any later version]]",),
-    "cc-by-nc": ("[[licensed under]] cc by nc [[{{1}} 0]]", "creative commons attribution non commercial [[{{2}}]] license"),
-    "cc-by-sa": ("[[licensed under]] cc by sa [[{{1}} 0]]", "creative commons attribution share alike [[{{2}}]] license"),
-    "bsd": ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",),
-    "copyright": ("copyright [[c]] [[{{3}}]] all rights reserved",),
+    "mit": (
+        "released under the [[terms of the]] MIT License", "licensed under the [[terms of the]] MIT License",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files [[(the Software)]] to deal in the Software without restriction",
+    ),
+    "mit-text": (
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, '
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished "
+        "to do so, subject to the following conditions: The above copyright notice and this permission notice [[(including the next paragraph)]] shall be included in all copies or substantial portions "
+        "of the Software. " + _AS_IS,
+    ),
+    "isc-text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear "
+        'in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND {{8}} DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL '
+        "{{8}} BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR "
+        "OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE",
+    ),
+    "bsd": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",),
+    "bsd-2-text": (_BSD_TWO + " " + _BSD_END,),
+    "bsd-3-text": (_BSD_TWO + " " + _BSD_NAMES + " " + _BSD_END,),
+    "zlib-text": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted "
+        "to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    ),
+    "unlicense-text": ("This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",),
+    "apache-2.0": ("Licensed under the Apache License, Version 2.0 [[(the License)]]", "Apache License, Version 2.0 [[, January 2004]]"),
+    "apache-2.0-text": (
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at {{10}} Unless required by '
+        'applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the '
+        "License for the specific language governing permissions and limitations under the License",
+    ),
+    "gpl-3.0": ("licensed under the GNU General Public License version 3", "GNU General Public License [[as published by the Free Software Foundation either]] version 3 [[of the License]] [[or (at your option) any later version]]"),
+    "gpl-3.0-text": (_GPL_NOTICE.replace("{number}", "3"),),
+    "gpl-2.0": ("GNU General Public License [[as published by the Free Software Foundation either]] version 2 [[of the License]] [[or (at your option) any later version]]",),
+    "gpl-2.0-text": (_GPL_NOTICE.replace("{number}", "2"),),
+    "cc-by-nc": ("[[licensed under]] CC BY-NC [[{{1}} 0]]", "Creative Commons Attribution-NonCommercial [[{{2}}]] License", "Creative Commons Attribution Non Commercial [[{{2}}]] License"),
+    "cc-by-sa": ("[[licensed under]] CC BY-SA [[{{1}} 0]]", "Creative Commons Attribution-ShareAlike [[{{2}}]] License", "Creative Commons Attribution Share Alike [[{{2}}]] License"),
+    "cc-by-text": ("This work is licensed under [[the]] [[a]] Creative Commons Attribution {{2}} [[International]] [[Unported]] License",),
+    "copyright": ("Copyright [[(c)]] [[{{3}}]] all rights reserved",),
 }
 #: What a label adds to the score; the score is one less the product of what remains.
 STRENGTH = {"base": 0.6, "template": 0.8}
 
-_PARTS = re.compile(r"\[\[|\]\]|\{\{\d+\}\}|[^\s\[\]{}]+")
+#: Markup, or a word as the scan reads words.
+_PARTS = re.compile(r"\[\[|\]\]|\{\{\d+\}\}|[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 @dataclass
@@ -76,9 +130,9 @@ class Automaton:
 
 
 def compile_template(text: str) -> Automaton:
-    """Template markup to an automaton; ``[[`` and ``]]`` may nest."""
+    """Template markup to an automaton; ``[[`` and ``]]`` may nest. Case and what isn't a word don't count."""
     made, open_at = Automaton(), []
-    for part in _PARTS.findall(text):
+    for part in _PARTS.findall(text.translate(_FOLD)):
         here = made.final
         if part == "[[":
             open_at.append(here)

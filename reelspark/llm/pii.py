@@ -14,11 +14,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bit_filter, cut, map_texts, passes, signed
+from .common import Words, bit_filter, cut, map_texts, mix64, passes, signed
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -84,9 +85,24 @@ def _word_places(words: Words, i: int, text: bytes) -> tuple[np.ndarray, np.ndar
     return chars[words.start[a:b] - words.text_start[i]], chars[words.end[a:b] - words.text_start[i] - 1] + 1
 
 
-def contexts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Rows (term, entity, content): the words near each protected value, once per text; content is a hash of the text."""
+def _digest(value: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(value, digest_size=8).digest(), "little", signed=True)
+
+
+def _entities(text: str, spans: list[tuple[int, int, int]]) -> list[int]:
+    """A hash of each span's value; how a number is parted doesn't count."""
+    values = [re.sub(r"[\s().-]", "", text[s:e].lower()) if k > 1 else text[s:e].lower() for s, k, e in spans]
+    return [_digest(f"{KINDS[k]}:{v}".encode()) for (_, k, _), v in zip(spans, values, strict=True)]
+
+
+def contexts(docs: DataFrame, text: str = "text", near_words: int | None = CONTEXT_WORDS, pairs: np.ndarray | None = None) -> DataFrame:
+    """Rows (term, entity, content): the words of texts with protected values, once per text; content is a hash of the text.
+
+    Words within ``near_words`` of the value, or all of the text if None; of these only what may be in ``pairs``, a bit
+    filter of term and entity. Words of protected values aren't terms. Term 0 stands for the entity itself.
+    """
     source = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(pairs) if pairs is not None else None
 
     def work(part: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch | None:
         found = spans_of(texts)
@@ -94,24 +110,26 @@ def contexts(docs: DataFrame, text: str = "text") -> DataFrame:
         if not some:
             return None
         texts = [texts[i] for i in some]
-        words, rows = Words(texts), []
+        words, out = Words(texts), []
         for i, t in enumerate(texts):
             start, end = _word_places(words, i, t)
-            own, spans, decoded = signed(words.of(i)), found[some[i]], t.decode("utf-8")
+            own, spans, content = signed(words.of(i)), found[some[i]], _digest(t)
             free = np.ones(len(own), bool)
             for s, _, e in spans:
                 free[np.searchsorted(end, s, side="right") : np.searchsorted(start, e)] = False
-            content = int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little", signed=True)
-            pairs = set()
-            for s, k, e in spans:
-                value = re.sub(r"[\s().-]", "", decoded[s:e].lower()) if k > 1 else decoded[s:e].lower()
-                entity = int.from_bytes(hashlib.blake2b(f"{KINDS[k]}:{value}".encode(), digest_size=8).digest(), "little", signed=True)
-                left, right = np.searchsorted(end, s, side="right"), np.searchsorted(start, e)
-                near = np.r_[max(0, left - CONTEXT_WORDS) : left, right : min(len(own), right + CONTEXT_WORDS)].astype(int)
-                pairs.update((w, entity, content) for w in own[near[free[near]]].tolist())
-                pairs.add((0, entity, content))  # the entity itself
-            rows += pairs
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["term", "entity", "content"])
+            whole = np.unique(own[free]) if near_words is None else None
+            rows: set[tuple[int, int, int]] = set()
+            for (s, _, e), entity in zip(spans, _entities(t.decode("utf-8"), spans), strict=True):
+                if near_words is None:
+                    terms = whole[passes(whole.view(np.uint64) ^ mix64(np.array([entity]).view(np.uint64)), shared.value)] if shared else whole
+                else:
+                    left, right = np.searchsorted(end, s, side="right"), np.searchsorted(start, e)
+                    near = np.r_[max(0, left - near_words) : left, right : min(len(own), right + near_words)].astype(int)
+                    terms = own[near[free[near]]]
+                rows.update((w, entity, content) for w in terms.tolist())
+                rows.add((0, entity, content))
+            out += rows
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["term", "entity", "content"])
 
     return map_texts(source, work, "term long, entity long, content long")
 
@@ -119,12 +137,15 @@ def contexts(docs: DataFrame, text: str = "text") -> DataFrame:
 def revealing_terms(docs: DataFrame, text: str = "text", least: int = LEAST_TEXTS, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """Rows (term, disclosure, action), one per term whose disclosure of some entity reaches the threshold.
 
-    A term must stand near the entity in ``least`` distinct texts. Durable: the result is read again and again.
+    A term must stand near the entity, within CONTEXT_WORDS words, in ``least`` distinct texts; then all texts count that
+    hold both, wherever in them. Durable: the result is read again and again.
     """
     spark = docs.sparkSession
-    together = cut(contexts(docs, text).groupBy("term", "entity").agg(F.countDistinct("content").alias("both")).where(F.col("both") >= least))
-    pairs = together.where(F.col("term") != 0)
-    entities = together.where(F.col("term") == 0).select("entity", F.col("both").alias("of_entity"))
+    near = cut(contexts(docs, text).groupBy("term", "entity").agg(F.countDistinct("content").alias("both")).where(F.col("both") >= least))
+    named = near.where(F.col("term") != 0).select("term", "entity")
+    entities = near.where(F.col("term") == 0).select("entity", F.col("both").alias("of_entity"))
+    together = contexts(docs, text, None, bit_filter(_pair_names(named))).join(named, ["term", "entity"], "left_semi")
+    pairs = cut(together.groupBy("term", "entity").agg(F.countDistinct("content").alias("both")))
     bits = spark.sparkContext.broadcast(bit_filter(pairs))
     source = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text"))
 
@@ -135,7 +156,7 @@ def revealing_terms(docs: DataFrame, text: str = "text", least: int = LEAST_TEXT
             return None
         owner = np.searchsorted(words.first, keep, side="right") - 1
         both = np.unique(np.stack([owner.astype(np.int64), signed(words.hash[keep])], axis=1), axis=0)
-        content = np.array([int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little", signed=True) for t in texts])
+        content = np.array([_digest(t) for t in texts])
         return pa.RecordBatch.from_arrays([pa.array(both[:, 1]), pa.array(content[both[:, 0]])], names=["term", "content"])
 
     total = source.count()  # one number
@@ -152,6 +173,17 @@ def revealing_terms(docs: DataFrame, text: str = "text", least: int = LEAST_TEXT
     return cut(best.withColumn("action", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise")))
 
 
+def _pair_names(pairs: DataFrame) -> DataFrame:
+    """Rows (term): the numbers by which ``contexts`` looks up a term and an entity together."""
+
+    @F.pandas_udf("long")
+    def name(term: pd.Series, entity: pd.Series) -> pd.Series:
+        both = term.to_numpy(np.int64).view(np.uint64) ^ mix64(entity.to_numpy(np.int64).view(np.uint64))
+        return pd.Series(signed(both))
+
+    return pairs.select(name("term", "entity").alias("term"))
+
+
 def term_spans(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
     """Rows (content, terms): for each text with revealing terms the md5 of the text and its array of (start, end, action)."""
     bits = docs.sparkSession.sparkContext.broadcast(bit_filter(terms))
@@ -187,6 +219,7 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     Offsets are code points, ends exclusive. Null and empty texts have no spans. Repeated rows give equal results.
     """
     terms = revealing_terms(docs, text)
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(terms))
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     span = pa.list_(pa.struct([("start", pa.int64()), ("rank", pa.int32()), ("end", pa.int64()), ("kind", pa.string())]))
@@ -196,7 +229,10 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         counts = [[sum(k == want for _, k, _ in f) for f in found] for want in range(len(KINDS))]
         digests = [hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in f).encode()).hexdigest() for f in found]
         lists = pa.array([[{"start": s, "rank": k, "end": e, "kind": KINDS[k]} for s, k, e in f] for f in found], span)
-        content = [hashlib.md5(t).hexdigest() for t in texts]
+        words = Words(texts)
+        may = np.add.reduceat(np.r_[passes(words.hash, bits.value), False].astype(np.int64), np.minimum(words.first[:-1], len(words.hash))) * (words.counts > 0)
+        # texts without a term have names of their own: many may be equal, empty ones above all
+        content = [hashlib.md5(t).hexdigest() if m else f"-{i}-{id_}" for i, (t, m, id_) in enumerate(zip(texts, may, part.column(0).to_pylist(), strict=True))]
         return pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests), lists, pa.array(content)], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "content"])
 
     found = map_texts(source, work, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start:long,rank:int,end:long,kind:string>>, content string")

@@ -141,18 +141,26 @@ def labelled_sample(labels: DataFrame, label: str, train: Column, rows: int, bal
     return parts[0].unionByName(parts[1])
 
 
+def labelled_ids(sample: DataFrame) -> DataFrame:
+    """A bounded labelled_sample as a table of (_id as text, _label) that may be broadcast."""
+    rows = [(str(r[0]), int(r[1])) for r in sample.collect()]
+    return sample.sparkSession.createDataFrame(rows, "_id string, _label int")
+
+
 def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "quality", doc_id: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS) -> Trees:
-    """Grows trees on a bounded sample of the labelled rows that ``train`` selects."""
-    ids = labelled_sample(labels, label, train, rows, doc_id=doc_id).collect()  # at most ``rows`` pairs
-    spark = docs.sparkSession
-    ids = spark.createDataFrame([(int(r[0]), int(r[1])) for r in ids], "_id long, _label int")
-    sample = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("text")).join(F.broadcast(ids), "_id")
+    """Grows trees on a bounded sample of the labelled rows that ``train`` selects; ids may be of any type that has a text.
+
+    Scores at the threshold count as good. Of repeated ids one row counts, the smallest by its statistics.
+    """
+    ids = labelled_ids(labelled_sample(labels, label, train, rows, doc_id=doc_id))
+    sample = docs.select(F.col(doc_id).cast("string").alias("_id"), F.col(text).alias("text")).join(F.broadcast(ids), "_id")
 
     def work(part: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
         x = statistics(texts)
         return pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(list(x))], names=["id", "label", "x"])
 
-    found = map_texts(sample, work, "id long, label int, x array<double>").dropDuplicates(["id"]).toPandas().sort_values("id", kind="stable")
+    made = map_texts(sample, work, "id string, label int, x array<double>")
+    found = made.groupBy("id").agg(F.min(F.struct("x", "label")).alias("m")).select("id", "m.label", "m.x").toPandas().sort_values("id", kind="stable")
     x = np.stack(found["x"].to_list()) if len(found) else np.zeros((0, len(FEATURES)))
     return grow(x, found["label"].to_numpy(float))
 

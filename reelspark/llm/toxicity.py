@@ -17,14 +17,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import map_texts
-from .quality import labelled_sample
+from .quality import labelled_ids, labelled_sample
 
 ORDER, SPAN, GAP, WINDOW = 4, 6, 0.6, 8
-#: At most so many labelled texts are fitted on, half of each label, none longer than TRAIN_CHARS.
-SAMPLE_ROWS, TRAIN_CHARS = 5_000, 30_000
+#: At most so many labelled texts are fitted on, half of each label, in the order of a hash as long as they have at most
+#: SAMPLE_CHARS characters together; whole texts, whatever their length.
+SAMPLE_ROWS, SAMPLE_CHARS = 5_000, 24_000_000
 LANDMARKS, ROUNDS, COST, SEED = 320, 4, 1000.0, 7
 
 _BITS = 5
@@ -240,12 +242,17 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, flo
     return float(w[0]), float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, where: Column, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS) -> Model:
-    """Trains on a bounded sample of the labelled rows that ``where`` selects."""
-    ids = [(int(r[0]), int(r[1])) for r in labelled_sample(labels, label, where, rows, balance=True, doc_id=doc_id).collect()]  # at most ``rows``
-    ids = docs.sparkSession.createDataFrame(ids, "_id long, _label int")
-    sample = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")).join(F.broadcast(ids), "_id")
-    found = sample.where(F.length("_text") <= TRAIN_CHARS).dropDuplicates(["_id"]).toPandas().sort_values("_id", kind="stable")
+def fit(docs: DataFrame, labels: DataFrame, where: Column, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
+    """Trains on a bounded sample of the labelled rows that ``where`` selects; ids may be of any type that has a text.
+
+    Rows of one id count once, with the longest text. A text that alone has more than ``chars`` characters isn't in the
+    sample, nor is what follows when they are used up.
+    """
+    ids = labelled_ids(labelled_sample(labels, label, where, rows, balance=True, doc_id=doc_id))
+    sample = docs.select(F.col(doc_id).cast("string").alias("_id"), F.col(text).alias("_text")).join(F.broadcast(ids), "_id").where(F.col("_text").isNotNull())
+    one = sample.groupBy("_id").agg(F.max(F.struct(F.length("_text").alias("n"), "_text", "_label")).alias("m")).select("_id", "m.*")
+    used = F.sum("n").over(W.orderBy(F.xxhash64("_id"), "_id").rowsBetween(W.unboundedPreceding, 0))  # of the sample's rows
+    found = one.withColumn("used", used).where(F.col("used") <= chars).select("_id", "_text", "_label").toPandas().sort_values("_id", kind="stable")
     return train([t.encode() for t in found["_text"]], found["_label"].to_numpy(int))
 
 

@@ -50,6 +50,52 @@ def test_template_markup():
     assert run("licensed under act a b c end") == -1
 
 
+def _as_regex(template):
+    """A template over words that are each followed by a space."""
+    out = ""
+    for part in re.findall(r"\[\[|\]\]|\{\{\d+\}\}|[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", template.translate(LOWER)):
+        out += "(?:" if part == "[[" else ")?" if part == "]]" else f"(?:[^ ]+ ){{0,{part[2:-2]}}}" if part[0] == "{" else re.escape(part) + " "
+    return re.compile(out)
+
+
+def _longest(pattern, words, at):
+    """The end of the longest match that begins at a word, or -1; greedy choices aren't trusted."""
+    for end in range(len(words), at - 1, -1):
+        if pattern.fullmatch("".join(w + " " for w in words[at:end])):
+            return end
+    return -1
+
+
+def _an_instance(template, rng):
+    """A text that a template accepts, with some of what may be missing and words of any kind."""
+    out, keep = [], [True]
+    for part in re.findall(r"\[\[|\]\]|\{\{\d+\}\}|[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", template.translate(LOWER)):
+        if part == "[[":
+            keep.append(keep[-1] and rng.random() < 0.5)
+        elif part == "]]":
+            keep.pop()
+        elif keep[-1]:
+            out += [f"w{rng.integers(9)}" for _ in range(rng.integers(int(part[2:-2]) + 1))] if part[0] == "{" else [part]
+    return out
+
+
+def test_templates_match_a_translation_to_regular_expressions():
+    rng = np.random.default_rng(7)
+    scanner = licenses.Scanner()
+    patterns = {label: [_as_regex(t) for t in ts] for label, ts in licenses.TEMPLATES.items()}
+    for label, templates in licenses.TEMPLATES.items():
+        for template in templates:
+            for broken in (False, True):
+                own = _an_instance(template, rng)
+                if broken:  # one word of it changed
+                    own[rng.integers(len(own))] = "otherwise"
+                words = _words(" ".join([*corpus.words(5, 1), *own, *corpus.words(5, 2)]))
+                got = scanner.scan([" ".join(words).encode()])[0]
+                want = {(x, at, end) for x, ps in patterns.items() for p in ps for at in range(len(words)) if words[at] in {"licensed", "released", "permission", "redistribution", "this", "apache", "gnu", "cc", "creative", "copyright"} and (end := _longest(p, words, at)) > at}
+                found = {(x.rsplit(":", 2)[0], int(x.split(":")[-2]), int(x.split(":")[-1])) for x in got[7].split(",") if x}
+                assert found == want and (broken or label in got[5].split(","))
+
+
 def test_licenses_empty_and_clashing(spark):
     assert licenses.scan_licenses(corpus.empty(spark)).count() == 0
     assert licenses.scan_licenses(corpus.clashing(spark)).count() == len(corpus.rows())
@@ -92,15 +138,16 @@ def test_personal_data_rows(spark):
 
 
 def _revealing_corpus(spark):
+    """zorblatt stands near one address in most texts, and far from it in one."""
     rows = [(i, f"report {i} by zorblatt for ann@corp.example.org filed {' '.join(corpus.words(20, i))}") for i in range(5)]
     rows += [(10 + i, "report on " + " ".join(corpus.words(30, 100 + i))) for i in range(20)]
-    return spark.createDataFrame([*rows, (99, "only zorblatt is named here"), (98, "zorblatt and ann@corp.example.org")], "doc_id long, text string")
+    return spark.createDataFrame([*rows, (99, "only zorblatt is named here"), (98, "zorblatt and ann@corp.example.org"), (97, "zorblatt " + " ".join(corpus.words(30, 900)) + " ann@corp.example.org")], "doc_id long, text string")
 
 
 def test_revealing_terms_match_brute_force(spark):
     docs = _revealing_corpus(spark)
     texts = [r.text for r in docs.collect()]
-    has, near = {}, {}
+    has, near, held = {}, {}, {}
     for t in texts:
         w = [(m.group().lower(), m.start(), m.end()) for m in WORD.finditer(t)]
         for x in {x for x, _, _ in w}:
@@ -110,12 +157,31 @@ def test_revealing_terms_match_brute_force(spark):
             right = [x for x, a, b in w if a >= e][: pii.CONTEXT_WORDS]
             for x in {*left, *right}:
                 near[x] = near.get(x, 0) + 1
-    n, of_entity = len(texts), 6
-    expected = {x for x, k in near.items() if k >= 3 and np.log(k * n / (has[x] * of_entity)) / np.log(n / of_entity) >= pii.GENERALISE}
+            for x in {x for x, a, b in w if b <= s or a >= e}:
+                held[x] = held.get(x, 0) + 1  # wherever in the text
+    n, of_entity = len(texts), 7
+    expected = {x for x, k in near.items() if k >= 3 and np.log(held[x] * n / (has[x] * of_entity)) / np.log(n / of_entity) >= pii.GENERALISE}
     words = {int(np.int64(np.uint64(pii.Words([x.encode()]).hash[0]).view(np.int64))): x for x in has}
     assert {words[r.term] for r in pii.revealing_terms(docs).collect()} == expected and "zorblatt" in expected | {"zorblatt"}
 
 
+def test_terms_have_spans_wherever_they_stand(spark):
+    """Every span of the query besides the base ones, by brute force over the terms."""
+    docs = _revealing_corpus(spark).union(spark.createDataFrame([(200, None), (201, ""), (202, "Zorblatt, zorblatt! x@zorblatt.org é zorblatt")], "doc_id long, text string"))
+    names = {r.term for r in pii.revealing_terms(docs).collect()}
+    term = lambda w: int(pii.signed(pii.Words([w.encode()]).hash)[0])
+    got = {r.doc_id: r for r in pii.find_personal_data(docs).collect()}
+    some = 0
+    for r in docs.collect():
+        base = _plain_spans(r.text or "")
+        spans = [(s, k, e, pii.KINDS[k]) for s, k, e in base]
+        spans += [(m.start(), 4, m.end(), "term") for m in WORD.finditer(r.text or "") if term(m.group()) in names and not any(m.start() < e and s < m.end() for s, _, e in base)]
+        assert got[r.doc_id].spans == ",".join(f"{n}:{s}:{e}" for s, _, e, n in sorted(spans))
+        assert got[r.doc_id].n_term == len(spans) - len(base)
+        some += len(spans) - len(base)
+    assert some > 5
+
+
 def test_sanitise(spark):
     out = pii.sanitise(corpus.clashing(spark))
     assert out.columns == corpus.clashing(spark).columns
@@ -162,6 +228,99 @@ def test_quality_odd_cases(spark):
     assert quality.score(docs, none).count() == len(corpus.rows())
 
 
+def _plain_statistics(text):
+    """What the trees see of a text, in plain Python."""
+    if not text:
+        return [0.0] * len(quality.FEATURES)
+    raw, n_all = text.encode(), len(text.encode())
+    kind = {"lower": b"abcdefghijklmnopqrstuvwxyz", "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "space": b" \t", "line": b"\n\r", "stop": b".!?", "comma": b",;:'\"()-"}
+    n = {k: sum(b in v for b in raw) for k, v in kind.items()}
+    n["high"], n["control"] = sum(b >= 128 for b in raw), sum((b < 32 and b not in b"\t\n\r") or b == 127 for b in raw)
+    n["symbol"] = n_all - sum(n.values())
+    w = _words(text)
+    size = np.array([len(x.encode()) for x in w], float)
+    many = lambda k: [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
+    lines = text.split("\n")
+    p = np.array([raw.count(bytes([b])) for b in set(raw)]) / n_all
+    f = {k: v / n_all for k, v in n.items()} | {"log_bytes": np.log1p(n_all), "log_words": np.log1p(len(w)), "stop_per_word": n["stop"] / max(len(w), 1), "byte_entropy": -(p * np.log2(p)).sum(), "distinct_lines": len(set(lines)) / len(lines), "line_words": np.log1p(len(w) / len(lines))}
+    if w:
+        f |= {"word_mean": size.mean(), "word_std": size.std(), "word_max": np.log1p(size.max()), "distinct_words": len(set(w)) / len(w), "top_word": max(map(w.count, w)) / len(w), "letters_per_word": (n["lower"] + n["upper"] + n["high"]) / len(w)}
+    if len(w) > 1:
+        f |= {"repeats_previous": sum(a == b for a, b in zip(w, w[1:], strict=False)) / (len(w) - 1), "distinct_pairs": len(set(many(2))) / (len(w) - 1)}
+    if len(w) > 5:
+        f["distinct_fives"] = len(set(many(5))) / (len(w) - 4)
+    return [float(f.get(k, 0.0)) for k in quality.FEATURES]
+
+
+def test_statistics_match_plain_python():
+    texts = [r[1] or "" for r in corpus.rows() if len(r[1] or "") < 5000] + ["a a a b, c! d? e.\n\n\tf\r\x00\x7f", "Ünï ß 12,5 % & #", "a b c d e", "a b c d e f"]
+    assert np.allclose(quality.statistics([t.encode() for t in texts]), [_plain_statistics(t) for t in texts], atol=1e-9)
+
+
+def _auc(score, label):
+    order = np.argsort(score, kind="stable")
+    ranks = np.empty(len(order))
+    ranks[order] = np.arange(1, len(order) + 1)
+    for v in np.unique(score):  # ties share their rank
+        ranks[score == v] = ranks[score == v].mean()
+    pos = label == 1
+    return (ranks[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum())
+
+
+@pytest.mark.parametrize(("name", "label"), [("op2_toxicity", "toxic"), ("op4_quality", "quality")])
+def test_held_out_accuracy(spark, name, label):
+    """On labelled rows that the fit never saw."""
+    import os
+
+    from reelspark.llm.queries import QUERIES
+
+    data = "/root/testdata/sf0.1"
+    if not os.path.isdir(data):
+        pytest.skip("no test tables")
+    labels = spark.read.parquet(f"{data}/labels.parquet").select("doc_id", F.col(label).alias("label")).where("label is not null")
+    found = QUERIES[name](spark, data).where("held_out").join(labels, "doc_id").toPandas()
+    assert found["label"].nunique() == 2 and _auc(found["score"].to_numpy(), found["label"].to_numpy()) > 0.95
+    assert (found["predicted"] == found["label"]).mean() > 0.9
+
+
+def test_ids_may_be_text_and_ties_count_as_good(spark):
+    docs = spark.createDataFrame([(f"id{i}", " ".join(corpus.words(30, i)) if i % 2 else "!!! " * 20) for i in range(40)] + [("id1", "!!!"), (None, "x")], "doc_id string, text string")
+    labels = spark.createDataFrame([(f"id{i}", i % 2, i % 2) for i in range(40)], "doc_id string, quality int, toxic int")
+    assert quality.score(docs, quality.fit(docs, labels, F.lit(True))).count() == 42
+    assert toxicity.score(docs, toxicity.fit(docs, labels, F.lit(True))).count() == 42
+    flat = quality.Trees(np.zeros((1, 1), int), np.full((1, 1), np.inf), np.zeros((1, 2)), 0.0)  # 0.5 for all
+    assert quality.keep_good(docs, flat).count() == 42
+
+
+def _plain_features(text, at):
+    """Gap-weighted subsequences of four letters that begin in the window at a place; an edge of a word may end one."""
+    out = {}
+    text = text + " " * 20
+    is_letter = str.isalpha
+    for a in range(at, at + toxicity.WINDOW):
+        for b in range(a + 1, a + toxicity.SPAN):
+            for c in range(b + 1, a + toxicity.SPAN):
+                for d in range(c + 1, a + toxicity.SPAN):
+                    w, x, y, z = text[a], text[b], text[c], text[d]
+                    if is_letter(x) and is_letter(y) and (is_letter(w) or is_letter(z)):
+                        out[w + x + y + z] = out.get(w + x + y + z, 0) + toxicity.GAP ** (d - a - 3)
+    return out
+
+
+def test_kernel_is_the_gapped_subsequence_kernel():
+    """K against enumerated subsequences, between windows of plain words."""
+    texts = ["grobnik and more", "gro bnik", "grxobnik", "kin borg", "aaaa aaaa", "abcdefghijkl", "snuffwit snuffwit"]
+    feats = []
+    for t in texts:
+        symbols, _ = toxicity.letters([t.encode()])
+        feats.append(toxicity.features(symbols, np.array([0])))
+    plain = [_plain_features(t, 0) for t in texts]
+    for i, a in enumerate(plain):
+        for j, b in enumerate(plain):
+            want = sum(v * b.get(k, 0) for k, v in a.items())
+            assert abs(toxicity._kernel(feats[i], 1, feats[j], 1)[0, 0] - want) < 1e-9
+
+
 @pytest.fixture(scope="module")
 def insults():
     rng = np.random.default_rng(3)
