@@ -157,3 +157,13 @@ def softmax_top(df: DataFrame, labels: DataFrame, features: str = "features", sc
     scored = df.select("video_id", "frame_index", features).crossJoin(F.broadcast(labels)).withColumn("s", scale * V.cosine_similarity(F.col(features), F.col("vector")))
     best = scored.groupBy("video_id", "frame_index").agg(F.max(F.struct("s", (-F.col("label")).alias("l"))).alias("m"), F.collect_list("s").alias("all"))
     return best.select("video_id", "frame_index", (-F.col("m.l")).alias("label"), (1 / V.total(F.transform("all", lambda x: F.exp(x - F.col("m.s"))))).alias("score"))
+
+
+def zero_shot(df: DataFrame, labels: DataFrame | None = None, features: str = "features") -> DataFrame:
+    """(video_id, frame_index, label, score): the best of the labels (label as text, vector); the fallback label without any."""
+    if labels is None:
+        return df.select("video_id", "frame_index", F.lit(S.NO_LABEL[0]).alias("label"), F.lit(S.NO_LABEL[1]).alias("score"))
+    numbered = labels.withColumn("number", F.row_number().over(W.orderBy("label")))  # at most MOST_LABELS
+    best = softmax_top(df, numbered.select(F.col("number").alias("label"), "vector"), features)
+    names = numbered.select(F.col("number").alias("label"), F.col("label").alias("name"))
+    return best.join(names, "label").select("video_id", "frame_index", F.col("name").alias("label"), "score")

@@ -11,7 +11,7 @@ from ..functions import vectors as V
 from ..operators import scoring, selection, timeline
 from ..sources import tables as T
 from . import summary
-from .queries import CENTROID_SQL, CUT_SQL, DISTANCE_SQL, ENTROPY_SQL, HIST_SQL, POSITION_SQL, STEP_SQL, color_entropy_of, query, with_sql
+from .queries import CENTROID_SQL, CUT_SQL, DISTANCE_SQL, ENTROPY_SQL, HIST_SQL, POSITION_SQL, SCENE_SQL, STEP_SQL, color_entropy_of, query, with_sql
 
 HOURS = 10.0
 
@@ -98,7 +98,7 @@ FACTOR_SQL = (
     "around AS (SELECT *, list_distance(features, lag(features) OVER w) AS before, list_distance(features, lead(features) OVER w) AS after FROM met WINDOW w AS (PARTITION BY video_id ORDER BY ts, frame_index)), "
     "moved AS (SELECT *, (coalesce(before, 0) + coalesce(after, 0)) / CASE WHEN before IS NOT NULL AND after IS NOT NULL THEN 2 ELSE 1 END AS motion, count(*) OVER (PARTITION BY video_id ORDER BY CAST(round(ts * 1e6) AS BIGINT) RANGE BETWEEN 999999 PRECEDING AND 999999 FOLLOWING) - 1 AS neighbours, abs(features[2]) AS edges, 128 + 800 * features[1] AS brightness, 1000 * abs(features[3]) AS laplacian, (entropy < 2.5 OR features[4] > 0.25) AS low_entropy FROM around), "
     + coverage_sql("moved")
-    + ", factors AS (SELECT video_id, frame_index, ts, cluster_id, entropy, low_entropy, edges, brightness, "
+    + ", factors AS (SELECT video_id, frame_index, ts, cluster_id, entropy, low_entropy, edges, brightness, motion, "
     "round(CASE WHEN max(distance) OVER c - min(distance) OVER c > 1e-6 THEN 1 - (distance - min(distance) OVER c) / (max(distance) OVER c - min(distance) OVER c) ELSE 1.0 END, 9) AS representativeness, "
     "round(least(0.8, size / max(size) OVER v), 9) AS dominance, "
     "round((0.4 * least(edges, 0.2) / 0.2 + 0.3 * least(laplacian, 300.0) / 300 + 0.3 * least(entropy, 4.0) / 4) * CASE WHEN low_entropy THEN 0.3 WHEN entropy < 3 THEN 0.6 ELSE 1.0 END, 9) AS visual_richness, "
@@ -146,7 +146,8 @@ def prefilter_fallback(spark, sf_dir):
     return scoring.prefilter(rejected(spark, sf_dir), F.lit(100)).select("video_id", "frame_index")
 
 
-SCORE_SQL = "scores AS (SELECT *, round(motion_context * 0.001 + " + " + ".join(f"{BASE_WEIGHTS[f]} * {f}" for f in FACTORS) + ", 8) AS raw FROM ladder), capped AS (SELECT *, CASE WHEN low_entropy AND entropy < 2.0 AND edges < 0.05 THEN least(raw, 0.25) WHEN low_entropy AND entropy < 2.5 THEN least(raw, 0.35) ELSE raw END AS score FROM scores)"
+CAPPED_SQL = "capped AS (SELECT *, CASE WHEN low_entropy AND entropy < 2.0 AND edges < 0.05 THEN least(raw, 0.25) WHEN low_entropy AND entropy < 2.5 THEN least(raw, 0.35) ELSE raw END AS score FROM scores)"
+SCORE_SQL = "scores AS (SELECT *, round(motion_context * 0.001 + " + " + ".join(f"{BASE_WEIGHTS[f]} * {f}" for f in FACTORS) + ", 8) AS raw FROM ladder), " + CAPPED_SQL
 
 
 def scores(spark, sf_dir) -> DataFrame:
@@ -338,7 +339,34 @@ def select_up_to_three(spark, sf_dir):
     return selection.select_up_to_three(found).withColumn("score", F.round("score", 6))
 
 
-@query()
+def _summary_sql() -> str:
+    """Everything between features and a summary: pace, weights, caps, prefilter, selection, scenes and stability."""
+    shifted = []
+    for i, shift in enumerate(scoring.SHIFTS):
+        w = {f: max(0.01, BASE_WEIGHTS[f] + d) for f, d in zip(FACTORS, shift, strict=True)}
+        shifted.append("round(" + " + ".join(f"{f} * CAST({w[f] / sum(w.values())!r} AS DOUBLE)" for f in FACTORS) + f", 9) AS s{i}")
+    n = len(shifted)
+    parts = [
+        FACTOR_SQL, REJECT_SQL,
+        "paces AS (SELECT video_id, CASE WHEN avg(motion) > 20 OR stddev_pop(motion) > 15 THEN 'fast' WHEN avg(motion) < 5 AND stddev_pop(motion) < 5 THEN 'slow' ELSE 'normal' END AS pacing FROM factors GROUP BY 1)",
+        "scores AS (SELECT l.*, round(motion_context * 0.001 + " + " + ".join(f"{_weight_sql(f)} * {f}" for f in FACTORS) + ", 8) AS raw FROM ladder l JOIN paces USING (video_id))", CAPPED_SQL,
+        "cl AS (SELECT video_id, count(DISTINCT cluster_id) AS clusters, count(*) FILTER (WHERE rejection_reason IS NULL) AS passed FROM capped GROUP BY 1)",
+        select_sql("SELECT c.* FROM capped c JOIN cl USING (video_id) WHERE rejection_reason IS NULL OR passed < clusters", 2),
+        "per AS (SELECT t.video_id, count(*) AS n, avg(temporal_coverage) AS coverage FROM taken t JOIN able a ON a.frame_index = t.frame_index GROUP BY 1)",
+        STEP_SQL, CUT_SQL, SCENE_SQL, "sc AS (SELECT video_id, count(DISTINCT scene_id) AS scene_count FROM scened GROUP BY 1)", "base AS (SELECT video_id, max(ts) AS d, count(*) AS frames FROM features GROUP BY 1)",
+        f"sh AS (SELECT a.video_id, frame_index, score, least(n, count(*) OVER (PARTITION BY a.video_id)) AS n, {', '.join(shifted)} FROM able a JOIN per ON per.video_id = a.video_id)",
+        "rk AS (SELECT video_id, n, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, frame_index) <= n AS base, " + ", ".join(f"row_number() OVER (PARTITION BY video_id ORDER BY s{i} DESC, frame_index) <= n AS t{i}" for i in range(n)) + " FROM sh)",
+        "st AS (SELECT video_id, (" + " + ".join(f"count(*) FILTER (WHERE base AND t{i}) / max(n)" for i in range(n)) + f") / {n} AS r FROM rk GROUP BY 1)",
+        "al AS (SELECT b.video_id, d, frames, scene_count, coalesce(n, 0) AS n, coalesce(coverage, 0.0) AS coverage, coalesce(r, 1.0) AS r, CASE WHEN d > 0 THEN coalesce(n, 0) / d ELSE 0.0 END AS density FROM base b JOIN sc USING (video_id) LEFT JOIN per USING (video_id) LEFT JOIN st USING (video_id))",
+    ]
+    return (
+        "WITH RECURSIVE " + ", ".join(parts) + " SELECT video_id, n AS num_keyframes, scene_count, CASE WHEN density > 0.4 THEN 'Fast' WHEN density < 0.1 THEN 'Slow' ELSE 'Moderate' END AS video_pacing, "
+        "CASE WHEN r >= 0.8 AND r > 0.9 THEN 'HIGH' WHEN r > 0.7 THEN 'MEDIUM' ELSE 'LOW' END AS summary_confidence, round(r, 6) AS stability_ratio, round(CASE WHEN n > 0 THEN d / (n * 2.0) ELSE 1.0 END, 6) AS compression_ratio, "
+        "round(1 - n / frames, 6) AS redundancy_removed, round(coverage, 6) AS temporal_coverage_score, CASE WHEN density > 0.4 THEN 'High motion' WHEN density < 0.1 THEN 'Stable' ELSE 'Balanced' END || ' content summarized into ' || n || ' key moments (~' || CAST(round(density, 2) AS VARCHAR) || ' keyframes/sec).' AS summary_reason FROM al"
+    )
+
+
+@query(_summary_sql())
 def video_summary(spark, sf_dir):
     found = summary.summarize(described(T.features(spark, sf_dir)))
     return found.select("video_id", "num_keyframes", "scene_count", "video_pacing", "summary_confidence", F.round("stability_ratio", 6).alias("stability_ratio"), F.round("compression_ratio", 6).alias("compression_ratio"), F.round("redundancy_removed", 6).alias("redundancy_removed"), F.round("temporal_coverage_score", 6).alias("temporal_coverage_score"), "summary_reason")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import BASE_WEIGHTS, DEFAULT, FACTORS, Settings
-from ..durable import stored
+from ..durable import cut, stored
 from ..functions import scalars as S
 from ..functions import vectors as V
 from ..operators import clustering, kernels, scoring, selection, timeline
@@ -59,7 +59,8 @@ def keyframes(frames: DataFrame, settings: Settings = DEFAULT) -> tuple[DataFram
     found = scored(found.join(pace, "video_id"), scoring.weights(F.col("pace")))
     found = scoring.with_confidence(found, "score").withColumn("confidence", scoring.lowered(F.col("confidence"), F.col("entropy"), F.col("low_entropy")))
     clusters = F.size(F.collect_set("cluster_id").over(timeline.in_video()))
-    able = scoring.prefilter(found.withColumn("clusters", clusters), F.col("clusters")).withColumn("is_low_entropy", F.col("low_entropy"))
+    # narrow rows, which selection, stability and the report all read
+    able = cut(scoring.prefilter(found.withColumn("clusters", clusters), F.col("clusters")).withColumn("is_low_entropy", F.col("low_entropy")))
     chosen = selection.select(able, settings).select("video_id", "frame_index", "stage")
     return able, able.join(chosen, ["video_id", "frame_index"])
 

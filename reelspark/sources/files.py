@@ -6,7 +6,7 @@ import io
 import struct
 import zipfile
 import zlib
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,9 +32,9 @@ def image_frames(spark: SparkSession, folder: str, fps: float) -> DataFrame:
 def ingest(files: DataFrame, probe: Callable[[bytes], tuple[float, int, int, int, int]] | None = None) -> DataFrame:
     """Metadata of binaryFile rows: filename, fps, total_frames, width, height, codec, duration, and why a file is unusable.
 
-    ``probe`` gives (fps, frames, width, height, fourcc) of a file's bytes; without a decoder at hand that of AVI headers.
+    ``probe`` gives (fps, frames, width, height, fourcc) of a file's bytes; without one, headers of AVI and MP4 files are read.
     """
-    reader = probe or avi_header
+    reader = probe or container_header
 
     @F.pandas_udf("fps double, total_frames long, width int, height int, fourcc long")
     def read(content: pd.Series) -> pd.DataFrame:
@@ -64,6 +64,52 @@ def avi_header(content: bytes) -> tuple[float, int, int, int, int]:
     return (1e6 / per_frame if per_frame else 0.0), frames, width, height, code
 
 
+def container_header(content: bytes) -> tuple[float, int, int, int, int]:
+    """(fps, frames, width, height, fourcc) by the kind of the file."""
+    return avi_header(content) if content[:4] == b"RIFF" else mp4_header(content)
+
+
+def _boxes(content: bytes, start: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+    """(kind, start, end) of the boxes of an MP4 file between two places."""
+    while start + 8 <= end:
+        size, kind, head = struct.unpack_from(">I", content, start)[0], content[start + 4 : start + 8], 8
+        if size == 1:
+            size, head = struct.unpack_from(">Q", content, start + 8)[0], 16
+        stop = end if size == 0 else start + size
+        if size and size < head or stop > end:
+            raise ValueError("broken box")
+        yield kind, start + head, stop
+        start = stop
+
+
+def _inside(content: bytes, start: int, end: int, *path: bytes) -> tuple[int, int] | None:
+    """Where the first box at the end of a path of nested boxes lies."""
+    for kind, a, b in _boxes(content, start, end):
+        if kind == path[0]:
+            return _inside(content, a, b, *path[1:]) if len(path) > 1 else (a, b)
+    return None
+
+
+def mp4_header(content: bytes) -> tuple[float, int, int, int, int]:
+    """(fps, frames, width, height, fourcc) of an MP4 file's first video track."""
+    movie = _inside(content, 0, len(content), b"moov") if content[4:8] == b"ftyp" else None
+    for kind, a, b in _boxes(content, *movie) if movie else ():
+        handler = _inside(content, a, b, b"mdia", b"hdlr") if kind == b"trak" else None
+        if handler is None or content[handler[0] + 8 : handler[0] + 12] != b"vide":
+            continue
+        head, track = _inside(content, a, b, b"mdia", b"mdhd"), _inside(content, a, b, b"tkhd")
+        sizes, kinds = (_inside(content, a, b, b"mdia", b"minf", b"stbl", k) for k in (b"stsz", b"stsd"))
+        if None in (head, track, sizes, kinds):
+            break
+        long_form = content[head[0]] == 1
+        scale, length = struct.unpack_from(">IQ" if long_form else ">II", content, head[0] + (20 if long_form else 12))
+        frames = struct.unpack_from(">I", content, sizes[0] + 8)[0]
+        width, height = (x >> 16 for x in struct.unpack_from(">II", content, track[1] - 8))
+        code = struct.unpack_from("<I", content, kinds[0] + 12)[0]
+        return (frames * scale / length if length else 0.0), frames, width, height, code
+    raise ValueError("no video track")
+
+
 def uploads(spark: SparkSession, folder: str, settings: Settings = DEFAULT) -> DataFrame:
     """Files of a folder with why each isn't taken; sizes come from the listing, contents aren't read."""
     files = spark.read.format("binaryFile").load(folder).select("path", "length", "modificationTime")

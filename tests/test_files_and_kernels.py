@@ -258,3 +258,34 @@ def test_ingest_and_uploads(spark, tmp_path):
     assert got["b.AVI"].error == "no frames" and got["c.txt"].error == "cannot be opened"
     assert {r.path.rsplit("/", 1)[1]: r.rejection for r in files.uploads(spark, str(tmp_path)).collect()} == {"a.avi": None, "b.AVI": None, "c.txt": "extension"}
     assert spark.range(1).select(files.job_folder("/s", F.lit(4), "summary").alias("x")).first().x == "/s/jobs/4/summary"
+
+
+def _box(kind, *parts):
+    body = b"".join(parts)
+    return struct.pack(">I", 8 + len(body)) + kind + body
+
+
+def _mp4(frames=50, scale=600, length=1200, handler=b"vide"):
+    track = _box(
+        b"trak", _box(b"tkhd", bytes(76) + struct.pack(">II", 640 << 16, 360 << 16)),
+        _box(b"mdia", _box(b"mdhd", bytes(12) + struct.pack(">II", scale, length) + bytes(4)), _box(b"hdlr", bytes(8) + handler + bytes(13)), _box(b"minf", _box(b"stbl", _box(b"stsd", bytes(4) + struct.pack(">I", 1) + struct.pack(">I", 86) + b"avc1"), _box(b"stsz", bytes(8) + struct.pack(">I", frames))))),
+    )
+    return _box(b"ftyp", b"isom") + _box(b"mdat", bytes(30)) + _box(b"moov", _box(b"mvhd", bytes(20)), _box(b"trak", _box(b"mdia", _box(b"hdlr", bytes(8) + b"soun"))), track)
+
+
+def test_ingest_reads_mp4_headers(spark):
+    rows = [("a/one.mp4", _mp4()), ("a/two.mp4", _mp4(frames=0)), ("a/three.mp4", _mp4(handler=b"soun")), ("a/four.mp4", _mp4()[:100]), ("a/five.mp4", b"")]
+    df = spark.createDataFrame([(p, len(c), bytearray(c)) for p, c in rows], "path string, length long, content binary")
+    got = {r.filename: r for r in files.ingest(df).collect()}
+    one = got["one.mp4"]
+    assert (one.fps, one.total_frames, one.width, one.height, one.codec, one.duration, one.error) == (25.0, 50, 640, 360, "avc1", 2.0, None)
+    assert got["two.mp4"].error == "no frames" and {got[f"{n}.mp4"].error for n in ("three", "four", "five")} == {"cannot be opened"}
+
+
+def test_zero_shot_labels(spark):
+    from reelspark.operators import scoring
+
+    df = spark.createDataFrame([(1, 0, [1.0, 0.0]), (1, 1, [0.0, 2.0])], "video_id long, frame_index long, features array<double>")
+    labels = spark.createDataFrame([("sea", [0.0, 1.0]), ("forest", [1.0, 0.0])], "label string, vector array<double>")
+    assert {r.frame_index: r.label for r in scoring.zero_shot(df, labels).collect()} == {0: "forest", 1: "sea"}
+    assert {(r.label, r.score) for r in scoring.zero_shot(df).collect()} == {("Visual Scene", 0.5)}
