@@ -73,28 +73,10 @@ def _members(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _bucket_ties(nodes: DataFrame) -> DataFrame:
-    """Edges (u, v) from every node of a bucket to its first."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = first = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            band, node = (np.asarray(batch.column(i)) for i in range(2))
-            new = np.concatenate([[band[0] != key or first is None], band[1:] != band[:-1]])
-            lead = np.where(new, np.arange(len(band)), 0)
-            lead = np.maximum.accumulate(lead)
-            leader = node[lead]
-            if not new[0]:
-                leader[: np.flatnonzero(new)[0] if new.any() else len(node)] = first
-            key, first = band[-1], leader[-1]
-            some = leader != node
-            if some.any():
-                yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(leader[some])], names=["u", "v"])
-
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = nodes.select(F.explode("bands").alias("band"), "node").repartition(n, "band").sortWithinPartitions("band", "node")
-    return dealt.mapInArrow(work, "u long, v long")
+    """Edges (u, v) from every node of a bucket to its first; buckets meet in partial minima, and a large one may be split."""
+    dealt = nodes.select(F.explode("bands").alias("band"), "node")
+    first = dealt.groupBy("band").agg(F.min("node").alias("v"), F.max("node").alias("last")).where(F.col("v") != F.col("last")).drop("last")
+    return dealt.join(first, "band").where(F.col("node") != F.col("v")).select(F.col("node").alias("u"), "v")
 
 
 def _links(nodes: list[int], times: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:

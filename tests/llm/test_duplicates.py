@@ -262,6 +262,9 @@ def test_passages_odd_cases(spark):
     assert (1, 0) in pairs  # a copy, as a whole
     assert any({2, 0} == {a, b} for a, b in pairs) and any(14 in p for p in pairs)
     assert passages.repeated_passages(corpus.empty(spark)).count() == 0
+    text = " ".join(corpus.words(60, 12))
+    copies = spark.createDataFrame([(None, text), (None, text), (5, text), (6, text.upper()), (7, None), (8, "")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.ref_doc_id, r.n_equal) for r in passages.repeated_passages(copies).collect()) == [(0, 5, 60), (0, 5, 60), (6, 5, 60)]
 
 
 # --- fingerprints
@@ -284,6 +287,7 @@ def test_fingerprints_match_the_stated_edit(spark):
 def test_fingerprints_odd_cases(spark):
     assert simhash.fingerprint(corpus.documents(spark)).count() == len(corpus.rows())
     assert simhash.fingerprint(corpus.empty(spark)).count() == 0
+    assert simhash.fingerprint(corpus.clashing(spark)).count() == len(corpus.rows())
     one = corpus.documents(spark).where("doc_id = 2")
     assert simhash.fingerprint(one).collect()[0].near_next == 1.0
     assert simhash.fingerprint(corpus.documents(spark).where("doc_id is null")).count() == 2
