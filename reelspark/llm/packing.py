@@ -141,7 +141,7 @@ class WordTokenizer:
 
     def forget(self) -> None:
         """An empty memory: hashes and their numbers by slot, and the ids of the numbered words one after another."""
-        self.slots, self.numbers = np.zeros(4 * CACHE_WORDS, np.uint64), np.zeros(4 * CACHE_WORDS, np.int32)
+        self.slots, self.numbers = np.zeros(2 * CACHE_WORDS, np.uint64), np.zeros(2 * CACHE_WORDS, np.int32)
         self.starts, self.n, self.ids = np.zeros(CACHE_WORDS + 2, np.int64), 0, np.zeros(1 << 16, np.uint32)
 
     def _model(self, word: bytes) -> list[int]:
@@ -172,7 +172,7 @@ class WordTokenizer:
             self.starts = np.concatenate([self.starts, np.zeros(len(ids) + len(self.starts), np.int64)])
         self.starts[self.n + 1 : self.n + 1 + len(ids)] = first + np.cumsum(lengths)
         self.n += len(ids)
-        if 2 * self.n > len(self.slots):  # one text of very many words
+        if 4 * self.n > 3 * len(self.slots):  # one text of very many words
             some = self.slots != 0
             old, numbers = self.slots[some], self.numbers[some]
             self.slots, self.numbers = np.zeros(4 * self.n, np.uint64), np.zeros(4 * self.n, np.int32)
