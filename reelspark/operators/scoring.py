@@ -94,16 +94,12 @@ def capped(score: Column, entropy: Column, edges: Column, low_entropy: Column) -
 
 
 def with_confidence(df: DataFrame, score: str) -> DataFrame:
-    """``confidence``: HIGH and LOW at the order statistics of 80 and 20 % of the video's scores; fixed bounds below five frames.
-
-    A video's scores are gathered once, in one row of an aggregate that is joined back.
-    """
-    ranked = df.groupBy("video_id").agg(F.array_sort(F.collect_list(score)).alias("ranked"))
-    at = lambda q: F.element_at("ranked", (F.floor(F.size("ranked") * q) + 1).cast("int"))
-    bounds = ranked.select("video_id", F.size("ranked").alias("n"), at(0.2).alias("low"), at(0.8).alias("high"))
+    """``confidence``: HIGH and LOW at the order statistics of 80 and 20 % of the video's scores; fixed bounds below five frames."""
+    ranked = df.withColumns({"_n": F.count("*").over(in_video()), "_r": F.row_number().over(W.partitionBy("video_id").orderBy(score))})
+    at = lambda q: F.max(F.when(F.col("_r") == F.floor(F.col("_n") * q) + 1, F.col(score))).over(in_video())
     few = F.when(F.col(score) > 0.7, "HIGH").when(F.col(score) < 0.4, "LOW").otherwise("MEDIUM")
-    level = F.when(F.col("n") < 5, few).when(F.col(score) >= F.col("high"), "HIGH").when(F.col(score) <= F.col("low"), "LOW").otherwise("MEDIUM")
-    return df.join(bounds, "video_id").withColumn("confidence", level).drop("n", "low", "high")
+    level = F.when(F.col("_n") < 5, few).when(F.col(score) >= F.col("_high"), "HIGH").when(F.col(score) <= F.col("_low"), "LOW").otherwise("MEDIUM")
+    return ranked.withColumns({"_low": at(0.2), "_high": at(0.8)}).withColumn("confidence", level).drop("_n", "_r", "_low", "_high")
 
 
 def lowered(level: Column, entropy: Column, low_entropy: Column) -> Column:
