@@ -202,7 +202,7 @@ def shape_features(bgr: np.ndarray, terms: int = 32) -> np.ndarray:
             size = 0.5 * abs((p[:, 0] * np.roll(p[:, 1], 1) - p[:, 1] * np.roll(p[:, 0], 1)).sum())
             if size > area:
                 best, area = c, size
-    best = corners(best) if len(best) else best
+    best = corners([best[0], *best[:0:-1]]) if len(best) else best  # counter-clockwise, from the first pixel in reading order
     if len(best) < 4:
         return np.zeros(2 * terms)
     p = np.array(best, float)

@@ -35,6 +35,22 @@ def poll_jobs(spark: SparkSession, inbox: str, folder: str, schema: str, work: C
     return jobs.writeStream.option("checkpointLocation", f"{folder}/progress").trigger(processingTime=interval).foreachBatch(work).start()
 
 
+def with_failures(work: Callable[[DataFrame, int], None], log: str) -> Callable[[DataFrame, int], None]:
+    """``work`` on jobs (id, ...) for poll_jobs; an exception becomes a failed transition of each of its jobs in the table ``log``.
+
+    The rows (job_id, at, seq, status, message) are what jobs.latest_state reads; the worker goes on with the next job.
+    """
+
+    def guarded(jobs: DataFrame, n: int) -> None:
+        try:
+            work(jobs, n)
+        except Exception as e:  # whatever a job dies of is its own state, not the worker's end
+            failed = jobs.select(F.col("id").alias("job_id"), F.current_timestamp().alias("at"), F.lit(n).cast("long").alias("seq"), F.lit("failed").alias("status"), F.lit(str(e)[:1000]).alias("message"))
+            failed.write.mode("append").parquet(log)
+
+    return guarded
+
+
 def _folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 

@@ -145,6 +145,16 @@ def test_contour_keeps_corners_only():
     assert K.corners([(3, 3)]) == [(3, 3)]
 
 
+def test_shape_of_a_rectangle_is_that_of_its_corners(monkeypatch):
+    mask = np.zeros((128, 128), bool)
+    mask[20:61, 30:101] = True
+    monkeypatch.setattr(K, "canny", lambda *_: mask)
+    corners = np.array([30 + 20j, 30 + 60j, 100 + 60j, 100 + 20j])  # down first
+    f = np.fft.fft(corners) / abs(corners.sum())
+    s = K.shape_features(flat(0))
+    assert np.allclose(s[:4], f.real) and np.allclose(s[32:36], f.imag) and not s[4:32].any()
+
+
 def test_fallback_features(spark):
     x = K.fallback_features(square())
     assert len(x) == 256 and np.allclose([np.linalg.norm(x[i : i + 64]) for i in range(0, 256, 64)], 1)
@@ -212,19 +222,28 @@ def test_images_to_summary(spark, tmp_path):
 def test_worker_takes_one_job_file_at_a_time(spark, tmp_path):
     import time
 
-    from reelspark.streaming.queries import poll_jobs
+    from reelspark.operators.jobs import latest_state
+    from reelspark.streaming.queries import poll_jobs, with_failures
 
     inbox = tmp_path / "inbox"
     inbox.mkdir()
     for i in range(3):
         (inbox / f"{i}.json").write_text(json.dumps({"id": i}))
     taken = []
-    worker = poll_jobs(spark, f"file://{inbox}", f"file://{tmp_path}/work", "id long", lambda df, n: taken.append([r.id for r in df.collect()]), "200 milliseconds")
+
+    def work(df, n):
+        taken.append([r.id for r in df.collect()])
+        if taken[-1] == [1]:
+            raise ValueError("no such video")
+
+    worker = poll_jobs(spark, f"file://{inbox}", f"file://{tmp_path}/work", "id long", with_failures(work, f"file://{tmp_path}/log"), "200 milliseconds")
     for _ in range(150):
-        if len(taken) >= 3:
+        if len(taken) >= 3 and not worker.status["isTriggerActive"]:
             break
         time.sleep(0.2)
     worker.stop()
+    (state,) = latest_state(spark.read.parquet(f"file://{tmp_path}/log")).collect()
+    assert (state.job_id, state.status, state.error) == (1, "failed", "no such video")
     assert sorted(map(tuple, taken)) == [(0,), (1,), (2,)]
 
 
