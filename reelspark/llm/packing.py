@@ -14,6 +14,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -30,8 +31,10 @@ SHARD_PIECES = 4096
 #: node a sequence. The incumbent is kept when they are used up, or when NODE_STEPS times as many partial fillings were
 #: looked at: near a search's end most fillings are dominated ones.
 SEARCH_NODES, NODES_A_BIN, NODE_STEPS = 20_000, 4, 100
-#: Words whose ids a worker remembers, and ids in all; some 40 MB.
-CACHE_WORDS, CACHE_IDS = 1 << 20, 1 << 22
+#: Levels of a search that keep their enumeration, half a megabyte each; higher ones begin it anew when the search comes back.
+LIVE_LEVELS = 32
+#: Words whose ids a worker remembers, and ids in all; some 30 MB.
+CACHE_WORDS, CACHE_IDS = 1 << 19, 1 << 21
 
 #: Bytes of a text that are encoded at once, up to the next white space.
 PART_BYTES = 1 << 20
@@ -372,9 +375,9 @@ def complete_bins(lengths: list[int], capacity: int = CAPACITY, nodes: int = SEA
     sizes = [int(s) for s in np.flatnonzero(counts)[::-1]]
     effort = _Effort(max(nodes, NODES_A_BIN * len(incumbent)))
     allowed = (len(incumbent) - 1) * capacity - total
-    # depth-first without recursion: each level holds the fillings still to try
+    # depth-first without recursion: each level has the fillings still to try, and how many were tried
     path: list[tuple[tuple[int, ...], int]] = []
-    stack: list[Iterator[tuple[int, ...]]] = []
+    stack: list[list] = []
     waste = 0
 
     def options() -> Iterator[tuple[int, ...]]:
@@ -390,9 +393,18 @@ def complete_bins(lengths: list[int], capacity: int = CAPACITY, nodes: int = SEA
         for s in fill:
             counts[s] += 1
 
-    stack.append(options())
+    def descend() -> None:
+        stack.append([options(), 0])
+        if len(stack) > LIVE_LEVELS:
+            stack[-LIVE_LEVELS - 1][0] = None
+
+    descend()
     while stack and effort.left and len(incumbent) > least:
-        fill = next(stack[-1], None)
+        level = stack[-1]
+        if level[0] is None:  # nothing below is placed any more, so the enumeration is the same again
+            level[0] = islice(options(), level[1], None)
+        fill = next(level[0], None)
+        level[1] += 1
         lost = 0 if fill is None else capacity - sum(fill)
         if fill is None or waste + lost > allowed:  # fillings come fullest first: the others waste as much or more
             stack.pop()
@@ -405,7 +417,7 @@ def complete_bins(lengths: list[int], capacity: int = CAPACITY, nodes: int = SEA
         path.append((fill, lost))
         waste += lost
         if counts.any():
-            stack.append(options())
+            descend()
             continue
         incumbent = [list(f) for f, _ in path]
         allowed = (len(incumbent) - 1) * capacity - total

@@ -188,6 +188,16 @@ def test_search_betters_best_fit_on_a_shard():
     assert n < fit and n <= -(-sum(lengths) // 2048) + 5
 
 
+def test_search_is_the_same_with_few_live_levels(monkeypatch):
+    rng = random.Random(4)
+    for _ in range(30):
+        lengths = [rng.randint(15, 60) for _ in range(14)]
+        whole = packing.complete_bins(lengths, 100)
+        monkeypatch.setattr(packing, "LIVE_LEVELS", 1)
+        assert packing.complete_bins(lengths, 100) == whole
+        monkeypatch.undo()
+
+
 def test_search_reaches_the_end_of_a_shard_of_many_sequences():
     rng = random.Random(0)
     lengths = [198, 2] * 3200 + [rng.randint(30, 110) for _ in range(30)]
