@@ -427,6 +427,7 @@ def complete_bins(lengths: list[int], capacity: int = CAPACITY, nodes: int = SEA
 
 def _pack_group(pdf: pd.DataFrame, capacity: int, round_: int) -> pd.DataFrame:
     """Packs the pieces of one shard; deterministic: pieces of a length are dealt in the order of uid."""
+    _tokenizers.clear()  # a worker that packs tokenises no more, and the search can use the memory
     pdf = pdf.sort_values(["length", "uid"], kind="stable").reset_index(drop=True)
     bins = complete_bins(pdf["length"].tolist(), capacity)
     by_length = {n: list(rows) for n, rows in pdf.groupby("length").indices.items()}
