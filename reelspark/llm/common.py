@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..durable import cut, shared_folder, stored
 
-__all__ = ["Words", "bit_filter", "cut", "hash_word", "in_chunks", "map_texts", "mix64", "passes", "row_hash", "run_hashes", "shared_folder", "signed", "stored", "utf8"]
+__all__ = ["Words", "bit_filter", "cut", "hash_word", "in_chunks", "map_batches", "map_texts", "mix64", "passes", "row_hash", "run_hashes", "shared_folder", "signed", "stored", "text_chunks", "utf8"]
 
 #: Texts are handled in groups of about so many bytes, which bounds a worker's memory; a longer text is alone in its group
 #: and takes some ten times its bytes.
@@ -128,24 +128,32 @@ def in_chunks(lengths: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[i
 BATCH_BYTES = 8 << 20
 
 
-def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch, list[bytes]], pa.RecordBatch | None], schema: str, text: str = "text") -> DataFrame:
-    """Applies ``work`` to bounded groups of rows; it gets the rows and their texts as UTF-8.
+def text_chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Bounded groups of a task's rows with their texts as UTF-8."""
+    for batch in batches:
+        column = batch.column(batch.schema.get_field_index(text))
+        sizes = np.diff(np.frombuffer(column.buffers()[1], np.int32 if pa.types.is_string(column.type) else np.int64)[column.offset : column.offset + len(column) + 1]) if len(column) else np.zeros(0, int)
+        for a, b in in_chunks(sizes):
+            part = batch.slice(a, b - a)
+            yield part, utf8(part.column(batch.schema.get_field_index(text)))
+
 
-    The session's Arrow batches are bounded by BATCH_BYTES from here on: the setting counts when the result is run.
-    """
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow`` with batches bounded by BATCH_BYTES, for the session from here on: the setting counts when the result is run."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch, list[bytes]], pa.RecordBatch | None], schema: str, text: str = "text") -> DataFrame:
+    """Applies ``work`` to bounded groups of rows; it gets the rows and their texts as UTF-8."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text))
-            sizes = np.diff(np.frombuffer(column.buffers()[1], np.int32 if pa.types.is_string(column.type) else np.int64)[column.offset : column.offset + len(column) + 1]) if len(column) else np.zeros(0, int)
-            for a, b in in_chunks(sizes):
-                part = batch.slice(a, b - a)
-                done = work(part, utf8(part.column(batch.schema.get_field_index(text))))
-                if done is not None and done.num_rows:
-                    yield done
+        for part, texts in text_chunks(batches, text):
+            done = work(part, texts)
+            if done is not None and done.num_rows:
+                yield done
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def signed(x: np.ndarray) -> np.ndarray:
@@ -162,20 +170,26 @@ def row_hash(*columns: Column | str, seed: int = 0) -> Column:
 FILTER_BITS = 24
 
 
-def bit_filter(values: DataFrame, column: str = "term") -> np.ndarray:
-    """One bit for each value that the hashes of ``values`` have in their low FILTER_BITS; the same size for any number of values."""
-    at = F.col(column).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+def filter_bits(n: int) -> int:
+    """Bits that tell ``n`` values apart well, sixteen places a value, between FILTER_BITS and 29 (64 MB); beyond, more values pass."""
+    return min(29, max(FILTER_BITS, (16 * n).bit_length()))
+
+
+def bit_filter(values: DataFrame, column: str = "term", bits: int | None = None) -> np.ndarray:
+    """One bit for each value that the hashes of ``values`` have in their low ``bits`` (FILTER_BITS); the same size for any number of values."""
+    size = 1 << (bits or FILTER_BITS)
+    at = F.col(column).bitwiseAND(F.lit(size - 1))
     found = values.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
-    bits = np.zeros(((1 << FILTER_BITS) // 32768 + 2, 4096), np.uint8)
+    out = np.zeros((size // 32768 + 2, 4096), np.uint8)
     for bucket, b in found:
-        bits[bucket] = np.frombuffer(bytes(b), np.uint8)
+        out[bucket] = np.frombuffer(bytes(b), np.uint8)
     # bucket numbers begin at 1 and a bucket's positions follow those of the bucket before; value v is position v - 1
-    return bits.reshape(-1)
+    return out.reshape(-1)
 
 
-def passes(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Whether each hash may be one of the filter's values."""
-    v = (hashes & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+def passes(hashes: np.ndarray, bits: np.ndarray, width: int | None = None) -> np.ndarray:
+    """Whether each hash may be one of the filter's values; ``width`` as the filter's ``bits``."""
+    v = (hashes & np.uint64((1 << (width or FILTER_BITS)) - 1)).astype(np.int64)
     bucket = np.where(v > 0, 1 + (v - 1) // 32768, -v // 32768)
     place = np.where(v > 0, (v - 1) % 32768, -v % 32768)
     at = bucket * 32768 + place

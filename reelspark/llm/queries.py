@@ -83,6 +83,25 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .infill import fill_in_middle, restored
+
+    rows = restored(fill_in_middle(_table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_toxicity": op2_toxicity,
@@ -94,6 +113,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_fingerprints": op9_fingerprints,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op11_simhash_near_dedup": op11_simhash_near_dedup,
+    "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -129,4 +151,28 @@ b AS (SELECT shard, source, any_value(cell) AS cell, any_value(t) AS t, any_valu
 a AS (SELECT z.*, b.t, b.target, words // greatest(cell, 1) AS passes, words - (words // greatest(cell, 1)) * cell AS extra, coalesce(sum(size) OVER (PARTITION BY z.shard, z.source ORDER BY k, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM z JOIN b ON z.shard = b.shard AND z.source IS NOT DISTINCT FROM b.source),
 f AS (SELECT *, CAST(passes * size + least(size, greatest(0, extra - start)) AS BIGINT) AS taken FROM a)
 SELECT doc_id, size, CAST(t AS BIGINT) AS source_size, target, taken, source, CASE WHEN size > 0 THEN taken / size ELSE 0.0 END AS passes FROM f""",
+    "op12_phrase_collocations": rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+g AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(w) >= m),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY 1, 2, 3),
+o AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY 1),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE f >= 30),
+k AS (SELECT lang, m, phrase, a, w, unnest(range(1, m)) AS k FROM c WHERE m > 1),
+s AS (SELECT k.*, x.a AS l, y.a AS r, CAST(2000000 * k.a::HUGEINT // (x.a::HUGEINT + y.a) AS BIGINT) AS score FROM k JOIN c x ON x.lang = k.lang AND x.phrase = array_to_string(k.w[1:k.k], ' ') JOIN c y ON y.lang = k.lang AND y.phrase = array_to_string(k.w[k.k + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, m, a, w, unnest(range(1, m)) AS i FROM c WHERE m > 2),
+v AS (SELECT lang, a, w, i, unnest(range(i + 1, m + 1)) AS j, m FROM i),
+h AS (SELECT lang, array_to_string(w[i:j], ' ') AS phrase, max(a) AS over FROM v WHERE j - i + 1 < m GROUP BY 1, 2),
+q AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank FROM b LEFT JOIN h USING (lang, phrase) WHERE over IS NULL OR 100 * over::HUGEINT < 80 * a::HUGEINT)
+SELECT q.lang, rank, phrase, a, l, r, n, score FROM q JOIN o USING (lang) WHERE rank <= 2000""",
+    "op13_fill_in_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || doc_id) AS h FROM documents),
+x AS (SELECT *, CAST(len(u) AS BIGINT) AS n, ('0x' || h[1:8])::UINTEGER::BIGINT AS h1, ('0x' || h[9:16])::UINTEGER::BIGINT AS h2, ('0x' || h[17:24])::UINTEGER::BIGINT AS h3, ('0x' || h[25:32])::UINTEGER::BIGINT AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM x),
+p AS (SELECT doc_id, n, form, text, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:], '') AS suffix FROM c),
+o AS (SELECT *, CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END AS output FROM p),
+r AS (SELECT *, string_split(output, '<M>')[2] AS mid, string_split(string_split(output[4:], '<M>')[1], CASE form WHEN 'psm' THEN '<S>' ELSE '<P>' END) AS two FROM o)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars, sha256(output) AS output_sha256,
+sha256(CASE form WHEN 'plain' THEN output WHEN 'psm' THEN two[1] || mid || two[2] ELSE two[2] || mid || two[1] END) AS restored_sha256 FROM r""",
 }
