@@ -211,10 +211,11 @@ def partitions(source: DataFrame) -> int:
     return max(int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size * 4 // (6 * PART_MASS)))
 
 
-def frequent(source: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
+def frequent(source: DataFrame, longest: int = LONGEST, least: int = LEAST, held: int = HELD_PHRASES) -> DataFrame:
     """Rows (lang, phrase, size, f): how often each phrase of ``source`` (lang, text) occurs in its language, where ``least`` times or more.
 
-    And a row with size 0 and the empty phrase for each language that has words: f is their number.
+    And a row with size 0 and the empty phrase for each language that has words: f is their number. A task holds about ``held``
+    phrases before it sends them.
     """
     parts = partitions(source)
     alive = cut(survivors(source, longest, least, parts))
@@ -248,7 +249,7 @@ def frequent(source: DataFrame, longest: int = LONGEST, least: int = LEAST) -> D
                     known, times, names = np.r_[known, own[new]], np.r_[times, n[new]], np.r_[names, made]
                     order = np.argsort(known, kind="stable")
                     known, times, names = known[order], times[order], names[order]
-            if len(known) > HELD_PHRASES:
+            if len(known) > held:
                 yield sent([(*x, n) for x, n in zip(names.tolist(), times.tolist(), strict=True)])
                 known, times, names = known[:0], times[:0], names[:0]
         rows = [(*x, n) for x, n in zip(names.tolist(), times.tolist(), strict=True)] + [(lang, b"", 0, n) for lang, n in total.items()]
