@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from . import queries as _queries
-from . import scored as _scored  # registers its queries
+from . import media as _media  # registers its queries
+from . import scored as _scored
 from ..streaming import queries as _streaming
 
 QUERIES = _queries.QUERIES
 SQL = _queries.SQL
-__all__ = ["QUERIES", "SQL", "_scored", "_streaming"]
+__all__ = ["QUERIES", "SQL", "_media", "_scored", "_streaming"]
