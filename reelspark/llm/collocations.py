@@ -5,14 +5,17 @@
 2. A partition merges its summaries into one of more than mass / ``least`` counters, subtracting the first count that
    doesn't fit from all. A phrase loses less than ``least`` in this way, so every phrase that occurs ``least`` times or
    more survives; what is left of the others are few.
-3. A second pass counts the phrases whose hashes survive, exactly and as strings. Bits of the survivors' hashes go to the tasks.
+3. A second pass counts the phrases whose hashes survive, exactly and as strings. Bits of the survivors' hashes go to the
+   tasks, which send sorted phrases and counts in packed blocks by a phrase's first two words.
 4. Cuts, scores and the rule on longer phrases are joins of the table of frequent phrases with itself.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +28,11 @@ from .common import bit_filter, cut, filter_bits, map_batches, mix64, passes, ru
 
 LONGEST, LEAST, KEEP, COVER_PERCENT, SCALE = 4, 30, 2000, 80, 2_000_000
 #: Occurrences that a task counts before it sends its summaries.
-FLUSH = 6_000_000
+FLUSH = 4_000_000
 #: Occurrences of phrases in a hash partition, about; its summary has SLACK counters for each ``least`` of them.
 PART_MASS, SLACK = 32_000_000, 2
-#: Phrases that a task of the second pass counts before it sends them.
-HELD_PHRASES = 300_000
+#: Phrases that a task of the second pass counts before it sends them, and survivors that one of its partitions gets, about.
+HELD_PHRASES, PART_PHRASES = 400_000, 100_000
 #: Bytes of a long text that are handled at once.
 PART_BYTES = 1 << 20
 
@@ -145,12 +148,14 @@ def survivors(source: DataFrame, longest: int = LONGEST, least: int = LEAST, par
         parts = partitions(source)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held, n = np.empty(0, np.uint64), 0
 
         def sent() -> Iterator[pa.RecordBatch]:
-            nonlocal held, n
-            ids, times = np.unique(np.concatenate(held), return_counts=True)
-            held, n = [], 0
+            nonlocal n
+            ids, n = held[:n], 0
+            ids.sort()
+            first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+            ids, times = ids[first], np.diff(np.r_[first, len(ids)])
             bounds = np.searchsorted(ids, np.arange(parts + 1, dtype=np.uint64) << np.uint64(32))
             there = np.flatnonzero(np.diff(bounds))
             sums = np.r_[0, np.cumsum(times)]
@@ -168,7 +173,9 @@ def survivors(source: DataFrame, longest: int = LONGEST, least: int = LEAST, par
         for part, texts in text_chunks(batches):
             found = Phrases(texts, _language_hashes(part.column(0).to_pylist()), longest)
             for _, h in found.of_sizes(longest):
-                held.append(_ids(h, parts))
+                if n + len(h) > len(held):
+                    held = np.r_[held[:n], np.empty(max(len(h), min(flush, n) + (1 << 20)), np.uint64)]
+                held[n : n + len(h)] = _ids(h, parts)
                 n += len(h)
             if n > flush:
                 yield from sent()
@@ -217,18 +224,25 @@ def frequent(source: DataFrame, longest: int = LONGEST, least: int = LEAST, held
     And a row with size 0 and the empty phrase for each language that has words: f is their number. A task holds about ``held``
     phrases before it sends them.
     """
-    parts = partitions(source)
-    alive = cut(survivors(source, longest, least, parts))
-    width = filter_bits(alive.count())
+    alive = cut(survivors(source, longest, least))
+    n_alive = alive.count()
+    width = filter_bits(n_alive, 64)
     bits = source.sparkSession.sparkContext.broadcast(bit_filter(alive, "id", width))
+    hashed = partitions(source)
+    parts = max(int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_alive // PART_PHRASES))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, times, names = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, object)
+        times: dict[int, int] = {}
+        names: dict[int, tuple[str, bytes]] = {}
         total: dict[str, int] = {}
 
-        def sent(rows: list[tuple[str, bytes, int, int]]) -> pa.RecordBatch:
-            columns = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t).cast(pa.string()) if t == pa.binary() else pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.binary(), pa.int32(), pa.int64()), strict=True)], names=["lang", "phrase", "size", "f"])
+        def sent() -> Iterator[pa.RecordBatch]:
+            rows = sorted((_part_of(lang, phrase, parts), lang, phrase, times[h]) for h, (lang, phrase) in names.items())
+            rows += sorted((_part_of(lang, b"", parts), lang, b"", n) for lang, n in total.items())
+            times.clear(), names.clear(), total.clear()
+            for (part, lang), own in groupby(rows, key=lambda r: r[:2]):
+                own = list(own)
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([lang]), pa.array([pack_phrases([r[2] for r in own], [r[3] for r in own])], pa.binary())], names=["part", "lang", "block"])
 
         for part, texts in text_chunks(batches):
             languages = part.column(0).to_pylist()
@@ -237,27 +251,56 @@ def frequent(source: DataFrame, longest: int = LONGEST, least: int = LEAST, held
                 if size == 1:
                     for i, n in zip(*(x.tolist() for x in np.unique(found.text[first], return_counts=True)), strict=True):
                         total[languages[i]] = total.get(languages[i], 0) + n
-                on = passes(_ids(h, parts), bits.value, width)
+                on = passes(_ids(h, hashed), bits.value, width)
                 own, place, n = np.unique(h[on], return_index=True, return_counts=True)
-                at = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
-                old = known[at] == own if len(known) else np.zeros(len(own), bool)
-                times[at[old]] += n[old]
-                new = np.flatnonzero(~old)
-                if len(new):
-                    made = np.empty(len(new), object)
-                    made[:] = [(languages[found.text[i]], found.phrase(i, size), size) for i in first[on][place[new]].tolist()]
-                    known, times, names = np.r_[known, own[new]], np.r_[times, n[new]], np.r_[names, made]
-                    order = np.argsort(known, kind="stable")
-                    known, times, names = known[order], times[order], names[order]
-            if len(known) > held:
-                yield sent([(*x, n) for x, n in zip(names.tolist(), times.tolist(), strict=True)])
-                known, times, names = known[:0], times[:0], names[:0]
-        rows = [(*x, n) for x, n in zip(names.tolist(), times.tolist(), strict=True)] + [(lang, b"", 0, n) for lang, n in total.items()]
-        if rows:
-            yield sent(rows)
-
-    counted = map_batches(source.select("lang", "text"), count, "lang string, phrase string, size int, f long")
-    return counted.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("size") == 0))
+                for x, i, k in zip(own.tolist(), first[on][place].tolist(), n.tolist(), strict=True):
+                    if x in times:
+                        times[x] += k
+                    else:
+                        times[x], names[x] = k, (languages[found.text[i]], found.phrase(i, size))
+            if len(times) > held:
+                yield from sent()
+        yield from sent()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, f = None, Counter()
+
+        def done() -> Iterator[pa.RecordBatch]:
+            kept = [(phrase, n) for phrase, n in f.items() if n >= least or not phrase]
+            for at in range(0, len(kept), 10_000):
+                phrases, n = zip(*kept[at : at + 10_000], strict=True)
+                size = [p.count(b" ") + 1 if p else 0 for p in phrases]
+                yield pa.RecordBatch.from_arrays([pa.array([key[1]] * len(n)), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(size, pa.int32()), pa.array(n, pa.int64())], names=["lang", "phrase", "size", "f"])
+
+        for batch in batches:
+            for part, lang, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (part, lang) != key:
+                    yield from done()
+                    key, f = (part, lang), Counter()
+                for phrase, n in zip(*unpack_phrases(block), strict=True):
+                    f[phrase] += n
+        yield from done()
+
+    blocks = map_batches(source.select("lang", "text"), count, "part int, lang string, block binary").repartitionById(parts, F.col("part"))
+    return blocks.sortWithinPartitions("part", "lang").mapInArrow(add, "lang string, phrase string, size int, f long")
+
+
+def _part_of(lang: str, phrase: bytes, parts: int) -> int:
+    """Where a phrase is summed up: those of the same two first words together, as sorted they are packed well."""
+    return xxhash.xxh32_intdigest(b" ".join(phrase.split(b" ", 2)[:2]), len(lang)) % parts
+
+
+def pack_phrases(phrases: list[bytes], counts: list[int]) -> bytes:
+    """A block of phrases, which have no line break, and of their counts."""
+    raw = np.array(counts, "<u8").view(np.uint8).reshape(-1, 8).T.tobytes() + b"\n".join(phrases)
+    return len(phrases).to_bytes(4, "little") + len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpack_phrases(block: bytes) -> tuple[list[bytes], list[int]]:
+    n = int.from_bytes(block[:4], "little")
+    raw = pa.decompress(block[12:], int.from_bytes(block[4:12], "little"), "zstd", asbytes=True)
+    counts = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n).reshape(8, n).T).view("<u8").reshape(-1)
+    return raw[8 * n :].split(b"\n"), counts.tolist()
 
 
 def _exact(x: Column) -> Column:
@@ -295,7 +338,7 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", longes
     both falling, then by the phrase's UTF-8 bytes. Phrases that occur less than ``least`` times are out, and those inside
     a longer one that occurs ``cover_percent`` % as often or more. A null language is ``und``, a null text empty; repeated rows
     count each time; a language without such phrases, or an empty table, gives no rows. Phrases are told apart by
-    their strings, but for those of one task of one batch, which a 64-bit hash tells apart.
+    their strings, but for those within one task, which a 64-bit hash tells apart.
     """
     if longest < 1 or least < 1:
         raise ValueError("longest and least must be 1 or more")

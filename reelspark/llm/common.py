@@ -170,9 +170,9 @@ def row_hash(*columns: Column | str, seed: int = 0) -> Column:
 FILTER_BITS = 24
 
 
-def filter_bits(n: int) -> int:
-    """Bits that tell ``n`` values apart well, sixteen places a value, between FILTER_BITS and 29 (64 MB); beyond, more values pass."""
-    return min(29, max(FILTER_BITS, (16 * n).bit_length()))
+def filter_bits(n: int, places: int = 16) -> int:
+    """Bits for a filter with about so many places for each of ``n`` values, between FILTER_BITS and 29 (64 MB); beyond, more values pass."""
+    return min(29, max(FILTER_BITS, (places * n).bit_length()))
 
 
 def bit_filter(values: DataFrame, column: str = "term", bits: int | None = None) -> np.ndarray:

@@ -232,6 +232,8 @@ def test_packed_summaries_are_exact():
         counts = rng.integers(1, 1 << 31, len(keys))
         a, b = C.unpack(C.pack(keys, counts))
         assert (a == keys).all() and (b == counts).all()
+    phrases, times = [b"", b"a", b"a b", "é \x00 x".encode()], [3, 1, 1 << 40, 7]
+    assert C.unpack_phrases(C.pack_phrases(phrases, times)) == (phrases, times)
 
 
 def test_scores_of_counts_whose_products_pass_64_bits(spark):
@@ -259,7 +261,7 @@ def test_wider_filters_tell_more_values_apart(spark):
         bits = common.bit_filter(values, "term", width)
         assert common.passes(hashes, bits, width).all()
         assert abs(common.passes(others, bits, width).mean() - (1 - (1 - 2.0**-width) ** len(hashes))) < 0.02
-    assert common.filter_bits(10) == 24 and common.filter_bits(10**7) == 28 and common.filter_bits(10**12) == 29
+    assert common.filter_bits(10) == 24 and common.filter_bits(10**6, 64) == 26 and common.filter_bits(10**7) == 28 and common.filter_bits(10**12) == 29
 
 
 # --- infilling ------------------------------------------------------------------------------------------------------
