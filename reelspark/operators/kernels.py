@@ -342,6 +342,18 @@ class Likeness:
         small = resize(bgr.astype(float), *SMALL) if self.method == "combined" else None
         return hist, small, bgr
 
+    def write(self, bgr: np.ndarray) -> bytes:
+        """What a frame's key is made of, as bytes: its histogram for that method, its pixels for the others."""
+        if self.method == "histogram":
+            return bgr_histogram(bgr).tobytes()
+        return np.array(bgr.shape[:2], "<u4").tobytes() + np.ascontiguousarray(bgr).tobytes()
+
+    def read(self, raw: bytes) -> tuple:
+        """The key of a frame from what ``write`` made of it."""
+        if self.method == "histogram":
+            return np.frombuffer(raw), None, None
+        return self.key(np.frombuffer(raw, np.uint8, -1, 8).reshape(*np.frombuffer(raw, "<u4", 2), 3))
+
     def __call__(self, a: tuple, b: tuple) -> float:
         if self.method == "pixel":
             return pixel_similarity(a[2], b[2])

@@ -10,16 +10,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..durable import shared_folder
-from ..plans.queries import LATEST_SQL, QUERIES, query
-from ..plans.queries import SQL
+from ..plans.queries import LATEST_SQL, QUERIES, SQL, query
+from ..plans.scored import fold_sql
+from ..sources import tables as T
+from . import timers
 from .stateful import keep_changed, latest, spaced
 
 QUERY_OF_KEPT = SQL.get("redundancy_keep")
 
 
-def _run(stream: DataFrame, folder: str, batch: Callable[[DataFrame, str], None]) -> None:
+def _run(stream: DataFrame, folder: str, batch: Callable[[DataFrame, str], None], mode: str = "update") -> None:
     """Processes all that there is, with its progress in ``folder``; a batch that is run again overwrites its own part."""
-    q = stream.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).foreachBatch(lambda df, i: batch(df, f"{folder}/out/batch={i}")).start()
+    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).foreachBatch(lambda df, i: batch(df, f"{folder}/out/batch={i}")).start()
     q.awaitTermination()
     if q.exception():
         raise q.exception()
@@ -99,4 +101,39 @@ def stream_min_gap(spark, sf_dir):
     return parts.groupBy("video_id", "place").agg(F.max_by("frame_index", "version").alias("frame_index")).drop("place")
 
 
+def _ended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream, and after them one of no user, far later, with which the watermark passes all of them."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    folder = _folder(spark)
+    last = spark.read.parquet(f"{sf_dir}/events.parquet").agg((F.max("ts") + F.expr("interval 400 days")).alias("ts"))
+    last.select(*[(F.col("ts") if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]).write.parquet(folder)
+    return _events(spark, sf_dir).unionByName(spark.readStream.schema(schema).parquet(folder))
+
+
+@query(SQL.get("temporal_spacing"))
+def stream_spacing_final(spark, sf_dir):
+    """The minimum gap with each place put out once, when its timer or the next place says that it is final."""
+    folder = _folder(spark)
+    events = _ended(spark, sf_dir).select(F.col("user_id").alias("video_id"), F.col("event_id").alias("frame_index"), F.col("ts").alias("at"), F.coalesce("value", F.lit(0.0)).alias("distance"))
+    _run(timers.spaced(events, 86400.0), folder, lambda df, path: df.write.mode("overwrite").parquet(path), "append")
+    return spark.read.parquet(f"{folder}/out").where(F.col("video_id").isNotNull()).select("video_id", "frame_index")
+
+
+_GREY_SQL = "numbered AS (SELECT *, CAST(floor(signal / 2) AS BIGINT) % 256 AS grey, row_number() OVER (PARTITION BY video_id ORDER BY ts, frame_index) - 1 AS pos FROM frames)"
+
+
+@query(
+    "WITH RECURSIVE " + ", ".join([T.FRAMES_SQL, _GREY_SQL, fold_sql("f", "numbered", "", "grey AS last, 0 AS step, true AS kept", "CASE WHEN abs(n.grey - s.last) > 51 THEN n.grey ELSE s.last END, abs(n.grey - s.last), abs(n.grey - s.last) > 51")])
+    + " SELECT video_id, frame_index, CAST(step AS BIGINT) AS step FROM f WHERE kept"
+)
+def stream_image_dedupe(spark, sf_dir):
+    """Images unlike the last kept one of their video, on a stream; the state is that image."""
+    folder = _folder(spark)
+    grey = F.unhex(F.repeat(F.lpad(F.hex(F.floor(F.coalesce("value", F.lit(0.0)) / 2).cast("bigint") % 256), 2, "0"), 12))
+    image = F.struct(F.lit("").alias("origin"), F.lit(2).alias("height"), F.lit(2).alias("width"), F.lit(3).alias("nChannels"), F.lit(16).alias("mode"), grey.alias("data"))
+    events = _ended(spark, sf_dir).select(F.col("user_id").alias("video_id"), F.col("event_id").alias("frame_index"), F.lit(0.0).alias("ts"), F.col("ts").alias("at"), image.alias("image"))
+    _run(timers.keep_unlike(events, 0.8, "pixel"), folder, lambda df, path: df.write.mode("overwrite").parquet(path), "append")
+    return spark.read.parquet(f"{folder}/out").where(F.col("video_id").isNotNull()).select("video_id", "frame_index", F.round(F.col("diff_score") * 255).cast("bigint").alias("step"))
+
+
 __all__ = ["QUERIES"]
