@@ -11,8 +11,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
+from ..durable import stored
 from ..functions import vectors as V
-from . import scoring, timeline
+from . import kmeans, scoring, timeline
 
 
 def k_range(n: Column, duration: Column, settings: Settings = DEFAULT) -> tuple[Column, Column]:
@@ -97,41 +98,15 @@ def silhouette(df: DataFrame, by: tuple[str, ...] = ("video_id",), block: int =
     return each.groupBy(*by).agg(F.avg(s).alias("silhouette"))
 
 
-def squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Squared distances between rows, by products."""
-    return np.maximum((x * x).sum(axis=1)[:, None] + (c * c).sum(axis=1)[None, :] - 2 * (x @ c.T), 0)
-
-
 def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Distances between rows; centred first, so that products lose little to large means."""
     middle = x.mean(axis=0)
-    return np.sqrt(squared(x - middle, c - middle))
+    return np.sqrt(kmeans.squared(x - middle, c - middle))
 
 
 def lloyd(x: np.ndarray, k: int, inits: int, steps: int, seed: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """k-means++ and Lloyd steps; labels, centres and inertia of the best of ``inits`` starts."""
-    rng, best = np.random.default_rng(seed), None
-    for _ in range(inits):
-        c = np.empty((k, x.shape[1]))
-        c[0] = x[rng.integers(len(x))]
-        d = squared(x, c[:1])[:, 0]
-        for j in range(1, k):
-            c[j] = x[rng.choice(len(x), p=d / d.sum()) if d.sum() > 0 else rng.integers(len(x))]
-            d = np.minimum(d, squared(x, c[j : j + 1])[:, 0])
-        for _ in range(steps):
-            labels = squared(x, c).argmin(axis=1)
-            sizes = np.bincount(labels, minlength=k)
-            member = np.zeros((k, len(x)))
-            member[labels, np.arange(len(x))] = 1
-            new = np.where(sizes[:, None] > 0, member @ x / np.maximum(sizes, 1)[:, None], c)
-            if np.allclose(new, c):
-                break
-            c = new
-        labels = squared(x, c).argmin(axis=1)
-        inertia = float(((x - c[labels]) ** 2).sum())
-        if best is None or inertia < best[2]:
-            best = labels, c, inertia
-    return best
+    """k-means++ and Lloyd steps with all distances; labels, centres and inertia of the best of ``inits`` starts."""
+    return min((kmeans.plain_run(x, k, start, steps, seed) for start in range(inits)), key=lambda run: run[2])
 
 
 def mean_silhouette(x: np.ndarray, labels: np.ndarray, block: int = BLOCK) -> float:
@@ -143,7 +118,7 @@ def mean_silhouette(x: np.ndarray, labels: np.ndarray, block: int = BLOCK) -> fl
     sizes, total = member.sum(axis=0), 0.0
     for at in range(0, len(x), block):
         rows = np.arange(at, min(at + block, len(x)))
-        d = np.sqrt(squared(x[rows], x))
+        d = np.sqrt(kmeans.squared(x[rows], x))
         d[rows - at, rows] = 0
         sums, mine = d @ member, own[rows]
         a = sums[rows - at, mine] / np.maximum(sizes[mine] - 1, 1)
@@ -154,48 +129,49 @@ def mean_silhouette(x: np.ndarray, labels: np.ndarray, block: int = BLOCK) -> fl
     return total / len(x)
 
 
-def sweep(df: DataFrame, settings: Settings = DEFAULT, inits: int | None = None) -> DataFrame:
-    """(video_id, k, wcss, silhouette, frames): k-means of each video for each k of its range; a video is sent once.
-
-    Videos of fewer than three frames have one row, k = n and wcss 0.
-    """
-    stats = df.groupBy("video_id").agg(F.count("*").cast("int").alias("n"), F.max("ts").alias("duration"))
+def best_runs(df: DataFrame, settings: Settings = DEFAULT, inits: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(frames, best): the frames of videos of three frames or more with their place, and kmeans.runs of them; both are kept."""
+    v = W.partitionBy("video_id")
+    placed = df.select("video_id", "frame_index", "features", (F.row_number().over(v.orderBy("frame_index")) - 1).alias("pos"), F.count("*").over(v).cast("int").alias("n"), F.max("ts").over(v).alias("duration"))
     low, high = k_range(F.col("n"), F.col("duration"), settings)
-    few = F.col("n") < 3
-    ks = stats.select("video_id", F.when(few, F.col("n")).otherwise(low).alias("low"), F.when(few, F.col("n")).otherwise(high).alias("high"))
-    rows = df.select("video_id", "frame_index", "features").join(ks, "video_id")
+    frames = stored(placed.where("n >= 3").select("video_id", "frame_index", "features", "pos", low.alias("low"), high.alias("high")))
     starts = settings.kmeans_inits if inits is None else inits
+    return frames, stored(kmeans.runs(frames, F.col("low"), F.col("high"), starts, settings.kmeans_steps, settings.seed))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = len(pdf)
-        x = np.stack(pdf.sort_values("frame_index")["features"])
-        x = x - x.mean(axis=0)
-        found = []
-        for k in range(int(pdf["low"].iloc[0]), int(pdf["high"].iloc[0]) + 1):
-            labels, _, inertia = lloyd(x, min(k, n), starts, settings.kmeans_steps, settings.seed) if n >= 3 else (None, None, 0.0)
-            found.append((pdf["video_id"].iloc[0], k, inertia, mean_silhouette(x, labels) if n >= 3 else 0.0, n))
-        return pd.DataFrame(found, columns=["video_id", "k", "wcss", "silhouette", "frames"])
 
-    return rows.groupBy("video_id").applyInPandas(one, "video_id long, k int, wcss double, silhouette double, frames long")
+def _curve(df: DataFrame, frames: DataFrame, best: DataFrame) -> DataFrame:
+    labelled = frames.select("video_id", "frame_index", "features", "pos").join(kmeans.labels_of_frames(best), ["video_id", "pos"])
+    shape = kmeans.silhouettes(labelled)
+    first = best.groupBy("video_id").agg(F.min("k").alias("low"))
+    place = best.join(first, "video_id").select("video_id", "k", "wcss", "frames", (F.col("k") - F.col("low")).alias("place"), F.aggregate(F.array_distinct("labels"), F.lit(0), lambda a, _: a + 1).alias("clusters"))
+    met = place.join(shape, ["video_id", "place"])
+    # as many clusters as frames have no silhouette
+    curve = met.select("video_id", "k", "wcss", F.when((F.col("clusters") >= 2) & (F.col("clusters") < F.col("frames")), F.col("silhouette")).otherwise(0.0).alias("silhouette"), "frames")
+    few = df.groupBy("video_id").agg(F.count("*").alias("frames")).where("frames < 3")
+    return curve.unionByName(few.select("video_id", F.col("frames").cast("int").alias("k"), F.lit(0.0).alias("wcss"), F.lit(0.0).alias("silhouette"), "frames"))
 
 
-def cluster_frames(df: DataFrame, settings: Settings = DEFAULT, inits: int | None = None) -> DataFrame:
-    """``df`` with cluster_id and k: the sweep's choice for each video, made again from the same seed.
+def sweep(df: DataFrame, settings: Settings = DEFAULT, inits: int | None = None) -> DataFrame:
+    """(video_id, k, wcss, silhouette, frames): k-means of each video for each k of its range, the best of ``inits`` starts.
 
-    Each frame of a video of fewer than three is a cluster of its own.
+    A long video's runs are spread over tasks, and its distances are made once for the silhouettes of all k. Videos of
+    fewer than three frames have one row, k = n and wcss 0.
     """
-    ks = choose_k(sweep(df, settings, inits), F.col("frames"))
-    starts = settings.kmeans_inits if inits is None else inits
+    return _curve(df, *best_runs(df, settings, inits))
 
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_index")
-        n, k = len(pdf), int(pdf["k"].iloc[0])
-        x = np.stack(pdf["features"])
-        labels = np.arange(n) if n < 3 else lloyd(x - x.mean(axis=0), min(k, n), starts, settings.kmeans_steps, settings.seed)[0]
-        return pd.DataFrame({"video_id": pdf["video_id"].to_numpy(), "frame_index": pdf["frame_index"].to_numpy(), "cluster_id": labels.astype("int32"), "k": k})
 
-    labelled = df.select("video_id", "frame_index", "features").join(ks, "video_id").groupBy("video_id").applyInPandas(assign, "video_id long, frame_index long, cluster_id int, k int")
-    return (df.drop("cluster_id") if "cluster_id" in df.columns else df).join(labelled, ["video_id", "frame_index"])
+def cluster_frames(df: DataFrame, settings: Settings = DEFAULT, inits: int | None = None) -> DataFrame:
+    """``df`` with cluster_id and k: the labels of the sweep's choice for each video.
+
+    Each frame of a video of fewer than three is a cluster of its own.
+    """
+    frames, best = best_runs(df, settings, inits)
+    chosen = choose_k(_curve(df, frames, best), F.col("frames")).withColumn("k", F.col("k").cast("int"))
+    labels = best.join(chosen, ["video_id", "k"]).select("video_id", "k", F.posexplode("labels").alias("pos", "cluster_id"))
+    labelled = frames.select("video_id", "frame_index", "pos").join(labels, ["video_id", "pos"]).select("video_id", "frame_index", "cluster_id", "k")
+    v = W.partitionBy("video_id")
+    few = df.select("video_id", "frame_index", (F.row_number().over(v.orderBy("frame_index")) - 1).alias("cluster_id"), F.count("*").over(v).cast("int").alias("k")).where("k < 3")
+    return (df.drop("cluster_id") if "cluster_id" in df.columns else df).join(labelled.unionByName(few), ["video_id", "frame_index"])
 
 
 def representatives(df: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, PROGRESS
 from ..functions import scalars as S
 from ..functions import vectors as V
-from ..operators import clustering, jobs, scoring, timeline
+from ..operators import clustering, jobs, kmeans, scoring, timeline
 from ..sources import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -497,8 +497,8 @@ CURVES_SQL = (
 def choose_k(spark, sf_dir):
     """Elbow and exact silhouettes of the given clusters folded into k."""
     f = T.features(spark, sf_dir)
-    folded = f.withColumn("k", F.explode(F.sequence(F.lit(2), F.lit(10)))).withColumn("cluster_id", F.col("cluster_id") % F.col("k"))
-    shape = clustering.silhouette(folded, ("video_id", "k"))
+    folded = f.withColumn("labels", F.transform(F.sequence(F.lit(2), F.lit(10)), lambda k: F.col("cluster_id") % k))
+    shape = kmeans.silhouettes(folded).select("video_id", (F.col("place") + 2).alias("k"), "silhouette")
     both = curve(spark, sf_dir).join(shape, ["video_id", "k"]).join(f.groupBy("video_id").agg(F.count("*").alias("frames")), "video_id")
     return clustering.choose_k(both, F.col("frames"))
 
