@@ -25,8 +25,8 @@ from .quality import labelled_ids, labelled_sample
 
 ORDER, SPAN, GAP, WINDOW = 4, 6, 0.6, 8
 #: At most so many labelled texts are fitted on, half of each label, in the order of a hash as long as they have at most
-#: SAMPLE_CHARS characters together; whole texts, whatever their length.
-SAMPLE_ROWS, SAMPLE_CHARS = 5_000, 24_000_000
+#: SAMPLE_CHARS characters together; whole texts, but none of more than a LONGEST_SHARE-th of these characters.
+SAMPLE_ROWS, SAMPLE_CHARS, LONGEST_SHARE = 5_000, 24_000_000, 20
 LANDMARKS, ROUNDS, COST, SEED = 320, 4, 1000.0, 7
 
 _BITS = 5
@@ -245,14 +245,21 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, flo
 def fit(docs: DataFrame, labels: DataFrame, where: Column, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
     """Trains on a bounded sample of the labelled rows that ``where`` selects; ids may be of any type that has a text.
 
-    Rows of one id count once, with the longest text. A text that alone has more than ``chars`` characters isn't in the
-    sample, nor is what follows when they are used up.
+    Rows of one id count once, with the longest text. A text of more than a LONGEST_SHARE-th of ``chars`` characters isn't in
+    the sample; the others are taken in the order of a hash of their ids until ``chars`` are used up. It is an error if
+    that leaves texts of one label only where there were both.
     """
     ids = labelled_ids(labelled_sample(labels, label, where, rows, balance=True, doc_id=doc_id))
     sample = docs.select(F.col(doc_id).cast("string").alias("_id"), F.col(text).alias("_text")).join(F.broadcast(ids), "_id").where(F.col("_text").isNotNull())
-    one = sample.groupBy("_id").agg(F.max(F.struct(F.length("_text").alias("n"), "_text", "_label")).alias("m")).select("_id", "m.*")
-    used = F.sum("n").over(W.orderBy(F.xxhash64("_id"), "_id").rowsBetween(W.unboundedPreceding, 0))  # of the sample's rows
-    found = one.withColumn("used", used).where(F.col("used") <= chars).select("_id", "_text", "_label").toPandas().sort_values("_id", kind="stable")
+    sizes = sample.groupBy("_id").agg(F.max(F.struct(F.length("_text").alias("n"), "_label")).alias("m")).select("_id", "m.*")  # at most ``rows``
+    used = F.sum(F.when(F.col("fits"), F.col("n"))).over(W.orderBy(F.xxhash64("_id"), "_id").rowsBetween(W.unboundedPreceding, 0))
+    order = sizes.withColumn("fits", F.col("n") <= chars // LONGEST_SHARE).withColumn("used", used).select("_id", "n", "_label", (F.col("fits") & (F.col("used") <= chars)).alias("in"))
+    lengths = order.toPandas().astype({"in": bool})
+    if lengths["_label"].nunique() > lengths.loc[lengths["in"], "_label"].nunique():
+        raise ValueError(f"texts of both labels, but not of both with at most {chars // LONGEST_SHARE} characters")
+    chosen = docs.sparkSession.createDataFrame(lengths.loc[lengths["in"], ["_id", "n"]].astype({"_id": str, "n": int}).values.tolist(), "_id string, _n int")
+    texts = sample.join(F.broadcast(chosen), "_id").where(F.length("_text") == F.col("_n")).groupBy("_id").agg(F.max(F.struct("_text", "_label")).alias("m")).select("_id", "m.*")
+    found = texts.toPandas().sort_values("_id", kind="stable")
     return train([t.encode() for t in found["_text"]], found["_label"].to_numpy(int))
 
 
