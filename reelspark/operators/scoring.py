@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..config import BASE_WEIGHTS, FACTORS
 from ..functions import scalars as S
@@ -146,20 +151,56 @@ def ranked_factors(k: int = 3) -> Column:
 MOST_LABELS = 10_000
 
 
-def softmax_top(df: DataFrame, labels: DataFrame, features: str = "features", scale: float = 100.0) -> DataFrame:
-    """The best label of each frame: softmax of scaled cosine over the labels (label, vector), at most MOST_LABELS."""
-    if labels.limit(MOST_LABELS + 1).count() > MOST_LABELS:
+#: Labels whose similarities to a batch's frames are one product.
+LABEL_BLOCK = 1024
+
+
+def softmax_top(df: DataFrame, labels: DataFrame, features: str = "features", scale: float = 100.0, block: int = LABEL_BLOCK) -> DataFrame:
+    """The best label of each frame: softmax of scaled cosine over the labels (label, vector), at most MOST_LABELS; of equal ones the smallest.
+
+    The labels' unit vectors are one matrix, which each task gets once; a batch of frames meets it in blocks, with the largest
+    similarity and the sum of exponentials relative to it carried on, so no pair is a row. Frames whose vector is null have
+    no row, a zero vector is as far from all labels; vectors of several lengths are an error.
+    """
+    found = labels.where(F.col("vector").isNotNull()).limit(MOST_LABELS + 1).toPandas().sort_values("label", kind="stable")
+    if len(found) > MOST_LABELS:
         raise ValueError(f"more than {MOST_LABELS} labels")
-    scored = df.select("video_id", "frame_index", features).crossJoin(F.broadcast(labels)).withColumn("s", scale * V.cosine_similarity(F.col(features), F.col("vector")))
-    best = scored.groupBy("video_id", "frame_index").agg(F.max(F.struct("s", (-F.col("label")).alias("l"))).alias("m"), F.collect_list("s").alias("all"))
-    return best.select("video_id", "frame_index", (-F.col("m.l")).alias("label"), (1 / V.total(F.transform("all", lambda x: F.exp(x - F.col("m.s"))))).alias("score"))
+    schema = f"video_id {df.schema['video_id'].dataType.simpleString()}, frame_index {df.schema['frame_index'].dataType.simpleString()}, label {labels.schema['label'].dataType.simpleString()}, score double"
+    if not len(found):
+        return df.sparkSession.createDataFrame([], schema)
+    matrix = np.array(found["vector"].tolist(), float)
+    shared = df.sparkSession.sparkContext.broadcast((matrix / _lengths(matrix)[:, None], found["label"].tolist()))
+
+    kind = to_arrow_type(labels.schema["label"].dataType)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, names = shared.value
+        for batch in batches:
+            values = batch.column(2)
+            x = values.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(values), -1) if len(values) else np.zeros((0, unit.shape[1]))
+            x = x / _lengths(x)[:, None]
+            top, total, best = np.full(len(x), -np.inf), np.zeros(len(x)), np.zeros(len(x), np.int64)
+            for at in range(0, len(unit), block):
+                s = scale * (x @ unit[at : at + block].T)
+                k = s.argmax(axis=1)
+                here = s[np.arange(len(x)), k]
+                best = np.where(here > top, at + k, best)
+                new = np.maximum(top, here)
+                total = total * np.exp(top - new) + np.exp(s - new[:, None]).sum(axis=1)
+                top = new
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([names[k] for k in best.tolist()], kind), pa.array(1 / total)], names=["video_id", "frame_index", "label", "score"])
+
+    return df.where(F.col(features).isNotNull()).select("video_id", "frame_index", features).mapInArrow(work, schema)
+
+
+def _lengths(x: np.ndarray) -> np.ndarray:
+    """The rows' lengths, 1 for a zero row."""
+    n = np.sqrt((x * x).sum(axis=1))
+    return np.where(n > 0, n, 1.0)
 
 
 def zero_shot(df: DataFrame, labels: DataFrame | None = None, features: str = "features") -> DataFrame:
     """(video_id, frame_index, label, score): the best of the labels (label as text, vector); the fallback label without any."""
     if labels is None:
         return df.select("video_id", "frame_index", F.lit(S.NO_LABEL[0]).alias("label"), F.lit(S.NO_LABEL[1]).alias("score"))
-    numbered = labels.withColumn("number", F.row_number().over(W.orderBy("label")))  # at most MOST_LABELS
-    best = softmax_top(df, numbered.select(F.col("number").alias("label"), "vector"), features)
-    names = numbered.select(F.col("number").alias("label"), F.col("label").alias("name"))
-    return best.join(names, "label").select("video_id", "frame_index", F.col("name").alias("label"), "score")
+    return softmax_top(df, labels, features)

@@ -255,6 +255,30 @@ def scenes(df: DataFrame, features: str = "features") -> DataFrame:
 
 # --- time -----------------------------------------------------------------------------------------------------------
 
+#: Seconds of a bin in which frames and intervals meet.
+BIN_SECONDS = 5.0
+
+
+def in_intervals(df: DataFrame, intervals: DataFrame, width: float = BIN_SECONDS, how: str = "left") -> DataFrame:
+    """``df`` (video_id, ts, ...) with the columns of the ``intervals`` (video_id, start, end, ...) of its video that hold ts.
+
+    An interval holds ts from start to before end; those that end last in their video hold their end too, as does none that
+    is empty elsewhere. Intervals may overlap: a frame then has a row for each. ``how``: left keeps frames in none, with
+    nulls; inner drops them. An interval goes to each bin of ``width`` seconds that it touches, a frame to its own, and
+    they meet by video and bin, so neither a long video nor a long interval is one task's. Null or unordered bounds and null ts meet nothing.
+    """
+    if how not in ("left", "inner") or width <= 0:
+        raise ValueError("how must be left or inner, width positive")
+    bin_of = lambda c: F.floor(c / F.lit(width))
+    bounded = intervals.where((F.col("start") <= F.col("end")) & F.col("video_id").isNotNull()).withColumn("_last", F.col("end") == F.max("end").over(in_video()))
+    names = {c: f"_r_{c}" for c in bounded.columns}
+    spread = bounded.select(*[F.col(c).alias(n) for c, n in names.items()]).withColumn("_r_bin", F.explode(F.sequence(bin_of(F.col("_r_start")), bin_of(F.col("_r_end")))))
+    ts = F.col("ts")
+    held = (F.col("_r_start") <= ts) & ((ts < F.col("_r_end")) | (F.col("_r__last") & (ts == F.col("_r_end"))))
+    met = df.withColumn("_bin", bin_of(ts)).join(spread, (F.col("video_id") == F.col("_r_video_id")) & (F.col("_bin") == F.col("_r_bin")) & held, how)
+    return met.select(*df.columns, *[F.col(n).alias(c) for c, n in names.items() if c not in ("video_id", "_last")])
+
+
 
 def neighbours(ts: Column, within: float) -> Column:
     """Other frames of the video strictly less than ``within`` seconds away: a range window, not a self-join."""

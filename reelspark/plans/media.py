@@ -1,16 +1,20 @@
-"""Queries over pixels: small images made of the given tables' numbers, stored as videos and read back, described by kernels."""
+"""Queries over what is stored: images made of the given tables' numbers as videos, their pixels, and a job store in buckets."""
 
 from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..durable import shared_folder
+from ..operators import kernels as K
 from ..sources import tables as T
 from ..sources import video as V
-from .queries import POSITION_SQL, query, with_sql
+from ..sources.store import JobStore
+from .queries import LATEST_SQL, POSITION_SQL, SQL, listed_jobs, query, transitions, with_sql
 
 HEIGHT, WIDTH, FPS = 4, 5, 8.0
 PIXELS = HEIGHT * WIDTH * 3
@@ -66,3 +70,77 @@ def video_lookup(spark, sf_dir):
     """Given frames of every video, one of them in none: other frames aren't read."""
     chunks = V.video_chunks(spark, as_videos(spark, sf_dir)).where(F.col("frame_index").isin(0, 5, 41, 1_000_000))
     return chunks.select("video_id", "frame_index", F.round("ts", 6).alias("ts"), F.length("content").cast("bigint").alias("stored"))
+
+
+# --- kernels --------------------------------------------------------------------------------------------------------
+
+COLOURS_SQL = f"colours AS (SELECT video_id, frame_index, pos, i // 3 AS p, max(v) FILTER (WHERE i % 3 = 0) AS b, max(v) FILTER (WHERE i % 3 = 1) AS g, max(v) FILTER (WHERE i % 3 = 2) AS r FROM (SELECT video_id, frame_index, pos, i, {BYTE_SQL} AS v FROM numbered, range({PIXELS}) t(i)) GROUP BY ALL)"
+GREY_SQL = f"grey AS (SELECT video_id, frame_index, pos, p // {WIDTH} AS y, p % {WIDTH} AS x, (b * 1868 + g * 9617 + r * 4899 + 8192) // 16384 AS v FROM colours)"
+
+
+@query(
+    with_sql(
+        T.FRAMES_SQL, POSITION_SQL, COLOURS_SQL, GREY_SQL,
+        "steps(dy, dx, w) AS (VALUES (0, 0, -4), (-1, 0, 1), (1, 0, 1), (0, -1, 1), (0, 1, 1))",
+        f"edge AS (SELECT g.*, w, {HEIGHT - 1} - abs({HEIGHT - 1} - abs(g.y + dy)) AS ny, {WIDTH - 1} - abs({WIDTH - 1} - abs(g.x + dx)) AS nx FROM grey g, steps)",
+        "lap AS (SELECT e.video_id, e.frame_index, e.y, e.x, sum(e.w * n.v) AS l FROM edge e JOIN grey n ON n.video_id = e.video_id AND n.frame_index = e.frame_index AND n.y = e.ny AND n.x = e.nx GROUP BY ALL)",
+        "sharp AS (SELECT video_id, frame_index, var_pop(l) AS s FROM lap GROUP BY ALL)",
+        select="SELECT video_id, frame_index, round(avg(v), 6) AS brightness, round(any_value(s), 4) AS sharpness FROM grey JOIN sharp USING (video_id, frame_index) GROUP BY ALL",
+    )
+)
+def pixel_metrics(spark, sf_dir):
+    """Brightness and sharpness of each frame's pixels."""
+    return K.frame_metrics(images(spark, sf_dir)).select("video_id", "frame_index", F.round("brightness", 6).alias("brightness"), F.round("sharpness", 4).alias("sharpness"))
+
+
+@query(
+    with_sql(
+        T.FRAMES_SQL, POSITION_SQL,
+        f"bins AS (SELECT video_id, frame_index, i % 3 AS c, {BYTE_SQL} AS v, count(*) AS n FROM numbered, range({PIXELS}) t(i) GROUP BY ALL)",
+        "units AS (SELECT video_id, frame_index, c, v, n / sqrt(sum(n * n) OVER (PARTITION BY video_id, frame_index, c)) AS h FROM bins)",
+        select="SELECT video_id, frame_index, round(sum(h * (256 * c + v + 1)), 4) AS checksum FROM units GROUP BY ALL",
+    )
+)
+def pixel_histogram(spark, sf_dir):
+    """The histogram of each frame's blue, green and red: its 768 numbers, each times its place, summed."""
+
+    @F.pandas_udf("double")
+    def compute(frames: pd.DataFrame) -> pd.Series:
+        return pd.Series([float(K.bgr_histogram(K.to_array(i)) @ np.arange(1, 769)) for _, i in frames.iterrows()])
+
+    return images(spark, sf_dir).select("video_id", "frame_index", F.round(compute("image"), 4).alias("checksum"))
+
+
+@query(
+    "WITH RECURSIVE " + ", ".join([
+        T.FRAMES_SQL, POSITION_SQL, COLOURS_SQL, GREY_SQL,
+        "pics AS (SELECT video_id, pos, frame_index, list(v ORDER BY y, x) AS v FROM grey GROUP BY ALL)",
+        "f AS (SELECT video_id, pos, frame_index, v AS last, CAST(0 AS DOUBLE) AS d, true AS kept FROM pics WHERE pos = 0 UNION ALL SELECT video_id, pos, frame_index, CASE WHEN d > 0.35 THEN v ELSE last END, d, d > 0.35 FROM (SELECT n.video_id, n.pos, n.frame_index, n.v, s.last, list_avg(list_transform(list_zip(n.v, s.last), lambda x: abs(x[1] - x[2]))) / 255 AS d FROM f s JOIN pics n ON n.video_id = s.video_id AND n.pos = s.pos + 1))",
+    ]) + " SELECT video_id, frame_index, round(d, 6) AS diff_score FROM f WHERE kept"
+)
+def pixel_redundancy(spark, sf_dir):
+    """Frames whose pixels are unlike those of the last kept one of their video."""
+    return K.redundancy_filter(images(spark, sf_dir), 0.65, "pixel").select("video_id", "frame_index", F.round("diff_score", 6).alias("diff_score"))
+
+
+# --- the bucketed store ---------------------------------------------------------------------------------------------
+
+
+@query(LATEST_SQL)
+def stored_job_state(spark, sf_dir):
+    """Jobs' states from a store to which transitions came in three parts, compacted after the second."""
+    kept = JobStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", 16)
+    for k in range(3):
+        kept.append(transitions(spark, sf_dir).where(F.pmod("seq", F.lit(3)) == k))
+        if k == 1:
+            kept.compact()
+    return kept.state()
+
+
+@query(SQL.get("job_list_nested"))
+def stored_job_list(spark, sf_dir):
+    """The list of jobs from tables in buckets by job."""
+    kept = JobStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", 16)
+    kept.put_jobs(T.jobs(spark, sf_dir))
+    kept.put_keyframes(T.keyframes(spark, sf_dir))
+    return listed_jobs(kept.job_list(T.videos(spark, sf_dir)))

@@ -184,9 +184,14 @@ def job_with_video(spark, sf_dir):
     )
 )
 def job_list_nested(spark, sf_dir):
+    return listed_jobs(jobs.job_list(*_store(spark, sf_dir)))
+
+
+def listed_jobs(found: DataFrame) -> DataFrame:
+    """A list of jobs with its keyframes as text."""
     one = lambda x: F.concat_ws(":", x["index"].cast("string"), x["frame_index"].cast("string"), x["timestamp_formatted"], x["importance_score"].cast("string"), x["importance_confidence"])
     listed = F.array_join(F.transform(F.coalesce("keyframes", F.array()), one), "|")
-    return jobs.job_list(*_store(spark, sf_dir)).select("id", "filename", "num_keyframes", listed.alias("keyframes"))
+    return found.select("id", "filename", "num_keyframes", listed.alias("keyframes"))
 
 
 @query(with_sql(T.JOBS_SQL, select="SELECT id, video_id, created_at FROM jobs WHERE status = 'pending' ORDER BY created_at, id LIMIT 1"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import BASE_WEIGHTS, FACTORS
@@ -11,7 +12,7 @@ from ..functions import vectors as V
 from ..operators import scoring, selection, timeline
 from ..sources import tables as T
 from . import summary
-from .queries import CENTROID_SQL, CUT_SQL, DISTANCE_SQL, ENTROPY_SQL, HIST_SQL, POSITION_SQL, SCENE_SQL, STEP_SQL, color_entropy_of, query, with_sql
+from .queries import CENTROID_SQL, CUT_SQL, DISTANCE_SQL, ENTROPY_SQL, HIST_SQL, POSITION_SQL, SCENE_SQL, SCENES, STEP_SQL, color_entropy_of, query, with_sql
 
 HOURS = 10.0
 
@@ -384,3 +385,34 @@ def novelty_to_selected(spark, sf_dir):
 def not_selected(spark, sf_dir):
     best = selection.cluster_best(candidates(spark, sf_dir))
     return selection.not_selected(T.features(spark, sf_dir), best).select("video_id", "frame_index")
+
+
+MARKS_SQL = "marks AS (SELECT video_id, frame_index AS mark, ts AS start, coalesce(lead(ts) OVER (PARTITION BY video_id ORDER BY ts, frame_index), until) AS stop FROM (SELECT *, max(ts) OVER (PARTITION BY video_id) AS until FROM frames) WHERE frame_index % 9 = 0), bounds AS (SELECT *, stop = max(stop) OVER (PARTITION BY video_id) AS last FROM marks)"
+
+
+@query(
+    with_sql(
+        T.FRAMES_SQL, MARKS_SQL,
+        select="SELECT f.video_id, f.frame_index, mark, round(start, 6) AS start, round(stop, 6) AS stop FROM frames f LEFT JOIN bounds b ON f.video_id = b.video_id AND f.ts >= start AND (f.ts < stop OR (last AND f.ts = stop))",
+    )
+)
+def frames_in_intervals(spark, sf_dir):
+    """Frames of intervals of any length: every ninth frame begins one that ends where the next begins, the last with its video."""
+    f = T.frames(spark, sf_dir)
+    marked = f.withColumn("until", F.max("ts").over(W.partitionBy("video_id"))).where(F.col("frame_index") % 9 == 0)
+    marks = marked.select("video_id", F.col("frame_index").alias("mark"), F.col("ts").alias("start"), F.coalesce(F.lead("ts").over(W.partitionBy("video_id").orderBy("ts", "frame_index")), "until").alias("end"))
+    found = timeline.in_intervals(f, marks, 86400.0)
+    return found.select("video_id", "frame_index", "mark", F.round("start", 6).alias("start"), F.round("end", 6).alias("stop"))
+
+
+@query(
+    with_sql(
+        T.FEATURES_SQL, f"scenes AS ({SCENES})", "bounds AS (SELECT *, end_time = max(end_time) OVER (PARTITION BY video_id) AS last FROM scenes)",
+        select="SELECT f.video_id, f.frame_index, scene_id FROM features f LEFT JOIN bounds b ON f.video_id = b.video_id AND f.ts >= start_time AND (f.ts < end_time OR (last AND f.ts = end_time))",
+    )
+)
+def frames_in_scenes(spark, sf_dir):
+    """The scene of each frame, by time."""
+    f = T.features(spark, sf_dir)
+    scenes = timeline.scenes(f).select("video_id", "scene_id", F.col("start_time").alias("start"), F.col("end_time").alias("end"))
+    return timeline.in_intervals(f.select("video_id", "frame_index", "ts"), scenes).select("video_id", "frame_index", "scene_id")

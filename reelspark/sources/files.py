@@ -18,6 +18,7 @@ from ..config import DEFAULT, Settings
 from ..functions import scalars as S
 from ..operators.jobs import gate
 from ..schemas import SUMMARY, migrate
+from .matroska import MAGIC, matroska_header
 
 
 def image_frames(spark: SparkSession, folder: str, fps: float) -> DataFrame:
@@ -29,10 +30,11 @@ def image_frames(spark: SparkSession, folder: str, fps: float) -> DataFrame:
     return images.select(video.alias("video_id"), index.alias("frame_index"), F.when(F.lit(fps) > 0, index / F.lit(fps or 1.0)).otherwise(0.0).alias("ts"), "image").where(F.col("frame_index").isNotNull())
 
 
-def ingest(files: DataFrame, probe: Callable[[bytes], tuple[float, int, int, int, int]] | None = None) -> DataFrame:
+def ingest(files: DataFrame, probe: Callable[[bytes], tuple[float, int, int, int, int]] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Metadata of binaryFile rows: filename, fps, total_frames, width, height, codec, duration, and why a file is unusable.
 
-    ``probe`` gives (fps, frames, width, height, fourcc) of a file's bytes; without one, headers of AVI and MP4 files are read.
+    ``probe`` gives (fps, frames, width, height, fourcc) of a file's bytes; without one, headers of AVI, MP4, Matroska and WebM files are read.
+    Columns to ``keep`` are carried.
     """
     reader = probe or container_header
 
@@ -46,10 +48,10 @@ def ingest(files: DataFrame, probe: Callable[[bytes], tuple[float, int, int, int
                 rows.append((None, None, None, None, None))
         return pd.DataFrame(rows, columns=["fps", "total_frames", "width", "height", "fourcc"]).astype({"fps": "float64", "total_frames": "Int64", "width": "Int32", "height": "Int32", "fourcc": "Int64"})
 
-    m = files.withColumn("m", read("content")).select("path", F.col("length").alias("file_size"), "m.*")
+    m = files.withColumn("m", read("content")).select("path", F.col("length").alias("file_size"), "m.*", *keep)
     bad = S.first_match((F.col("fps").isNull(), "cannot be opened"), ((F.col("fps") <= 0) | (F.col("total_frames") <= 0), "no frames"))
     return m.select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), "path", "file_size", "fps", "total_frames", "width", "height", S.fourcc(F.col("fourcc")).alias("codec"), F.try_divide(F.col("total_frames"), F.col("fps")).alias("duration"), bad.alias("error"),
+        F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), "path", "file_size", "fps", "total_frames", "width", "height", S.fourcc(F.col("fourcc")).alias("codec"), F.try_divide(F.col("total_frames"), F.col("fps")).alias("duration"), bad.alias("error"), *keep,
     )
 
 
@@ -66,6 +68,8 @@ def avi_header(content: bytes) -> tuple[float, int, int, int, int]:
 
 def container_header(content: bytes) -> tuple[float, int, int, int, int]:
     """(fps, frames, width, height, fourcc) by the kind of the file."""
+    if content[:4] == MAGIC:
+        return matroska_header(content)
     return avi_header(content) if content[:4] == b"RIFF" else mp4_header(content)
 
 
