@@ -90,7 +90,9 @@ class Phrases:
     def phrase(self, first: int, size: int) -> bytes:
         if self.lower is None:
             self.lower = _LOWER[np.frombuffer(self.bytes, np.uint8)].tobytes()
-        return b" ".join([self.lower[a:b] for a, b in zip(self.start[first : first + size].tolist(), self.end[first : first + size].tolist(), strict=True)])
+            self.begins, self.ends = self.start.tolist(), self.end.tolist()
+        lower = self.lower
+        return b" ".join([lower[a:b] for a, b in zip(self.begins[first : first + size], self.ends[first : first + size], strict=True)])
 
 
 def _language_hashes(names: list[str]) -> np.ndarray:

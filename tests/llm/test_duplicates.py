@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from reelspark.llm import ann, graph, jaccard, passages, simhash
@@ -190,7 +191,7 @@ def _best_by_brute_force(segs):
 
 
 def test_overlapping_passages_are_covered(spark):
-    """Texts share windows of common passages that overlap one another in any way; runs of 57 words are found whole."""
+    """Texts share windows of common passages that overlap one another in any way; runs of 50 words are found whole."""
     rng = np.random.default_rng(31)
     bases = [[f"s{b}x{j}" for j in range(260)] for b in range(4)]
     w = {}
@@ -208,18 +209,40 @@ def test_overlapping_passages_are_covered(spark):
         said[r.ref_doc_id][r.ref_start_word : r.ref_end_word] = True
     holders = {}
     for i, t in w.items():
-        for a in range(len(t) - 56):
-            holders.setdefault(tuple(t[a : a + 57]), []).append((i, a))
+        for a in range(len(t) - 49):
+            holders.setdefault(tuple(t[a : a + 50]), []).append((i, a))
     shared = {i: np.zeros(len(t), bool) for i, t in w.items()}
     for at in holders.values():
         if len({i for i, _ in at}) > 1:
             for i, a in at:
-                shared[i][a : a + 57] = True
+                shared[i][a : a + 50] = True
     all_, found = sum(x.sum() for x in shared.values()), sum((shared[i] & said[i]).sum() for i in w)
     assert all_ > 1000 and found >= 0.98 * all_
     assert all(said[i].any() for i in w if shared[i].any())
 
 
+@pytest.mark.parametrize("length", [50, 52, 54, 56, 60])
+def test_a_passage_is_found_though_others_hold_either_half(spark, length):
+    """Two texts share a passage, and six others each of its halves: single seeds have other first holders."""
+    rng, rows, pairs, i = random.Random(length), [], [], 0
+    for case in range(20):
+        shared = [f"p{case}x{j}" for j in range(length)]
+        parts = [shared] * 2 + [shared[: length // 2]] * 6 + [shared[length // 2 :]] * 6
+        for k, part in enumerate(parts):
+            own = [f"c{case}f{k}x{j}" for j in range(rng.randint(80, 140))]
+            at = rng.randint(10, 60)
+            rows.append((i, " ".join(own[:at] + part + own[at:])))
+            if k < 2:
+                pairs.append((case, i, at))
+            i += 1
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = 0
+    for (_, a, at), (_, b, bt) in zip(pairs[::2], pairs[1::2], strict=True):
+        said = [(r.doc_id, r.start_word, r.end_word) for r in got if {r.doc_id, r.ref_doc_id} == {a, b}]
+        found += any(s <= (at if d == a else bt) and e >= (at if d == a else bt) + length for d, s, e in said)
+    assert found >= 19
+
+
 def test_chain_scores_match_brute_force():
     rng = np.random.default_rng(21)
     for _ in range(150):

@@ -264,10 +264,40 @@ def test_pipeline_stages(spark, tmp_path):
         assert stage(spark, none, str(tmp_path)).count() == 0
 
 
+def test_each_stage_is_evaluated_once(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, " ".join(corpus.words(60 + i, 70 + i)), "en", f"src{i % 3}", None) for i in range(30)] + [(i, "too short", "en", "src0", 9) for i in range(30, 40)], corpus.SCHEMA)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i < 30), 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    counts, kept = {}, {}
+
+    def counted(name, stage):
+        total = counts[name] = spark.sparkContext.accumulator(0)
+
+        def run(batches):
+            for batch in batches:
+                total.add(batch.num_rows)
+                yield batch
+
+        def wrapped(spark, docs, sf_dir):
+            kept[name] = docs.count()
+            out = stage(spark, docs, sf_dir)
+            return out.mapInArrow(run, out.schema)
+
+        return name, wrapped
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [counted(*s) for s in corpus_pipeline.STAGES])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    names = list(counts)
+    for name, after in zip(names[:-1], names[1:], strict=True):  # what a stage puts out is what the next one gets
+        assert counts[name].value == kept[after] > 0
+
+
 def test_registered_queries():
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(q.startswith(f"op{n}_") for q in names) == 1
     assert "pipeline" in names and set(__spark_entry__.oracle_sql()) <= set(names)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -335,6 +336,37 @@ def insults():
     return toxicity.train(texts, np.array(toxic), landmarks=120, rounds=3)
 
 
+@pytest.mark.parametrize("long_first", [False, True])
+def test_one_long_labelled_text_doesnt_starve_the_others(spark, long_first):
+    rng = random.Random(8)
+    words = [w for w in corpus.words(300, 12) if len(w) > 3]
+    rows = []
+    for i in range(200):
+        t = [rng.choice(words) for _ in range(12)]
+        if i % 2:
+            t.insert(rng.randrange(12), "worthless idiot")
+        rows.append((i, " ".join(t)))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    if long_first:  # the first by the hash that the sample is ordered by
+        first = int(docs.select(F.col("doc_id").cast("string").alias("_id")).orderBy(F.xxhash64("_id")).first()[0])
+        rows = [(i, t * 700 if i == first else t) for i, t in rows]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, labels, F.lit(True), chars=60_000)
+    asked = spark.createDataFrame([(1, "you are a worthless idiot they said"), (2, " ".join(words[:9]))], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(asked, model).collect()}
+    assert got[1] > 0.6 and got[2] < 0.3
+
+
+def test_a_sample_of_one_label_only_is_an_error(spark):
+    docs = spark.createDataFrame([(1, "short and clean"), (2, "an idiot " * 100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
+    with pytest.raises(ValueError, match="both labels"):
+        toxicity.fit(docs, labels, F.lit(True), chars=2000)
+    # texts of one label to begin with are none
+    assert toxicity.score(docs, toxicity.fit(docs, labels.where("toxic = 0"), F.lit(True), chars=2000)).count() == 2
+
+
 def test_toxicity_finds_gapped_insults(insults):
     bad = insults.score([b"ka lo grobnik mi", b"ka lo gro.bnik mi", b"ka g r o b n i k mi", b"lo fleezxerd tu"])
     good = insults.score([b"ka lo mi ren tu ves", b"", b"renmi lolo katu"])
