@@ -360,18 +360,47 @@ def fillings(counts: np.ndarray, sizes: list[int], room: int, effort: _Effort |
                     stack.append((k + 1, togo - n * s, fill + (s,) * n))
 
 
+#: Dual feasible functions of the kinds that bounds use: so many that round to parts of a bin, and cuts below which pieces count nothing.
+PARTS, CUTS = 15, 32
+
+
+def bound_weights(counts: np.ndarray, capacity: int) -> np.ndarray:
+    """(functions, capacity + 1): weights of lengths such that no pieces that fit one bin weigh more than 1 together.
+
+    So pieces that weigh w by any of them need w bins. The first is a piece's share of a bin. Others round lengths to k-th parts
+    (of more than a third of a bin two fit at most, whatever the volume), or count what is longer than a bin less a cut as
+    whole bins and what is shorter than the cut as nothing.
+    """
+    x = np.arange(capacity + 1)
+    rows = [x / capacity]
+    for k in range(1, PARTS + 1):
+        y = (k + 1) * x
+        rows.append(np.where(y % capacity == 0, x / capacity, y // capacity / k))
+    half = np.flatnonzero(counts[: capacity // 2 + 1])
+    for cut in np.unique(half[np.linspace(0, len(half) - 1, min(CUTS, len(half))).astype(int)]) if len(half) else ():
+        rows.append(np.where(x > capacity - cut, 1.0, np.where(x < cut, 0.0, x / capacity)))
+    return np.array(rows)
+
+
+def bins_for(weighed: np.ndarray) -> int:
+    """The bins that pieces of these total weights need at least."""
+    return int(np.ceil(weighed.max() - 1e-6))
+
+
 def complete_bins(lengths: list[int], capacity: int = CAPACITY, nodes: int = SEARCH_NODES) -> list[list[int]]:
     """Packs lengths (1 to capacity) into few bins; best-fit decreasing unless the search finds fewer.
 
     The search is complete: if it ends before its effort is used up, no packing has fewer bins.
     """
     incumbent = best_fit(lengths, capacity)
-    total = sum(lengths)
-    least = -(-total // capacity)
-    least = max(least, sum(1 for n in lengths if 2 * n > capacity))
-    if len(incumbent) <= least or not lengths:
+    if not lengths:
+        return incumbent
+    total, counts = sum(lengths), np.bincount(lengths, minlength=capacity + 1)
+    weights = bound_weights(counts, capacity)
+    left = weights @ counts  # of the pieces that aren't placed
+    least = bins_for(left)
+    if len(incumbent) <= least:
         return incumbent
-    counts = np.bincount(lengths, minlength=capacity + 1)
     sizes = [int(s) for s in np.flatnonzero(counts)[::-1]]
     effort = _Effort(max(nodes, NODES_A_BIN * len(incumbent)))
     allowed = (len(incumbent) - 1) * capacity - total
@@ -387,9 +416,10 @@ def complete_bins(lengths: list[int], capacity: int = CAPACITY, nodes: int = SEA
         return ((head, *f) for f in fillings(own, sizes, capacity - head, effort))
 
     def undo() -> None:
-        nonlocal waste
+        nonlocal waste, left
         fill, lost = path.pop()
         waste -= lost
+        left = left + weights[:, fill].sum(axis=1)
         for s in fill:
             counts[s] += 1
 
@@ -416,6 +446,10 @@ def complete_bins(lengths: list[int], capacity: int = CAPACITY, nodes: int = SEA
             counts[s] -= 1
         path.append((fill, lost))
         waste += lost
+        left = left - weights[:, fill].sum(axis=1)
+        if len(path) + bins_for(left) >= len(incumbent):
+            undo()
+            continue
         if counts.any():
             descend()
             continue

@@ -238,6 +238,43 @@ def test_pack_is_an_exact_round_trip(spark, shard):
     assert packing.pack(corpus.empty(spark), PATH).count() == 0
 
 
+def _fewest(lengths, capacity):
+    """The optimum by trying all ways."""
+    best = len(lengths)
+    lengths = sorted(lengths, reverse=True)
+
+    def place(k, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if k == len(lengths):
+            best = len(bins)
+            return
+        for i in range(len(bins)):
+            if bins[i] + lengths[k] <= capacity and bins[i] not in bins[:i]:
+                place(k + 1, [*bins[:i], bins[i] + lengths[k], *bins[i + 1 :]])
+        place(k + 1, [*bins, lengths[k]])
+
+    place(0, [])
+    return best
+
+
+@given(st.lists(st.integers(1, 30), min_size=1, max_size=9), st.sampled_from([30, 31, 36]))
+@settings(max_examples=150, deadline=None)
+def test_bounds_are_never_beyond_the_optimum(lengths, capacity):
+    counts = np.bincount(lengths, minlength=capacity + 1)
+    weights = packing.bound_weights(counts, capacity)
+    least, best = packing.bins_for(weights @ counts), _fewest(lengths, capacity)
+    assert max(-(-sum(lengths) // capacity), sum(2 * n > capacity for n in lengths)) <= least <= best
+    assert len(packing.complete_bins(lengths, capacity)) == best
+
+
+def test_pieces_of_more_than_a_third_are_proved_at_once(monkeypatch):
+    lengths = np.random.default_rng(3).integers(690, 1021, 1500).tolist()
+    monkeypatch.setattr(packing, "fillings", None)  # no search
+    assert len(packing.complete_bins(lengths, 2048)) == 750
+
+
 # --- the pipeline
 
 
