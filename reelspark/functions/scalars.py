@@ -91,11 +91,18 @@ def summary_confidence(stable: Column, ratio: Column) -> Column:
     return F.when(stable & (ratio > 0.9), "HIGH").when(ratio > 0.7, "MEDIUM").otherwise("LOW")
 
 
+# The parts of the sentence on a summary, and the labels of a captioned frame's environment and attributes.
+REASON_KINDS, REASON_PARTS = ("High motion", "Stable", "Balanced"), (" content summarized into ", " key moments (~", " keyframes/sec).")
+CAPTIONED = ("Captured Reality", "Generative Precision")
+
+
 def reason(n: Column, duration: Column) -> Column:
     """One sentence on how dense the summary is; the density is shown with two decimals at most."""
     density = F.when(duration > 0, n / duration).otherwise(F.lit(0.0))
-    kind = F.when(density > 0.4, "High motion").when(density < 0.1, "Stable").otherwise("Balanced")
-    return F.concat(kind, F.lit(" content summarized into "), n.cast("string"), F.lit(" key moments (~"), F.round(density, 2).cast("string"), F.lit(" keyframes/sec)."))
+    fast, slow, other = REASON_KINDS
+    middle, about, end = map(F.lit, REASON_PARTS)
+    kind = F.when(density > 0.4, fast).when(density < 0.1, slow).otherwise(other)
+    return F.concat(kind, middle, n.cast("string"), about, F.round(density, 2).cast("string"), end)
 
 
 # The phrase of a factor above 0.7.
@@ -135,7 +142,7 @@ def deep_analysis(caption: Column) -> Column:
     entry = lambda label, score: F.struct(label.alias("label"), F.lit(score).alias("score"))
     sure = F.struct(
         capitalize(caption).alias("caption"), F.transform(caption_tags(caption), lambda w: entry(w, 0.9)).alias("objects"), F.array(entry(capitalize(caption), 1.0)).alias("actions"),
-        F.array(entry(F.lit("Captured Reality"), 1.0)).alias("environment"), F.array(entry(F.lit("Generative Precision"), 1.0)).alias("attributes"),
+        *(F.array(entry(F.lit(v), 1.0)).alias(k) for k, v in zip(("environment", "attributes"), CAPTIONED, strict=True)),
     )
     none = F.struct(F.lit(NO_ANALYSIS["caption"]).alias("caption"), *[F.array(entry(F.lit(v), 0.8)).alias(k) for k, v in NO_ANALYSIS.items() if k != "caption"])
     return F.when(caption.isNull(), none).otherwise(sure)
@@ -149,7 +156,7 @@ def caption_tags(caption: Column) -> Column:
 
 def capitalize(text: Column) -> Column:
     """First letter upper, the rest lower."""
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, 2, 1_000_000)))
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substr(text, F.lit(2))))
 
 
 def grid(index: Column, columns: int, thumb_width: Column, thumb_height: Column, padding: int = 10) -> tuple[Column, Column]:

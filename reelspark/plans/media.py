@@ -13,6 +13,7 @@ from ..durable import shared_folder
 from ..operators import kernels as K
 from ..sources import tables as T
 from ..sources import video as V
+from ..sources.files import ingest
 from ..sources.store import JobStore
 from .queries import LATEST_SQL, POSITION_SQL, SQL, listed_jobs, query, transitions, with_sql
 
@@ -72,6 +73,13 @@ def video_lookup(spark, sf_dir):
     return chunks.select("video_id", "frame_index", F.round("ts", 6).alias("ts"), F.length("content").cast("bigint").alias("stored"))
 
 
+@query(f"SELECT user_id AS video_id, CAST({FPS} AS DOUBLE) AS fps, count(*) AS total_frames, {WIDTH} AS width, {HEIGHT} AS height, 'DIB ' AS codec, count(*) / {FPS} AS duration FROM events WHERE value IS NOT NULL GROUP BY 1")
+def video_metadata(spark, sf_dir):
+    """What the headers of video files say."""
+    found = ingest(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(as_videos(spark, sf_dir)))
+    return found.where(F.col("error").isNull()).select(F.regexp_extract("path", r"video_id=(\d+)", 1).cast("long").alias("video_id"), "fps", "total_frames", "width", "height", "codec", "duration")
+
+
 # --- kernels --------------------------------------------------------------------------------------------------------
 
 COLOURS_SQL = f"colours AS (SELECT video_id, frame_index, pos, i // 3 AS p, max(v) FILTER (WHERE i % 3 = 0) AS b, max(v) FILTER (WHERE i % 3 = 1) AS g, max(v) FILTER (WHERE i % 3 = 2) AS r FROM (SELECT video_id, frame_index, pos, i, {BYTE_SQL} AS v FROM numbered, range({PIXELS}) t(i)) GROUP BY ALL)"

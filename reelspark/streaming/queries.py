@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..config import Settings
 from ..durable import shared_folder
 from ..plans.queries import LATEST_SQL, QUERIES, SQL, query
 from ..plans.scored import fold_sql
 from ..sources import tables as T
-from . import timers
+from . import arrivals, timers
 from .stateful import keep_changed, latest, spaced
 
 QUERY_OF_KEPT = SQL.get("redundancy_keep")
@@ -136,4 +137,26 @@ def stream_image_dedupe(spark, sf_dir):
     return spark.read.parquet(f"{folder}/out").where(F.col("video_id").isNotNull()).select("video_id", "frame_index", F.round(F.col("diff_score") * 255).cast("bigint").alias("step"))
 
 
+@query("SELECT user_id AS video_id, count(*) AS total_frames, CASE WHEN count(*) / 8.0 > 8 THEN 'duration' END AS rejection FROM events WHERE value IS NOT NULL GROUP BY 1")
+def stream_uploads(spark, sf_dir):
+    """Verdicts on videos that arrive as files, one made of each user's events; those of more than eight seconds aren't taken."""
+    from ..plans.media import as_videos
+
+    folder = _folder(spark)
+    found = arrivals.verdicts(arrivals.arriving(spark, as_videos(spark, sf_dir)), Settings(max_duration=8.0))
+    _run(found, folder, lambda df, path: df.write.mode("overwrite").parquet(path), "append")
+    return spark.read.parquet(f"{folder}/out").select(F.regexp_extract("path", r"video_id=(\d+)", 1).cast("long").alias("video_id"), "total_frames", "rejection")
+
+
+@query("SELECT user_id AS video_id, count(*) AS total_frames FROM events WHERE value IS NOT NULL GROUP BY 1 HAVING count(*) / 8.0 <= 8")
+def stream_upload_jobs(spark, sf_dir):
+    """Jobs of videos that arrive, each content once although every file comes twice."""
+    from ..plans.media import as_videos
+
+    folder, inbox = as_videos(spark, sf_dir), _folder(spark)
+    jobs = arrivals.accepted(arrivals.verdicts(arrivals.arriving(spark, folder).unionByName(arrivals.arriving(spark, folder)), Settings(max_duration=8.0)))
+    _run(jobs, inbox, lambda df, path: df.write.mode("overwrite").parquet(path), "append")
+    return spark.read.parquet(f"{inbox}/out").select(F.regexp_extract("path", r"video_id=(\d+)", 1).cast("long").alias("video_id"), "total_frames")
+
+
 __all__ = ["QUERIES"]
