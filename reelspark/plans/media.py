@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -26,13 +27,13 @@ def byte_at(i: Column) -> Column:
     return (F.col("frame_index") * 31 + i * (7 + F.col("frame_index") % 5) + F.floor("signal").cast("bigint")) % 256
 
 
-BYTE_SQL = "(frame_index * 31 + i * (7 + frame_index % 5) + CAST(floor(signal) AS BIGINT)) % 256"
+BYTE_SQL = "((frame_index * 31 + i * (7 + frame_index % 5) + CAST(floor(signal) AS BIGINT)) % 256)"
 PIXELS_SQL = f"bytes AS (SELECT video_id, pos, i, {BYTE_SQL} AS v FROM numbered, range({PIXELS}) r(i))"
 
 
-def images(spark, sf_dir) -> DataFrame:
+def images(spark, sf_dir, byte: Callable[[Column], Column] = byte_at) -> DataFrame:
     """(video_id, frame_index, ts, image) with images of HEIGHT x WIDTH made of the frames' numbers; expressions of the JVM only."""
-    data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(PIXELS - 1)), lambda i: F.lpad(F.hex(byte_at(i)), 2, "0")), ""))
+    data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(PIXELS - 1)), lambda i: F.lpad(F.hex(byte(i)), 2, "0")), ""))
     image = F.struct(F.lit("").alias("origin"), F.lit(HEIGHT).alias("height"), F.lit(WIDTH).alias("width"), F.lit(3).alias("nChannels"), F.lit(V.BGR_MODE).alias("mode"), data.alias("data"))
     return T.frames(spark, sf_dir).where(F.col("signal").isNotNull()).select("video_id", "frame_index", "ts", image.alias("image"))
 
@@ -131,6 +132,65 @@ def pixel_redundancy(spark, sf_dir):
     return K.redundancy_filter(images(spark, sf_dir), 0.65, "pixel").select("video_id", "frame_index", F.round("diff_score", 6).alias("diff_score"))
 
 
+HSV_SQL = (
+    "parts AS (SELECT video_id, frame_index, p, b, g, r, greatest(b, g, r) AS v, greatest(b, g, r) - least(b, g, r) AS d FROM colours), "
+    "hues AS (SELECT *, CASE WHEN d = 0 THEN 0.0 WHEN v = r THEN (g - b) / d WHEN v = g THEN 2 + (b - r) / d ELSE 4 + (r - g) / d END * 60 AS hue FROM parts), "
+    "hsv AS (SELECT video_id, frame_index, p, CAST(round_even(CASE WHEN hue < 0 THEN hue + 360 ELSE hue END / 2, 0) AS BIGINT) % 180 AS h, CASE WHEN v = 0 THEN 0 ELSE CAST(round_even(d / v * 255, 0) AS BIGINT) END AS s, v FROM hues)"
+)
+
+
+def _entropy_sql(name: str, value: str) -> str:
+    return f"{name} AS (SELECT video_id, frame_index, -sum(q * log2(q + 1e-10)) AS e FROM (SELECT video_id, frame_index, {value} AS bin, count(*) / ({HEIGHT * WIDTH} + 1e-10) AS q FROM hsv GROUP BY ALL) GROUP BY ALL)"
+
+
+@query(
+    with_sql(
+        T.FRAMES_SQL, POSITION_SQL, COLOURS_SQL, HSV_SQL, _entropy_sql("eh", "h * 30 // 180"), _entropy_sql("es", "s * 16 // 256"),
+        f"sums AS (SELECT video_id, frame_index, avg(h * 32 // 180 + 1) + avg(s * 4 // 256 + 33) + avg(v * 2 // 256 + 37) AS colours, avg(h * 64 // 180 + 1) + avg(s * 64 // 256 + 65) AS scene FROM hsv GROUP BY ALL)",
+        select="SELECT video_id, frame_index, round(colours, 6) AS colours, round(scene, 6) AS scene, round((eh.e + es.e) / 2, 6) AS entropy FROM sums JOIN eh USING (video_id, frame_index) JOIN es USING (video_id, frame_index)",
+    )
+)
+def pixel_colours(spark, sf_dir):
+    """Of each frame the 38 colour features and the 128 numbers of scenes, each times its place and summed, and the colour entropy."""
+
+    @F.pandas_udf("colours double, scene double, entropy double")
+    def compute(frames: pd.DataFrame) -> pd.DataFrame:
+        arrays = [K.to_array(i) for _, i in frames.iterrows()]
+        rows = [(float(K.colour_features(x) @ np.arange(1, 39)), float(K.scene_histogram(x) @ np.arange(1, 129)), K.colour_entropy(x)) for x in arrays]
+        return pd.DataFrame(rows, columns=["colours", "scene", "entropy"])
+
+    found = images(spark, sf_dir).select("video_id", "frame_index", compute("image").alias("m"))
+    return found.select("video_id", "frame_index", *(F.round(f"m.{c}", 6).alias(c) for c in ("colours", "scene", "entropy")))
+
+
+GAUSS = 21  # pixels of the blur that a frame is compared with, mirrored at its borders
+
+
+def _mirrored(n: int, at: str) -> str:
+    """The row of n that stands at any place when rows are mirrored with their edges, again and again."""
+    around = f"((({at}) % {2 * n} + {2 * n}) % {2 * n})"
+    return f"CASE WHEN {around} < {n} THEN {around} ELSE {2 * n - 1} - {around} END"
+
+
+@query(
+    with_sql(
+        T.FRAMES_SQL, POSITION_SQL, COLOURS_SQL.replace(BYTE_SQL, f"100 + {BYTE_SQL} % 40"), GREY_SQL,
+        f"taps AS (SELECT k, exp(-(k * k) / (2 * s * s)) / sum(exp(-(k * k) / (2 * s * s))) OVER () AS w FROM (SELECT k, 0.3 * (({GAUSS} - 1) * 0.5 - 1) + 0.8 AS s FROM range({-(GAUSS // 2)}, {GAUSS // 2 + 1}) t(k)))",
+        f"across AS (SELECT a.video_id, a.frame_index, a.y, a.x, any_value(a.v) AS v, sum(w * n.v) AS u FROM grey a, taps JOIN grey n ON n.video_id = a.video_id AND n.frame_index = a.frame_index AND n.y = a.y AND n.x = {_mirrored(WIDTH, 'a.x + k')} GROUP BY ALL)",
+        f"down AS (SELECT a.video_id, a.frame_index, a.y, a.x, any_value(a.v) AS v, sum(w * n.u) AS u FROM across a, taps JOIN across n ON n.video_id = a.video_id AND n.frame_index = a.frame_index AND n.x = a.x AND n.y = {_mirrored(HEIGHT, 'a.y + k')} GROUP BY ALL)",
+        select=f"SELECT video_id, frame_index, count(*) FILTER (WHERE abs(v - u) < 10) > 0.6 * {HEIGHT * WIDTH} AS uniform FROM down GROUP BY ALL",
+    )
+)
+def pixel_uniform(spark, sf_dir):
+    """Whether most pixels of a frame lie close to their surroundings; images with less contrast than the others', so that some do."""
+    @F.pandas_udf("boolean")
+    def compute(pictures: pd.DataFrame) -> pd.Series:
+        return pd.Series([K.is_uniform(K.to_array(i)) for _, i in pictures.iterrows()])
+
+    soft = images(spark, sf_dir, lambda i: 100 + byte_at(i) % 40)
+    return soft.select("video_id", "frame_index", compute("image").alias("uniform"))
+
+
 # --- the bucketed store ---------------------------------------------------------------------------------------------
 
 
