@@ -18,6 +18,7 @@ from ..config import DEFAULT, Settings
 from ..functions import scalars as S
 from ..operators.jobs import gate
 from ..schemas import SUMMARY, migrate
+from .jpeg import jpeg
 from .matroska import MAGIC, matroska_header
 
 
@@ -153,16 +154,25 @@ def png(bgr: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw, 3)) + part(b"IEND", b"")
 
 
-def encoded_keyframes(keyframes: DataFrame, image: str = "image") -> DataFrame:
-    """(job_id, index, name, content): numbered PNG files in the order of time, as rows that any binary sink takes."""
+def encoder(kind: str, quality: int = 95) -> Callable[[np.ndarray], bytes]:
+    """Makes files of images: png, or jpg of a quality from 1 to 100."""
+    if kind not in ("png", "jpg"):
+        raise ValueError(f"unknown kind {kind}")
+    return png if kind == "png" else lambda bgr: jpeg(bgr, quality)
+
+
+def encoded_keyframes(keyframes: DataFrame, image: str = "image", kind: str = "png", quality: int = 95) -> DataFrame:
+    """(job_id, index, name, content): numbered files in the order of time, PNG or JPEG, as rows that any binary sink takes."""
     from ..operators.kernels import to_array
 
+    made = encoder(kind, quality)
+
     @F.pandas_udf("binary")
     def encode(images: pd.DataFrame) -> pd.Series:
-        return pd.Series([png(to_array(i)) for _, i in images.iterrows()])
+        return pd.Series([made(to_array(i)) for _, i in images.iterrows()])
 
     numbered = keyframes.withColumn("index", F.row_number().over(W.partitionBy("job_id").orderBy("ts", "frame_index")))
-    return numbered.select("job_id", "index", S.keyframe_name(F.col("index"), "png").alias("name"), encode(image).alias("content"))
+    return numbered.select("job_id", "index", S.keyframe_name(F.col("index"), kind).alias("name"), encode(image).alias("content"))
 
 
 # The rows of 3 x 5 glyphs, a bit a pixel.
@@ -201,14 +211,16 @@ def board(images: list[np.ndarray], times: list[float], columns: int = 4, width:
     return out
 
 
-def storyboards(keyframes: DataFrame, columns: int = 4, width: int = 400, padding: int = 10, background: int = 30, image: str = "image") -> DataFrame:
-    """(job_id, content): one PNG per job with its keyframes in a grid, row by row, numbered and with their times."""
+def storyboards(keyframes: DataFrame, columns: int = 4, width: int = 400, padding: int = 10, background: int = 30, image: str = "image", kind: str = "png", quality: int = 95) -> DataFrame:
+    """(job_id, content): one file per job, PNG or JPEG, with its keyframes in a grid, row by row, numbered and with their times."""
     from ..operators.kernels import to_array
 
+    encode = encoder(kind, quality)
+
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ts", "frame_index"])
         made = board([to_array(i) for i in pdf[image]], pdf["ts"].tolist(), columns, width, padding, background)
-        return pd.DataFrame({"job_id": [pdf["job_id"].iloc[0]], "content": [png(made)]})
+        return pd.DataFrame({"job_id": [pdf["job_id"].iloc[0]], "content": [encode(made)]})
 
     return keyframes.select("job_id", "ts", "frame_index", image).groupBy("job_id").applyInPandas(one, "job_id long, content binary")
 

@@ -190,9 +190,14 @@ def video_of(path: str) -> int | None:
     return int(found[1]) if found else None
 
 
+def located(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
 def listed(folder: str) -> list[tuple[str, int]]:
     """(path, bytes) of the AVI files under a folder of any file system that Arrow knows, or of one file."""
-    system, at = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    system, at = located(folder)
     prefix = folder[: len(folder) - len(at)] if folder.endswith(at) else ""
     info = system.get_file_info(at)
     if info.type == fs.FileType.NotFound:
@@ -247,7 +252,7 @@ class AviReader(DataSourceReader):
 
     def read(self, partition: FrameRanges) -> Iterator[pa.RecordBatch]:
         for one in partition.ranges:
-            system, at = fs.FileSystem.from_uri(one.path) if "://" in one.path or one.path.startswith("file:") else (fs.LocalFileSystem(), one.path)
+            system, at = located(one.path)
             with system.open_input_file(at) as f:
                 try:
                     clip = read_clip(f)
@@ -401,7 +406,7 @@ def write_videos(frames: DataFrame, folder: str, fps: float) -> DataFrame:
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import uuid
 
-        system, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        system, root = located(folder)
         video = writer = None
         name = f"{uuid.uuid4().hex}.part"
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..config import DEFAULT, Settings
 from ..functions import scalars as S
 from ..sources.files import ingest
+from ..sources.video import located
 
 JOB = "id long, path string, filename string, file_size long, fps double, total_frames long, width int, height int, codec string, duration double"
 
@@ -65,3 +70,29 @@ def take_uploads(spark: SparkSession, folder: str, inbox: str, progress: str, se
     jobs = accepted(verdicts(arriving(spark, folder), settings), delay)
     when = {"processingTime": interval} if interval else {"availableNow": True}
     return jobs.writeStream.format("json").option("path", inbox).option("checkpointLocation", progress).outputMode("append").trigger(**when).start()
+
+
+def moved(jobs: DataFrame, root: str) -> DataFrame:
+    """(id, path): jobs (id, path) with their files moved to ``root``/jobs/<id>/original.<suffix>, as a worker does before its work.
+
+    Files move where the rows are, within one file system that Arrow knows. A file that was moved before, by a task that was
+    lost since, stays where it is; one that is in neither place is an error.
+    """
+    place = F.concat(F.lit(f"{root}/jobs/"), F.col("id").cast("string"))
+    asked = jobs.select("id", "path", place.alias("folder"), F.concat(F.lit("original."), S.suffix(F.col("path"))).alias("name"))
+
+    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            paths = []
+            for source, folder, name in zip(pdf["path"], pdf["folder"], pdf["name"], strict=True):
+                system, at = located(source)
+                to = located(f"{folder}/{name}")[1]
+                if system.get_file_info(at).type == fs.FileType.File:
+                    system.create_dir(to.rsplit("/", 1)[0], recursive=True)
+                    system.move(at, to)
+                elif system.get_file_info(to).type != fs.FileType.File:
+                    raise FileNotFoundError(source)
+                paths.append(f"{folder}/{name}")
+            yield pd.DataFrame({"id": pdf["id"], "path": paths})
+
+    return asked.mapInPandas(work, "id long, path string")

@@ -6,6 +6,7 @@ import json
 import os
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from reelspark.config import Settings
@@ -98,3 +99,15 @@ def test_worker_polls_what_arrived(spark, tmp_path):
         uploads.stop()
         worker.stop()
     assert sorted(t["total_frames"] for t in taken) == [30, 60]
+
+
+def test_files_are_moved_to_their_jobs_once(spark, tmp_path):
+    _put(tmp_path / "in", "a.webm", _webm(5), 1)
+    _put(tmp_path / "in", "b.MKV", _webm(6), 1)
+    jobs = spark.createDataFrame([(7, f"file:{tmp_path}/in/a.webm"), (8, f"file://{tmp_path}/in/b.MKV")], "id long, path string")
+    for _ in range(2):  # a task that runs again finds them moved
+        got = {r.id: r.path for r in arrivals.moved(jobs, f"file://{tmp_path}/store").collect()}
+        assert got == {7: f"file://{tmp_path}/store/jobs/7/original.webm", 8: f"file://{tmp_path}/store/jobs/8/original.mkv"}
+    assert (tmp_path / "store/jobs/7/original.webm").read_bytes() == _webm(5) and not list((tmp_path / "in").iterdir())
+    with pytest.raises(Exception, match="FileNotFoundError"):
+        arrivals.moved(spark.createDataFrame([(9, f"file://{tmp_path}/in/none.webm")], "id long, path string"), f"file://{tmp_path}/store").collect()
