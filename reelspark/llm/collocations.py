@@ -15,7 +15,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -87,6 +87,15 @@ class Phrases:
             h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + self.word[first + size - 1])
             yield first, h
 
+    def leads(self, first: np.ndarray, size: int) -> np.ndarray:
+        """A hash of the language and the first two words of each phrase."""
+        h = mix64(self.word[first] + self.language[self.text[first]])
+        return h if size == 1 else mix64(h * np.uint64(0x9E3779B97F4A7C15) + self.word[first + 1])
+
+    def phrases(self, first: np.ndarray, size: int) -> list[bytes]:
+        """The phrases of ``size`` words that begin at these words."""
+        return [self.phrase(i, size) for i in first.tolist()]
+
     def phrase(self, first: int, size: int) -> bytes:
         if self.lower is None:
             self.lower = _LOWER[np.frombuffer(self.bytes, np.uint8)].tobytes()
@@ -234,17 +243,12 @@ def frequent(source: DataFrame, longest: int = LONGEST, least: int = LEAST, held
     parts = max(int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_alive // PART_PHRASES))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        times: dict[int, int] = {}
-        names: dict[int, tuple[str, bytes]] = {}
-        total: dict[str, int] = {}
+        tally, total = Tally(), Counter()
 
         def sent() -> Iterator[pa.RecordBatch]:
-            rows = sorted((_part_of(lang, phrase, parts), lang, phrase, times[h]) for h, (lang, phrase) in names.items())
-            rows += sorted((_part_of(lang, b"", parts), lang, b"", n) for lang, n in total.items())
-            times.clear(), names.clear(), total.clear()
-            for (part, lang), own in groupby(rows, key=lambda r: r[:2]):
-                own = list(own)
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([lang]), pa.array([pack_phrases([r[2] for r in own], [r[3] for r in own])], pa.binary())], names=["part", "lang", "block"])
+            for (part, lang), phrases, n in [*tally.blocks(parts), *(((0, lang), [b""], [n]) for lang, n in total.items())]:
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([lang]), pa.array([pack_phrases(phrases, n)], pa.binary())], names=["part", "lang", "block"])
+            tally.clear(), total.clear()
 
         for part, texts in text_chunks(batches):
             languages = part.column(0).to_pylist()
@@ -252,15 +256,11 @@ def frequent(source: DataFrame, longest: int = LONGEST, least: int = LEAST, held
             for size, (first, h) in enumerate(found.of_sizes(longest), 1):
                 if size == 1:
                     for i, n in zip(*(x.tolist() for x in np.unique(found.text[first], return_counts=True)), strict=True):
-                        total[languages[i]] = total.get(languages[i], 0) + n
+                        total[languages[i]] += n
                 on = passes(_ids(h, hashed), bits.value, width)
                 own, place, n = np.unique(h[on], return_index=True, return_counts=True)
-                for x, i, k in zip(own.tolist(), first[on][place].tolist(), n.tolist(), strict=True):
-                    if x in times:
-                        times[x] += k
-                    else:
-                        times[x], names[x] = k, (languages[found.text[i]], found.phrase(i, size))
-            if len(times) > held:
+                tally.add(own, n, first[on][place], size, found, languages)
+            if len(tally.index) > held:
                 yield from sent()
         yield from sent()
 
@@ -287,9 +287,47 @@ def frequent(source: DataFrame, longest: int = LONGEST, least: int = LEAST, held
     return blocks.sortWithinPartitions("part", "lang").mapInArrow(add, "lang string, phrase string, size int, f long")
 
 
-def _part_of(lang: str, phrase: bytes, parts: int) -> int:
-    """Where a phrase is summed up: those of the same two first words together, as sorted they are packed well."""
-    return xxhash.xxh32_intdigest(b" ".join(phrase.split(b" ", 2)[:2]), len(lang)) % parts
+class Tally:
+    """Phrases by their hash, with their counts; numbers lie in arrays, as a task holds hundreds of thousands."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[int, int] = {}
+        self.phrases: list[bytes] = []
+        self.languages: list[str] = []
+        self.lead: list[np.ndarray] = []
+        self.times = np.zeros(1 << 16, np.int64)
+
+    def add(self, hashes: np.ndarray, times: np.ndarray, first: np.ndarray, size: int, found: Phrases, languages: list[str]) -> None:
+        """Counts distinct phrases of ``size`` words, whose first words are ``first`` in ``found``."""
+        at = np.fromiter(map(self.index.get, hashes.tolist(), repeat(-1)), np.int64, len(hashes))
+        old, new = at >= 0, np.flatnonzero(at < 0)
+        self.times[at[old]] += times[old]
+        if not len(new):
+            return
+        n = len(self.phrases)
+        if n + len(new) > len(self.times):
+            self.times = np.r_[self.times, np.zeros(n + len(new), np.int64)]
+        self.times[n : n + len(new)] = times[new]
+        self.index.update(zip(hashes[new].tolist(), range(n, n + len(new)), strict=True))
+        self.phrases += found.phrases(first[new], size)
+        self.languages += [languages[i] for i in found.text[first[new]].tolist()]
+        self.lead.append(found.leads(first[new], size))
+
+    def blocks(self, parts: int) -> Iterator[tuple[tuple[int, str], list[bytes], list[int]]]:
+        """((part, language), sorted phrases, counts); phrases of the same two first words have one part, as sorted they are packed well."""
+        if not self.phrases:
+            return
+        names, language = np.unique(np.array(self.languages, object), return_inverse=True)
+        part = (np.concatenate(self.lead) >> np.uint64(20)) % np.uint64(parts)
+        key = part.astype(np.int64) * len(names) + language
+        order = np.argsort(key, kind="stable")
+        edges = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(order)], strict=True):
+            rows = sorted(order[a:b].tolist(), key=self.phrases.__getitem__)
+            yield (int(key[rows[0]]) // len(names), names[key[rows[0]] % len(names)]), [self.phrases[i] for i in rows], self.times[rows].tolist()
 
 
 def pack_phrases(phrases: list[bytes], counts: list[int]) -> bytes:

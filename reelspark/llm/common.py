@@ -189,8 +189,6 @@ def bit_filter(values: DataFrame, column: str = "term", bits: int | None = None)
 
 def passes(hashes: np.ndarray, bits: np.ndarray, width: int | None = None) -> np.ndarray:
     """Whether each hash may be one of the filter's values; ``width`` as the filter's ``bits``."""
-    v = (hashes & np.uint64((1 << (width or FILTER_BITS)) - 1)).astype(np.int64)
-    bucket = np.where(v > 0, 1 + (v - 1) // 32768, -v // 32768)
-    place = np.where(v > 0, (v - 1) % 32768, -v % 32768)
-    at = bucket * 32768 + place
+    v = (hashes & np.uint64((1 << (width or FILTER_BITS)) - 1)).view(np.int64)
+    at = np.where(v > 0, v + 32767, 0)  # value v > 0 is position v - 1 of the buckets from 1 on, 0 the first of bucket 0
     return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)

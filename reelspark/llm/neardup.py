@@ -26,7 +26,7 @@ from .graph import components
 SHINGLE, SEED, BITS = 4, 42, 64
 RADIUS = 4
 #: Two of six blocks agree within four bits: 15 tables of buckets by 20 to 22 bits. With five blocks, of which one agrees, a
-#: bucket would have 13 bits and the comparisons of a billion prints would be five hundred times as many.
+#: bucket would have 13 bits, and comparisons would be a hundred times as many.
 BLOCKS = 6
 #: Prints of one part of a bucket; a task holds two parts at once.
 CELL = 8192
