@@ -1,15 +1,17 @@
 """Pixel kernels of single frames in numpy, and the column functions that apply them in Arrow batches.
 
 Frames are BGR bytes as Spark's image source gives them. Each kernel is a small function of one or two arrays; metrics of
-a frame come from one pass (``frame_metrics``), so a filter on one of them doesn't evaluate the others again.
+a frame come from one pass (``frame_metrics``), so a filter on one of them doesn't evaluate the others again. Kernels of brightness,
+sharpness, colours and uniformity take a frame or a stack of frames of one size (``stacks``), so small frames don't pay for each call.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,9 +28,10 @@ def grey(bgr: np.ndarray) -> np.ndarray:
 def filter2d(x: np.ndarray, kernel: np.ndarray) -> np.ndarray:
     """Correlation with borders mirrored about the edge pixel."""
     kh, kw = kernel.shape
-    padded = np.pad(x, ((kh // 2, kh // 2), (kw // 2, kw // 2)), mode="reflect" if min(x.shape) > max(kh, kw) // 2 else "symmetric")
-    windows = np.lib.stride_tricks.sliding_window_view(padded, (kh, kw))
-    return np.einsum("ijkl,kl->ij", windows, kernel)
+    around = [(0, 0)] * (x.ndim - 2) + [(kh // 2, kh // 2), (kw // 2, kw // 2)]
+    padded = np.pad(x, around, mode="reflect" if min(x.shape[-2:]) > max(kh, kw) // 2 else "symmetric")
+    windows = np.lib.stride_tricks.sliding_window_view(padded, (kh, kw), axis=(-2, -1))
+    return np.einsum("...ijkl,kl->...ij", windows, kernel)
 
 
 LAPLACIAN = np.array([[0.0, 1, 0], [1, -4, 1], [0, 1, 0]])
@@ -36,17 +39,31 @@ LAPLACIAN = np.array([[0.0, 1, 0], [1, -4, 1], [0, 1, 0]])
 
 def blur_score(bgr: np.ndarray) -> float:
     """Variance of the Laplacian; small for blurred frames."""
-    return float(filter2d(grey(bgr), LAPLACIAN).var())
+    return filter2d(grey(bgr), LAPLACIAN).var(axis=(-2, -1))
 
 
 def brightness(bgr: np.ndarray) -> float:
-    return float(grey(bgr).mean())
+    return grey(bgr).mean(axis=(-2, -1))
+
+
+def counts(bins: np.ndarray, n: int) -> np.ndarray:
+    """How often each of n bins stands in each frame; ``bins`` has a whole number for each pixel."""
+    each = bins.reshape(-1, bins.shape[-2] * bins.shape[-1])
+    places = each.astype(np.int64) + np.arange(len(each))[:, None] * n
+    return np.bincount(places.ravel(), minlength=len(each) * n).reshape(*bins.shape[:-2], n).astype(float)
+
+
+def histogram(x: np.ndarray, n: int, top: int) -> np.ndarray:
+    """numpy's histogram of n equal bins from 0 to ``top`` of each frame of whole numbers below ``top``."""
+    edges = np.linspace(0, top, n + 1)
+    bin_of = np.minimum(np.searchsorted(edges, np.arange(top), side="right") - 1, n - 1)
+    return counts(bin_of[x.astype(np.int64)], n)
 
 
 def bgr_histogram(bgr: np.ndarray) -> np.ndarray:
     """256 bins of each channel, each channel of unit length, one after another."""
-    parts = [np.bincount(bgr[..., c].ravel(), minlength=256).astype(float) for c in range(3)]
-    return np.concatenate([h / (np.sqrt((h * h).sum()) or 1.0) for h in parts])
+    parts = [counts(bgr[..., c], 256) for c in range(3)]
+    return np.concatenate([h / np.maximum(np.sqrt((h * h).sum(axis=-1, keepdims=True)), 1) for h in parts], axis=-1)
 
 
 def pixel_similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -86,14 +103,22 @@ def hsv(bgr: np.ndarray) -> np.ndarray:
 
 def colour_features(bgr: np.ndarray, bins: tuple[int, int, int] = (32, 4, 2)) -> np.ndarray:
     """Histograms of hue, saturation and value, each of sum 1, one after another."""
-    x = hsv(bgr)
-    parts = [np.histogram(x[..., c], bins=n, range=(0, top))[0].astype(float) for c, n, top in ((0, bins[0], 180), (1, bins[1], 256), (2, bins[2], 256))]
-    return np.concatenate([h / max(h.sum(), 1) for h in parts])
+    return hsv_features(hsv(bgr), bins)
+
+
+def hsv_features(x: np.ndarray, bins: tuple[int, int, int] = (32, 4, 2)) -> np.ndarray:
+    """colour_features of what ``hsv`` gives."""
+    parts = [histogram(x[..., c], n, top) for c, n, top in ((0, bins[0], 180), (1, bins[1], 256), (2, bins[2], 256))]
+    return np.concatenate([h / np.maximum(h.sum(axis=-1, keepdims=True), 1) for h in parts], axis=-1)
+
+
+#: Bins of a scene's histogram, of which the first 128 count.
+SCENE_BINS = (64, 64, 1)
 
 
 def scene_histogram(bgr: np.ndarray) -> np.ndarray:
     """64 bins of hue and 64 of saturation."""
-    return colour_features(bgr, (64, 64, 1))[:128]
+    return colour_features(bgr, SCENE_BINS)[..., :128]
 
 
 def gabor_bank(orientations: int = 8, scales: int = 5, size: int = 31) -> list[np.ndarray]:
@@ -225,15 +250,19 @@ def fallback_features(bgr: np.ndarray) -> np.ndarray:
     return np.concatenate([h / (np.sqrt((h * h).sum()) or 1.0) for h in parts])
 
 
-def _entropy(h: np.ndarray) -> float:
-    p = h / (h.sum() + 1e-10)
-    return float(-(p * np.log2(p + 1e-10)).sum())
+def _entropy(h: np.ndarray) -> np.ndarray:
+    p = h / (h.sum(axis=-1, keepdims=True) + 1e-10)
+    return -(p * np.log2(p + 1e-10)).sum(axis=-1)
 
 
 def colour_entropy(bgr: np.ndarray) -> float:
     """Mean entropy in bits of 30 bins of hue and 16 of saturation."""
-    x = hsv(bgr)
-    return (_entropy(np.histogram(x[..., 0], 30, (0, 180))[0].astype(float)) + _entropy(np.histogram(x[..., 1], 16, (0, 256))[0].astype(float))) / 2
+    return hsv_entropy(hsv(bgr))
+
+
+def hsv_entropy(x: np.ndarray) -> float:
+    """colour_entropy of what ``hsv`` gives."""
+    return (_entropy(histogram(x[..., 0], 30, 180)) + _entropy(histogram(x[..., 1], 16, 256))) / 2
 
 
 def gaussian(x: np.ndarray, size: int = 21) -> np.ndarray:
@@ -246,7 +275,7 @@ def gaussian(x: np.ndarray, size: int = 21) -> np.ndarray:
 def is_uniform(bgr: np.ndarray) -> bool:
     """Whether most pixels lie close to their surroundings."""
     x = grey(bgr)
-    return bool((np.abs(x - gaussian(x)) < 10).mean() > 0.6)
+    return (np.abs(x - gaussian(x)) < 10).mean(axis=(-2, -1)) > 0.6
 
 
 SMALL = (90, 160)
@@ -265,23 +294,63 @@ def to_array(image) -> np.ndarray:
     return np.frombuffer(image["data"], np.uint8).reshape(image["height"], image["width"], image["nChannels"])[..., :3]
 
 
-METRICS = "brightness double, sharpness double, edge_density double, entropy double, uniform boolean, small binary"
-
-
-def frame_metrics(frames: DataFrame, image: str = "image") -> DataFrame:
-    """``frames`` without pixels, with METRICS; one pass over each frame. ``small`` is small_grey's 14,400 bytes."""
+#: Frames and pixels of a stack, at most; a larger frame is one by itself.
+STACK_FRAMES, STACK_PIXELS = 1024, 1 << 20
+
+
+def stacks(height: np.ndarray, width: np.ndarray, channels: np.ndarray, data: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, frames): frames of one size as an array (n, height, width, 3), with their places among all."""
+    sizes, of = np.unique(np.stack([height, width, channels], axis=1), axis=0, return_inverse=True)
+    for k, (h, w, c) in enumerate(sizes.tolist()):
+        places = np.flatnonzero(of.ravel() == k)
+        step = max(1, min(STACK_FRAMES, STACK_PIXELS // max(1, h * w)))
+        for at in range(0, len(places), step):
+            some = places[at : at + step]
+            raw = [data[i] for i in some.tolist()]
+            if any(len(r) != h * w * c for r in raw):
+                raise ValueError(f"a frame without {h} x {w} x {c} bytes")
+            yield some, np.frombuffer(b"".join(raw), np.uint8).reshape(-1, h, w, c)[..., :3]
+
+
+def of_stacks(frames: pd.DataFrame, make: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """What ``make`` gives for each frame of an image column's fields, a stack at a time; of a frame one value or one row of them."""
+    out = None
+    for places, x in stacks(*(frames[c].to_numpy(np.int64) for c in ("height", "width", "nChannels")), frames["data"].tolist()):
+        made = make(x)
+        out = np.empty((len(frames), *made.shape[1:]), made.dtype) if out is None else out
+        out[places] = made
+    return out if out is not None else np.zeros(0)
+
+
+#: Each metric's type and what makes it of a stack of frames.
+METRIC_OF = {
+    "brightness": ("double", brightness),
+    "sharpness": ("double", blur_score),
+    "edge_density": ("double", lambda x: np.array([edge_density(i) for i in x])),
+    "entropy": ("double", colour_entropy),
+    "uniform": ("boolean", is_uniform),
+    "small": ("binary", lambda x: np.array([small_grey(i).tobytes() for i in x], object)),
+}
+METRICS = ", ".join(f"{name} {kind}" for name, (kind, _) in METRIC_OF.items())
+
+
+def frame_metrics(frames: DataFrame, image: str = "image", metrics: tuple[str, ...] = tuple(METRIC_OF)) -> DataFrame:
+    """``frames`` without pixels, with the asked METRICS; one pass over each frame. ``small`` is small_grey's 14,400 bytes."""
     rest = [c for c in frames.columns if c != image]
-
-    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            found = []
-            for i in pdf[image]:
-                x = to_array(i)
-                found.append((brightness(x), blur_score(x), edge_density(x), colour_entropy(x), is_uniform(x), small_grey(x).tobytes()))
-            yield pdf[rest].reset_index(drop=True).join(pd.DataFrame(found, columns=["brightness", "sharpness", "edge_density", "entropy", "uniform", "small"]))
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in frames.dtypes if c != image) + ", " + METRICS
-    return frames.mapInPandas(work, schema)
+    kinds = {"double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pixels = batch.column(image)
+            found = {m: [None] * batch.num_rows for m in metrics}
+            for places, x in stacks(*(pixels.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("height", "width", "nChannels")), pixels.field("data").to_pylist()):
+                for m in metrics:
+                    for i, value in zip(places.tolist(), METRIC_OF[m][1](x).tolist(), strict=True):
+                        found[m][i] = value
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *(pa.array(found[m], kinds[METRIC_OF[m][0]]) for m in metrics)], names=[*rest, *metrics])
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in frames.dtypes if c != image) + "".join(f", {m} {METRIC_OF[m][0]}" for m in metrics)
+    return frames.mapInArrow(work, schema)
 
 
 def described(frames: DataFrame, image: str = "image") -> DataFrame:

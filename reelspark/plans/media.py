@@ -99,7 +99,7 @@ GREY_SQL = f"grey AS (SELECT video_id, frame_index, pos, p // {WIDTH} AS y, p %
 )
 def pixel_metrics(spark, sf_dir):
     """Brightness and sharpness of each frame's pixels."""
-    return K.frame_metrics(images(spark, sf_dir)).select("video_id", "frame_index", F.round("brightness", 6).alias("brightness"), F.round("sharpness", 4).alias("sharpness"))
+    return K.frame_metrics(images(spark, sf_dir), metrics=("brightness", "sharpness")).select("video_id", "frame_index", F.round("brightness", 6).alias("brightness"), F.round("sharpness", 4).alias("sharpness"))
 
 
 @query(

@@ -8,6 +8,7 @@ import zipfile
 from io import BytesIO
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from reelspark import schemas
@@ -308,3 +309,27 @@ def test_zero_shot_labels(spark):
     labels = spark.createDataFrame([("sea", [0.0, 1.0]), ("forest", [1.0, 0.0])], "label string, vector array<double>")
     assert {r.frame_index: r.label for r in scoring.zero_shot(df, labels).collect()} == {0: "forest", 1: "sea"}
     assert {(r.label, r.score) for r in scoring.zero_shot(df).collect()} == {("Visual Scene", 0.5)}
+
+
+def test_kernels_of_stacks_are_those_of_their_frames(spark):
+    """Frames of several sizes and channels in one column, each as if it were alone."""
+    rng = np.random.default_rng(4)
+    shapes = [(4, 5, 3), (30, 40, 3), (4, 5, 4), (1, 1, 3)]
+    pictures = [rng.integers(0, 256, shapes[i % 4], dtype=np.uint8) if i % 5 else np.full(shapes[i % 4], 4 * i, np.uint8) for i in range(60)]
+    fields = pd.DataFrame([(*x.shape, x.tobytes()) for x in pictures], columns=["height", "width", "nChannels", "data"])
+    for make in (K.brightness, K.blur_score, K.bgr_histogram, K.colour_features, K.scene_histogram, K.colour_entropy, K.is_uniform):
+        assert np.allclose(K.of_stacks(fields, make), [make(x[..., :3]) for x in pictures], atol=1e-9)
+    x = K.hsv(pictures[1])
+    assert (K.histogram(x[..., 0], 32, 180) == np.histogram(x[..., 0], 32, (0, 180))[0]).all() and (K.histogram(x[..., 1], 30, 256) == np.histogram(x[..., 1], 30, (0, 256))[0]).all()
+    calls = []
+    K.of_stacks(fields, lambda x: calls.append(len(x)) or K.brightness(x))
+    assert sorted(calls) == [15] * 4  # a call for each size, not for each frame
+
+
+def test_only_the_asked_metrics_are_made(spark):
+    frames = _frames(spark, [flat(10), CHECKER, flat(200)])
+    whole = K.frame_metrics(frames).orderBy("frame_index").collect()
+    some = K.frame_metrics(frames, metrics=("brightness", "sharpness")).orderBy("frame_index")
+    assert some.columns == [*[c for c in frames.columns if c != "image"], "brightness", "sharpness"]
+    assert [(r.brightness, r.sharpness) for r in some.collect()] == [(r.brightness, r.sharpness) for r in whole]
+    assert K.frame_metrics(frames.limit(0)).count() == 0
