@@ -155,9 +155,11 @@ def pixel_colours(spark, sf_dir):
 
     @F.pandas_udf("colours double, scene double, entropy double")
     def compute(frames: pd.DataFrame) -> pd.DataFrame:
-        arrays = [K.to_array(i) for _, i in frames.iterrows()]
-        rows = [(float(K.colour_features(x) @ np.arange(1, 39)), float(K.scene_histogram(x) @ np.arange(1, 129)), K.colour_entropy(x)) for x in arrays]
-        return pd.DataFrame(rows, columns=["colours", "scene", "entropy"])
+        def made(x: np.ndarray) -> np.ndarray:
+            c = K.hsv(x)
+            return np.stack([K.hsv_features(c) @ np.arange(1.0, 39), K.hsv_features(c, K.SCENE_BINS)[..., :128] @ np.arange(1.0, 129), K.hsv_entropy(c)], axis=-1)
+
+        return pd.DataFrame(K.of_stacks(frames, made), columns=["colours", "scene", "entropy"])
 
     found = images(spark, sf_dir).select("video_id", "frame_index", compute("image").alias("m"))
     return found.select("video_id", "frame_index", *(F.round(f"m.{c}", 6).alias(c) for c in ("colours", "scene", "entropy")))
