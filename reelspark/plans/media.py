@@ -115,7 +115,7 @@ def pixel_histogram(spark, sf_dir):
 
     @F.pandas_udf("double")
     def compute(frames: pd.DataFrame) -> pd.Series:
-        return pd.Series([float(K.bgr_histogram(K.to_array(i)) @ np.arange(1, 769)) for _, i in frames.iterrows()])
+        return pd.Series(K.of_stacks(frames, lambda x: K.bgr_histogram(x) @ np.arange(1.0, 769)))
 
     return images(spark, sf_dir).select("video_id", "frame_index", F.round(compute("image"), 4).alias("checksum"))
 
