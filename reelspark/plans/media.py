@@ -187,7 +187,7 @@ def pixel_uniform(spark, sf_dir):
     """Whether most pixels of a frame lie close to their surroundings; images with less contrast than the others', so that some do."""
     @F.pandas_udf("boolean")
     def compute(pictures: pd.DataFrame) -> pd.Series:
-        return pd.Series([K.is_uniform(K.to_array(i)) for _, i in pictures.iterrows()])
+        return pd.Series(K.of_stacks(pictures, K.is_uniform))
 
     soft = images(spark, sf_dir, lambda i: 100 + byte_at(i) % 40)
     return soft.select("video_id", "frame_index", compute("image").alias("uniform"))
