@@ -46,10 +46,18 @@ def _opened(files: DataFrame, settings: Settings) -> DataFrame:
     return found.withColumn("rejection", F.coalesce("error", F.when(F.col("duration") > settings.max_duration, "duration")))
 
 
-def arriving(spark: SparkSession, folder: str, files_a_batch: int = 100) -> DataFrame:
-    """The files of a folder and its folders as they come, as binaryFile rows."""
+#: Bytes of files that a batch takes, about; one file at least.
+BATCH_BYTES = 256 << 20
+
+
+def arriving(spark: SparkSession, folder: str, files_a_batch: int | None = None, bytes_a_batch: int = BATCH_BYTES) -> DataFrame:
+    """The files of a folder and its folders as they come, as binaryFile rows; a batch is bounded by its bytes, or by ``files_a_batch``.
+
+    A batch costs about a second whatever is in it, so many small files shouldn't be many batches.
+    """
     schema = "path string, modificationTime timestamp, length long, content binary"
-    return spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_a_batch).load(folder)
+    bound = ("maxBytesPerTrigger", bytes_a_batch) if files_a_batch is None else ("maxFilesPerTrigger", files_a_batch)
+    return spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option(*bound).load(folder)
 
 
 def accepted(found: DataFrame, delay: str = "1 day") -> DataFrame:

@@ -111,3 +111,15 @@ def test_files_are_moved_to_their_jobs_once(spark, tmp_path):
     assert (tmp_path / "store/jobs/7/original.webm").read_bytes() == _webm(5) and not list((tmp_path / "in").iterdir())
     with pytest.raises(Exception, match="FileNotFoundError"):
         arrivals.moved(spark.createDataFrame([(9, f"file://{tmp_path}/in/none.webm")], "id long, path string"), f"file://{tmp_path}/store").collect()
+
+
+def test_many_small_files_are_few_batches(spark, tmp_path):
+    """Batches go by bytes, as each costs a second or so: 350 small files are one, and a bound of bytes still cuts them."""
+    for i in range(350):
+        _put(tmp_path / "in", f"{i}.webm", _webm(5), i)
+    size = len(_webm(5))
+    for name, options, least, most in (("all", {}, 1, 1), ("bytes", {"bytes_a_batch": 120 * size}, 3, 3), ("files", {"files_a_batch": 100}, 4, 4)):
+        seen = []
+        q = arrivals.arriving(spark, f"file://{tmp_path}/in", **options).writeStream.foreachBatch(lambda df, i: seen.append(df.count())).option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start()
+        q.awaitTermination()
+        assert q.exception() is None and sum(seen) == 350 and least <= len([n for n in seen if n]) <= most
