@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -362,7 +362,6 @@ class _Writer:
     width: int
     fps: float
     done: int = 0
-    index: list[bytes] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         self.row = (3 * self.width + 3) // 4 * 4
@@ -377,59 +376,76 @@ class _Writer:
         movie = 4 + self.n * (8 + size)
         self.out.write(b"RIFF" + struct.pack("<I", 4 + len(header) + 8 + movie + 8 + 16 * self.n) + b"AVI " + header + b"LIST" + struct.pack("<I", movie) + b"movi")
 
-    def add(self, bgr: np.ndarray) -> None:
-        size = self.row * self.height
-        rows = np.zeros((self.height, self.row), np.uint8)
-        rows[:, : 3 * self.width] = bgr.reshape(self.height, -1)[::-1]
-        self.out.write(b"00db" + struct.pack("<I", size))
-        self.out.write(rows.tobytes())
-        self.index.append(struct.pack("<4sIII", b"00db", 16, 4 + self.done * (8 + size), size))
-        self.done += 1
+    def add(self, frames: list[bytes]) -> None:
+        """Frames of three bytes a pixel, some at a time; all of one batch are one request if they are small."""
+        size, step = self.row * self.height, max(1, REQUEST_BYTES // (8 + self.row * self.height))
+        for at in range(0, len(frames), step):
+            some = frames[at : at + step]
+            chunks = np.zeros((len(some), 8 + size), np.uint8)
+            chunks[:, :8] = np.frombuffer(b"00db" + struct.pack("<I", size), np.uint8)
+            bgr = np.frombuffer(b"".join(some), np.uint8).reshape(len(some), self.height, 3 * self.width)
+            chunks[:, 8:].reshape(len(some), self.height, self.row)[:, :, : 3 * self.width] = bgr[:, ::-1]
+            self.out.write(chunks.tobytes())
+        self.done += len(frames)
 
     def close(self) -> None:
         if self.done != self.n:
             raise ValueError(f"{self.done} frames of {self.n}")
-        self.out.write(b"idx1" + struct.pack("<I", 16 * self.n))
-        self.out.write(b"".join(self.index))
+        size = self.row * self.height
+        index = np.empty((self.n, 4), "<u4")
+        index[:, 0], index[:, 1], index[:, 3] = int.from_bytes(b"00db", "little"), 16, size
+        index[:, 2] = 4 + np.arange(self.n) * (8 + size)
+        self.out.write(b"idx1" + struct.pack("<I", 16 * self.n) + index.tobytes())
 
 
 def write_videos(frames: DataFrame, folder: str, fps: float) -> DataFrame:
     """Writes frames (video_id, ts, frame_index, image of 3 channels) as folder/video_id=N/clip.avi, a file for each video, in the order of time.
 
-    (video_id, path, frames) of what was written. A video's frames come sorted, one at a time; they must be of one size. A
+    (video_id, path, frames) of what was written. A video's frames come sorted, a batch at a time; they must be of one size. A
     file is written under a name of its own and moved to its place when it is complete, so a task that runs again does no harm.
     Null ids are left out.
     """
     counted = frames.where(F.col("video_id").isNotNull()).select("video_id", "ts", "frame_index", "image", F.count("*").over(W.partitionBy("video_id")).alias("n"))
     ordered = counted.repartition("video_id").sortWithinPartitions("video_id", "ts", "frame_index")
 
-    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
         system, root = located(folder)
         video = writer = None
         name = f"{uuid.uuid4().hex}.part"
 
-        def done() -> pd.DataFrame:
+        def done() -> tuple[int, str, int]:
             writer.close()
             writer.out.close()
             place = f"{root}/video_id={video}/clip.avi"
             system.move(f"{root}/video_id={video}/{name}", place)
-            return pd.DataFrame({"video_id": [video], "path": [folder[: len(folder) - len(root)] + place], "frames": [writer.done]})
+            return video, folder[: len(folder) - len(root)] + place, writer.done
 
-        for pdf in parts:
-            for v, n, i in zip(pdf["video_id"], pdf["n"], pdf["image"], strict=True):
-                if v != video:
+        def rows(written: list[tuple[int, str, int]]) -> pa.RecordBatch:
+            ids, paths, sizes = zip(*written, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(paths), pa.array(sizes, pa.int64())], names=["video_id", "path", "frames"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, written, image = np.asarray(batch.column("video_id")), [], batch.column("image")
+            starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(ids)], strict=True):
+                if int(ids[a]) != video:
                     if writer is not None:
-                        yield done()
-                    video = int(v)
+                        written.append(done())
+                    video = int(ids[a])
                     system.create_dir(f"{root}/video_id={video}", recursive=True)
-                    writer = _Writer(system.open_output_stream(f"{root}/video_id={video}/{name}"), int(n), int(i["height"]), int(i["width"]), fps)
-                x = np.frombuffer(i["data"], np.uint8)
-                if len(x) != writer.height * writer.width * 3:
+                    n, height, width = batch.column("n")[a].as_py(), image.field("height")[a].as_py(), image.field("width")[a].as_py()
+                    writer = _Writer(system.open_output_stream(f"{root}/video_id={video}/{name}"), n, height, width, fps)
+                frames = image.field("data").slice(a, b - a).to_pylist()
+                if any(len(x) != writer.height * writer.width * 3 for x in frames):
                     raise ValueError(f"video {video}: frames of several sizes")
-                writer.add(x)
+                writer.add(frames)
+            if written:
+                yield rows(written)
         if writer is not None:
-            yield done()
+            yield rows([done()])
 
-    return ordered.mapInPandas(work, "video_id long, path string, frames long")
+    return ordered.mapInArrow(work, "video_id long, path string, frames long")

@@ -181,3 +181,21 @@ def test_writer_runs_again_and_refuses_mixed_sizes(spark, tmp_path):
     with pytest.raises(Exception, match="several sizes"):
         V.write_videos(odd, folder, 10.0).collect()
     assert V.write_videos(odd.limit(0), folder, 10.0).count() == 0
+
+
+def test_frames_of_a_batch_are_written_together():
+    """A clip's chunks go out in one request, and the file is what it is frame by frame."""
+
+    class Out(list):
+        write = list.append
+
+    rng = np.random.default_rng(2)
+    frames = [rng.integers(0, 256, (4, 5, 3), dtype=np.uint8).tobytes() for _ in range(40)]
+    together, single = Out(), Out()
+    one, other = V._Writer(together, 40, 4, 5, 8.0), V._Writer(single, 40, 4, 5, 8.0)
+    one.add(frames)
+    for f in frames:
+        other.add([f])
+    one.close()
+    other.close()
+    assert len(together) == 3 and b"".join(together) == b"".join(single)
