@@ -34,41 +34,66 @@ class InOrder(StatefulProcessor):
         self.pending = handle.getListState("pending", f"at long, frame_index long, {self.waiting}")
         self.last = handle.getValueState("last", self.kept)
 
-    def take(self, frame: tuple) -> list[tuple]:
+    def take(self, last: tuple | None, frame: tuple) -> tuple[tuple | None, list[tuple]]:
+        """The last frame's state after ``frame``, and what is put out by then."""
         raise NotImplementedError
 
-    def passed(self, watermark: int) -> list[tuple]:
-        """What is final once the watermark (microseconds) has passed all that was taken."""
-        return []
+    def passed(self, last: tuple | None, watermark: int) -> tuple[tuple | None, list[tuple]]:
+        """The same once the watermark (microseconds) has passed all that was taken."""
+        return last, []
+
+    def due(self, last: tuple) -> int | None:
+        """When the last frame's state is to be looked at again though no frame comes, in microseconds."""
+        return None
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         passed, latest = timerValues.getCurrentWatermarkInMs() * 1000, None
         for pdf in rows:
-            pdf = pdf[(pdf["at"] > passed) & pdf[["frame_index", *self.columns]].notna().all(axis=1)]
-            if len(pdf):
+            whole = pdf["at"].to_numpy() > passed
+            for c in ("frame_index", *self.columns):
+                whole &= pdf[c].notna().to_numpy()
+            if whole.any():
                 # a null among a batch's numbers has made pandas read them as floats
-                numbers = (pdf[c].astype("int64").tolist() for c in ("at", "frame_index"))
-                self.pending.appendList(list(zip(*numbers, *(pdf[c].tolist() for c in self.columns), strict=True)))
-                latest = max(int(pdf["at"].max()), latest or 0)
+                at, index = (pdf[c].to_numpy()[whole].astype(np.int64) for c in ("at", "frame_index"))
+                self.pending.appendList(list(zip(at.tolist(), index.tolist(), *(pdf[c].to_numpy()[whole].tolist() for c in self.columns), strict=True)))
+                latest = max(int(at.max()), latest or 0)
         if latest is not None:
             self.handle.registerTimer(-(-latest // 1000))
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        frames = sorted(map(tuple, self.pending.get()), key=lambda f: f[:2]) if self.pending.exists() else []
+        frames = sorted(map(tuple, self.pending.get()), key=lambda f: f[:2])
         due = [f for f in frames if f[0] <= passed]
         if due:
             self.pending.clear()
             if len(due) < len(frames):
                 self.pending.put(frames[len(due) :])
-        out = [row for f in due for row in self.take(f)] + self.passed(passed)
+        # the state is asked for and told once a timer, not once a frame: each is a message to the JVM
+        before = self.last.get()
+        before = now = None if before is None else tuple(before)
+        out = []
+        for f in due:
+            now, rows = self.take(now, f)
+            out += rows
+        now, rows = self.passed(now, passed)
+        out += rows
+        if now is None and before is not None:
+            self.last.clear()
+        elif now is not None and now != before:
+            self.last.update(now)
+            if (at := self.due(now)) is not None:
+                self.handle.registerTimer(-(-at // 1000))
         if out:
             yield self.rows(key, out)
 
     def rows(self, key: tuple, out: list[tuple]) -> pd.DataFrame:
         raise NotImplementedError
 
+    def _named(self, key: tuple, out: list[tuple], value: str) -> pd.DataFrame:
+        at, index, values = zip(*out, strict=True)
+        return pd.DataFrame({"video": [key[0]] * len(out), "at": at, "frame_index": index, value: values})
+
     def close(self) -> None:
         pass
 
@@ -81,27 +106,19 @@ class Spaced(InOrder):
     def __init__(self, gap: int):
         self.gap = gap
 
-    def _keep(self, frame: tuple) -> None:
-        self.last.update(frame)
-        self.handle.registerTimer(-(-(frame[0] + self.gap) // 1000))
-
-    def take(self, frame: tuple) -> list[tuple]:
-        last = tuple(self.last.get()) if self.last.exists() else None
+    def take(self, last: tuple | None, frame: tuple) -> tuple[tuple | None, list[tuple]]:
         if last is None or frame[0] - last[0] >= self.gap:
-            self._keep(frame)
-            return [] if last is None else [last]
-        if frame[2] < last[2]:
-            self._keep(frame)
-        return []
-
-    def passed(self, watermark: int) -> list[tuple]:
-        if self.last.exists() and (last := tuple(self.last.get()))[0] + self.gap <= watermark:
-            self.last.clear()
-            return [last]
-        return []
+            return frame, [] if last is None else [last]
+        return frame if frame[2] < last[2] else last, []
+
+    def passed(self, last: tuple | None, watermark: int) -> tuple[tuple | None, list[tuple]]:
+        return (None, [last]) if last is not None and last[0] + self.gap <= watermark else (last, [])
+
+    def due(self, last: tuple) -> int | None:
+        return last[0] + self.gap
 
     def rows(self, key: tuple, out: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(out, columns=["at", "frame_index", "distance"]).assign(video=key[0])[["video", "at", "frame_index", "distance"]]
+        return self._named(key, out, "distance")
 
 
 class Unlike(InOrder):
@@ -117,17 +134,17 @@ class Unlike(InOrder):
         self.like = K.Likeness(self.method)
         self.seen: dict[bytes, tuple] = {}
 
-    def take(self, frame: tuple) -> list[tuple]:
-        now, last = bytes(frame[2]), bytes(self.last.get()[0]) if self.last.exists() else None
+    def take(self, last: tuple | None, frame: tuple) -> tuple[tuple | None, list[tuple]]:
+        now, kept = bytes(frame[2]), last
+        last = None if last is None else bytes(last[0])
         self.seen = {k: self.seen[k] if k in self.seen else self.like.read(k) for k in (now, last) if k is not None}
         d = 0.0 if last is None else 1 - self.like(self.seen[last], self.seen[now])
         if last is not None and not d > 1 - self.threshold:
-            return []
-        self.last.update((now,))
-        return [(frame[0], frame[1], d)]
+            return kept, []
+        return (now,), [(frame[0], frame[1], d)]
 
     def rows(self, key: tuple, out: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(out, columns=["at", "frame_index", "diff_score"]).assign(video=key[0])[["video", "at", "frame_index", "diff_score"]]
+        return self._named(key, out, "diff_score")
 
 
 def _with_state(frames: DataFrame, delay: str, processor: InOrder, schema: str) -> DataFrame:

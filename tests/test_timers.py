@@ -99,3 +99,44 @@ def test_a_stopped_stream_goes_on_where_it_was(spark, tmp_path):
         _write(spark, [(1 if v is not None else 9, i, at, at, ("", 2, 2, 3, 16, data))], IMAGES, f"{tmp_path}/in/{i}")
         got = _run(spark, f"{tmp_path}/in", IMAGES, lambda s: timers.keep_unlike(s, 0.9, "pixel", "0 seconds"), f"{tmp_path}/out")
     assert [i for v, _, i, _ in sorted(got) if v == 1] == [0, 2, 4, 6]
+
+
+def test_state_is_asked_for_and_told_once_a_timer():
+    """A video's frames fold over one reading of its last frame, and the next timer is set once."""
+    calls = []
+
+    class Value:
+        value = None
+
+        def exists(self):
+            calls.append("exists")
+            return self.value is not None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+        def clear(self):
+            calls.append("clear")
+            self.value = None
+
+    class Pending(Value):
+        value = [(i * 700_000, i, 0.5) for i in range(200)]
+
+    class Handle:
+        def registerTimer(self, at):
+            calls.append(("timer", at))
+
+    class Now:
+        def getCurrentWatermarkInMs(self):
+            return 139_999
+
+    p = timers.Spaced(2_000_000)
+    p.handle, p.pending, p.last = Handle(), Pending(), Value()
+    (out,) = p.handleExpiredTimer(("1",), Now(), None)
+    assert out["frame_index"].tolist() == list(range(0, 198, 3)) and p.last.value == (198 * 700_000, 198, 0.5)
+    assert len(calls) <= 6 and calls[-1] == ("timer", 140_600)
