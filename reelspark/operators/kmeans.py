@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Frames times runs of one group, about: a video of so many frames has each run in a group of its own.
 GROUP_FRAMES = 1 << 15
+#: Frames of a short video: all distances between its rows are made once for all runs of a group.
+SHORT = 512
 #: Frames whose distances to all others of their video one task sums up.
 BLOCK = 512
 #: Frames that they are compared with at once.
@@ -28,16 +30,24 @@ def squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(axis=1)[:, None] + (c * c).sum(axis=1)[None, :] - 2 * (x @ c.T), 0)
 
 
-def start_centres(x: np.ndarray, k: int, seed: int, start: int) -> np.ndarray:
-    """The k-means++ centres of a start; each has random numbers of its own, so runs may be made anywhere."""
+def start_centres(x: np.ndarray, k: int, seed: int, start: int, among: np.ndarray | None = None) -> np.ndarray:
+    """The k-means++ centres of a start; each has random numbers of its own, so runs may be made anywhere.
+
+    ``among`` has the squared distances between all rows, if they were made before: every centre is a row.
+    """
     rng = np.random.default_rng([seed, k, start])
-    c = np.empty((k, x.shape[1]))
-    c[0] = x[rng.integers(len(x))]
-    d = squared(x, c[:1])[:, 0]
-    for j in range(1, k):
-        c[j] = x[rng.choice(len(x), p=d / d.sum()) if d.sum() > 0 else rng.integers(len(x))]
-        d = np.minimum(d, squared(x, c[j : j + 1])[:, 0])
-    return c
+    away = (lambda i: among[i]) if among is not None else lambda i: squared(x, x[i : i + 1])[:, 0]
+    rows = [int(rng.integers(len(x)))]
+    d = away(rows[0])
+    for _ in range(1, k):
+        total = d.sum()
+        if total > 0:  # as rng.choice with these shares, without its checks
+            shares = (d / total).cumsum()
+            rows.append(int((shares / shares[-1]).searchsorted(rng.random(), side="right")))
+        else:
+            rows.append(int(rng.integers(len(x))))
+        d = np.minimum(d, away(rows[-1]))
+    return x[rows].astype(float)
 
 
 def means(x: np.ndarray, labels: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -53,12 +63,17 @@ def inertia_of(x: np.ndarray, labels: np.ndarray, c: np.ndarray) -> float:
     return float(((x - c[labels]) ** 2).sum())
 
 
-def plain_run(x: np.ndarray, k: int, start: int, steps: int, seed: int) -> tuple[np.ndarray, np.ndarray, float]:
+def settled(new: np.ndarray, c: np.ndarray) -> bool:
+    """np.allclose of finite centres, which costs several times as much for few of them."""
+    return bool((np.abs(new - c) <= 1e-8 + 1e-5 * np.abs(c)).all())
+
+
+def plain_run(x: np.ndarray, k: int, start: int, steps: int, seed: int, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
     """Lloyd's from one start with all distances: labels, centres, inertia."""
-    c = start_centres(x, k, seed, start)
+    c = start_centres(x, k, seed, start, among)
     for _ in range(steps):
         new = means(x, squared(x, c).argmin(axis=1), c)
-        if np.allclose(new, c):
+        if settled(new, c):
             break
         c = new
     labels = squared(x, c).argmin(axis=1)
@@ -82,7 +97,7 @@ class BoundedRun:
         for _ in range(steps):
             self._assign(c)
             new = means(x, self.labels, c)
-            if np.allclose(new, c):
+            if settled(new, c):
                 break
             self._move(c, new)
             c = new
@@ -118,6 +133,15 @@ class BoundedRun:
         self.lower = np.maximum(self.lower - others, 0)
 
 
+def one_run(x: np.ndarray, k: int, start: int, steps: int, seed: int, among: np.ndarray | None) -> tuple[np.ndarray, float]:
+    """Labels and inertia of a run; a short video's distances (``among`` is given) cost less than bounds of them."""
+    if among is not None:
+        labels, _, inertia = plain_run(x, k, start, steps, seed, among)
+        return labels, inertia
+    run = BoundedRun(x, k, start, steps, seed)
+    return run.labels, run.inertia
+
+
 def deal(frames: DataFrame, low: Column, high: Column, starts: int, group_frames: int = GROUP_FRAMES) -> DataFrame:
     """``frames`` once for each group g of their video's runs; a group has about ``group_frames`` frames times runs, one run at least."""
     n = F.count("*").over(W.partitionBy("video_id"))
@@ -140,13 +164,14 @@ def runs(frames: DataFrame, low: Column, high: Column, starts: int, steps: int,
         first = pdf.iloc[0]
         x = np.stack(pdf["features"])
         x = x - x.mean(axis=0)
+        among = squared(x, x) if len(x) <= SHORT else None
         lowest, g, groups, all_ = int(first["low"]), int(first["g"]), int(first["groups"]), (int(first["high"]) - int(first["low"]) + 1) * starts
         best: dict[int, tuple] = {}
         for r in range(all_ * g // groups, all_ * (g + 1) // groups):
             k, start = lowest + r // starts, r % starts
-            run = BoundedRun(x, min(k, len(x)), start, steps, seed)
-            if k not in best or run.inertia < best[k][0]:
-                best[k] = run.inertia, start, run.labels
+            labels, inertia = one_run(x, min(k, len(x)), start, steps, seed, among)
+            if k not in best or inertia < best[k][0]:
+                best[k] = inertia, start, labels
         out = pd.DataFrame({"k": list(best), "wcss": [b[0] for b in best.values()], "start": [b[1] for b in best.values()], "labels": [b[2].astype(np.int32) for b in best.values()]})
         return out.assign(video_id=first["video_id"], frames=len(x))
 

@@ -109,3 +109,29 @@ def test_sweep_and_clusters_of_long_and_short_videos(spark):
     labels = clustering.lloyd(x, k, 3, DEFAULT.kmeans_steps, DEFAULT.seed)[0]
     assert [r.cluster_id for r in sorted(got, key=lambda r: r.frame_index) if r.video_id == 1] == labels.tolist()
     assert clustering.sweep(df.limit(0), Settings()).count() == 0
+
+
+def test_starts_are_those_of_plain_choices():
+    """The centres are what numpy's choice by share gives, with distances between rows made before or not."""
+    for seed, x in ((1, _blobs(128, 16, 9, 1)), (2, np.ones((6, 2))), (3, _blobs(40, 3, 4, 2))):
+        for k in (1, 2, 5):
+            for start in range(6):
+                rng = np.random.default_rng([seed, k, start])
+                c = [x[rng.integers(len(x))]]
+                while len(c) < k:
+                    d = kmeans.squared(x, np.array(c)).min(axis=1)
+                    c.append(x[rng.choice(len(x), p=d / d.sum()) if d.sum() > 0 else rng.integers(len(x))])
+                for among in (None, kmeans.squared(x, x)):
+                    assert np.allclose(kmeans.start_centres(x, k, seed, start, among), c)
+
+
+def test_a_short_videos_runs_make_distances_between_rows_once(monkeypatch):
+    x = _blobs(100, 6, 5, 3)
+    among, plain = kmeans.squared(x, x), kmeans.squared
+    for start in range(3):
+        run = kmeans.BoundedRun(x, 7, start, 300, 42)
+        calls = []
+        monkeypatch.setattr(kmeans, "squared", lambda a, b: calls.append(len(b)) or plain(a, b))
+        labels, inertia = kmeans.one_run(x, 7, start, 300, 42, among)
+        monkeypatch.setattr(kmeans, "squared", plain)
+        assert (labels == run.labels).all() and np.isclose(inertia, run.inertia) and set(calls) == {7}
