@@ -243,6 +243,121 @@ def test_a_passage_is_found_though_others_hold_either_half(spark, length):
     assert found >= 19
 
 
+def test_a_run_is_found_though_all_neighbours_hold_less_of_it(spark):
+    """Two texts share 50 words, and fourteen others 43 to 48 of them: first and preceding holders of most keys have less."""
+    rng, rows, pairs, i = random.Random(50), [], [], 0
+    for case in range(20):
+        shared = [f"p{case}x{j}" for j in range(50)]
+        parts = [shared] * 2 + [shared[: 43 + k] for k in (1, 2, 3, 4, 5, 5, 5)] + [shared[7 - k :] for k in (0, 1, 2, 3, 4, 5, 5)]
+        for k, part in enumerate(parts):
+            own = [f"c{case}f{k}x{j}" for j in range(rng.randint(80, 140))]
+            at = rng.randint(10, 60)
+            rows.append((i, " ".join(own[:at] + part + own[at:])))
+            if k < 2:
+                pairs.append((i, at))
+            i += 1
+    got = {frozenset(((r.doc_id, r.start_word, r.end_word), (r.ref_doc_id, r.ref_start_word, r.ref_end_word))) for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {frozenset(((a, at, at + 50), (b, bt, bt + 50))) for (a, at), (b, bt) in zip(pairs[::2], pairs[1::2], strict=True)}
+
+
+def test_every_shared_run_is_linked(spark):
+    """Texts of overlapping windows: two that share 50 words on end have a passage around them together or with the same third one."""
+    rng = np.random.default_rng(77)
+    bases = [[f"s{b}x{j}" for j in range(90)] for b in range(5)]
+    w = {}
+    for i in range(80):
+        b, a = int(rng.integers(5)), int(rng.integers(0, 30))
+        w[i] = [f"f{i}x{j}" for j in range(30)] + bases[b][a : a + int(rng.integers(43, 62))] + [f"g{i}x{j}" for j in range(30)]
+    got = passages.repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in w.items()], "doc_id long, text string")).collect()
+    holders, linked = {}, {}
+    for i, t in w.items():
+        for a in range(len(t) - 49):
+            holders.setdefault(tuple(t[a : a + 50]), set()).add(i)
+    for r in got:
+        for i, o, s, e in ((r.doc_id, r.ref_doc_id, r.start_word, r.end_word), (r.ref_doc_id, r.doc_id, r.ref_start_word, r.ref_end_word)):
+            for a in range(s, e - 49):
+                linked.setdefault(tuple(w[i][a : a + 50]), set()).add((i, o))
+    shared = {run: have for run, have in holders.items() if len(have) > 1}
+    assert len(shared) > 80
+    for run, have in shared.items():
+        told = linked[run]
+        assert any(all(i == first or {(i, first), (first, i)} & told for i in have) for first in have)
+
+
+def test_an_equal_run_in_a_bad_chain_is_kept(spark):
+    run, odd = [f"r{j}" for j in range(50)], [f"o{j}" for j in range(6)]
+    a = [f"a{j}" for j in range(40)] + run + [f"b{j}" for j in range(18)] + odd + [f"c{j}" for j in range(40)]
+    b = [f"d{j}" for j in range(30)] + run + [f"e{j}" for j in range(18)] + odd + [f"f{j}" for j in range(40)]
+    (r,) = passages.repeated_passages(spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b))], "doc_id long, text string")).collect()
+    assert sorted([(r.doc_id, r.start_word, r.end_word), (r.ref_doc_id, r.ref_start_word, r.ref_end_word)]) == [(1, 40, 90), (2, 30, 80)] and r.n_equal == 50
+
+
+def test_keys_of_texts_are_those_of_each():
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(v)}" for _ in range(n)) for n, v in ((0, 9), (3, 9), (6, 9), (9, 9), (12, 9), (13, 9), (60, 9), (0, 9), (400, 5000), (300, 3), (51, 500), (90, 4))]
+    words = passages.Words([t.encode() for t in texts])
+    for chosen in (np.arange(len(texts)), np.array([4, 6, 9]), np.array([11])):
+        keys, at = passages.keys_of(words, chosen)
+        runs = {}
+        for i in chosen.tolist():
+            h, p = passages.seeds(words.of(i))
+            here = (at >= words.first[i]) & (at < words.first[i + 1])
+            even = here & (keys & np.uint64(1) == 0)
+            assert sorted(zip((h & ~np.uint64(1)).tolist(), p.tolist(), strict=True)) == sorted(zip(keys[even].tolist(), (at[even] - words.first[i]).tolist(), strict=True))
+            own = sorted((at[here & ~even] - words.first[i]).tolist())
+            assert own == [x for x in p.tolist() if x + passages.RUN_WORDS <= len(words.of(i))]
+        for k, x in zip(keys.tolist(), at.tolist(), strict=True):
+            if k & 1:
+                assert runs.setdefault(k, words.hash[x : x + passages.RUN_WORDS].tobytes()) == words.hash[x : x + passages.RUN_WORDS].tobytes()
+    everything = passages.windows_of(words, np.arange(len(texts)), np.full(1 << 20, 255, np.uint8), 8)[1]
+    for i in (8, 10):
+        assert [x - words.first[i] for x in everything.tolist() if words.first[i] <= x < words.first[i + 1]] == list(range(len(words.of(i)) - 49))
+
+
+def test_alignment_of_many_is_that_of_each():
+    rng = np.random.default_rng(9)
+    rows = []
+    for _ in range(400):
+        a = rng.integers(0, 4, int(rng.integers(60, 200))).astype(np.uint64)
+        b = a.copy()
+        b[rng.integers(0, len(b), 5)] = 9
+        b = np.delete(b, rng.integers(0, len(b), int(rng.integers(0, 3))))
+        chain, at, rat = [], int(rng.integers(0, 30)), int(rng.integers(0, 30))
+        for _ in range(int(rng.integers(1, 5))):
+            n = int(rng.integers(1, 12))
+            if max(at, rat) + n > min(len(a), len(b)):
+                break
+            chain.append((at, at + n, rat))
+            at, rat = at + n + int(rng.integers(-3, 6)), rat + n + int(rng.integers(-3, 6))
+        if chain:
+            rows.append((a, b, chain))
+    first = lambda parts: np.cumsum([0, *(len(p) for p in parts)])
+    a, b, chains = zip(*rows, strict=True)
+    got = passages.align_all(passages.Pairs(np.concatenate(a), first(a), np.concatenate(b), first(b), np.array([s for c in chains for s in c]), first(chains)))
+    assert got.tolist() == [list(passages.align(*r)) for r in rows]
+
+
+def test_crowds_first_holders_and_joined_windows_are_the_same_in_any_batches():
+    rng = np.random.default_rng(17)
+    rows = sorted(zip(rng.integers(0, 60, 200).tolist(), rng.integers(0, 4, 200).tolist(), rng.integers(0, 50, 200).tolist(), strict=True))
+    of = lambda k: [(n, p) for key, n, p in rows if key == k]
+    crowds = sorted(k for k in {r[0] for r in rows} if k % 2 and len(of(k)) > 2 and len({n for n, _ in of(k)}) > 1)
+    firsts = sorted((n, of(k)[0][0], p, of(k)[0][1]) for k, n, p in rows if n != of(k)[0][0])
+    windows = sorted((n, r, p - q, p, q) for n, r, p, q in {(n, r, p, p - d) for n, r, d, p in zip(*(rng.integers(0, x, 300).tolist() for x in (3, 3, 2, 900)), strict=True)})
+    joined = set()
+    for n, r, d, p, _ in windows:
+        own = [x[3] for x in windows if x[:3] == (n, r, d)]
+        start = max(x for x in own if x <= p and not any(x - passages.LEAST_WORDS <= y < x for y in own))
+        end = min(x for x in own if x >= p and not any(x < y <= x + passages.LEAST_WORDS for y in own))
+        joined.add((n, r, start, end + passages.LEAST_WORDS, start - d))
+    batches = lambda rows, size: iter([pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + size], strict=True)], names=list("abc" if len(rows[0]) == 3 else "abcd")) for i in range(0, len(rows), size)])
+    taken = lambda parts: sorted(r for b in parts for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    for size in (1, 2, 7, 400):
+        assert [r[0] for r in taken(passages._match_runs(batches(rows, size))) if r[0] == r[1] and r[2] == -1] == crowds
+        assert taken(passages._match_first(batches(rows, size))) == firsts
+        assert taken(passages._joined(batches([(n, r, p, q) for n, r, _, p, q in windows], size))) == sorted(joined)
+
+
 def test_chain_scores_match_brute_force():
     rng = np.random.default_rng(21)
     for _ in range(150):
