@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..durable import shared_folder
+from ..durable import cut, shared_folder
 from ..operators import kernels as K
 from ..sources import tables as T
 from ..sources import video as V
@@ -45,6 +45,11 @@ def as_videos(spark, sf_dir) -> str:
     return folder
 
 
+def written_videos(spark, sf_dir) -> DataFrame:
+    """Writes the images as AVI files; (video_id, path, frames) of the files."""
+    return cut(V.write_videos(images(spark, sf_dir), f"{shared_folder(spark)}/videos-{uuid.uuid4().hex}", FPS))
+
+
 def checksum(data: Column) -> Column:
     """The sum of a binary's bytes, each times its place from 1."""
     return F.aggregate(F.sequence(F.lit(1), F.length(data)), F.lit(0).cast("bigint"), lambda s, i: s + i * F.conv(F.hex(data.substr(i, F.lit(1))), 16, 10).cast("bigint"))
@@ -76,8 +81,8 @@ def video_lookup(spark, sf_dir):
 
 @query(f"SELECT user_id AS video_id, CAST({FPS} AS DOUBLE) AS fps, count(*) AS total_frames, {WIDTH} AS width, {HEIGHT} AS height, 'DIB ' AS codec, count(*) / {FPS} AS duration FROM events WHERE value IS NOT NULL GROUP BY 1")
 def video_metadata(spark, sf_dir):
-    """What the headers of video files say."""
-    found = ingest(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(as_videos(spark, sf_dir)))
+    """What the headers of video files say; their paths are the writer's, as a listing by the driver takes longer than their writing."""
+    found = ingest(V.heads(written_videos(spark, sf_dir)))
     return found.where(F.col("error").isNull()).select(F.regexp_extract("path", r"video_id=(\d+)", 1).cast("long").alias("video_id"), "fps", "total_frames", "width", "height", "codec", "duration")
 
 

@@ -349,6 +349,35 @@ def video_frames(chunks: DataFrame, decoder: Callable[[bytes], np.ndarray] | Non
     return chunks.select("video_id", "frame_index", "ts", image.alias("image")).where(F.col("image").isNotNull())
 
 
+#: Bytes from a file's beginning in which an AVI header lies.
+HEAD_BYTES = 64 << 10
+
+
+def heads(files: DataFrame) -> DataFrame:
+    """(path, length, content) of the files that ``files`` has the paths of, as ingest takes them; of an AVI file whose header they hold, the first HEAD_BYTES.
+
+    Files are opened where their rows are; nothing is listed.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def read(path: str) -> tuple[str, int, bytes]:
+            system, at = located(path)
+            with system.open_input_file(at) as f:
+                size = f.size()
+                content = f.read_at(min(size, HEAD_BYTES), 0)
+                if size > HEAD_BYTES and not (content[:4] == b"RIFF" and b"avih" in content and b"vids" in content):
+                    content = f.read_at(size, 0)
+            return path, size, content
+
+        for batch in batches:
+            for a in range(0, batch.num_rows, BATCH_ROWS):
+                rows = [read(x) for x in batch.column(0).slice(a, BATCH_ROWS).to_pylist()]
+                paths, sizes, contents = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(sizes, pa.int64()), pa.array(contents, pa.binary())], names=["path", "length", "content"])
+
+    return files.select("path").mapInArrow(work, "path string, length long, content binary")
+
+
 # --- sink -----------------------------------------------------------------------------------------------------------
 
 

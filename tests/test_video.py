@@ -10,6 +10,7 @@ from pyarrow import fs
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, In, LessThanOrEqual, StringContains
 
+from reelspark.plans.entry import QUERIES
 from reelspark.sources import files
 from reelspark.sources import video as V
 
@@ -199,3 +200,22 @@ def test_frames_of_a_batch_are_written_together():
     one.close()
     other.close()
     assert len(together) == 3 and b"".join(together) == b"".join(single)
+
+
+def test_heads_are_read_by_their_paths(spark, tmp_path):
+    big = b"RIFFavihvids" + bytes(range(256)) * 400
+    late = b"RIFF" + bytes(V.HEAD_BYTES) + b"avihvids"
+    for name, content in (("a.avi", big), ("b.mp4", b"mp4 " + big), ("e.avi", late), ("c.avi", b"RIFF"), ("d.avi", b"")):
+        (tmp_path / name).write_bytes(content)
+    files = spark.createDataFrame([(f"file://{tmp_path}/a.avi",), (f"{tmp_path}/b.mp4",), (f"file:{tmp_path}/c.avi",), (f"{tmp_path}/d.avi",), (f"{tmp_path}/e.avi",)], "path string")
+    got = {r.path[-5]: (r.length, bytes(r.content)) for r in V.heads(files).collect()}
+    assert got == {"a": (len(big), big[: V.HEAD_BYTES]), "b": (len(big) + 4, b"mp4 " + big), "c": (4, b"RIFF"), "d": (0, b""), "e": (len(late), late)}
+    assert V.heads(files.limit(0)).count() == 0
+    with pytest.raises(Exception, match="missing"):
+        V.heads(spark.createDataFrame([(f"{tmp_path}/missing.avi",)], "path string")).collect()
+
+
+def test_metadata_of_written_files_list_no_folder(spark):
+    found = QUERIES["video_metadata"](spark, "/root/testdata/sf0.001")
+    assert "binaryfile" not in found._jdf.queryExecution().toString().lower()
+    assert found.count() > 0
