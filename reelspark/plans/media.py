@@ -45,6 +45,14 @@ def as_videos(spark, sf_dir) -> str:
     return folder
 
 
+def announced_videos(spark, sf_dir) -> str:
+    """Writes the images as AVI files; the folder of the notes that tell their paths."""
+    shared, name = shared_folder(spark), uuid.uuid4().hex
+    notes = f"{shared}/notes-{name}"
+    V.write_videos(images(spark, sf_dir), f"{shared}/videos-{name}", FPS).select("path").write.parquet(notes)
+    return notes
+
+
 def written_videos(spark, sf_dir) -> DataFrame:
     """Writes the images as AVI files; (video_id, path, frames) of the files."""
     return cut(V.write_videos(images(spark, sf_dir), f"{shared_folder(spark)}/videos-{uuid.uuid4().hex}", FPS))

@@ -44,7 +44,7 @@ def ingest(files: DataFrame, probe: Callable[[bytes], tuple[float, int, int, int
         rows = []
         for c in content:
             try:
-                rows.append(reader(bytes(c)))
+                rows.append((None,) * 5 if c is None else reader(bytes(c)))
             except (ValueError, struct.error):
                 rows.append((None, None, None, None, None))
         return pd.DataFrame(rows, columns=["fps", "total_frames", "width", "height", "fourcc"]).astype({"fps": "float64", "total_frames": "Int64", "width": "Int32", "height": "Int32", "fourcc": "Int64"})

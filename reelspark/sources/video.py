@@ -7,6 +7,7 @@ none. Filters on video and frame are taken by the reader, so a frame that isn't
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
 from collections.abc import Callable, Iterator
@@ -353,6 +354,14 @@ def video_frames(chunks: DataFrame, decoder: Callable[[bytes], np.ndarray] | Non
 HEAD_BYTES = 64 << 10
 
 
+def _head(f: pa.NativeFile, size: int) -> bytes:
+    """What ingest needs of an open file: the first HEAD_BYTES of an AVI file whose header they hold, else all of it."""
+    content = f.read_at(min(size, HEAD_BYTES), 0)
+    if size > HEAD_BYTES and not (content[:4] == b"RIFF" and b"avih" in content and b"vids" in content):
+        content = f.read_at(size, 0)
+    return content
+
+
 def heads(files: DataFrame) -> DataFrame:
     """(path, length, content) of the files that ``files`` has the paths of, as ingest takes them; of an AVI file whose header they hold, the first HEAD_BYTES.
 
@@ -364,10 +373,7 @@ def heads(files: DataFrame) -> DataFrame:
             system, at = located(path)
             with system.open_input_file(at) as f:
                 size = f.size()
-                content = f.read_at(min(size, HEAD_BYTES), 0)
-                if size > HEAD_BYTES and not (content[:4] == b"RIFF" and b"avih" in content and b"vids" in content):
-                    content = f.read_at(size, 0)
-            return path, size, content
+                return path, size, _head(f, size)
 
         for batch in batches:
             for a in range(0, batch.num_rows, BATCH_ROWS):
@@ -378,6 +384,54 @@ def heads(files: DataFrame) -> DataFrame:
     return files.select("path").mapInArrow(work, "path string, length long, content binary")
 
 
+#: Bytes of a file that its digest takes at once.
+DIGEST_BYTES = 1 << 20
+
+
+def read_by_path(files: DataFrame, most_bytes: int) -> DataFrame:
+    """(path, modificationTime, length, content, digest) of files by (path, wanted), of a batch or a stream; content as in ``heads``, digest the SHA-256 of all of it.
+
+    Files are looked up and opened where their rows are; nothing is listed. Those that aren't wanted or have more than ``most_bytes``
+    aren't opened, and those that are gone have no length either.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def read(path: str, wanted: bool) -> tuple[str, int | None, int | None, bytes | None, str | None]:
+            system, at = located(path)
+            info = system.get_file_info(at)
+            if info.type != fs.FileType.File:
+                return path, None, None, None, None
+            known = path, None if info.mtime_ns is None else info.mtime_ns // 1000, info.size
+            if not wanted or info.size > most_bytes:
+                return *known, None, None
+            with system.open_input_file(at) as f:
+                content, digest = _head(f, info.size), hashlib.sha256()
+                if len(content) == info.size:
+                    digest.update(content)
+                else:
+                    f.seek(0)
+                    while part := f.read(DIGEST_BYTES):
+                        digest.update(part)
+            return *known, content, digest.hexdigest()
+
+        def rows(held: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names=["path", "modificationTime", "length", "content", "digest"])
+
+        kinds = (pa.string(), pa.timestamp("us", "UTC"), pa.int64(), pa.binary(), pa.string())
+        for batch in batches:
+            held, total = [], 0
+            for path, wanted in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+                held.append(read(path, wanted))
+                total += len(held[-1][3] or b"")
+                if len(held) >= BATCH_ROWS or total >= BATCH_BYTES:
+                    yield rows(held)
+                    held, total = [], 0
+            if held:
+                yield rows(held)
+
+    return files.select("path", "wanted").mapInArrow(work, "path string, modificationTime timestamp, length long, content binary, digest string")
+
+
 # --- sink -----------------------------------------------------------------------------------------------------------
 
 
