@@ -260,6 +260,63 @@ def test_a_run_is_found_though_all_neighbours_hold_less_of_it(spark):
     assert got == {frozenset(((a, at, at + 50), (b, bt, bt + 50))) for (a, at), (b, bt) in zip(pairs[::2], pairs[1::2], strict=True)}
 
 
+@pytest.mark.parametrize("length", [66, 78, 90])
+def test_an_edited_passage_is_found_though_others_hold_its_parts(spark, length):
+    """Two texts share a passage with two edits between them, and six others each of its halves: no single seed's first or preceding holder has both."""
+    rng, rows, pairs, i = random.Random(length), [], [], 0
+    for case in range(20):
+        shared = [f"p{case}x{j}" for j in range(length)]
+        edited = list(shared)
+        edited[length // 3], edited[2 * length // 3] = f"e{case}", f"f{case}"
+        parts = [shared, edited] + [shared[: length // 2]] * 6 + [shared[length // 2 :]] * 6
+        for k, part in enumerate(parts):
+            own = [f"c{case}f{k}x{j}" for j in range(rng.randint(80, 140))]
+            at = rng.randint(10, 60)
+            rows.append((i, " ".join(own[:at] + part + own[at:])))
+            if k < 2:
+                pairs.append((i, at))
+            i += 1
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = 0
+    for (a, at), (b, bt) in zip(pairs[::2], pairs[1::2], strict=True):
+        said = [(r.doc_id, r.start_word, r.end_word) for r in got if {r.doc_id, r.ref_doc_id} == {a, b}]
+        found += any(abs(s - (at if d == a else bt)) <= 2 and abs(e - (at if d == a else bt) - length) <= 2 for d, s, e in said)
+    assert found == 20 and all(r.identity >= 0.8 for r in got)
+    assert len({(r.doc_id, r.ref_doc_id) for r in got}) == len(got)
+
+
+def test_all_holders_of_a_seed_pair_meet_in_any_batches():
+    rng = np.random.default_rng(23)
+    rows = sorted(zip(*(rng.integers(0, x, 200).tolist() for x in (15, 40, 5, 3, 50, 99)), strict=True))
+    expected = sorted((n, m, p, q) for k, n, r, x, *own in rows for l, m, s, y, *other in rows if k == l and x != y and r != s and n > m for p, q in zip(own, other, strict=True))
+    for size in (1, 2, 7, 200):
+        parts = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + size], strict=True)], names=list("abcdef")) for i in range(0, len(rows), size)]
+        assert sorted(r for b in passages._match_all(iter(parts)) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)) == expected
+    seeds = sorted(zip(rng.integers(0, 30, 150).tolist(), rng.integers(0, 6, 150).tolist(), rng.integers(0, 50, 150).tolist(), strict=True))
+    nodes = lambda k: len({n for key, n, _ in seeds if key == k})
+    for size in (1, 2, 7, 150):
+        parts = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*seeds[i : i + size], strict=True)], names=list("abc")) for i in range(0, len(seeds), size)]
+        told = [r for b in passages._match_runs(iter(parts)) for r in zip(*(c.to_pylist() for c in b.columns), strict=True) if r[0] == r[1]]
+        for what, least in ((passages.SHARED, 2), (passages.CROWDED, 4)):
+            assert sorted(r[0] for r in told if r[2] == what) == sorted(k for k in {s[0] for s in seeds} if k % 2 == 0 and nodes(k) >= least)
+
+
+def test_runs_that_no_chain_has_are_the_same_in_any_batches():
+    rng = np.random.default_rng(29)
+    rows = []
+    for _ in range(400):
+        run = bool(rng.integers(2))
+        chain = [[int(s), int(s + k), int(s - d)] for s, k, d in zip(rng.integers(0, 60, 3), rng.integers(20, 90, 3), rng.integers(0, 3, 3), strict=True)][: 1 if run else int(rng.integers(1, 4))]
+        rows.append((int(rng.integers(4)), int(rng.integers(5)), chain, run))
+    rows.sort(key=lambda r: r[:2])
+    has = lambda c, s, e, r: any(a - q == s - r and a < s + passages.WINDOW and b > e - passages.WINDOW for a, b, q in c)
+    expected = sorted((n, m, c[0]) for n, m, c, run in rows if run and not any(has(d, *c[0]) for k, o, d, other in rows if (k, o) == (n, m) and not other))
+    assert 20 < len(expected) < sum(r[3] for r in rows) - 20
+    for size in (1, 2, 7, 400):
+        parts = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in x]), pa.array([r[1] for r in x]), pa.array([[v for s in r[2] for v in s] for r in x], pa.list_(pa.int64())), pa.array([r[3] for r in x])], names=list("abcd")) for i in range(0, len(rows), size) for x in [rows[i : i + size]]]
+        assert sorted(r for b in passages._unknown(iter(parts)) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)) == expected
+
+
 def test_every_shared_run_is_linked(spark):
     """Texts of overlapping windows: two that share 50 words on end have a passage around them together or with the same third one."""
     rng = np.random.default_rng(77)
